@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankmill.functions.binding import let
+
 
 def prune_sparse(weights: Column, ratio: float) -> Column:
     """Keep finite positive weights of at least `ratio` times the largest of them."""
     positive = F.map_filter(
         weights, lambda _, w: ~F.isnan(w) & (w > 0) & (w < F.lit(float("inf")))
     )
-    largest = F.array_max(F.map_values(positive))
-    return F.map_filter(positive, lambda _, w: w >= largest * F.lit(ratio))
+    return let(
+        positive,
+        lambda kept: let(
+            F.array_max(F.map_values(kept)) * F.lit(ratio),
+            lambda least: F.map_filter(kept, lambda _, w: w >= least),
+        ),
+    )

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def regularized_beta(a: float, b: float, x: float) -> float:
@@ -49,7 +50,7 @@ def binomial_upper_tail(successes: int, trials: int) -> float:
     return regularized_beta(successes, trials - successes + 1, 0.5)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -60,7 +61,7 @@ def _t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sign_p_value(successes: pd.Series, trials: pd.Series) -> pd.Series:
     return pd.Series(
         [binomial_upper_tail(int(s), int(n)) for s, n in zip(successes, trials)], dtype="float64"

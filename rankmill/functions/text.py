@@ -11,13 +11,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 WORD = r"[\p{L}\p{N}]+"
 
 
 # -- normalisation -----------------------------------------------------------------------------
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
@@ -174,7 +175,7 @@ def porter_stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 
@@ -207,7 +208,7 @@ def stemmed_occurrences(text: Column) -> Column:
 
 # -- markup ------------------------------------------------------------------------------------
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     return text.map(lambda v: None if v is None else html.unescape(v))
 
@@ -276,7 +277,7 @@ def sparse_text(
     return join_present([title, brand, category, product_class, features, description])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii_json(text: pd.Series) -> pd.Series:
     return text.map(
         lambda v: None if v is None
@@ -294,7 +295,10 @@ def canonical_json(value: Column) -> Column:
 
 def cache_key(text: Column, model: dict[str, object]) -> Column:
     """SHA-256 of the compact JSON of the text and the model identity, keys in order."""
-    identity = F.struct(*[F.lit(model[k]).alias(k) for k in sorted(model)])
+    identity = F.named_struct(*[F.lit(x) for k in sorted(model) for x in (k, model[k])])
     return F.sha2(
-        canonical_json(F.struct(text.alias("document_text"), identity.alias("model"))), 256
+        canonical_json(
+            F.named_struct(F.lit("document_text"), text, F.lit("model"), identity)
+        ),
+        256,
     )

@@ -8,6 +8,12 @@ import pandas as pd
 SCHEMA = "query_id string, document_id string, score double"
 
 
+def round_half_up(scores: np.ndarray, decimals: int) -> np.ndarray:
+    """Rounds like SQL does; infinities stay."""
+    unit = 10.0**decimals
+    return np.floor(scores * unit + 0.5) / unit  # -inf marks a pair that does not match
+
+
 class LocalTopK:
     """Keeps the k best documents per query, ties by natural id order.
 
@@ -27,7 +33,7 @@ class LocalTopK:
         """`scores` is documents x queries; -inf marks pairs that do not match."""
         if scores.size == 0:
             return
-        scores = np.round(scores, self.decimals)
+        scores = round_half_up(scores, self.decimals)
         floor = self.floor
         if len(ids) > self.k:
             floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[-self.k])

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, StringType
+
+from rankmill.functions.binding import let
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -29,9 +32,12 @@ def cosine_score(left: Column, right: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit vector; null for a zero vector."""
-    length = norm(vector)
-    return F.when(
-        length > 0, F.transform(vector, lambda x: x.cast("double") / length)
+    return let(
+        vector,
+        lambda v: let(
+            norm(v),
+            lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)),
+        ),
     )
 
 
@@ -52,18 +58,18 @@ def vector_fault(vector: Column, dims: int, tolerance: float) -> Column:
     )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def float32_bytes(vectors: pd.Series) -> pd.Series:
     """Little-endian single-precision bytes."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def float32_array(payload: pd.Series) -> pd.Series:
     return payload.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def canonical_float32(vectors: pd.Series) -> pd.Series:
     """Big-endian single-precision hex per component, for digests that ignore formatting."""
     return vectors.map(
@@ -72,7 +78,8 @@ def canonical_float32(vectors: pd.Series) -> pd.Series:
 
 
 def to_base64(vector: Column) -> Column:
-    return F.base64(float32_bytes(vector))
+    """One line of base64; the built-in breaks lines at 76 characters."""
+    return F.translate(F.base64(float32_bytes(vector)), "\r\n", "")
 
 
 def from_base64(text: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.functions.topk import SCHEMA, LocalTopK
+from rankmill.functions.topk import SCHEMA, LocalTopK, round_half_up
 from rankmill.functions.vectors import dot, norm
 from rankmill.operators.ordering import score_order, top_k
 
@@ -77,7 +77,7 @@ def exact_knn(
             for start in range(0, len(batch), 2048):
                 part = batch.iloc[start : start + 2048]
                 ids = part["document_id"].to_numpy()
-                scores = np.round(_scores(_matrix(part["embedding"]), matrix), decimals)
+                scores = round_half_up(_scores(_matrix(part["embedding"]), matrix), decimals)
                 best.add(ids, _hide(scores, ids, query_ids, min_score, exclude_self))
         yield best.frame()
 
@@ -111,7 +111,7 @@ def _grid_knn(queries, vectors, k, dims, decimals, min_score, exclude_self) -> D
             for start in range(0, len(v), 2048):
                 part = v.iloc[start : start + 2048]
                 ids = part["document_id"].to_numpy()
-                scores = np.round(_scores(_matrix(part["embedding"]), matrix), decimals)
+                scores = round_half_up(_scores(_matrix(part["embedding"]), matrix), decimals)
                 best.add(ids, _hide(scores, ids, list(q["query_id"]), min_score, exclude_self))
         return best.frame()
 

@@ -19,7 +19,7 @@ from rankmill.functions.text import occurrences, tokenize
 from rankmill.functions.topk import LocalTopK
 from rankmill.operators.joins import skew_safe_join
 from rankmill.operators.ordering import RESULT_DEPTH, score_order, top_k
-from rankmill.session import broadcast_if_small, fits
+from rankmill.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
 K1 = 1.2
 B = 0.75
@@ -176,24 +176,36 @@ def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def term_weights(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Query terms per field with weight x idf."""
-    return terms.join(term_stats(texts, terms), "term").withColumn(
-        "idf", F.col("weight") * _idf()
-    ).drop("weight", "document_frequency", "documents")
+def term_weights(
+    texts: DataFrame, terms: DataFrame, stats: DataFrame | None = None
+) -> DataFrame:
+    """Query terms per field with weight x idf, materialised because several steps read them.
+
+    `stats` is `term_stats` of the corpus where it has been computed before.
+    """
+    known = term_stats(texts, terms) if stats is None else stats
+    return cut_lineage(
+        terms.join(known, "term")
+        .withColumn("idf", F.col("weight") * _idf())
+        .drop("weight", "document_frequency", "documents")
+    )
 
 
-def bm25(texts: DataFrame, terms: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+def bm25(
+    texts: DataFrame, terms: DataFrame, documents: DataFrame | None = None,
+    stats: DataFrame | None = None,
+) -> DataFrame:
     """(query_id, field, document_id, score, matched, terms): Okapi BM25 of every matching pair.
 
     `documents` optionally restricts the scored documents without changing the statistics. For
     the best k per query use `ranked_search`, which never builds all pairs.
     """
+    terms = cut_lineage(terms)
     hits = term_hits(texts, terms)
     if documents is not None:
         hits = hits.join(documents.select("document_id").distinct(), "document_id", "left_semi")
     return (
-        _with_queries(hits, term_weights(texts, terms))
+        _with_queries(hits, term_weights(texts, terms, stats))
         .withColumn("__part", F.col("idf") * _saturation(F.col("frequency")))
         .groupBy("query_id", "field", "document_id", "terms")
         .agg(F.sum("__part").alias("score"), F.count(F.lit(1)).alias("matched"))
@@ -219,10 +231,10 @@ def ranked_search(
     keeps its own k best; only those are shuffled. A query matrix beyond MATRIX_CELLS takes
     the join-based path, with the same result.
     """
-    weights = term_weights(texts, terms)
-    if not fits(weights):
+    terms = cut_lineage(terms)
+    rows = term_weights(texts, terms).limit(BROADCAST_ROWS + 1).toPandas()
+    if len(rows) > BROADCAST_ROWS:
         return _ranked_by_join(texts, terms, profiles, k, decimals)
-    rows = weights.toPandas()
     query_ids = sorted(rows["query_id"].unique())
     cells = rows[["field", "term", "average_length"]].drop_duplicates(["field", "term"])
     cells = cells.sort_values(["field", "term"]).reset_index(drop=True)
@@ -301,7 +313,8 @@ def _combine(dense, weights, needed, ranges, grid, best, ids) -> None:
             boosted = np.where(enough, scores[name] * float(boost), -np.inf)
             top = np.maximum(top, boosted)
             total += np.where(enough, boosted, 0.0)
-        found.add(ids, np.where(top > -np.inf, top + profile.tie_breaker * (total - top), -np.inf))
+        rest = np.where(top > -np.inf, total - np.where(top > -np.inf, top, 0.0), 0.0)
+        found.add(ids, top + profile.tie_breaker * rest)
 
 
 def _needed(terms: np.ndarray, profile: Profile) -> np.ndarray:
@@ -407,11 +420,14 @@ def fuzzy_terms(terms: DataFrame, dictionary: DataFrame, prefix: int = 1) -> Dat
     )
 
 
-def fuzzy_bm25(texts: DataFrame, terms: DataFrame, prefix: int = 1) -> DataFrame:
+def fuzzy_bm25(
+    texts: DataFrame, terms: DataFrame, prefix: int = 1, stats: DataFrame | None = None
+) -> DataFrame:
     """BM25 where a query word also matches its near spellings; the best spelling counts."""
-    expanded = fuzzy_terms(terms, term_stats(texts), prefix)
+    stats = cut_lineage(term_stats(texts)) if stats is None else stats
+    expanded = cut_lineage(fuzzy_terms(cut_lineage(terms), stats, prefix))
     return (
-        _with_queries(term_hits(texts, expanded), term_weights(texts, expanded))
+        _with_queries(term_hits(texts, expanded), term_weights(texts, expanded, stats))
         .withColumn("__part", F.col("idf") * _saturation(F.col("frequency")))
         .groupBy("field", "document_id", "query_id", "terms", "source_term")
         .agg(F.max("__part").alias("__part"))
@@ -453,14 +469,16 @@ def phrase_prefix_terms(phrases: DataFrame, dictionary: DataFrame, expansions: i
     )
 
 
-def phrase_match(texts: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
+def phrase_match(
+    texts: DataFrame, phrases: DataFrame, slop: int = 0, stats: DataFrame | None = None
+) -> DataFrame:
     """(query_id, field, document_id, frequency, length): occurrences of whole phrases.
 
     Candidates are the documents with the phrase's rarest word. In those, a word at position p
     for slot s votes for start p - s, and a phrase occurs where every slot has a vote in a window
     of `slop` after an occupied start. Votes stay in their document's partition.
     """
-    stats = term_stats(texts, phrases)
+    stats = term_stats(texts, phrases) if stats is None else stats
     slots = phrases.join(stats, "term").groupBy("query_id", "field", "slot", "slots").agg(
         F.sum("document_frequency").alias("__rows")
     )
@@ -471,7 +489,9 @@ def phrase_match(texts: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFra
         .where((F.col("__place") == 1) & (F.col("__known") == F.col("slots")))
         .select("query_id", "field", "slot")
     )
-    anchors = rarest.join(phrases, ["query_id", "slot"]).select("query_id", "field", "term")
+    anchors = cut_lineage(
+        rarest.join(phrases, ["query_id", "slot"]).select("query_id", "field", "term")
+    )
     words = texts.select("field", "document_id", "length", F.inline("occurrences"))
     candidates = (
         skew_safe_join(words, anchors, ["field", "term"], F.col("document_id"))
@@ -513,19 +533,23 @@ def phrase_match(texts: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFra
     )
 
 
-def phrase_score(texts: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
+def phrase_score(
+    texts: DataFrame, phrases: DataFrame, slop: int = 0, stats: DataFrame | None = None
+) -> DataFrame:
     """BM25 of the phrase as one word whose idf is the sum over its slots.
 
     Where several words may stand in a slot, its most frequent one counts.
     """
-    slot_idf = (
-        phrases.join(term_stats(texts, phrases), "term")
+    phrases = cut_lineage(phrases)
+    stats = cut_lineage(term_stats(texts, phrases)) if stats is None else stats
+    slot_idf = cut_lineage(
+        phrases.join(stats, "term")
         .groupBy("query_id", "field", "slot", "average_length")
         .agg(F.min(_idf()).alias("__idf"))
         .groupBy("query_id", "field", "average_length")
         .agg(F.sum("__idf").alias("__idf"))
     )
-    return phrase_match(texts, phrases, slop).join(
+    return phrase_match(texts, phrases, slop, stats).join(
         broadcast_if_small(slot_idf), ["query_id", "field"]
     ).select(
         "query_id", "field", "document_id",
@@ -537,19 +561,20 @@ def phrase_score(texts: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFra
 # -- composed searches -------------------------------------------------------------------------
 
 def integrator_search(texts: DataFrame, queries: DataFrame, profile: Profile = INTEGRATOR) -> DataFrame:
-    """Fuzzy best-fields, boosted sloppy phrase and phrase prefix, scores added."""
-    fuzzy = best_fields(fuzzy_bm25(texts, query_terms(queries)), profile)
-    phrases = phrase_terms(queries)
+    """Fuzzy best-fields, boosted sloppy phrase and phrase prefix, scores added.
+
+    All three clauses read the corpus term statistics, which are computed once.
+    """
+    stats = cut_lineage(term_stats(texts))
+    fuzzy = best_fields(fuzzy_bm25(texts, query_terms(queries), stats=stats), profile)
+    phrases = cut_lineage(phrase_terms(queries))
     phrase = best_fields(
-        phrase_score(texts, phrases, slop=int(profile.extra["phrase_slop"])),
+        phrase_score(texts, phrases, int(profile.extra["phrase_slop"]), stats),
         Profile("phrase", profile.extra["phrase"]),
     ).withColumn("score", F.col("score") * float(profile.extra["phrase_boost"]))
+    expanded = phrase_prefix_terms(phrases, stats, int(profile.extra["prefix_expansions"]))
     prefix = best_fields(
-        phrase_score(
-            texts,
-            phrase_prefix_terms(phrases, term_stats(texts), int(profile.extra["prefix_expansions"])),
-        ),
-        Profile("prefix", profile.extra["prefix"]),
+        phrase_score(texts, expanded, stats=stats), Profile("prefix", profile.extra["prefix"])
     )
     return clause_sum([fuzzy, phrase, prefix])
 
@@ -570,12 +595,14 @@ def known_item_search(
         .join(F.broadcast(total))
         .select("query_id", "document_id", (100.0 * _idf()).alias("score"))
     )
+    stats = cut_lineage(term_stats(texts))
     title = texts.where(F.col("field") == "title")
     phrase = best_fields(
-        phrase_score(title, phrase_terms(queries)), Profile("phrase", {"title": 20.0})
+        phrase_score(title, phrase_terms(queries), stats=stats.where(F.col("field") == "title")),
+        Profile("phrase", {"title": 20.0}),
     )
     words = best_fields(
-        bm25(texts, query_terms(queries)),
+        bm25(texts, query_terms(queries), stats=stats),
         Profile("all", {"title": 8.0, "brand": 2.0, "description": 1.0}, operator="and"),
     )
     return clause_sum([sku_hits, phrase, words])

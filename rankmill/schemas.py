@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 
-def schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def schema(text: str = "", number: str = "", integer: str = "") -> StructType:
+    """A flat schema from comma-separated column names per type."""
+    fields = []
+    for names, kind in ((text, StringType()), (number, DoubleType()), (integer, IntegerType())):
+        fields += [StructField(n.strip(), kind) for n in names.split(",") if n.strip()]
+    return StructType(fields)
 
 
 PRODUCT_TSV = schema(
-    "product_id string, product_name string, product_class string, `category hierarchy` string, "
-    "product_description string, product_features string, rating_count string, "
-    "average_rating string, review_count string"
+    "product_id, product_name, product_class, category hierarchy, product_description, "
+    "product_features, rating_count, average_rating, review_count"
 )
-QUERY_TSV = schema("query_id string, query string, query_class string")
-LABEL_TSV = schema("id string, query_id string, product_id string, label string")
-TOPIC_TSV = schema("id string, query string")
-TREC_JSON = schema("docid string, title string, text string")
+QUERY_TSV = schema("query_id, query, query_class")
+LABEL_TSV = schema("id, query_id, product_id, label")
+TOPIC_TSV = schema("id, query")
+TREC_JSON = schema("docid, title, text")
 PRODUCT_JSON = schema(
-    "product_id string, title string, description string, category string, product_class string, "
-    "brand string, features string, rating_count double, average_rating double, "
-    "review_count double"
-)
-QUERY_JSON = schema(
-    "query_id string, query string, query_class string, split string, token_count int"
+    "product_id, title, description, category, product_class, brand, features",
+    number="rating_count, average_rating, review_count",
 )
+QUERY_JSON = schema("query_id, query, query_class, split", integer="token_count")
 SPARSE_JSON = "product_id string, embedding map<string,string>"
 TELEMETRY_JSON = (
     "schema_version int, event string, store_id string, request_name string, route string, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from rankmill import schemas
 from rankmill.functions.ids import natural_order
@@ -160,7 +160,7 @@ def write_qrels(qrels: DataFrame, path: str) -> None:
     ).write.mode("overwrite").text(path)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _twelve_digits(score: pd.Series) -> pd.Series:
     """Shortest form with 12 significant digits; the JVM's %g keeps trailing zeros."""
     return score.map(lambda x: f"{x:.12g}")

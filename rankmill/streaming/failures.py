@@ -22,26 +22,26 @@ class _Runs(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         failures, last = (int(x) for x in self._run.get()) if self._run.exists() else (0, 0)
-        for batch in rows:
-            batch = batch.sort_values(["ts", "sequence"])
-            found = []
-            for ts, sequence, success in zip(batch["ts"], batch["sequence"], batch["success"]):
-                now = int(pd.Timestamp(ts).value // 1000)
-                if success:
-                    failures = 0
-                    continue
-                if self.memory is not None and failures and now - last > self.memory * 1_000_000:
-                    failures = 0
-                failures, last = failures + 1, now
-                until = ts + pd.Timedelta(seconds=self.open) if failures >= self.threshold else None
-                found.append((key[0], ts, sequence, failures, until))
-            if found:
-                frame = pd.DataFrame(
-                    found, columns=["store_id", "ts", "sequence", "failures", "open_until"]
-                )
-                frame["open_until"] = pd.to_datetime(frame["open_until"])
-                yield frame
+        # One micro-batch of one store; the source's per-trigger limit bounds it.
+        batch = pd.concat(list(rows)).sort_values(["ts", "sequence"])
+        found = []
+        for ts, sequence, success in zip(batch["ts"], batch["sequence"], batch["success"]):
+            now = int(pd.Timestamp(ts).value // 1000)
+            if success:
+                failures = 0
+                continue
+            if self.memory is not None and failures and now - last > self.memory * 1_000_000:
+                failures = 0
+            failures, last = failures + 1, now
+            until = ts + pd.Timedelta(seconds=self.open) if failures >= self.threshold else None
+            found.append((key[0], ts, sequence, failures, until))
         self._run.update((failures, last))
+        if found:
+            frame = pd.DataFrame(
+                found, columns=["store_id", "ts", "sequence", "failures", "open_until"]
+            )
+            frame["open_until"] = pd.to_datetime(frame["open_until"])
+            yield frame
 
     def close(self) -> None:
         pass
