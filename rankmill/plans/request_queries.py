@@ -1 +1,194 @@
+"""Filters, request rules and join shapes."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankmill.operators import filters as ft
+from rankmill.operators import joins as jn
+from rankmill.plans.oracle import with_
+from rankmill.plans.registry import query
+
+_VISIBLE = "status = 1 AND visibility IN (3, 4)"
+_ASSIGNED = "SELECT DISTINCT store_id, product_id FROM product_websites JOIN stores USING (website_id) WHERE store_id <> 0"
+
+
+@query("f01_searchable", "store_id:i product_id:i",
+       with_("products product_websites stores", f"SELECT a.store_id, a.product_id FROM ({_ASSIGNED}) a JOIN products p ON p.entity_id = a.product_id WHERE {_VISIBLE}"))
+def _(t):
+    assigned = jn.product_stores(t.product_websites, t.stores)
+    products = t.products.select(F.col("entity_id").alias("product_id"), "status", "visibility")
+    return ft.searchable(products, assigned)
+
+
+@query("f02_similarity_eligible", "product_id:s", with_("products", f"SELECT product_id FROM products WHERE {_VISIBLE} AND is_salable AND p_size % 3 = 1 AND brand <> 'Brand#2'"))
+def _(t):
+    documents = t.products.select(
+        "*", F.lit(1).alias("store_id"), (F.col("p_size") % 3).alias("generation_id"),
+        F.lit("r1").alias("model_revision"), (F.col("brand") != "Brand#2").alias("embedding_eligible"),
+    )
+    return ft.similarity_eligible(documents, 1, 1, "r1")
+
+
+@query("f03_catalog_filter", "product_id:s", with_("products", "SELECT product_id FROM products WHERE category = 'size 2'"))
+def _(t):
+    return ft.catalog_filter(t.products, "category", "size 2")
+
+
+# Requests from orders: store flags, names, sorts and pages all follow from the order.
+_REQUEST = (
+    "SELECT o_orderkey AS request_id, o_orderstatus <> 'P' AS enabled, o_custkey % 5 <> 0 AS store_included, o_custkey % 7 <> 0 AS ready, "
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 'catalog_view' WHEN '2-HIGH' THEN 'graphql_product_search' ELSE 'quick_search_container' END AS request_name, o_orderkey % 9 AS s, "
+    "CAST(floor(o_totalprice) AS BIGINT) % 130 AS start, o_custkey % 120 AS size FROM orders"
+)
+_PLAN = (
+    "CASE s WHEN 0 THEN 'relevance' WHEN 1 THEN 'relevance' WHEN 2 THEN 'relevance' WHEN 3 THEN 'default_position' WHEN 4 THEN 'availability_first' "
+    "WHEN 5 THEN 'unsupported' WHEN 6 THEN 'availability_first' WHEN 7 THEN 'unsupported' ELSE 'unsupported' END"
+)
+
+
+def requests(t):
+    def sort(*entries):
+        return F.array(*[F.struct(F.lit(f).alias("field"), F.lit(d).cast("string").alias("direction")) for f, d in entries])
+
+    sorts = [
+        F.array().cast("array<struct<field:string,direction:string>>"), sort(("_score", "desc")),
+        sort(("relevance", "DESC"), ("entity_id", "asc")), sort(("position", "ASC"), ("entity_id", "DESC")),
+        sort(("is_out_of_stock", "asc"), ("relevance", "desc"), ("entity_id", "DESC")), sort(("price", "ASC")),
+        sort(("is_out_of_stock", "ASC"), ("position", "ASC")), sort(("relevance", "ASC")), sort(("relevance", None)),
+    ]
+    chosen = F.lit(None).cast("array<struct<field:string,direction:string>>")
+    for i, value in enumerate(sorts):
+        chosen = F.when(F.col("o_orderkey") % 9 == i, value).otherwise(chosen)
+    return t.raw("orders").select(
+        F.col("o_orderkey").alias("request_id"), (F.col("o_orderstatus") != "P").alias("enabled"),
+        (F.col("o_custkey") % 5 != 0).alias("store_included"), (F.col("o_custkey") % 7 != 0).alias("ready"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "catalog_view").when(F.col("o_orderpriority") == "2-HIGH", "graphql_product_search")
+        .otherwise("quick_search_container").alias("request_name"),
+        chosen.alias("sort"), (F.floor("o_totalprice") % 130).alias("start"), (F.col("o_custkey") % 120).alias("size"),
+    )
+
+
+@query("f04_request_reason", "request_id:i reason:s",
+       f"SELECT request_id, CASE WHEN NOT enabled THEN 'disabled' WHEN NOT store_included THEN 'store_excluded' WHEN NOT ready THEN 'readiness_closed' WHEN request_name = 'catalog_view' THEN 'unsupported_request' "
+       f"WHEN {_PLAN} = 'unsupported' THEN 'unsupported_sort' WHEN size = 0 OR size > 100 OR start >= 100 THEN 'invalid_page' ELSE 'eligible' END AS reason FROM ({_REQUEST})")
+def _(t):
+    return requests(t).select("request_id", F.coalesce(ft.request_reason(), F.lit("eligible")).alias("reason"))
+
+
+@query("f05_sort_plan", "request_id:i plan:s", f"SELECT request_id, {_PLAN} AS plan FROM ({_REQUEST})")
+def _(t):
+    return requests(t).select("request_id", ft.sort_plan(F.col("sort")).alias("plan"))
+
+
+@query(
+    "f07_known_item_guard", "query_id:s known_item:b",
+    with_("products", "SELECT query_id, q = '' OR q IN (SELECT lower(sku) FROM products WHERE p_size <> 5) OR q IN (SELECT lower(title) FROM products) AS known_item FROM ("
+          "SELECT 's' || product_id AS query_id, lower(sku) AS q FROM products UNION ALL SELECT 't' || product_id, lower(title || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' x' END) FROM products UNION ALL SELECT 'b' || product_id, '' FROM products WHERE p_size = 3)"),
+)
+def _(t):
+    p = t.products
+    queries = (
+        p.select(F.concat(F.lit("s"), "product_id").alias("query_id"), F.concat(F.lit("  "), "sku").alias("query"))
+        .unionByName(p.select(F.concat(F.lit("t"), "product_id").alias("query_id"), F.concat(F.upper("title"), F.when(F.col("p_size") % 2 == 0, " ").otherwise("  X")).alias("query")))
+        .unionByName(p.where("p_size = 3").select(F.concat(F.lit("b"), "product_id").alias("query_id"), F.lit(" \t").alias("query")))
+    )
+    documents = p.select(
+        F.when(F.col("p_size") == 5, "").otherwise(F.lower("sku")).alias("sku_normalized"), F.lower("title").alias("title_normalized")
+    ).where(F.col("sku_normalized") != "").unionByName(p.select(F.lower("title").alias("sku_normalized"), F.lower("title").alias("title_normalized")))
+    return ft.known_item_guard(queries, documents)
+
+
+# -- joins ---------------------------------------------------------------------------------------
+
+@query("j03_without_documents", "query_id:s product_id:s",
+       with_("judgments_raw runs", "SELECT DISTINCT query_id, product_id FROM judgments_raw j WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.query_id = j.query_id AND r.document_id = j.product_id)"))
+def _(t):
+    pairs = t.judgments_raw.select("query_id", "product_id").distinct()
+    shown = t.runs.select("query_id", F.col("document_id").alias("product_id")).distinct()
+    return pairs.join(shown, ["query_id", "product_id"], "left_anti")
+
+
+@query("j04_terms_with_postings", "query_id:s document_id:s words:i occurrences:i",
+       with_("qterm dtf", "SELECT query_id, document_id, count(*) AS words, sum(tf) AS occurrences FROM qterm JOIN dtf USING (term) GROUP BY 1, 2"))
+def _(t):
+    from rankmill.operators.lexical import term_hits
+
+    hits = term_hits(t.doc_texts, t.terms)
+    return jn.skew_safe_join(hits, t.terms, ["term"], F.col("document_id")).groupBy("query_id", "document_id").agg(
+        F.count(F.lit(1)).alias("words"), F.sum("frequency").alias("occurrences")
+    )
+
+
+@query("j05_all_pairs_threshold", "query_id:s neighbours:i best:f6",
+       with_("sims", "SELECT query_id, count(*) AS neighbours, max(score) AS best FROM (SELECT * FROM sims WHERE score >= 0.6 AND query_id <> document_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC) <= 100) GROUP BY 1"))
+def _(t):
+    from rankmill.operators.dense import exact_knn
+
+    found = exact_knn(t.vector_queries, t.vectors, 100, min_score=0.6, exclude_self=True)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("neighbours"), F.max("score").alias("best"))
+
+
+@query("j06_changes_in_jobs", "store_id:i change_id:i job_id:i lane:s",
+       with_("journal outbox", "SELECT j.store_id, j.change_id, o.job_id, o.lane FROM journal j JOIN outbox o ON o.store_id = j.store_id AND j.change_id BETWEEN o.earliest_change_id AND o.latest_change_id"))
+def _(t):
+    changes = t.journal.select("store_id", "change_id")
+    jobs = t.outbox.select("job_id", "store_id", "lane", "earliest_change_id", "latest_change_id")
+    return jn.changes_in_jobs(changes, jobs)
+
+
+def attempts(t):
+    return t.events.selectExpr(
+        "user_id % 6 + 1 subscription_id", "concat('u', user_id, '-', event_id div 40) uuid", "event_id log_id",
+        "event_type <> 'error' success", "ts created",
+    )
+
+
+ATTEMPTS = "(SELECT user_id % 6 + 1 AS subscription_id, 'u' || user_id || '-' || (event_id // 40) AS uuid, event_id AS log_id, event_type <> 'error' AS success, ts AS created FROM events)"
+
+
+@query("j07_unresolved_failures", "subscription_id:i uuid:s log_id:i",
+       f"SELECT f.subscription_id, f.uuid, f.log_id FROM {ATTEMPTS} f WHERE NOT success AND NOT EXISTS (SELECT 1 FROM {ATTEMPTS} l WHERE l.subscription_id = f.subscription_id AND l.uuid = f.uuid AND l.log_id > f.log_id)")
+def _(t):
+    return jn.unresolved_failures(attempts(t))
+
+
+@query("j08_product_stores", "store_id:i product_id:i",
+       with_("product_websites stores", f"SELECT * FROM ({_ASSIGNED}) WHERE store_id IN (1, 2, 3, 5, 8, 13, 21)"))
+def _(t):
+    return jn.product_stores(t.product_websites, t.stores, [1, 2, 3, 5, 8, 13, 21])
+
+
+@query("j09_subtree_products", "root_id:i product_id:i",
+       with_("categories category_products", "SELECT DISTINCT r.category_id AS root_id, p.product_id FROM categories r JOIN categories c ON c.path = r.path OR c.path LIKE r.path || '/%' JOIN category_products p ON p.category_id = c.category_id"))
+def _(t):
+    return jn.subtree_products(t.categories, t.category_products, t.categories.select(F.col("category_id").alias("root_id")))
+
+
+@query("j10_option_products", "option_id:i product_id:i",
+       "SELECT DISTINCT o AS option_id, p_partkey AS product_id FROM part, (SELECT n_nationkey AS o FROM nation) WHERE list_contains(string_split(CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE p_size || ',' || (p_size + 7) || ',' || (p_size // 2) END, ','), CAST(o AS VARCHAR))")
+def _(t):
+    values = t.raw("part").selectExpr(
+        "p_partkey product_id", "if(p_size % 2 = 0, cast(p_size as string), concat_ws(',', p_size, p_size + 7, p_size div 2)) value"
+    )
+    return jn.option_products(values, t.raw("nation").select(F.col("n_nationkey").cast("long").alias("option_id")))
+
+
+@query("j11_ancestors_closure", "node:i",
+       "WITH RECURSIVE up(node) AS (SELECT p_partkey FROM part WHERE p_type = 'SMALL' AND p_size = 7 UNION SELECT p_partkey // 3 FROM part JOIN up ON p_partkey = node WHERE p_partkey > 0) SELECT node FROM up")
+def _(t):
+    parts = t.raw("part")
+    edges = parts.where("p_partkey > 0").selectExpr("p_partkey child", "p_partkey div 3 parent")
+    start = parts.where("p_type = 'SMALL' and p_size = 7").selectExpr("p_partkey node")
+    return jn.ancestors_closure(start, edges)
+
+
+@query("j12_changed_keys", "o_custkey:i change:s old_n:i new_n:i",
+       "SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(a.n, -1) AS old_n, coalesce(b.n, -1) AS new_n FROM "
+       "(SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.o_custkey = b.o_custkey WHERE a.n IS DISTINCT FROM b.n")
+def _(t):
+    def counts(status):
+        return t.raw("orders").where(F.col("o_orderstatus") == status).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+    changed = jn.changed_keys(counts("F"), counts("O"), ["o_custkey"], ["n"])
+    return changed.withColumn("old_n", F.coalesce("old_n", F.lit(-1))).withColumn("new_n", F.coalesce("new_n", F.lit(-1)))
