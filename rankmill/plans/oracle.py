@@ -191,8 +191,8 @@ cte("store_state", "SELECT c_nationkey AS store_id, CASE WHEN c_nationkey % 4 =
 cte("telemetry", "SELECT ts, user_id % 3 + 1 AS store_id, CASE WHEN event_id % 2 = 0 THEN 'quick_search_container' ELSE 'graphql_product_search' END AS request_name, "
     "CASE WHEN event_type = 'error' THEN 'native_fallback' WHEN event_type IN ('click', 'view') THEN 'hybrid' ELSE 'native' END AS route, "
     "CASE WHEN event_type = 'error' THEN 'hybrid_error' WHEN event_type IN ('click', 'view') THEN 'eligible' ELSE 'known_item' END AS reason, value AS duration_ms, event_type FROM events")
-cte("components", "SELECT *, 'query_encoder' AS component, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome, round(duration_ms / 2, 3) AS ms FROM telemetry "
-    "UNION ALL SELECT *, 'native_candidates', 'success', round(duration_ms / 4, 3) FROM telemetry", "telemetry")
+cte("components", "SELECT *, 'query_encoder' AS component, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome, duration_ms / 2 AS ms FROM telemetry "
+    "UNION ALL SELECT *, 'native_candidates', 'success', duration_ms / 4 FROM telemetry", "telemetry")
 
 # -- catalogue scope --
 cte("stores", "SELECT n_nationkey AS store_id, n_regionkey AS website_id, n_name AS code FROM nation")

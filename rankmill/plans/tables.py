@@ -297,8 +297,8 @@ class Tables:
             "when event_type in ('click', 'view') then 'eligible' else 'known_item' end reason",
             "value duration_ms",
             "map('query_encoder', struct(if(event_type = 'error', 'failure', 'success') as outcome, "
-            "round(value / 2, 3) as duration_ms), 'native_candidates', "
-            "struct('success' as outcome, round(value / 4, 3) as duration_ms)) components",
+            "value / 2 as duration_ms), 'native_candidates', "
+            "struct('success' as outcome, value / 4 as duration_ms)) components",
         )
 
     # -- catalogue scope --

@@ -94,7 +94,7 @@ def read_trec_collection(spark: SparkSession, path: str, partitions: int | None
     three fields or an id are left out; see `collection_rejects`.
     """
     lines = spark.read.text(path)
-    lines = lines.repartition(partitions) if partitions else lines.repartition()
+    lines = lines.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = F.split("value", "\t", 3)
     return lines.select(parts.alias("p")).where(
         (F.size("p") == 3) & (F.get("p", F.lit(0)) != "")
