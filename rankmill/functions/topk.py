@@ -14,6 +14,16 @@ def round_half_up(scores: np.ndarray, decimals: int) -> np.ndarray:
     return np.floor(scores * unit + 0.5) / unit  # -inf marks a pair that does not match
 
 
+def natural_rows(ids: np.ndarray) -> pd.DataFrame:
+    """The ids in natural order; the frame's index holds their former positions."""
+    text = pd.Series(ids).astype(str)
+    digits = text.str.fullmatch("[0-9]+")
+    plain = text.str.lstrip("0").where(digits, "")
+    return pd.DataFrame(
+        {"kind": (~digits).astype(int), "size": plain.str.len(), "plain": plain, "text": text}
+    ).sort_values(["kind", "size", "plain", "text"])
+
+
 class LocalTopK:
     """Keeps the k best documents per query, ties by natural id order.
 
@@ -30,14 +40,21 @@ class LocalTopK:
         self.rows = 0
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """`scores` is documents x queries; -inf marks pairs that do not match."""
+        """`scores` is documents x queries; -inf marks pairs that do not match.
+
+        Rows are put in natural id order first, so among equal scores the first ones win.
+        """
         if scores.size == 0:
             return
-        scores = round_half_up(scores, self.decimals)
-        floor = self.floor
+        order = natural_rows(ids).index.to_numpy()
+        ids, scores = ids[order], round_half_up(scores[order], self.decimals)
+        keep = (scores >= self.floor) & (scores > -np.inf)
         if len(ids) > self.k:
-            floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[-self.k])
-        query, row = np.nonzero(((scores >= floor) & (scores > -np.inf)).T)
+            kth = np.partition(scores, len(ids) - self.k, axis=0)[-self.k]
+            above, level = scores > kth, scores == kth
+            room = self.k - above.sum(axis=0)
+            keep &= above | (level & (np.cumsum(level, axis=0) <= room))
+        query, row = np.nonzero(keep.T)
         self.parts.append(
             pd.DataFrame({"q": query, "id": ids[row], "score": scores[row, query]})
         )
@@ -49,15 +66,11 @@ class LocalTopK:
         if not self.parts:
             return
         rows = pd.concat(self.parts, ignore_index=True)
-        text = rows["id"].astype(str)
-        digits = text.str.fullmatch("[0-9]+")
-        plain = text.str.lstrip("0").where(digits, "")
+        names = natural_rows(rows["id"].drop_duplicates().to_numpy())
+        place = pd.Series(np.arange(len(names)), index=names["text"].to_numpy())
         order = pd.DataFrame(
-            {
-                "q": rows["q"], "s": -rows["score"], "kind": (~digits).astype(int),
-                "size": plain.str.len(), "plain": plain, "text": text,
-            }
-        ).sort_values(["q", "s", "kind", "size", "plain", "text"]).index
+            {"q": rows["q"], "s": -rows["score"], "n": place[rows["id"].astype(str)].to_numpy()}
+        ).sort_values(["q", "s", "n"]).index
         rows = rows.loc[order]
         place = rows.groupby("q", sort=False).cumcount()
         rows = rows[place < self.k]

@@ -99,7 +99,7 @@ def _grid_knn(queries, vectors, k, dims, decimals, min_score, exclude_self) -> D
         "query_id", "embedding",
     )
     right = vectors.select(
-        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long").alias("r"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("r"),
         F.pmod(F.xxhash64("document_id"), F.lit(cols)).cast("int").alias("c"),
         "document_id", "embedding",
     )

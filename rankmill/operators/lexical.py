@@ -92,8 +92,9 @@ def field_texts(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFra
 
 
 def analysed(texts: DataFrame) -> DataFrame:
-    """Add the field length; terms stacked on one position count once."""
-    length = F.size(F.array_distinct(F.col("occurrences.position")))
+    """Add the field length; positions are gap-free, so terms stacked on one of them count once."""
+    last = F.try_element_at("occurrences", F.lit(-1))["position"]
+    length = F.coalesce(last + 1, F.lit(0))
     return texts.withColumn("length", length).where(F.col("length") > 0)
 
 
@@ -142,8 +143,10 @@ def term_stats(texts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
             terms.sparkSession.range(1).select(F.lit("").alias("term"))
         ).distinct()
         words = words.join(broadcast_if_small(wanted), "term", "left_semi")
-    counts = words.groupBy("field", "term").agg(
-        F.count(F.lit(1)).alias("document_frequency"), F.sum("length").alias("__length")
+    counts = cut_lineage(  # read twice; a pushed-down filter would otherwise repeat the text pass
+        words.groupBy("field", "term").agg(
+            F.count(F.lit(1)).alias("document_frequency"), F.sum("length").alias("__length")
+        )
     )
     totals = counts.where(F.col("term") == "").select(
         "field", F.col("document_frequency").alias("documents"),
@@ -212,6 +215,47 @@ def bm25(
     )
 
 
+def _rarest_slots(slots: DataFrame, wanted: str) -> DataFrame:
+    """Per (query, field) whose `wanted` parts all occur in the corpus: the rarest part.
+
+    `slots` is (query_id, field, part, rows, wanted): at most one row per part of a query.
+    """
+    whole = W.partitionBy("query_id", "field")
+    return (
+        slots.withColumn("__known", F.count(F.lit(1)).over(whole))
+        .withColumn("__place", F.row_number().over(whole.orderBy("rows", "part")))
+        .where((F.col("__place") == 1) & (F.col("__known") == F.col(wanted)))
+        .select("query_id", "field", "part")
+    )
+
+
+def bm25_all_words(texts: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """`bm25` for fields that contain every query word.
+
+    Candidates are the documents with the query's rarest word, so frequent words never pair all
+    documents with all queries.
+    """
+    terms = cut_lineage(terms)
+    parts = terms.join(stats, "term").select(
+        "query_id", "field", "terms", F.col("term").alias("part"),
+        F.col("document_frequency").alias("rows"),
+    )
+    anchors = cut_lineage(_rarest_slots(parts, "terms").withColumnRenamed("part", "term"))
+    hits = term_hits(texts, terms)
+    candidates = skew_safe_join(hits, anchors, ["field", "term"], F.col("document_id")).select(
+        "query_id", "field", "document_id"
+    )
+    weights = broadcast_if_small(term_weights(texts, terms, stats))
+    return (
+        candidates.join(hits, ["field", "document_id"])
+        .join(weights, ["query_id", "field", "term"])
+        .withColumn("__part", F.col("idf") * _saturation(F.col("frequency")))
+        .groupBy("query_id", "field", "document_id", "terms")
+        .agg(F.sum("__part").alias("score"), F.count(F.lit(1)).alias("matched"))
+        .where(F.col("matched") == F.col("terms"))
+    )
+
+
 def _with_queries(hits: DataFrame, weights: DataFrame) -> DataFrame:
     """Attach the queries of each word; too many query words fall back to a salted join."""
     return skew_safe_join(hits, weights, ["field", "term"], F.col("document_id"))
@@ -424,7 +468,7 @@ def fuzzy_bm25(
     texts: DataFrame, terms: DataFrame, prefix: int = 1, stats: DataFrame | None = None
 ) -> DataFrame:
     """BM25 where a query word also matches its near spellings; the best spelling counts."""
-    stats = cut_lineage(term_stats(texts)) if stats is None else stats
+    stats = term_stats(texts) if stats is None else stats
     expanded = cut_lineage(fuzzy_terms(cut_lineage(terms), stats, prefix))
     return (
         _with_queries(term_hits(texts, expanded), term_weights(texts, expanded, stats))
@@ -479,16 +523,10 @@ def phrase_match(
     of `slop` after an occupied start. Votes stay in their document's partition.
     """
     stats = term_stats(texts, phrases) if stats is None else stats
-    slots = phrases.join(stats, "term").groupBy("query_id", "field", "slot", "slots").agg(
-        F.sum("document_frequency").alias("__rows")
-    )
-    complete = W.partitionBy("query_id", "field")
-    rarest = (
-        slots.withColumn("__known", F.count(F.lit(1)).over(complete))
-        .withColumn("__place", F.row_number().over(complete.orderBy("__rows", "slot")))
-        .where((F.col("__place") == 1) & (F.col("__known") == F.col("slots")))
-        .select("query_id", "field", "slot")
-    )
+    parts = phrases.join(stats, "term").groupBy(
+        "query_id", "field", F.col("slot").alias("part"), "slots"
+    ).agg(F.sum("document_frequency").alias("rows"))
+    rarest = _rarest_slots(parts, "slots").withColumnRenamed("part", "slot")
     anchors = cut_lineage(
         rarest.join(phrases, ["query_id", "slot"]).select("query_id", "field", "term")
     )
@@ -541,7 +579,7 @@ def phrase_score(
     Where several words may stand in a slot, its most frequent one counts.
     """
     phrases = cut_lineage(phrases)
-    stats = cut_lineage(term_stats(texts, phrases)) if stats is None else stats
+    stats = term_stats(texts, phrases) if stats is None else stats
     slot_idf = cut_lineage(
         phrases.join(stats, "term")
         .groupBy("query_id", "field", "slot", "average_length")
@@ -565,7 +603,7 @@ def integrator_search(texts: DataFrame, queries: DataFrame, profile: Profile = I
 
     All three clauses read the corpus term statistics, which are computed once.
     """
-    stats = cut_lineage(term_stats(texts))
+    stats = term_stats(texts)
     fuzzy = best_fields(fuzzy_bm25(texts, query_terms(queries), stats=stats), profile)
     phrases = cut_lineage(phrase_terms(queries))
     phrase = best_fields(
@@ -595,14 +633,14 @@ def known_item_search(
         .join(F.broadcast(total))
         .select("query_id", "document_id", (100.0 * _idf()).alias("score"))
     )
-    stats = cut_lineage(term_stats(texts))
+    stats = term_stats(texts)
     title = texts.where(F.col("field") == "title")
     phrase = best_fields(
         phrase_score(title, phrase_terms(queries), stats=stats.where(F.col("field") == "title")),
         Profile("phrase", {"title": 20.0}),
     )
     words = best_fields(
-        bm25(texts, query_terms(queries), stats=stats),
+        bm25_all_words(texts, query_terms(queries), stats),
         Profile("all", {"title": 8.0, "brand": 2.0, "description": 1.0}, operator="and"),
     )
     return clause_sum([sku_hits, phrase, words])

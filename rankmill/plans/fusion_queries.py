@@ -17,6 +17,7 @@ from rankmill.operators.selection import pick_best
 from rankmill.plans.lexical_queries import KNOWN_SQL, known_item_queries, known_item_run, with_more
 from rankmill.plans.oracle import BEST, fused, ranked, squeeze, tok, with_
 from rankmill.plans.registry import query
+from rankmill.session import cut_lineage
 
 SCORED = "query_id:s document_id:s rank:i score:f6"
 
@@ -78,7 +79,7 @@ _CANDIDATE_CTES = (
     with_more("lexrun qvec dvec", _CANDIDATE_CTES.rstrip(", "), fused(["lexrun", "own"], [0.3, 0.7])),
 )
 def _(t):
-    candidates = lexical_run(t)
+    candidates = cut_lineage(lexical_run(t))
     dense = dn.candidate_scores(candidates, t.query_vectors, t.doc_vectors)
     return fu.candidate_rerank(candidates, dense)
 
@@ -129,8 +130,10 @@ def routed(t, queries, lexical):
     top = lexical.where(F.col("rank") == 1).select("query_id", "document_id").join(
         t.products.select("document_id", "title"), "document_id"
     )
-    return queries.join(top, "query_id", "left").select(
-        "query_id", ft.known_item_route(F.col("query"), F.col("title"), "RW").alias("route")
+    return cut_lineage(
+        queries.join(top, "query_id", "left").select(
+            "query_id", ft.known_item_route(F.col("query"), F.col("title"), "RW").alias("route")
+        )
     )
 
 
@@ -160,7 +163,7 @@ def guard_queries(t):
 
 def guarded(t):
     queries = guard_queries(t)
-    lexical = known_item_run(t, queries)
+    lexical = cut_lineage(known_item_run(t, queries))
     from rankmill.functions.text import tokenize
     from rankmill.plans.tables import PRODUCT_FIELDS
 

@@ -210,7 +210,7 @@ def _(t):
     )
 
 
-@query("s10_telemetry_components", "component:s outcome:s observations:i total_ms:f3",
+@query("s10_telemetry_components", "component:s outcome:s observations:i total_ms:f4",
        with_("components", f"SELECT component, outcome, count(*) AS observations, sum(ms) AS total_ms FROM components WHERE {_CAST_V} NOT IN (1, 2, 3, 4, 5) GROUP BY 1, 2"))
 def _(t):
     path = t.scratch("log")

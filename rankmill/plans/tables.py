@@ -13,7 +13,7 @@ from rankmill.operators.lexical import field_texts, query_terms
 from rankmill.operators.ordering import top_k
 from rankmill.operators.preparation import aggregate_labels
 from rankmill.functions.ids import natural_order
-from rankmill.session import broadcast_if_small, scratch_path
+from rankmill.session import broadcast_if_small, cut_lineage, scratch_path, spread
 
 RUN_VALUES = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"}
 PRODUCT_FIELDS = {
@@ -37,7 +37,7 @@ class Tables:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.raw("documents").select(
+        return spread(self.raw("documents")).select(
             F.col("doc_id").cast("string").alias("document_id"), "text",
             F.col("lang").alias("product_class"), F.col("source").alias("brand"),
         )
@@ -50,7 +50,7 @@ class Tables:
 
     @cached_property
     def doc_texts(self) -> DataFrame:
-        return field_texts(self.docs, "document_id", {"text": "text"})
+        return field_texts(self.raw("documents"), "doc_id", {"text": "text"})
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -61,29 +61,30 @@ class Tables:
         """Documents that contain a whole query text, gain 2.
 
         A text of at least five words can only occur where its second to fourth words follow each
-        other, so candidates come from an equi join on that word triple.
+        other, so candidates come from an equi join on the hash of that word triple; the text itself
+        decides.
         """
-        query_words = tokenize(F.col("query"))
-        anchors = self.queries.select(
-            "query_id", "query", F.array_join(F.slice(query_words, 2, 3), " ").alias("anchor")
+        def triple(words, i):
+            return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+
+        anchors = self.queries.select("query_id", "query", tokenize(F.col("query")).alias("w")).select(
+            "query_id", "query", triple(F.col("w"), F.lit(1)).alias("anchor")
         )
-        words = tokenize(F.col("text"))
-        triples = self.docs.select("document_id", "text", words.alias("w")).select(
-            "document_id", "text",
-            F.array_distinct(
-                F.zip_with(
-                    F.zip_with("w", F.slice("w", 2, 1_000_000), lambda a, b: F.concat(a, F.lit(" "), b)),
-                    F.slice("w", 3, 1_000_000),
-                    lambda a, b: F.concat(a, F.lit(" "), b),
-                )
-            ).alias("triples"),
+        starts = F.sequence(F.lit(0), F.size("w") - 3)
+        hits = (
+            self.docs.select("document_id", tokenize(F.col("text")).alias("w"))
+            .where(F.size("w") >= 3)
+            .select(
+                "document_id", F.explode(F.transform(starts, lambda i: triple(F.col("w"), i))).alias("anchor")
+            )
+            .join(broadcast_if_small(anchors), "anchor")
+            .distinct()
         )
-        hits = triples.select("document_id", F.explode("triples").alias("anchor")).join(
-            broadcast_if_small(anchors), "anchor"
+        return cut_lineage(
+            hits.join(self.docs.select("document_id", "text"), "document_id")
+            .where(F.contains("text", "query"))
+            .select("query_id", "document_id", F.lit(2).alias("relevance"))
         )
-        return hits.join(self.docs.select("document_id", "text"), "document_id").where(
-            F.contains("text", "query")
-        ).select("query_id", "document_id", F.lit(2).alias("relevance"))
 
     # -- products --
 
@@ -123,7 +124,9 @@ class Tables:
     @cached_property
     def qrels(self) -> DataFrame:
         """Majority gains of the closed lines' annotations."""
-        return aggregate_labels(self.judgments_raw.where(F.col("l_linestatus") == "F"))
+        return cut_lineage(
+            aggregate_labels(self.judgments_raw.where(F.col("l_linestatus") == "F"))
+        )
 
     @cached_property
     def pair_values(self) -> DataFrame:
@@ -137,16 +140,20 @@ class Tables:
 
     @cached_property
     def runs(self) -> DataFrame:
-        """Three systems: the first 100 documents per query by each line value."""
+        """Three systems: the first 100 documents per query by each line value.
+
+        Judgments and runs are materialised like the stored tables they stand for.
+        """
         values = F.array(
             *[
                 F.struct(F.lit(s).alias("system"), F.col(s).cast("double").alias("score"))
                 for s in RUN_VALUES
             ]
         )
-        spread = self.pair_values.select("query_id", "document_id", F.inline(values))
+        scored = self.pair_values.select("query_id", "document_id", F.inline(values))
         order = [F.col("score").desc(), *natural_order("document_id")]
-        return top_k(spread, ["system", "query_id"], order, 100).withColumn("tag", F.col("system"))
+        ranked = top_k(scored, ["system", "query_id"], order, 100)
+        return cut_lineage(ranked.withColumn("tag", F.col("system")))
 
     def run(self, system: str) -> DataFrame:
         order = [F.col("score").desc(), *natural_order("document_id")]
@@ -168,7 +175,7 @@ class Tables:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return self.raw("embeddings").select(
+        return spread(self.raw("embeddings")).select(
             F.col("vec_id").cast("string").alias("document_id"), "embedding", "label"
         )
 

@@ -72,3 +72,12 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a row-count check; a larger side keeps its shuffled join."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that arrives in fewer splits than there are cores.
+
+    Tables of many files or row groups are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
