@@ -48,6 +48,7 @@ class LocalTopK:
             return
         order = natural_rows(ids).index.to_numpy()
         ids, scores = ids[order], round_half_up(scores[order], self.decimals)
+        scores = np.where(np.isnan(scores), -np.inf, scores)  # zero vectors match nothing
         keep = (scores >= self.floor) & (scores > -np.inf)
         if len(ids) > self.k:
             kth = np.partition(scores, len(ids) - self.k, axis=0)[-self.k]
@@ -79,14 +80,14 @@ class LocalTopK:
         self.parts, self.rows = [rows.reset_index(drop=True)], len(rows)
 
     def frame(self) -> pd.DataFrame:
+        """The kept rows. Ids stay plain objects, which convert to Arrow also when there are none."""
         self._compact()
-        if not self.parts:
-            return pd.DataFrame({"query_id": [], "document_id": [], "score": []})
-        rows = self.parts[0]
+        rows = self.parts[0] if self.parts else pd.DataFrame({"q": [], "id": [], "score": []})
+        ids = [str(x) for x in rows["id"]]
         return pd.DataFrame(
             {
-                "query_id": self.query_ids[rows["q"].to_numpy()],
-                "document_id": rows["id"].astype(str).to_numpy(),
-                "score": rows["score"].to_numpy(),
+                "query_id": pd.Series(self.query_ids[rows["q"].to_numpy(dtype=int)], dtype=object),
+                "document_id": pd.Series(ids, dtype=object),
+                "score": pd.Series(rows["score"].to_numpy(dtype=float), dtype=float),
             }
         )

@@ -72,9 +72,12 @@ def float32_array(payload: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(StringType()))
 def canonical_float32(vectors: pd.Series) -> pd.Series:
     """Big-endian single-precision hex per component, for digests that ignore formatting."""
-    return vectors.map(
-        lambda v: None if v is None else [x.tobytes().hex() for x in np.asarray(v, dtype=">f4")]
-    )
+
+    def words(vector: np.ndarray) -> list[str]:
+        text = np.asarray(vector, dtype=">f4").tobytes().hex()
+        return [text[i : i + 8] for i in range(0, len(text), 8)]
+
+    return vectors.map(lambda v: None if v is None else words(v))
 
 
 def to_base64(vector: Column) -> Column:

@@ -21,7 +21,8 @@ STRIPE_VALUES = 16_000_000
 def _matrix(vectors: Iterable) -> np.ndarray:
     """Unit rows in double precision."""
     rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    with np.errstate(invalid="ignore"):
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def _scores(docs: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -93,26 +94,28 @@ def _grid_knn(queries, vectors, k, dims, decimals, min_score, exclude_self) -> D
     per_stripe = max(1, STRIPE_VALUES // dims)
     rows = -(-queries.count() // max(1, per_stripe // 4)) or 1
     cols = -(-vectors.count() // per_stripe) or 1
+    # Fresh aliases keep the two sides apart when both come from one table.
     left = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(rows)).alias("r"),
         F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"),
-        "query_id", "embedding",
+        F.col("query_id").alias("qid"), F.col("embedding").alias("qv"),
     )
     right = vectors.select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("r"),
         F.pmod(F.xxhash64("document_id"), F.lit(cols)).cast("int").alias("c"),
-        "document_id", "embedding",
+        F.col("document_id").alias("did"), F.col("embedding").alias("dv"),
     )
 
     def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        best = LocalTopK(list(q["query_id"]), k, decimals)
+        query_ids = list(q["qid"])
+        best = LocalTopK(query_ids, k, decimals)
         if len(q) and len(v):
-            matrix = _matrix(q["embedding"])
+            matrix = _matrix(q["qv"])
             for start in range(0, len(v), 2048):
                 part = v.iloc[start : start + 2048]
-                ids = part["document_id"].to_numpy()
-                scores = round_half_up(_scores(_matrix(part["embedding"]), matrix), decimals)
-                best.add(ids, _hide(scores, ids, list(q["query_id"]), min_score, exclude_self))
+                ids = part["did"].to_numpy()
+                scores = round_half_up(_scores(_matrix(part["dv"]), matrix), decimals)
+                best.add(ids, _hide(scores, ids, query_ids, min_score, exclude_self))
         return best.frame()
 
     return (

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankmill.operators.ordering import top_k
+from rankmill.session import broadcast_if_small
 
 METRICS = ("ndcg@10", "ndcg@50", "recall@100", "mrr_exact@10", "judged@10")
 
@@ -70,7 +71,7 @@ def evaluate(
     )
     rest = [c for c in by if c not in on_qrels]
     if rest:
-        queries = queries.join(F.broadcast((systems or run).select(*rest).distinct()))
+        queries = queries.join(broadcast_if_small((systems or run).select(*rest).distinct()))
     rows = judged_run(run, qrels, by)
     gain, rank = F.col("gain"), F.col("rank")
     value = gain / _discount(rank)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankmill.functions.ids import natural_order
 from rankmill.functions.text import canonical_json, squeeze
 from rankmill.operators.ordering import dense_index
+from rankmill.session import broadcast_if_small
 
 # Judgment labels and their gains.
 LABEL_GAINS = {"Exact": 2, "Partial": 1, "Irrelevant": 0}
@@ -57,19 +58,17 @@ def label_audit(judgments: DataFrame) -> DataFrame:
     )
 
 
-def label_conflicts(judgments: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:
-    """Pairs with more than one gain: the chosen gain and their labels in annotation order.
+def label_conflicts(judgments: DataFrame) -> DataFrame:
+    """Annotations of pairs with more than one gain, each with the pair's chosen gain.
 
-    Only the rows of conflicting pairs are listed; a pair's list is its own annotations.
+    The rows keep their own columns (annotation order included); they are not gathered per pair,
+    because one pair may have any number of annotations.
     """
     conflicted = _votes(judgments).groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("__gains"),
         F.max_by("gain", F.struct(F.col("votes"), -F.col("gain"))).alias("chosen_gain"),
     ).where(F.col("__gains") > 1).drop("__gains")
-    listed = judgments.join(conflicted, list(PAIR)).groupBy(*PAIR, "chosen_gain").agg(
-        F.array_sort(F.collect_list(F.struct(*order, "label"))).alias("__list")
-    )
-    return listed.select(*PAIR, "chosen_gain", F.col("__list.label").alias("labels"))
+    return judgments.join(broadcast_if_small(conflicted), list(PAIR))
 
 
 def product_audit(products: DataFrame, optional: Sequence[str], numeric: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankmill.functions.text import squeeze
 from rankmill.operators.ordering import exact_percentiles
+from rankmill.session import broadcast_if_small
 
 LATENCY_POINTS = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -88,7 +89,7 @@ def ann_recall(exact: DataFrame, approximate: DataFrame, depth: int, by: Sequenc
     )
     queries = truth.select("query_id").distinct()
     if by:
-        queries = queries.join(F.broadcast(approximate.select(*by).distinct()))
+        queries = queries.join(broadcast_if_small(approximate.select(*by).distinct()))
     return queries.join(hits, [*by, "query_id"], "left").select(
         *by, "query_id", (F.coalesce("__hits", F.lit(0)) / F.lit(float(depth))).alias("recall")
     )

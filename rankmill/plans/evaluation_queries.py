@@ -374,12 +374,12 @@ def _(t):
     "e33_paired_trials", "numeric_trials:i base64_trials:i numeric_bytes:f6 base64_bytes:f6 payload_reduction:f6 throughput_ratio:f6 p95_ratio:f6 complete:b payload_ok:b throughput_ok:b p95_ok:b",
     "SELECT *, 1 - base64_bytes / numeric_bytes AS payload_reduction, b_t / n_t AS throughput_ratio, b_p / n_p AS p95_ratio, numeric_trials = base64_trials AS complete, 1 - base64_bytes / numeric_bytes >= 0.6 AS payload_ok, b_t / n_t >= 0.95 AS throughput_ok, b_p / n_p <= 1.05 AS p95_ok FROM ("
     "SELECT 30 AS numeric_trials, 30 AS base64_trials, quantile_cont(bytes, 0.5) AS numeric_bytes, quantile_cont(bytes / 3, 0.5) AS base64_bytes, quantile_cont(rate, 0.5) AS n_t, quantile_cont(rate * 1.2, 0.5) AS b_t, quantile_cont(p95, 0.5) AS n_p, quantile_cont(p95 * 0.9, 0.5) AS b_p "
-    "FROM (SELECT day(ts), sum(value) AS bytes, avg(value) AS rate, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1))",
+    "FROM (SELECT day(ts), sum(value) AS bytes, avg(value) AS rate, max(value) AS p95 FROM events GROUP BY 1))",
 )
 def _(t):
     day = F.dayofmonth("ts").alias("day")
     base = t.events.groupBy(day).agg(
-        F.sum("value").alias("bytes"), F.avg("value").alias("rate"), F.percentile("value", 0.95).alias("p95")
+        F.sum("value").alias("bytes"), F.avg("value").alias("rate"), F.max("value").alias("p95")
     )
 
     def arm(name, size, rate, p95):

@@ -30,13 +30,12 @@ def _(t):
 
 
 @query(
-    "q03_label_conflicts", "query_id:s product_id:s chosen_gain:i labels:s",
-    with_("judgments_raw", "SELECT query_id, product_id, chosen_gain, string_agg(label, ',' ORDER BY l_orderkey, l_linenumber, label) AS labels FROM judgments_raw JOIN ("
-          "SELECT query_id, product_id, gain AS chosen_gain FROM (SELECT query_id, product_id, gain, count(*) AS v FROM judgments_raw GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY query_id, product_id ORDER BY v DESC, gain) = 1) USING (query_id, product_id) "
-          "GROUP BY 1, 2, 3 HAVING count(DISTINCT label) > 1"),
+    "q03_label_conflicts", "query_id:s product_id:s l_orderkey:i l_linenumber:i label:s chosen_gain:i",
+    with_("judgments_raw", "SELECT query_id, product_id, l_orderkey, l_linenumber, label, chosen_gain FROM (SELECT *, max(gain) OVER p <> min(gain) OVER p AS conflict FROM judgments_raw WINDOW p AS (PARTITION BY query_id, product_id)) JOIN ("
+          "SELECT query_id, product_id, gain AS chosen_gain FROM (SELECT query_id, product_id, gain, count(*) AS v FROM judgments_raw GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY query_id, product_id ORDER BY v DESC, gain) = 1) USING (query_id, product_id) WHERE conflict"),
 )
 def _(t):
-    return pp.label_conflicts(t.judgments_raw, ["l_orderkey", "l_linenumber"]).withColumn("labels", F.array_join("labels", ","))
+    return pp.label_conflicts(t.judgments_raw)
 
 
 @query(

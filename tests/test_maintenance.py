@@ -76,9 +76,11 @@ def test_votes_and_conflicts(rows):
     data = [(str(q), "p", names[g], i) for q, gains in enumerate(([2], [2, 1], [0, 1], [2, 1, 1])) for i, g in enumerate(gains)]
     judgments = rows(data, "query_id string, product_id string, label string, id int")
     assert table(pp.aggregate_labels(judgments), "query_id", "relevance") == [("0", 2), ("1", 1), ("2", 0), ("3", 1)]
-    assert {r["query_id"]: r["labels"] for r in pp.label_conflicts(judgments).collect()} == {
-        "1": ["Exact", "Partial"], "2": ["Irrelevant", "Partial"], "3": ["Exact", "Partial", "Partial"],
-    }
+    conflicts = table(pp.label_conflicts(judgments), "query_id", "id", "label", "chosen_gain")
+    assert conflicts == [
+        ("1", 0, "Exact", 1), ("1", 1, "Partial", 1), ("2", 0, "Irrelevant", 0), ("2", 1, "Partial", 0),
+        ("3", 0, "Exact", 1), ("3", 1, "Partial", 1), ("3", 2, "Partial", 1),
+    ]
 
 
 def test_split_is_half_and_order_free(rows):
