@@ -226,7 +226,18 @@ def _(t):
     return sg.robustness_grid(t.runs, t.qrels, "quantity", 2)
 
 
-@query("e10_conclusion_holds", "system:s cells:i holds:b")
+_CELLS = (
+    "cs AS (SELECT c.mapping, c.view, c.system, count(*) AS queries, avg(c.v - b.v) AS mean_delta, stddev_samp(c.v - b.v) AS sd FROM mm c JOIN mm b ON b.system = 'quantity' AND b.mapping = c.mapping AND b.view = c.view AND b.query_id = c.query_id WHERE c.system <> 'quantity' GROUP BY 1, 2, 3), "
+    "tt AS (SELECT *, mean_delta / (sd / sqrt(queries)) AS t, queries - 1 AS nu FROM cs), "
+)
+
+
+@query(
+    "e10_conclusion_holds", "system:s cells:i holds:b",
+    f"{with_('runs qrels', '').rstrip()}, {_VIEWS.rstrip()}, {_CELLS}"
+    + _P.replace("OVER (ORDER BY place)", "OVER (PARTITION BY mapping, view ORDER BY place)").replace("OVER (ORDER BY p_value, system)", "OVER (PARTITION BY mapping, view ORDER BY p_value, system)").replace("count(*) OVER ()", "count(*) OVER (PARTITION BY mapping, view)")
+    + "SELECT system, count(*) AS cells, bool_and(adjusted_p_value <= 0.05 AND mean_delta >= 0.02) AS holds FROM hm GROUP BY 1",
+)
 def _(t):
     return sg.conclusion_holds(sg.robustness_grid(t.runs, t.qrels, "quantity", 2))
 

@@ -268,7 +268,17 @@ def _(t):
     return sign_test(before.join(after, "query_id"))
 
 
-@query("e23_pick_fusion_weight", "setting:s value:f6")
+_GRID_RUNS = " UNION ALL ".join(
+    f"SELECT '{name}' AS setting, * FROM ({fused([_run_sql('quantity'), _run_sql('price')], list(w), 20)})" for name, w in _GRID.items()
+)
+
+
+@query(
+    "e23_pick_fusion_weight", "setting:s value:f6",
+    with_more("runs qrels ideal", f"gr AS ({_GRID_RUNS})",
+              "SELECT setting, value FROM (SELECT setting, round(avg(CASE WHEN i10 > 0 THEN coalesce(d10, 0) / i10 ELSE 0 END), 6) AS value FROM ideal CROSS JOIN (SELECT DISTINCT setting FROM gr) "
+              "LEFT JOIN (SELECT setting, query_id, sum(relevance / log2(rank + 1)) AS d10 FROM gr JOIN qrels USING (query_id, document_id) WHERE rank <= 10 GROUP BY 1, 2) USING (setting, query_id) GROUP BY 1) ORDER BY value DESC, setting LIMIT 1"),
+)
 def _(t):
     """nDCG@10 of every fusion weight in one job, best first-registered setting."""
     grid = fu.minmax_grid([t.run("quantity"), t.run("price")], _GRID, 20)

@@ -17,8 +17,23 @@ from rankmill.streaming import telemetry as st
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _rocksdb(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def _start(spark, start):
+    """Start a stream with the RocksDB state store.
+
+    A query keeps the settings it was started with. On a local session it gets one state partition
+    per core; a cluster's own setting is left alone.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if spark.sparkContext.master.startswith("local"):
+        wanted["spark.sql.shuffle.partitions"] = str(spark.sparkContext.defaultParallelism)
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        return start()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def event_stream(t, parts: int = 1):
@@ -48,16 +63,15 @@ def _sink(t, rows, name: str, mode: str):
     out, checkpoint = t.scratch(name), t.scratch(f"{name}-checkpoint")
     writer = rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
     if mode == "update":
-        started = writer.foreachBatch(lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
+        writer = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"))
     else:
-        started = writer.format("parquet").option("path", out).start()
-    _finish(started)
+        writer = writer.format("parquet").option("path", out)
+    _finish(_start(t.spark, writer.start))
     return t.spark.read.parquet(out)
 
 
 @query("st1_stream_latest", "store_id:i product_id:i revision:i sequence:i operation:s", LATEST_SQL)
 def _(t):
-    _rocksdb(t.spark)
     changes = event_stream(t, 4).selectExpr(
         "user_id % 3 + 1 store_id", "user_id product_id", "(event_id * 48271) % 65537 revision", "event_id sequence",
         "case when event_type in ('purchase', 'signup') then 'UPSERT' when event_type = 'error' then 'DELETE' else 'REFRESH' end operation",
@@ -80,7 +94,7 @@ def _(t):
         "event_id sequence", "if(event_type = 'error', 'DELETED', 'COMPLETE') status", "sha2(event_type, 256) source_hash",
         "cast(event_type as binary) vector",
     )
-    _finish(ap.stream_apply(rows, path, checkpoint))
+    _finish(_start(t.spark, lambda: ap.stream_apply(rows, path, checkpoint)))
     return ap.read_store(t.spark, path)
 
 
@@ -122,7 +136,6 @@ def _(t):
 
 @query("st4_stream_failure_runs", "store_id:i sequence:i failures:i", FAILURES.format(memory=1_800_000_000))
 def _(t):
-    _rocksdb(t.spark)
     outcomes = event_stream(t).selectExpr(
         "user_id % 3 + 1 store_id", "ts", "event_id sequence", "event_type not in ('error', 'view', 'click') success"
     )
