@@ -13,8 +13,8 @@ from rankmill.functions.topk import SCHEMA, LocalTopK, round_half_up
 from rankmill.functions.vectors import dot, norm
 from rankmill.operators.ordering import score_order, top_k
 
-#: Query values every task may hold (64 MiB of doubles); more queries take the grid plan.
-QUERY_VALUES = 8_000_000
+#: Query values every task may hold (16 MiB of doubles); more queries take the grid plan.
+QUERY_VALUES = 2_000_000
 STRIPE_VALUES = 16_000_000
 
 
@@ -124,10 +124,11 @@ def _grid_knn(queries, vectors, k, dims, decimals, min_score, exclude_self) -> D
 
 
 def knn_run(
-    queries: DataFrame, vectors: DataFrame, k: int, candidate_depth: int, tie_decimals: int
+    queries: DataFrame, vectors: DataFrame, k: int, candidate_depth: int, tie_decimals: int,
+    decimals: int = 6,
 ) -> DataFrame:
-    """Over-fetch, order by the rounded score and natural id, keep k, score by rank."""
-    found = exact_knn(queries, vectors, candidate_depth, decimals=12)
+    """Over-fetch, order by the rounded score and natural id, keep k."""
+    found = exact_knn(queries, vectors, candidate_depth, decimals)
     rounded = found.withColumn("score", F.round("score", tie_decimals)).drop("rank")
     return top_k(rounded, ["query_id"], score_order(), k)
 

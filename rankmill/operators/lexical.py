@@ -49,7 +49,7 @@ def _profile(name: str, boosts: Sequence[float], tie_breaker: float = 0.1) -> Pr
 
 NAIVE = _profile("naive", (1, 1, 1, 1, 1, 1), tie_breaker=0.0)
 TUNING_PROFILES = (
-    _profile("magento_emulation", (5, 3, 3, 2, 1, 1)),
+    _profile("boosted_fields", (5, 3, 3, 2, 1, 1)),
     _profile("title_precision", (8, 2, 2, 2, 1, 1)),
     _profile("taxonomy_heavy", (4, 5, 5, 2, 1, 1)),
     _profile("attribute_recall", (4, 2, 2, 2, 2, 3)),

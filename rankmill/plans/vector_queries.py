@@ -30,8 +30,7 @@ def _(t):
     with_("sims", ranked("(SELECT query_id, document_id, round(score, 3) AS score FROM (" + ranked("sims", "query_id", BEST, 60, "r0") + "))", "query_id", BEST, 20)),
 )
 def _(t):
-    found = dn.exact_knn(t.vector_queries, t.vectors, 60)
-    return dn.top_k(found.withColumn("score", F.round("score", 3)).drop("rank"), ["query_id"], dn.score_order(), 20)
+    return dn.knn_run(t.vector_queries, t.vectors, 20, candidate_depth=60, tie_decimals=3)
 
 
 @query("d03_rank_score", "system:s query_id:s document_id:s rank:i score:f6",

@@ -15,7 +15,8 @@ REASONS = (
     "invalid_page", "unsupported_sort", "circuit_open", "known_item", "no_candidates", "eligible",
     "hybrid_error",
 )
-COMPONENTS = ("native_candidates", "query_encoder", "hybrid_opensearch", "other")
+COMPONENTS = ("native_candidates", "query_encoder", "other")
+FUSED_COMPONENT = "hybrid_search"
 OUTCOMES = ("success", "failure")
 MARKER = "query telemetry."
 MAXIMUM_MS = 60_000.0
@@ -26,10 +27,14 @@ def _duration(text: Column) -> Column:
     return F.when((value >= 0) & (value <= MAXIMUM_MS), value)
 
 
-def parse_telemetry(lines: DataFrame, marker: str = MARKER) -> DataFrame:
+def parse_telemetry(
+    lines: DataFrame, marker: str = MARKER, fused_component: str = FUSED_COMPONENT
+) -> DataFrame:
     """One row per marked line with `accepted`; fields are null on rejected lines.
 
     Components with unknown names, outcomes or durations are dropped from their record.
+    `marker` is the text before a record and `fused_component` the name under which a log reports
+    its fused search; both depend on the installation.
     """
     pattern = r"^\[([^\]]+)\].*" + marker.replace(".", r"\.") + r" (\{.*\}) \[\]\s*$"
     record = (
@@ -61,7 +66,7 @@ def parse_telemetry(lines: DataFrame, marker: str = MARKER) -> DataFrame:
     )
     known = F.map_filter(
         typed,
-        lambda name, m: name.isin(*COMPONENTS)
+        lambda name, m: name.isin(*COMPONENTS, fused_component)
         & F.coalesce(m["outcome"].isin(*OUTCOMES), F.lit(False))
         & m["duration_ms"].isNotNull(),
     )
@@ -78,6 +83,8 @@ def parse_telemetry(lines: DataFrame, marker: str = MARKER) -> DataFrame:
     )
 
 
-def telemetry_records(lines: DataFrame, marker: str = MARKER) -> DataFrame:
+def telemetry_records(
+    lines: DataFrame, marker: str = MARKER, fused_component: str = FUSED_COMPONENT
+) -> DataFrame:
     """Accepted records only."""
-    return parse_telemetry(lines, marker).where(F.col("accepted")).drop("accepted")
+    return parse_telemetry(lines, marker, fused_component).where(F.col("accepted")).drop("accepted")
