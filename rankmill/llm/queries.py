@@ -24,3 +24,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.repeats import repeated_windows
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_windows(docs, window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
