@@ -32,3 +32,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeated_windows(docs, window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.secret_scan import digest, scan, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(scan(docs, train(docs)))
