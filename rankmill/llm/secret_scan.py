@@ -29,8 +29,15 @@ TRAIN_VALUES = 4000
 TRAIN_DOCUMENTS = 1000
 #: Log-likelihood ratio, in nats, from which a token counts as random.
 MIN_RATIO = 12.0
-#: Prior count of every following character (of about 66 that tokens may hold).
+#: Characters that tokens may hold, about, and the prior count of each.
+SYMBOLS = 66
 SMOOTHING = 0.5
+#: Weight of the learned bigrams. Random strings keep more of the uniform share, as secrets in alphabets
+#: that the sample lacks are random too.
+RANDOM_WEIGHT = 0.25
+ORDINARY_WEIGHT = 0.6
+#: Occurrences of a character at which its bigrams have half of their weight.
+RARE = 50
 _SYMBOLS = 128
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -98,16 +105,22 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", valu
     counted = _bigrams(secret, True).union(_bigrams(plain, False)).where(r"pair rlike '^[\\x00-\\x7f]{2}$'").groupBy("random", "pair").count()
     counts = {(r["random"], ord(r["pair"][0]), ord(r["pair"][1])): r["count"] for r in counted.collect()}
     totals: dict = {}
-    for (kind, a, _), n in counts.items():
+    singles: dict = {}
+    for (kind, a, b), n in counts.items():
         totals[kind, a] = totals.get((kind, a), 0) + n
-    symbols = 66
+        singles[kind, b] = singles.get((kind, b), 0) + n
+    sums = {kind: sum(n for (k, *_), n in counts.items() if k is kind) for kind in (True, False)}
 
-    def log_share(kind: bool, a: int, b: int) -> float:
-        return math.log((counts.get((kind, a, b), 0) + SMOOTHING) / (totals.get((kind, a), 0) + SMOOTHING * symbols))
+    def share(random: bool, a: int, b: int) -> float:
+        """Bigram share mixed with a uniform share (random strings) or the character's own (identifiers)."""
+        rest = 1 / SYMBOLS if random else (singles.get((False, b), 0) + SMOOTHING) / (sums[False] + SMOOTHING * SYMBOLS)
+        total = totals.get((random, a), 0)
+        weight = (RANDOM_WEIGHT if random else ORDINARY_WEIGHT) * total / (total + RARE)
+        return (1 - weight) * rest + weight * counts.get((random, a, b), 0) / max(1, total)
 
     if not counts:
         return [0.0] * _SYMBOLS**2
-    return [log_share(True, a, b) - log_share(False, a, b) for a in range(_SYMBOLS) for b in range(_SYMBOLS)]
+    return [math.log(share(True, a, b) / share(False, a, b)) for a in range(_SYMBOLS) for b in range(_SYMBOLS)]
 
 
 def ratio(token: Column, table: list[float]) -> Column:
