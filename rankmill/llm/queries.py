@@ -47,3 +47,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(scan(docs, train(docs)))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.html_main import extract, train
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, train(pages)).select("page_id", "url", "text", "n_chars")
