@@ -124,12 +124,9 @@ def _segment_rows(window: int):
                 words = _unpack(row.packed)
                 for at in row.places:
                     first, count = at["first"], at["count"]
-                    if at["crowded"]:
-                        for p in range(first, first + count):
-                            out.append((None, row.key, p, 1, hashlib.md5(b" ".join(words[p : p + window])).digest()))
-                    else:
-                        out.append((at["gram"], row.key, first, count, b" ".join(words[first : first + count + window - 1])))
-            yield pd.DataFrame(out, columns=["gram", "key", "first", "count", "content"])
+                    content = b" ".join(words[first : first + count + window - 1])
+                    out.append((at["gram"], at["crowded"], row.key, first, count, content))
+            yield pd.DataFrame(out, columns=["gram", "crowded", "key", "first", "count", "content"])
 
     return rows
 
@@ -156,6 +153,37 @@ def _subtrees(window: int, group: int):
     return rows
 
 
+def _window_rows(window: int):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                words = row.content.split(b" ")
+                out += [(row.digest, 1 << i, hashlib.md5(b" ".join(words[i : i + window])).digest()) for i in range(row.count_)]
+            yield pd.DataFrame(out, columns=["digest", "bit", "prefix"])
+
+    return rows
+
+
+def _split_prefixes(crowd: DataFrame, window: int) -> DataFrame:
+    """(key, first, mask) of crowded anchors, without gathering a group.
+
+    Equal segments are counted first: all starts of a segment that occurs twice repeat. One copy of each
+    distinct segment then gives its suffixes, split by their whole-window prefix; a prefix found in two
+    distinct segments repeats in both.
+    """
+    crowd = crowd.withColumn("digest", F.md5("content"))
+    place = F.struct("key", "first")
+    segments = crowd.groupBy("digest").agg(F.first("content").alias("content"), F.first("count").alias("count_"), (F.min(place) != F.max(place)).alias("twice"))
+    suffixes = segments.select("digest", "content", "count_").mapInPandas(_window_rows(window), "digest string, bit long, prefix binary")
+    shared = suffixes.groupBy("prefix").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("prefix")
+    part = suffixes.join(shared, "prefix").groupBy("digest").agg(F.sum("bit").alias("part"))
+    masks = segments.select("digest", "count_", "twice").join(part, "digest", "left").select(
+        "digest", F.when(F.col("twice"), F.expr("shiftleft(1L, count_) - 1")).otherwise(F.col("part")).alias("mask")
+    ).where("mask is not null")
+    return crowd.select("digest", "key", "first").join(masks, "digest").select("key", "first", "mask")
+
+
 def _result_rows(window: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches, 64):
@@ -195,23 +223,23 @@ def repeated_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     place = scratch_path(spark, "anchors")
-    docs.select("text").mapInPandas(_anchor_rows(window, gram), "key binary, grams array<long>, firsts array<int>, counts array<int>").write.parquet(place)
+    docs.select("text").mapInPandas(_anchor_rows(window, gram), "key binary, grams array<long>, firsts array<int>, counts array<int>").write.option("compression", "zstd").parquet(place)
     found = spark.read.parquet(place).select("key", F.explode(F.arrays_zip("grams", "firsts", "counts")).alias("a")).select(
         "key", F.col("a.grams").alias("gram"), F.col("a.firsts").alias("first"), F.col("a.counts").alias("count")
     )
-    frequent = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > group).alias("crowded"))
+    frequent = cut_lineage(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > group).alias("crowded")))
     places = found.join(frequent, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "first", "count", "crowded")).alias("places"))
     packed = docs.select("text").mapInPandas(_packed, "key binary, packed binary")
     texts = packed.groupBy("key").agg(F.first("packed").alias("packed"), F.count("*").alias("copies"))
-    suffixes = cut_lineage(texts.join(places, "key").select("key", "packed", "places").mapInPandas(
-        _segment_rows(window), "gram long, key binary, first int, count int, content binary"
-    ))
-    trees = suffixes.where("gram is not null").repartition("gram").sortWithinPartitions("gram").mapInPandas(
+    place = scratch_path(spark, "suffixes")
+    texts.join(places, "key").select("key", "packed", "places").mapInPandas(
+        _segment_rows(window), "gram long, crowded boolean, key binary, first int, count int, content binary"
+    ).write.option("compression", "zstd").parquet(place)
+    suffixes = spark.read.parquet(place)
+    trees = suffixes.where("not crowded").select("gram", "key", "first", "content").repartition("gram").sortWithinPartitions("gram").mapInPandas(
         _subtrees(window, group), "key binary, first int, mask long"
     )
-    split = suffixes.where("gram is null").select("content", "key", "first")
-    several = split.groupBy("content").agg(F.min(F.struct("key", "first")).alias("a"), F.max(F.struct("key", "first")).alias("b")).where("a <> b")
-    crowded = split.join(several.select("content"), "content", "left_semi").select("key", "first", F.lit(1).cast("long").alias("mask"))
+    crowded = _split_prefixes(suffixes.where("crowded"), window)
     hits = trees.union(crowded).groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
     results = texts.join(hits, "key", "left").mapInPandas(
         _result_rows(window),
