@@ -55,3 +55,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages, train(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.vector_graph import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
