@@ -32,6 +32,11 @@ def best_rank(hash_of: Column) -> Column:
     return F.xxhash64(hash_of)
 
 
+def hash_share(key: Column) -> Column:
+    """A stable value in [0, 1) by the hash of ``key``; below p for about a share p of the keys."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 31)).cast("double") / float(1 << 31)
+
+
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node id reachable.
 

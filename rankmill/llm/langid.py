@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.common import best_rank, slices
+from rankmill.llm.common import hash_share, slices
 
 #: Bytes of one window.
 SPAN = 64
 #: Training rows per language, an upper bound whatever the size of the table.
 TRAIN_ROWS = 400
+#: Most languages that are learned.
+LANGUAGES = 1000
 #: Most windows of one training row, drawn over its whole length.
 TRAIN_WINDOWS = 6
 HIDDEN = 12
@@ -166,17 +168,19 @@ def _encode(text: str | None) -> bytes:
 def train(documents: DataFrame, doc_id: str, text: str, lang: str, usable: Column, rows: int = TRAIN_ROWS, hidden: int = HIDDEN) -> Network | None:
     """A network fitted on at most ``rows`` usable documents per language; None if there are none.
 
-    The sample takes the documents with the smallest hash of their id, per language. From each, at most
-    ``TRAIN_WINDOWS`` windows spread over the whole text are used.
+    The sample takes documents by the hash of their id, at the rate that gives a little more than
+    ``rows`` of a language, and no more than ``rows`` of those. From each, at most ``TRAIN_WINDOWS`` windows
+    spread over the whole text are used.
     """
     labelled = documents.where(usable & F.col(lang).isNotNull() & (F.length(text) > 0))
-    languages = sorted(r[0] for r in labelled.select(lang).distinct().limit(1000).collect())
-    sample: list = []
-    for name in languages:
-        part = labelled.where(F.col(lang) == name).select(text, lang, best_rank(F.col(doc_id).cast("string")).alias("__rank"))
-        sample += part.orderBy("__rank", F.length(text)).limit(rows).select(text, lang).collect()
-    if not sample:
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().limit(LANGUAGES).collect()}
+    languages = sorted(counts)
+    if not languages:
         return None
+    rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, 1.3 * rows / counts[k])))])
+    drawn = labelled.select(text, lang, hash_share(F.col(doc_id).cast("string")).alias("__rank")).where(F.col("__rank") < rates[F.col(lang)])
+    held = drawn.limit(2 * rows * len(languages)).toPandas().sort_values([lang, "__rank"])
+    sample = held.groupby(lang).head(rows)[[text, lang]].to_numpy().tolist()
     owner, windows, lengths = split_windows([_encode(r[0]) for r in sample])
     rng = np.random.default_rng(17)
     rank = pd.Series(rng.random(len(owner))).groupby(owner).rank().to_numpy()
