@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from rankmill.llm.common import table
+from rankmill.llm.line_runs import SQL as LINE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +63,21 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankmill.llm.vector_graph import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.line_runs import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLES["op8_line_dedup"] = LINE_SQL.format(documents="documents")
