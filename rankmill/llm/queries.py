@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,3 +82,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_line_dedup"] = LINE_SQL.format(documents="documents")
+
+
+#: Vocabulary file of the piece queries.
+PIECE_MODEL = os.environ.get("RANKMILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.pieces import decoded, encode, model
+
+    held = model(spark, PIECE_MODEL)
+    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), held)
+    same = decoded(held)("piece_ids").eqNullSafe(F.col("text"))
+    return rows.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_ids", same.alias("round_trip"))
