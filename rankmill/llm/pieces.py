@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,11 +35,26 @@ CHUNK = 16384
 #: Chunks that are combined to one matrix before the scan along a text.
 BLOCK = 256
 #: Words that a task remembers; the memory is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 Arc = tuple[int, int, int]  # start, end, piece id; an unknown character has the id -1 - code point
 
 
+class Remembered(dict):
+    """Results of ``solve`` by word; emptied when ``limit`` words are held."""
+
+    def __init__(self, solve, limit: int = REMEMBERED):
+        super().__init__()
+        self.solve, self.limit = solve, limit
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.solve(word)
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = value
+        return value
+
+
 class Pieces:
     """The vocabulary, pair compatibility and the lattice of one model."""
 
@@ -54,9 +70,14 @@ class Pieces:
             self.raw[i] = bytes([value])
         for i in special:
             self.raw[i] = b""
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._stable: dict[str, int] = {}
-        self._words: dict[str, bytes] = {}
+        # arcs: the pieces that encode to themselves; no other piece is ever part of an encoding
+        self.arcs = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]}
+        self.prefixes = {p[:n] for p in self.arcs for n in range(1, len(p) + 1)}
+        self._fits: dict[int, bool] = {}
+        self._words = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_fits": {}, "_words": None}
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -83,40 +104,71 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def piece(self, text: str) -> int:
-        """Id of ``text`` as an arc, or -1: a piece that encodes to itself."""
-        known = self._stable.get(text)
-        if known is None:
-            found = self.ids.get(text, -1)
-            known = found if found >= 0 and self.merge(text) == [text] else -1
-            if found >= 0:
-                self._stable[text] = known
-        return known
-
     def fits(self, left: int, right: int) -> bool:
         """Whether two adjacent pieces weigh zero: together they encode to just these two."""
         if left < 0 or right < 0:
             return True
-        known = self._fits.get((left, right))
+        key = left * len(self.pieces) + right
+        known = self._fits.get(key)
         if known is None:
             a, b = self.pieces[left], self.pieces[right]
             known = (a[-1] + b[0]) not in self.adjacent or self.merge(a + b) == [a, b]
-            if len(self._fits) > 20 * REMEMBERED:
+            if len(self._fits) > 5 * REMEMBERED:
                 self._fits.clear()
-            self._fits[left, right] = known
+            self._fits[key] = known
         return known
 
     def arcs_from(self, text: str, start: int) -> list[Arc]:
-        """All arcs that begin at ``start``."""
+        """All arcs that begin at ``start``, by end; an unknown character is an arc too."""
         out = []
         for end in range(start + 1, min(len(text), start + self.longest) + 1):
-            if end - start > 1 and text[end - 2 : end] not in self.adjacent:
+            part = text[start:end]
+            if part not in self.prefixes:
                 break
-            found = self.piece(text[start:end]) if text[start:end] in self.ids else -1
-            if found >= 0:
+            found = self.arcs.get(part)
+            if found is not None:
                 out.append((start, end, found))
         return out if out and out[0][1] == start + 1 else [(start, start + 1, -1 - ord(text[start])), *out]
 
+    def path(self, text: str) -> list[int]:
+        """The path of weight zero through a whole text, longest arcs tried first; dead ends are remembered."""
+        arcs, prefixes, known, vocabulary, size = self.arcs, self.prefixes, self._fits, len(self.pieces), len(text)
+        ids: list[int] = []
+        left: list[tuple[int, list[tuple[int, int]]]] = []
+        dead: set[tuple[int, int]] = set()
+        at = 0
+        while True:
+            here, open_ = at, []
+            for end in range(at + 1, size + 1):
+                part = text[at:end]
+                if part not in prefixes:
+                    break
+                found = arcs.get(part)
+                if found is not None:
+                    open_.append((end, found))
+            if not open_ or open_[0][0] != at + 1:
+                open_.insert(0, (at + 1, -1 - ord(text[at])))
+            while True:
+                if not open_:
+                    dead.add((here, ids.pop()))
+                    here, open_ = left.pop()
+                    continue
+                at, i = step = open_.pop()
+                if dead and step in dead:
+                    continue
+                if not ids:
+                    break
+                before = ids[-1]
+                if before < 0 or i < 0:
+                    break
+                fits = known.get(before * vocabulary + i)
+                if self.fits(before, i) if fits is None else fits:
+                    break
+            ids.append(i)
+            if at == size:
+                return ids
+            left.append((here, open_))
+
     def crossing(self, text: str, cut: int) -> list[Arc]:
         """The arcs with start < cut <= end, relative to the cut, in a fixed order."""
         arcs = [arc for s in range(max(0, cut - self.longest), cut) for arc in self.arcs_from(text, s) if arc[1] >= cut]
@@ -159,35 +211,29 @@ class Pieces:
 
     def expand(self, ids: list[int]) -> bytes:
         """32-bit ids, unknown characters as their bytes."""
-        out: list[int] = []
-        for i in ids:
-            if i >= 0:
-                out.append(i)
-            else:
-                char = SPACE if -1 - i == ord(_LITERAL) else chr(-1 - i)
-                out.extend(self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
-        return np.array(out, dtype=np.int32).tobytes()
+        if min(ids, default=0) < 0:
+            out: list[int] = []
+            for i in ids:
+                char = SPACE if -1 - i == ord(_LITERAL) else chr(max(0, -1 - i))
+                out.extend([i] if i >= 0 else [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")])
+            ids = out
+        return array("i", ids).tobytes()
 
     def word(self, unit: str) -> bytes:
-        known = self._words.get(unit)
-        if known is None:
-            cuts = [0, *(i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.adjacent), len(unit)]
-            parts = []
-            for a, b in zip(cuts, cuts[1:]):
-                part = unit[a:b]
-                ending = self.forward(part, 0, len(part), None)
-                parts.append(self.expand(self.backtrace(ending, ending[len(part)][0][0], 0)))
-            known = b"".join(parts)
-            if len(self._words) >= REMEMBERED:
-                self._words.clear()
-            self._words[unit] = known
-        return known
+        """Ids of a unit, cut where no piece can reach across, so that its parts are remembered too."""
+        adjacent = self.adjacent
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in adjacent]
+        if not cuts:
+            return self.expand(self.path(unit))
+        return b"".join([self._words[unit[a:b]] for a, b in zip([0, *cuts], [*cuts, len(unit)])])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text. Pieces never span a space that follows another character, nor a line feed."""
         if not text:
             return np.zeros(0, dtype=np.int32)
-        return np.frombuffer(b"".join(map(self.word, _UNITS.findall(prepared(text)))), dtype=np.int32)
+        if self._words is None:
+            self._words = Remembered(self.word)
+        return np.frombuffer(b"".join(map(self._words.__getitem__, _UNITS.findall(prepared(text)))), dtype=np.int32)
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
