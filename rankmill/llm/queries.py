@@ -96,3 +96,10 @@ def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), held)
     same = decoded(held)("piece_ids").eqNullSafe(F.col("text"))
     return rows.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_ids", same.alias("round_trip"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
