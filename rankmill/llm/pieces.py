@@ -231,29 +231,50 @@ class Pieces:
         """Ids of a whole text. Pieces never span a space that follows another character, nor a line feed."""
         if not text:
             return np.zeros(0, dtype=np.int32)
+        return np.frombuffer(self._units(prepared(text)), dtype=np.int32)
+
+    def _units(self, text: str) -> bytes:
         if self._words is None:
             self._words = Remembered(self.word)
-        return np.frombuffer(b"".join(map(self._words.__getitem__, _UNITS.findall(prepared(text)))), dtype=np.int32)
+        return b"".join(map(self._words.__getitem__, _UNITS.findall(text)))
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
+    def safe_span(self, text: str, begin: int, end: int, first: bool) -> tuple[int, int] | None:
+        """The first and the last place in [begin, end) that no arc can reach across, if there is one."""
+        safe = [i for i in (begin,) if first] or (i for i in range(begin, end) if text[i - 1 : i + 1] not in self.adjacent)
+        low = next(iter(safe), None)
+        return None if low is None else (low, next((i for i in range(end - 1, low, -1) if text[i - 1 : i + 1] not in self.adjacent), low))
+
     def transfer(self, text: str, begin: int, end: int, first: bool, last: bool) -> list[int]:
-        """The chunk's matrix as one bit row (over exit arcs) for each entry arc."""
+        """The chunk's matrix as one bit row (over exit arcs) for each entry arc.
+
+        With a place that no arc crosses the matrix is the outer product of the entries that reach the
+        first such place and the exits that can be reached from the last.
+        """
         entries = None if first else self.crossing(text, begin)
-        ending = self.forward(text, begin, end, entries)
-        exits = self.exits(text, end, last)
-        rows = [0] * (1 if first else len(entries))
-        place = {arc: k for k, arc in enumerate(exits)}
+        exits = {arc: k for k, arc in enumerate(self.exits(text, end, last))}
+        span = self.safe_span(text, begin, end, first)
+        if span is None:
+            rows = [0] * len(entries)
+            for mask, k in self._leaving(self.forward(text, begin, end, entries), end, exits):
+                for row in range(len(rows)):
+                    rows[row] |= (mask >> row & 1) << k
+            return rows
+        low, high = span
+        reach = 1 if first else reduce(lambda x, y: x | y[1], self.forward(text, begin, low, entries).get(low, []), 0)
+        out = reduce(lambda x, y: x | 1 << y[1], self._leaving(self.forward(text, high, end, None), end, exits), 0)
+        return [out if reach >> row & 1 else 0 for row in range(1 if first else len(entries))]
+
+    @staticmethod
+    def _leaving(ending: dict[int, list[tuple[Arc, int]]], end: int, exits: dict[Arc, int]) -> Iterator[tuple[int, int]]:
+        """(entries as bits, exit) of the lattice arcs that are exits."""
         for arcs in ending.values():
             for (s, e, i), mask in arcs:
-                k = place.get((s - end, e - end, i))
-                if k is not None:
-                    for row in range(len(rows)):
-                        if mask >> row & 1:
-                            rows[row] |= 1 << k
-        return rows
+                if (s - end, e - end, i) in exits:
+                    yield mask, exits[s - end, e - end, i]
 
     def exits(self, text: str, end: int, last: bool) -> list[Arc]:
         return [arc for arc in self.crossing(text, end) if not last or arc[1] == 0]
@@ -262,7 +283,17 @@ class Pieces:
         """Ids of the pieces that start in the chunk, given the arcs at its cuts."""
         entries = None if first else [self.crossing(text, begin)[entry]]
         s, e, i = self.exits(text, end, last)[leave]
-        return self.expand(self.backtrace(self.forward(text, begin, end, entries), (s + end, e + end, i), begin))
+        leaving = s + end, e + end, i
+        span = self.safe_span(text, begin, end, first)
+        if span is None:
+            return self.expand(self.backtrace(self.forward(text, begin, end, entries), leaving, begin))
+        low, high = span
+        head = b""
+        if not first:
+            ending = self.forward(text, begin, low, entries)
+            head = self.expand(self.backtrace(ending, ending[low][0][0], begin))
+        tail = self.expand(self.backtrace(self.forward(text, high, end, None), leaving, high))
+        return head + self._units(text[low:high]) + tail
 
 
 def prepared(text: str) -> str:
@@ -320,6 +351,8 @@ def _chunks(longest: int, size: int):
 
 
 def _window(row) -> str:
+    if not len(row.literal):
+        return row.part
     part = list(row.part)
     for m in row.literal:
         part[m] = _LITERAL
