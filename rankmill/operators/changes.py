@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.operators.filters import is_searchable
+from rankmill.operators.filters import searchable
 from rankmill.operators.joins import changes_in_jobs
 from rankmill.operators.ordering import dense_index
 from rankmill.session import broadcast_if_small
@@ -17,16 +17,14 @@ FINISHED = ("COMPLETED", "SUPERSEDED")
 EMBEDDING_KEY = ("store_id", "product_id", "generation_id")
 
 
-def classify_changes(changed: DataFrame, products: DataFrame) -> DataFrame:
-    """(store_id, product_id, reason, operation): eligible products are upserted, others deleted.
+def classify_changes(changed: DataFrame, products: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(store_id, product_id, reason, operation): products eligible in the store are upserted, others deleted.
 
     `changed` is (store_id, product_id, reason, content): rows with `content` false (price or stock
-    only) refresh the document and keep its vector.
+    only) refresh the document and keep its vector. `assignments` is (store_id, product_id).
     """
-    eligible = products.where(is_searchable()).select(
-        "product_id", F.lit(True).alias("__eligible")
-    )
-    return changed.join(eligible, "product_id", "left").select(
+    eligible = searchable(products, assignments).select("store_id", "product_id", F.lit(True).alias("__eligible"))
+    return changed.join(eligible, ["store_id", "product_id"], "left").select(
         "store_id", "product_id", "reason",
         F.when(F.col("__eligible").isNull(), "DELETE")
         .when(F.col("content"), "UPSERT")

@@ -16,6 +16,8 @@ from rankmill.operators.ordering import score_order, top_k
 #: Query values every task may hold (16 MiB of doubles); more queries take the grid plan.
 QUERY_VALUES = 2_000_000
 STRIPE_VALUES = 16_000_000
+#: Scores of one block of documents and queries (32 MiB of doubles), whatever the number of queries.
+BLOCK_SCORES = 4_000_000
 
 
 def _matrix(vectors: Iterable) -> np.ndarray:
@@ -29,14 +31,21 @@ def _scores(docs: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return (1.0 + docs @ queries.T) / 2.0
 
 
+def _blocks(rows: pd.DataFrame, queries: int):
+    """Slices whose score block with `queries` columns has at most BLOCK_SCORES cells."""
+    size = max(1, min(2048, BLOCK_SCORES // max(1, queries)))
+    for start in range(0, len(rows), size):
+        yield rows.iloc[start : start + size]
+
+
 def _hide(scores, ids, query_ids, min_score, exclude_self):
+    """Scores with pairs below `min_score`, and optionally a query's own document, at -inf."""
     if min_score is not None:
         scores = np.where(scores >= min_score, scores, -np.inf)
     if exclude_self:
-        place = {q: i for i, q in enumerate(query_ids)}
-        for row, document in enumerate(ids):
-            if document in place:
-                scores[row, place[document]] = -np.inf
+        column = query_ids.get_indexer(ids)
+        row = np.flatnonzero(column >= 0)
+        scores[row, column[row]] = -np.inf
     return scores
 
 
@@ -73,13 +82,13 @@ def exact_knn(
 
     def nearest(batches):
         query_ids, matrix = shared.value
+        index = pd.Index(query_ids)
         best = LocalTopK(query_ids, k, decimals)
         for batch in batches:
-            for start in range(0, len(batch), 2048):
-                part = batch.iloc[start : start + 2048]
+            for part in _blocks(batch, len(query_ids)):
                 ids = part["document_id"].to_numpy()
                 scores = round_half_up(_scores(_matrix(part["embedding"]), matrix), decimals)
-                best.add(ids, _hide(scores, ids, query_ids, min_score, exclude_self))
+                best.add(ids, _hide(scores, ids, index, min_score, exclude_self))
         yield best.frame()
 
     return top_k(vectors.mapInPandas(nearest, SCHEMA), ["query_id"], score_order(), k)
@@ -110,12 +119,11 @@ def _grid_knn(queries, vectors, k, dims, decimals, min_score, exclude_self) -> D
         query_ids = list(q["qid"])
         best = LocalTopK(query_ids, k, decimals)
         if len(q) and len(v):
-            matrix = _matrix(q["qv"])
-            for start in range(0, len(v), 2048):
-                part = v.iloc[start : start + 2048]
+            matrix, index = _matrix(q["qv"]), pd.Index(query_ids)
+            for part in _blocks(v, len(query_ids)):
                 ids = part["did"].to_numpy()
                 scores = round_half_up(_scores(_matrix(part["dv"]), matrix), decimals)
-                best.add(ids, _hide(scores, ids, query_ids, min_score, exclude_self))
+                best.add(ids, _hide(scores, ids, index, min_score, exclude_self))
         return best.frame()
 
     return (
@@ -123,6 +131,44 @@ def _grid_knn(queries, vectors, k, dims, decimals, min_score, exclude_self) -> D
     )
 
 
+def threshold_pairs(
+    queries: DataFrame, vectors: DataFrame, min_score: float, decimals: int = 6, exclude_self: bool = True
+) -> DataFrame:
+    """(query_id, document_id, score) of every pair at or above `min_score`, however many there are.
+
+    Bounded stripes of both sides meet in the cells of a grid; a cell emits its matches block by block.
+    """
+    dims = vectors.select(F.size("embedding").alias("dims")).head()
+    per_stripe = max(1, STRIPE_VALUES // (8 * max(1, dims["dims"] if dims else 1)))
+    rows, cols = (max(1, -(-x.count() // per_stripe)) for x in (queries, vectors))
+    left = queries.select(
+        F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(rows)).cast("int").alias("r"),
+        F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"),
+        F.col("query_id").cast("string").alias("qid"), F.col("embedding").alias("qv"),
+    )
+    right = vectors.select(
+        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r"),
+        F.pmod(F.xxhash64(F.col("document_id").cast("string")), F.lit(cols)).cast("int").alias("c"),
+        F.col("document_id").cast("string").alias("did"), F.col("embedding").alias("dv"),
+    )
+
+    def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "document_id": [], "score": []})]
+        if len(q) and len(v):
+            names, matrix = q["qid"].to_numpy(), _matrix(q["qv"])
+            index = pd.Index(names)
+            for part in _blocks(v, len(names)):
+                ids = part["did"].to_numpy()
+                scores = round_half_up(_scores(_matrix(part["dv"]), matrix), decimals)
+                row, column = np.nonzero(_hide(scores, ids, index, min_score, exclude_self) >= min_score)
+                found.append(pd.DataFrame({"query_id": names[column], "document_id": ids[row], "score": scores[row, column]}))
+        return pd.concat(found[1:] or found)
+
+    return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(
+        cell, "query_id string, document_id string, score double"
+    )
+
+
 def knn_run(
     queries: DataFrame, vectors: DataFrame, k: int, candidate_depth: int, tie_decimals: int,
     decimals: int = 6,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankmill.functions.text import canonical_json
 from rankmill.operators.changes import FINISHED, append_journal
-from rankmill.operators.filters import is_searchable
+from rankmill.operators.filters import searchable
 from rankmill.operators.joins import changed_keys
 from rankmill.operators.ordering import dense_index
 from rankmill.session import broadcast_if_small
@@ -17,24 +17,26 @@ LIVE_STATES = ("ACTIVE", "BUILDING", "CATCHING_UP", "READY")
 DIGESTS = ("contract_digest", "result_contract_digest", "mapping_digest", "pipeline_digest")
 
 
-def seed_batches(products: DataFrame, size: int) -> DataFrame:
-    """(batch, items, first_product_id, last_product_id, running_total) of the eligible products."""
-    eligible = products.where(is_searchable()).select("product_id")
-    indexed = dense_index(eligible, [F.col("product_id")], "__place")
-    batches = indexed.groupBy(F.floor(F.col("__place") / size).alias("batch")).agg(
+def seed_batches(products: DataFrame, assignments: DataFrame, size: int) -> DataFrame:
+    """(store_id, batch, items, first_product_id, last_product_id, running_total) of each store's products."""
+    eligible = searchable(products, assignments).select("store_id", "product_id")
+    indexed = dense_index(eligible, [F.col("store_id"), F.col("product_id")], "__place")
+    starts = indexed.groupBy("store_id").agg(F.min("__place").alias("__start"))
+    placed = indexed.join(broadcast_if_small(starts), "store_id").withColumn("__place", F.col("__place") - F.col("__start"))
+    batches = placed.groupBy("store_id", F.floor(F.col("__place") / size).alias("batch")).agg(
         F.count(F.lit(1)).alias("items"),
         F.min("product_id").alias("first_product_id"),
         F.max("product_id").alias("last_product_id"),
     )
-    # Every batch but the last is full, so the running total needs no window.
+    # Every batch of a store but the last is full, so the running total needs no window.
     return batches.withColumn("running_total", F.col("batch") * size + F.col("items"))
 
 
-def build_plan(products: DataFrame, dimension: int, batch_size: int, outstanding: int) -> DataFrame:
-    """One row of workload and vector size estimates."""
+def build_plan(products: DataFrame, assignments: DataFrame, dimension: int, batch_size: int, outstanding: int) -> DataFrame:
+    """Workload and vector size estimates per store."""
     eligible = F.col("eligible_products")
     return (
-        products.where(is_searchable()).agg(F.count(F.lit(1)).alias("eligible_products"))
+        searchable(products, assignments).groupBy("store_id").agg(F.count(F.lit(1)).alias("eligible_products"))
         .withColumn("batches", F.ceil(eligible / batch_size).cast("long"))
         .withColumn("initial_jobs", F.least(F.col("batches"), F.lit(outstanding)))
         .withColumn("initial_items", F.least(eligible, F.col("initial_jobs") * batch_size))
@@ -43,58 +45,52 @@ def build_plan(products: DataFrame, dimension: int, batch_size: int, outstanding
     )
 
 
-def validate_generation(
-    generation: DataFrame, snapshot: DataFrame, outbox: DataFrame, journal: DataFrame,
-    products: DataFrame, contract: dict[str, str],
+def validate_generations(
+    generations: DataFrame, snapshot: DataFrame, outbox: DataFrame, journal: DataFrame,
+    products: DataFrame, assignments: DataFrame, scopes: DataFrame, contract: dict[str, str],
 ) -> DataFrame:
-    """(check, passed) rows for one generation.
+    """(generation_id, check, passed) rows for every generation in one pass.
 
-    `generation` is its single row; every other input is reduced to one row before they meet.
+    `snapshot` is (generation_id, store_id) per indexed document, `scopes` (store_id, digest) the
+    stores' present fingerprints. Each input is aggregated by generation or store and joined on keys.
     """
-    gen = F.broadcast(generation)
-    boundary, generation_id, store = F.col("captured_change_id"), F.col("g_id"), F.col("g_store")
-    named = gen.withColumnsRenamed({"generation_id": "g_id", "store_id": "g_store"})
-    documents = snapshot.join(named.select("g_id", "g_store")).agg(
-        F.count_if(F.col("generation_id") == generation_id).alias("__index"),
-        F.count_if(
-            (F.col("generation_id") == generation_id) & (F.col("store_id") != store)
-        ).alias("__foreign"),
-    )
-    work = outbox.join(named.select("g_id", "captured_change_id")).agg(
-        F.count_if(
-            (F.col("generation_id") == generation_id)
-            & (F.col("latest_change_id") <= boundary)
-            & ~F.col("state").isin(*FINISHED)
-        ).alias("__work")
-    )
+    named = generations.withColumnRenamed("store_id", "g_store")
+    bounds = broadcast_if_small(named.select("generation_id", "g_store", "captured_change_id"))
+    boundary = F.col("captured_change_id")
+    documents = snapshot.groupBy("generation_id", "store_id").agg(F.count(F.lit(1)).alias("n")).join(bounds, "generation_id").groupBy("generation_id").agg(
+        F.sum("n").alias("__index"), F.sum(F.when(F.col("store_id") != F.col("g_store"), F.col("n")).otherwise(0)).alias("__foreign")
+    )
+    work = outbox.where(~F.col("state").isin(*FINISHED)).join(bounds, "generation_id").where(F.col("latest_change_id") <= boundary)
+    work = work.groupBy("generation_id").agg(F.count(F.lit(1)).alias("__work"))
     unfinished = (F.col("native_state") != "COMPLETED") | (
         (F.col("entity_type") == "PRODUCT") & (F.col("hybrid_state") != "COMPLETED")
     )
-    heads = journal.join(named.select("g_store", "captured_change_id")).where(
-        F.col("store_id") == store
-    ).agg(
-        F.count_if((F.col("change_id") <= boundary) & unfinished).alias("__journal"),
-        F.coalesce(F.max("change_id"), F.lit(0)).alias("__head"),
-    )
-    coverage = products.where(is_searchable()).agg(F.count(F.lit(1)).alias("__eligible"))
-    one = named
-    for row in (documents, work, heads, coverage):
-        one = one.join(F.broadcast(row))
+    heads = journal.groupBy(F.col("store_id").alias("g_store")).agg(F.max("change_id").alias("__head"))
+    pending = journal.where(unfinished).select(F.col("store_id").alias("g_store"), "change_id").join(bounds, "g_store")
+    pending = pending.where(F.col("change_id") <= boundary).groupBy("generation_id").agg(F.count(F.lit(1)).alias("__journal"))
+    coverage = searchable(products, assignments).groupBy(F.col("store_id").alias("g_store")).agg(F.count(F.lit(1)).alias("__eligible"))
+    joined = named
+    for side in (documents, work, pending):
+        joined = joined.join(side, "generation_id", "left")
+    for side in (heads, coverage, scopes.select(F.col("store_id").alias("g_store"), F.col("digest").alias("__scope"))):
+        joined = joined.join(side, "g_store", "left")
+    counted = joined.na.fill(0, ["__index", "__foreign", "__work", "__journal", "__head", "__eligible"])
     checks: dict[str, Column] = {d: F.col(d).eqNullSafe(F.lit(contract[d])) for d in DIGESTS}
     checks |= {
+        "scope_digest": F.coalesce(F.col("scope_digest") == F.col("__scope"), F.lit(False)),
+        "build_refresh_restored": F.col("refresh_state").eqNullSafe(F.lit("RESTORED")),
         "coverage_complete": F.col("coverage_complete") == F.col("coverage_total"),
         "coverage_failed": F.col("coverage_failed") == 0,
         "index_count": F.col("__index") == F.col("coverage_total"),
         "document_identity": F.col("__foreign") == 0,
         "unresolved_work": F.col("__work") == 0,
         "journal_complete": F.col("__journal") == 0,
-        "catch_up_stable": (F.col("__head") == boundary)
-        & (F.col("__eligible") == F.col("coverage_total")),
+        "catch_up_stable": (F.col("__head") == boundary) & (F.col("__eligible") == F.col("coverage_total")),
     }
     rows = F.array(
         *[F.struct(F.lit(n).alias("check"), c.alias("passed")) for n, c in checks.items()]
     )
-    return one.select(generation_id.alias("generation_id"), F.inline(rows))
+    return counted.select("generation_id", F.inline(rows))
 
 
 def scope_fingerprint(

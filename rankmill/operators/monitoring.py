@@ -188,10 +188,11 @@ def alerts(
 def _trailing(rows: DataFrame, keys: Sequence[str], seconds: int, values: Sequence[Column], chunk: int = 86_400) -> DataFrame:
     """Aggregates over each row's trailing `seconds`, for series of any length.
 
-    Series are cut into chunks; the last `seconds` of a chunk are also copied into the next
-    one, so no task ever orders a whole series. `t` is the row time in seconds.
+    Series are cut into chunks at least as long as the window; the last `seconds` of a chunk are
+    also copied into the next one, so a row has two copies at most and a task orders one chunk.
+    `t` is the row time in seconds.
     """
-    t = F.col("t")
+    t, chunk = F.col("t"), max(chunk, seconds)
     own = F.floor(t / chunk)
     reach = F.floor((t + seconds) / chunk)
     spread = rows.withColumn("__chunk", F.explode(F.sequence(own, reach))).withColumn(

@@ -93,13 +93,15 @@ def exact_percentiles(
     value: str,
     points: Mapping[str, float],
     rule: str = "linear",
-    bins: int = 4096,
+    bins: int = 256,
     weight: str | None = None,
 ) -> DataFrame:
     """Exact percentiles per key for keys of any size.
 
-    Equal values are counted before any shuffle by key; a histogram of at most `bins` rows per
-    key locates the bins that hold the wanted ranks, and only the values in those bins are ordered.
+    Equal values are counted before any shuffle by key; a histogram per key locates the bins that
+    hold the wanted ranks, and only the values in those bins are ordered. Bins are even around the
+    median, in units of the quartile distance, and grow with the distance from it, so outliers on
+    either side cannot push the other values into one bin. `bins` is their number per unit of the scale.
     `rule` is `linear` (interpolate between neighbours) or `nearest` (value at ceil(n*p)).
     `weight` names a count column of pre-aggregated rows.
     """
@@ -114,15 +116,16 @@ def exact_percentiles(
     if not keys:
         counts = counts.withColumn("__all", F.lit(1))
     bounds = counts.groupBy(*anchor).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__total")
+        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__total"),
+        F.percentile_approx("__v", [0.25, 0.5, 0.75], 1000).alias("__quarters"),
     )
-    width = F.col("__hi") - F.col("__lo")
+    low, middle, high = (F.get("__quarters", F.lit(i)) for i in range(3))
+    unit = F.when(high > low, (high - low) / 64).otherwise((F.col("__hi") - F.col("__lo")) / 1024)
+    away = v - middle
     binned = counts.join(bounds, anchor).withColumn(
         "__bin",
-        F.when(width <= 0, F.lit(0)).otherwise(
-            F.least(F.lit(bins - 1), F.floor((v - F.col("__lo")) / width * bins)).cast("int")
-        ),
-    )
+        F.when(unit > 0, F.floor(F.signum(away) * F.log1p(F.abs(away) / unit) * bins)).otherwise(0).cast("int"),
+    ).drop("__quarters")
     ranks: dict[str, tuple[Column, Column, Column]] = {}
     for name, p in points.items():
         if rule == "nearest":

@@ -23,13 +23,13 @@ def entity_products(t):
 
 
 @query("i01_classify_changes", "store_id:i product_id:i reason:s operation:s",
-       with_("journal products", "SELECT DISTINCT store_id, j.product_id, reason, CASE WHEN p.product_id IS NULL THEN 'DELETE' WHEN reason IN ('purchase', 'signup') THEN 'UPSERT' ELSE 'REFRESH' END AS operation "
-             "FROM journal j LEFT JOIN (SELECT * FROM products WHERE status = 1 AND visibility IN (3, 4)) p ON p.entity_id = j.product_id"))
+       with_("journal store_products", "SELECT DISTINCT j.store_id, j.product_id, reason, CASE WHEN p.product_id IS NULL THEN 'DELETE' WHEN reason IN ('purchase', 'signup') THEN 'UPSERT' ELSE 'REFRESH' END AS operation "
+             "FROM journal j LEFT JOIN store_products p ON p.store_id = j.store_id AND p.product_id = j.product_id"))
 def _(t):
     changed = t.journal.select(
         "store_id", "product_id", "reason", F.col("reason").isin("purchase", "signup").alias("content")
     ).distinct()
-    return ch.classify_changes(changed, entity_products(t))
+    return ch.classify_changes(changed, entity_products(t), t.assignments)
 
 
 @query(
@@ -276,42 +276,51 @@ def _(t):
     return ch.manual_replay(t.outbox)
 
 
-_ELIGIBLE = "SELECT entity_id FROM products WHERE status = 1 AND visibility IN (3, 4)"
-
-
-@query("i15_seed_batches", "batch:i items:i first_product_id:i last_product_id:i running_total:i",
-       with_("products", f"SELECT batch, count(*) AS items, min(entity_id) AS first_product_id, max(entity_id) AS last_product_id, max(p) + 1 AS running_total FROM (SELECT entity_id, p, p // 64 AS batch FROM (SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS p FROM ({_ELIGIBLE}))) GROUP BY 1"))
+@query("i15_seed_batches", "store_id:i batch:i items:i first_product_id:i last_product_id:i running_total:i",
+       with_("store_products", "SELECT store_id, batch, count(*) AS items, min(product_id) AS first_product_id, max(product_id) AS last_product_id, max(p) + 1 AS running_total FROM "
+             "(SELECT *, p // 64 AS batch FROM (SELECT store_id, product_id, row_number() OVER (PARTITION BY store_id ORDER BY product_id) - 1 AS p FROM store_products)) GROUP BY 1, 2"))
 def _(t):
-    return gn.seed_batches(entity_products(t), 64)
+    return gn.seed_batches(entity_products(t), t.assignments, 64)
 
 
-@query("i16_build_plan", "eligible_products:i batches:i initial_jobs:i initial_items:i raw_bytes:i base64_bytes:i",
-       with_("products", f"SELECT n AS eligible_products, (n + 63) // 64 AS batches, least((n + 63) // 64, 8) AS initial_jobs, least(n, 8 * 64) AS initial_items, n * 1024 AS raw_bytes, n * 1368 AS base64_bytes FROM (SELECT count(*) AS n FROM ({_ELIGIBLE}))"))
+@query("i16_build_plan", "store_id:i eligible_products:i batches:i initial_jobs:i initial_items:i raw_bytes:i base64_bytes:i",
+       with_("store_products", "SELECT store_id, n AS eligible_products, (n + 63) // 64 AS batches, least((n + 63) // 64, 8) AS initial_jobs, least(n, 8 * 64) AS initial_items, n * 1024 AS raw_bytes, n * 1368 AS base64_bytes FROM (SELECT store_id, count(*) AS n FROM store_products GROUP BY 1)"))
 def _(t):
-    return gn.build_plan(entity_products(t), 256, 64, 8)
+    return gn.build_plan(entity_products(t), t.assignments, 256, 64, 8)
 
 
 CONTRACT = {"contract_digest": "AUTOMOBILE"}
+_CHECKS = (
+    "contract_digest", "result_contract_digest", "mapping_digest", "pipeline_digest", "scope_digest", "build_refresh_restored", "coverage_complete",
+    "coverage_failed", "index_count", "document_identity", "unresolved_work", "journal_complete", "catch_up_stable",
+)
 
 
 @query(
     "i17_validate_generation", "generation_id:i check:s passed:b",
-    with_("generations journal outbox products",
-          "SELECT 1 AS generation_id, unnest(['contract_digest', 'result_contract_digest', 'mapping_digest', 'pipeline_digest', 'coverage_complete', 'coverage_failed', 'index_count', 'document_identity', 'unresolved_work', 'journal_complete', 'catch_up_stable']) AS check, "
-          "unnest([true, true, true, false, coverage_complete = coverage_total, coverage_failed = 0, snap = coverage_total, snap0 = 0, work = 0, jr = 0, head = captured AND elig = coverage_total]) AS passed FROM ("
-          "SELECT coverage_total, coverage_complete, coverage_failed, 5000 AS captured, (SELECT count(*) FROM products WHERE p_size % 2 + 1 = 1) AS snap, (SELECT count(*) FROM products WHERE p_size % 2 + 1 = 1 AND p_size % 7 <> 0) AS snap0, "
-          f"(SELECT count(*) FROM outbox WHERE generation_id = 1 AND latest_change_id <= 5000 AND state NOT IN {FINISHED}) AS work, "
-          "(SELECT count(*) FROM journal WHERE store_id = 1 AND change_id <= 5000 AND (native_state <> 'COMPLETED' OR hybrid_state <> 'COMPLETED')) AS jr, (SELECT max(change_id) FROM journal WHERE store_id = 1) AS head, "
-          f"(SELECT count(*) FROM ({_ELIGIBLE})) AS elig FROM generations WHERE generation_id = 11)"),
+    with_("generations journal outbox products store_products",
+          f"SELECT generation_id, unnest({list(_CHECKS)}) AS check, "
+          "unnest([contract_digest = 'AUTOMOBILE', true, true, false, generation_id % 2 = 0, coalesce(refresh_state = 'RESTORED', false), coverage_complete = coverage_total, coverage_failed = 0, "
+          "coalesce(indexed, 0) = coverage_total, coalesce(elsewhere, 0) = 0, coalesce(work, 0) = 0, coalesce(jr, 0) = 0, coalesce(head, 0) = captured_change_id AND coalesce(elig, 0) = coverage_total]) AS passed "
+          "FROM generations g "
+          "LEFT JOIN (SELECT (p_partkey % 25) * 10 + p_size % 5 + 1 AS generation_id, count(*) AS indexed, count(*) FILTER (p_size % 7 <> 0 AND p_partkey % 25 <> 0) AS elsewhere FROM part GROUP BY 1) USING (generation_id) "
+          f"LEFT JOIN (SELECT g.generation_id, count(*) AS work FROM outbox o JOIN generations g ON g.generation_id = (o.job_id % 25) * 10 + o.job_id % 5 + 1 AND o.latest_change_id <= g.captured_change_id WHERE o.state NOT IN {FINISHED} GROUP BY 1) USING (generation_id) "
+          "LEFT JOIN (SELECT g.generation_id, count(*) AS jr FROM journal j JOIN generations g ON g.store_id = j.store_id AND j.change_id <= g.captured_change_id WHERE native_state <> 'COMPLETED' OR hybrid_state <> 'COMPLETED' GROUP BY 1) USING (generation_id) "
+          "LEFT JOIN (SELECT store_id, max(change_id) AS head FROM journal GROUP BY 1) USING (store_id) LEFT JOIN (SELECT store_id, count(*) AS elig FROM store_products GROUP BY 1) USING (store_id)"),
 )
 def _(t):
-    generation = t.generations.where("generation_id = 11").selectExpr(
-        "1L generation_id", "1L store_id", "5000L captured_change_id", "coverage_total", "coverage_complete", "coverage_failed",
-        "contract_digest", "'r' result_contract_digest", "'m' mapping_digest", "'p' pipeline_digest",
+    current = scopes(t)
+    generations = t.generations.join(current, "store_id", "left").select(
+        "generation_id", "store_id", "captured_change_id", "coverage_total", "coverage_complete", "coverage_failed", "contract_digest", "refresh_state",
+        F.lit("r").alias("result_contract_digest"), F.lit("m").alias("mapping_digest"), F.lit("p").alias("pipeline_digest"),
+        F.when(F.col("generation_id") % 2 == 0, F.col("digest")).otherwise("stale").alias("scope_digest"),
+    )
+    snapshot = t.raw("part").selectExpr(
+        "p_partkey % 25 * 10 + p_size % 5 + 1 generation_id", "if(p_size % 7 = 0, p_partkey % 25, 0) store_id"
     )
-    snapshot = t.products.selectExpr("p_size % 2 + 1 generation_id", "if(p_size % 7 = 0, 1, 2) store_id")
+    outbox = t.outbox.withColumn("generation_id", F.col("job_id") % 25 * 10 + F.col("job_id") % 5 + 1)
     contract = {"contract_digest": "AUTOMOBILE", "result_contract_digest": "r", "mapping_digest": "m", "pipeline_digest": "other"}
-    return gn.validate_generation(generation, snapshot, t.outbox, t.journal, entity_products(t), contract)
+    return gn.validate_generations(generations, snapshot, outbox, t.journal, entity_products(t), t.assignments, current, contract)
 
 
 _SCOPE = (

@@ -200,3 +200,5 @@ cte("product_websites", "SELECT DISTINCT l_partkey AS product_id, n_regionkey AS
 cte("categories", "SELECT r_regionkey + 10 AS category_id, '1/' || (r_regionkey + 10) AS path, r_name AS name FROM region UNION ALL "
     "SELECT n_nationkey + 100, '1/' || (n_regionkey + 10) || '/' || (n_nationkey + 100), n_name FROM nation")
 cte("category_products", "SELECT DISTINCT l_partkey AS product_id, s_nationkey + 100 AS category_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+cte("store_products", "SELECT DISTINCT s.store_id, p.entity_id AS product_id FROM products p JOIN product_websites w ON w.product_id = p.entity_id "
+    "JOIN stores s ON s.website_id = w.website_id WHERE s.store_id <> 0 AND p.status = 1 AND p.visibility IN (3, 4)", "products", "product_websites", "stores")

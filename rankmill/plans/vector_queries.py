@@ -207,10 +207,10 @@ def _(t):
 # -- captures for calibration --------------------------------------------------------------------
 
 _CASES = (
-    "SELECT th AS min_score, query_id AS case_id, list(CAST(document_id AS BIGINT) ORDER BY score DESC, CAST(document_id AS BIGINT)) FILTER (score >= th) AS exact_ids, "
-    "list(CAST(document_id AS BIGINT) ORDER BY score DESC, CAST(document_id AS BIGINT)) FILTER (score >= th AND CAST(document_id AS BIGINT) % 11 <> 0) AS radial_ids "
-    "FROM (SELECT query_id, document_id, score FROM sims WHERE query_id <> document_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(document_id AS BIGINT)) <= 40), "
-    "(SELECT unnest([0.55, 0.6, 0.65]) AS th) GROUP BY 1, 2"
+    "SELECT th AS min_score, s.document_id AS case_id, list(CAST(n.document_id AS BIGINT) ORDER BY score DESC, CAST(n.document_id AS BIGINT)) FILTER (score >= th) AS exact_ids, "
+    "list(CAST(n.document_id AS BIGINT) ORDER BY score DESC, CAST(n.document_id AS BIGINT)) FILTER (score >= th AND CAST(n.document_id AS BIGINT) % 11 <> 0) AS radial_ids "
+    "FROM (SELECT document_id, th FROM vec, (SELECT unnest([0.55, 0.6, 0.65]) AS th)) s "
+    "LEFT JOIN sims n ON n.query_id = s.document_id AND n.document_id <> s.document_id AND n.score >= 0.55 GROUP BY 1, 2"
 )
 _CASE_CTE = (
     f"raw AS ({_CASES}), cases AS (SELECT min_score, case_id, coalesce(exact_ids, []) AS exact_ids, coalesce(radial_ids, []) AS radial_ids, label, "
@@ -221,12 +221,15 @@ _CASE_CTE = (
 
 
 def captures(t):
-    """Per threshold and seed: exact ids, and radial ids as if one product in eleven was missed."""
-    near = dn.radial_search(t.vector_queries, t.vectors, 0.0, 40)
-    document, case = F.col("document_id").cast("long"), F.col("query_id")
+    """Per threshold and seed: all exact ids, and radial ids as if one product in eleven was missed."""
+    near = dn.threshold_pairs(t.vector_queries, t.vectors, 0.55)
+    seeds = t.vector_queries.select(F.col("query_id").alias("case_id"))
+    document = F.col("document_id").cast("long")
     order = F.struct((-F.col("score")).alias("s"), document.alias("id"))
     thresholds = F.explode(F.array(F.lit(0.55), F.lit(0.6), F.lit(0.65))).alias("min_score")
-    rows = near.select(thresholds, case.alias("case_id"), document.alias("id"), order.alias("o"), "score")
+    rows = seeds.join(near.withColumnRenamed("query_id", "case_id"), "case_id", "left").select(
+        thresholds, "case_id", document.alias("id"), order.alias("o"), "score"
+    )
     kept = F.col("score") >= F.col("min_score")
     grouped = rows.groupBy("min_score", "case_id").agg(
         F.array_sort(F.collect_list(F.when(kept, F.col("o")))).alias("e"),
@@ -263,13 +266,13 @@ def with_cases(body: str) -> str:
 
 @query(
     "e27_radial_calibration",
-    "min_score:f6 cases:i mean_recall:f6 false_positives:i returned:i unsafe_hits:i empty_rate:f6 maximum_results:i minimum_slice_recall:f6 results_p50:f6 results_p95:f6 latency_p95:f6 recall_ok:b slices_ok:b technical_eligible:b",
+    "min_score:f6 cases:i exact_total:i mean_recall:f6 false_positives:i returned:i unsafe_hits:i empty_rate:f6 maximum_results:i minimum_slice_recall:f6 results_p50:f6 results_p95:f6 latency_p95:f6 recall_ok:b slices_ok:b technical_eligible:b",
     with_cases(
         f", pc AS (SELECT *, {_RECALL} AS recall, len(radial_ids) AS n FROM cases), "
         "ub AS (SELECT case_id, list(product_id) AS u FROM labels WHERE label = 'unsafe' GROUP BY 1), "
         "sl AS (SELECT min_score, min(r) AS minimum_slice_recall FROM (SELECT min_score, s, avg(recall) AS r FROM (SELECT min_score, recall, unnest(['label' || label, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END]) AS s FROM pc) GROUP BY 1, 2) GROUP BY 1), "
         "lt AS (SELECT min_score, quantile_cont(m, 0.95) AS latency_p95 FROM (SELECT min_score, unnest(ms) AS m FROM pc) GROUP BY 1), "
-        "b AS (SELECT min_score, count(*) AS cases, avg(recall) AS mean_recall, sum(len(list_filter(radial_ids, lambda x: NOT list_contains(exact_ids, x)))) AS false_positives, sum(n) AS returned, "
+        "b AS (SELECT min_score, count(*) AS cases, sum(len(exact_ids)) AS exact_total, avg(recall) AS mean_recall, sum(len(list_filter(radial_ids, lambda x: NOT list_contains(exact_ids, x)))) AS false_positives, sum(n) AS returned, "
         "sum(len(list_intersect(radial_ids, coalesce(u, [])))) AS unsafe_hits, avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END) AS empty_rate, max(n) AS maximum_results, quantile_cont(n, 0.5) AS results_p50, quantile_cont(n, 0.95) AS results_p95 "
         "FROM pc LEFT JOIN ub USING (case_id) GROUP BY 1) "
         "SELECT *, mean_recall >= 0.97 AS recall_ok, minimum_slice_recall >= 0.9 AS slices_ok, mean_recall >= 0.97 AND minimum_slice_recall >= 0.9 AND latency_p95 <= 100 AND maximum_results <= 100 AS technical_eligible FROM b JOIN sl USING (min_score) JOIN lt USING (min_score)"

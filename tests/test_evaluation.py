@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,24 +13,46 @@ QRELS = "query_id string, document_id string, relevance int"
 RUN = "query_id string, document_id string, rank int, score double, tag string"
 
 
+def random_case(seed, queries=9):
+    """Judgments and a run of several queries, with unjudged documents, and both as dictionaries."""
+    rng = random.Random(seed)
+    gains, ranking = {}, {}
+    for q in range(queries):
+        pool = [f"d{i}" for i in range(rng.randint(4, 30))]
+        gains[f"k{q}"] = {d: rng.choice([0, 0, 1, 2]) for d in rng.sample(pool, rng.randint(2, len(pool)))}
+        ranking[f"k{q}"] = rng.sample(pool, rng.randint(1, len(pool)))
+    qrels = [(q, d, g) for q, own in gains.items() for d, g in own.items()]
+    return gains, ranking, qrels, [r for q, docs in ranking.items() for r in run_rows(q, docs)]
+
+
+def discounted(values):
+    return sum(g / math.log2(i + 1) for i, g in enumerate(values, 1))
+
+
 def run_rows(query, documents, tag="t"):
     return [(query, d, i, float(100 - i), tag) for i, d in enumerate(documents, 1)]
 
 
-def test_metrics_of_one_query(rows):
-    qrels = rows([("q1", "exact", 2), ("q1", "partial", 1), ("q1", "irrelevant", 0)], QRELS)
-    run = rows(run_rows("q1", ["partial", "exact", "unjudged"]), RUN)
-    (got,) = ev.evaluate(run, qrels).collect()
-    assert got["ndcg@10"] == pytest.approx((1 + 2 / math.log2(3)) / (2 + 1 / math.log2(3)))
-    assert got["recall@100"] == 1.0
-    assert got["mrr_exact@10"] == 0.5
-    assert got["judged@10"] == 0.2
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_metrics_against_definitions(rows, seed):
+    gains, ranking, qrels, run = random_case(seed)
+    got = {r["query_id"]: r for r in ev.evaluate(rows(run, RUN), rows(qrels, QRELS)).collect()}
+    for q, own in gains.items():
+        docs = ranking[q]
+        ideal = discounted(sorted(own.values(), reverse=True)[:10])
+        relevant = [d for d, g in own.items() if g > 0]
+        assert got[q]["ndcg@10"] == pytest.approx(discounted([own.get(d, 0) for d in docs[:10]]) / ideal if ideal else 0)
+        assert got[q]["recall@100"] == pytest.approx(sum(d in docs for d in relevant) / len(relevant) if relevant else 0)
+        first = [i for i, d in enumerate(docs[:10], 1) if own.get(d) == 2]
+        assert got[q]["mrr_exact@10"] == pytest.approx(1 / first[0] if first else 0)
+        assert got[q]["judged@10"] == pytest.approx(sum(d in own for d in docs[:10]) / 10)
 
 
-def test_other_exact_gain(rows):
-    qrels = rows([("q", "trec-exact", 3), ("q", "other", 2)], QRELS)
-    run = rows(run_rows("q", ["other", "trec-exact"]), RUN)
-    assert ev.evaluate(run, qrels, exact_gain=3).first()["mrr_exact@10"] == 0.5
+def test_exact_gain_is_a_parameter(rows):
+    qrels = rows([("lamp", "p7", 5), ("lamp", "p8", 4), ("lamp", "p9", 1)], QRELS)
+    run = rows(run_rows("lamp", ["p9", "p1", "p8", "p7"]), RUN)
+    for gain, place in ((5, 4), (4, 3), (1, 1)):
+        assert ev.evaluate(run, qrels, exact_gain=gain).first()["mrr_exact@10"] == pytest.approx(1 / place)
 
 
 def test_queries_without_results_or_gain_count_as_zero(rows):
@@ -47,11 +70,9 @@ def test_ideal_uses_judgments_that_were_not_retrieved(rows):
 
 
 def test_judged_only_closes_gaps(rows):
-    qrels = rows([("1", "a", 1), ("1", "c", 0), ("2", "x", 2)], QRELS)
-    run = rows(run_rows("1", ["a", "b", "c"]) + run_rows("2", ["y", "x"]), RUN)
-    assert table(ev.judged_only(run, qrels), "query_id", "document_id", "rank") == [
-        ("1", "a", 1), ("1", "c", 2), ("2", "x", 1),
-    ]
+    gains, ranking, qrels, run = random_case(7)
+    want = sorted((q, d, i) for q, docs in ranking.items() for i, d in enumerate([d for d in docs if d in gains[q]], 1))
+    assert table(ev.judged_only(rows(run, RUN), rows(qrels, QRELS)), "query_id", "document_id", "rank") == want
 
 
 def test_mappings(rows):
@@ -68,24 +89,32 @@ def test_run_faults(rows):
     assert ev.run_faults(rows(run_rows("q", ["a", "b"]), RUN)).isEmpty()
 
 
-def test_cross_check(rows):
-    got = ev.cross_check(rows([("x", "m", 0.5), ("y", "m", 0.5006), ("z", "m", 0.5001)], "method string, metric string, value double")).first()
-    assert got["max_delta"] == pytest.approx(0.0006) and got["agrees"]
+def test_cross_check_spread(rows):
+    values = [0.31274, 0.31301, 0.31299, 0.31262]
+    df = rows([(f"tool{i}", "recall", v) for i, v in enumerate(values)], "method string, metric string, value double")
+    got = ev.cross_check(df).first()
+    assert got["max_delta"] == pytest.approx(max(values) - min(values)) and got["agrees"]
+    assert not ev.cross_check(rows([("a", "recall", 0.2), ("b", "recall", 0.9)], "method string, metric string, value double")).first()["agrees"]
 
 
-def test_holm(rows):
-    df = rows([("third", 0.04), ("first", 0.01), ("second", 0.03)], "system string, p_value double")
-    got = {r["system"]: r["adjusted_p_value"] for r in sg.holm(df).collect()}
-    assert got == pytest.approx({"third": 0.06, "first": 0.03, "second": 0.06})
+def test_holm_against_its_definition(rows):
+    rng = random.Random(5)
+    values = {f"s{i}": rng.random() ** 3 for i in range(9)}
+    ordered, want, top = sorted(values, key=values.get), {}, 0.0
+    for i, name in enumerate(ordered):
+        top = max(top, min(1.0, (len(values) - i) * values[name]))
+        want[name] = top
+    df = rows(list(values.items()), "system string, p_value double")
+    assert {r["system"]: r["adjusted_p_value"] for r in sg.holm(df).collect()} == pytest.approx(want)
 
 
-def test_sign_test_gate(rows):
-    tied = rows([("a", 1.0, 1.0), ("b", 0.5, 0.5)], "query_id string, baseline double, candidate double")
-    got = sg.sign_test(tied).first()
-    assert got["p_value"] == 1.0 and got["passes"]
-    lost = rows([(str(i), 1.0, 0.0) for i in range(20)], "query_id string, baseline double, candidate double")
-    got = sg.sign_test(lost).first()
-    assert got["p_value"] == pytest.approx(2.0**-20) and not got["passes"]
+@pytest.mark.parametrize("wins, losses, ties", [(0, 0, 4), (3, 9, 2), (11, 4, 0), (0, 14, 1)])
+def test_sign_test_against_the_binomial_tail(rows, wins, losses, ties):
+    pairs = [(0.2, 0.7)] * wins + [(0.9, 0.4)] * losses + [(0.3, 0.3)] * ties
+    df = rows([(f"t{i}", a, b) for i, (a, b) in enumerate(pairs)], "query_id string, baseline double, candidate double")
+    n = wins + losses
+    tail = sum(math.comb(n, k) for k in range(losses, n + 1)) / 2**n
+    assert sg.sign_test(df).first()["p_value"] == pytest.approx(tail)
 
 
 def test_student_p_value_against_published_values():
@@ -101,28 +130,34 @@ def test_identical_runs_are_not_significant(rows):
     assert got["p_value"] == 1.0 and not got["supports"]
 
 
-def test_ranking_stability(rows):
-    reference = rows(run_rows("1", "ab") + run_rows("2", "cd") + run_rows("3", "ef"), RUN)
-    candidate = rows(run_rows("1", "ab") + run_rows("2", "dc") + run_rows("3", "xe"), RUN)
-    got = sl.ranking_stability(reference, candidate, 2).first()
-    assert got["mean_overlap"] == pytest.approx(5 / 6)
-    assert got["p05_overlap"] == pytest.approx(0.55)
-    assert got["top1_agreement"] == pytest.approx(1 / 3)
+def test_ranking_stability_against_sets(rows):
+    rng = random.Random(11)
+    a = {f"v{i}": rng.sample("klmnopqr", 6) for i in range(8)}
+    b = {q: rng.sample(docs, 6) if i % 2 else rng.sample("klmnopqrstu", 6) for i, (q, docs) in enumerate(a.items())}
+    frames = [rows([r for q, docs in x.items() for r in run_rows(q, docs)], RUN) for x in (a, b)]
+    overlap = sorted(len(set(a[q][:3]) & set(b[q][:3])) / 3 for q in a)
+    got = sl.ranking_stability(*frames, 3).first()
+    assert got["mean_overlap"] == pytest.approx(sum(overlap) / 8)
+    spot = 7 * 0.05
+    assert got["p05_overlap"] == pytest.approx(overlap[0] + (overlap[1] - overlap[0]) * spot)
+    assert got["top1_agreement"] == pytest.approx(sum(a[q][0] == b[q][0] for q in a) / 8)
 
 
 def test_ann_recall_and_effort(rows):
-    exact = rows(run_rows("1", "abc") + run_rows("2", "def"), RUN)
-    found = rows(run_rows("1", "abx") + run_rows("2", "def"), RUN)
-    got = sl.recall_summary(sl.ann_recall(exact, found, 3)).first()
-    assert got["mean_recall"] == pytest.approx(5 / 6) and not got["meets_floor"]
-    grid = rows([(100, 0.91), (200, 0.96), (400, 0.985), (800, 0.99)], "effort int, recall double")
-    assert tuple(sl.pick_effort(grid).first()) == (400, True)
-    assert tuple(sl.pick_effort(grid.where("effort <= 200")).first()) == (200, False)
+    rng = random.Random(13)
+    exact = {f"u{i}": rng.sample("abcdefghijkl", 5) for i in range(6)}
+    found = {q: docs[: rng.randint(1, 5)] + ["z"] for q, docs in exact.items()}
+    frames = [rows([r for q, docs in x.items() for r in run_rows(q, docs)], RUN) for x in (exact, found)]
+    want = sum(len(set(exact[q]) & set(found[q][:5])) / 5 for q in exact) / 6
+    assert sl.recall_summary(sl.ann_recall(*frames, 5)).first()["mean_recall"] == pytest.approx(want)
+    grid = rows([(16, 0.5), (32, 0.97), (48, 0.981), (64, 0.982)], "effort int, recall double")
+    assert tuple(sl.pick_effort(grid).first()) == (48, True)
+    assert tuple(sl.pick_effort(grid.where("effort < 48")).first()) == (32, False)
 
 
 def test_first_registered_wins_ties(rows):
-    grid = rows([("10", 1, 0.4), ("1", 0, 0.3), ("20", 2, 0.4)], "setting string, position int, value double")
-    assert sl.pick_best(grid).first()["setting"] == "10"
+    grid = rows([("late", 7, 0.61), ("low", 2, 0.6), ("early", 3, 0.61)], "setting string, position int, value double")
+    assert sl.pick_best(grid).first()["setting"] == "early"
 
 
 def test_guard_and_drift(rows):

@@ -139,13 +139,17 @@ def test_ann_with_full_effort_is_exact(rows):
     assert table(found, *columns) == table(dn.exact_knn(queries, vectors, 3), *columns)
 
 
-def test_radial_threshold(rows):
-    seed = [1.0] + [0.0] * 7
-    near = [0.8, 0.6] + [0.0] * 6
-    far = [0.0, 1.0] + [0.0] * 6
-    vectors = rows([("1", seed), ("2", near), ("3", far)], "document_id string, embedding array<double>")
-    seeds = rows([("1", seed)], "query_id string, embedding array<double>")
-    assert table(dn.radial_search(seeds, vectors, 0.85, 10), "document_id", "score") == [("2", 0.9)]
+@pytest.mark.parametrize("threshold", [0.5, 0.62, 0.75])
+def test_radial_search_is_brute_force(rows, threshold):
+    rng = np.random.default_rng(21)
+    data = rng.standard_normal((60, 5))
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    scores = np.round((1 + unit @ unit.T) / 2, 6)
+    vectors = rows([(f"v{i}", [float(x) for x in v]) for i, v in enumerate(data)], "document_id string, embedding array<double>")
+    seeds = vectors.where("document_id < 'v2'").withColumnRenamed("document_id", "query_id")
+    names = [r[0] for r in seeds.select("query_id").collect()]
+    want = sorted((q, f"v{d}") for q in names for d in range(60) if f"v{d}" != q and scores[int(q[1:]), d] >= threshold)
+    assert table(dn.radial_search(seeds, vectors, threshold, 60), "query_id", "document_id") == want
 
 
 def test_vector_helpers(rows):
@@ -159,11 +163,18 @@ def test_vector_helpers(rows):
 
 
 def test_sparse_prune_and_search(rows):
-    df = rows([({"one": 10.0, "two": 1.0, "three": 0.999, "zero": 0.0},)], "m map<string,double>")
-    assert set(df.select(prune_sparse(F.col("m"), 0.1)).first()[0]) == {"one", "two"}
-    vectors = rows([("1", {"a": 1.0, "b": 2.0}), ("2", {"a": 3.0})], "document_id string, embedding map<string,double>")
-    tokens = rows([("q", "a"), ("q", "a"), ("q", "b")], "query_id string, token string")
-    assert table(sp.sparse_search(tokens, vectors, 5), "document_id", "rank", "score") == [("1", 1, 3.0), ("2", 2, 3.0)]
+    rng = np.random.default_rng(22)
+    weights = {f"w{i}": float(x) for i, x in enumerate(np.round(rng.random(30) ** 3, 4))} | {"none": 0.0}
+    kept = {k for k, v in weights.items() if v > 0 and v >= 0.25 * max(weights.values())}
+    pruned = rows([(weights,)], "m map<string,double>").select(prune_sparse(F.col("m"), 0.25)).first()[0]
+    assert set(pruned) == kept and all(pruned[k] == weights[k] for k in kept)
+    documents = {f"s{i}": {f"w{j}": float(rng.integers(1, 9)) for j in rng.choice(12, 4, replace=False)} for i in range(25)}
+    query = ["w1", "w4", "w4", "w9"]
+    want = sorted(((-sum(own.get(t, 0.0) for t in set(query)), d) for d, own in documents.items()), key=lambda x: (x[0], x[1]))
+    want = [(d, -v) for v, d in want if v < 0]
+    vectors = rows(list(documents.items()), "document_id string, embedding map<string,double>")
+    got = sp.sparse_search(rows([("q", t) for t in query], "query_id string, token string"), vectors, 25)
+    assert [(r["document_id"], r["score"]) for r in got.orderBy("rank").collect()] == want
 
 
 SCORED = "query_id string, document_id string, score double"
@@ -180,12 +191,14 @@ def test_minmax_edges(rows):
         fu.rrf_fuse([one], 0)
 
 
-def test_rerank_keeps_the_tail(rows):
-    run = rows([("q", d, i, 0.0, "t") for i, d in enumerate("abcd", 1)], "query_id string, document_id string, rank int, score double, tag string")
-    pairs = rows([("q", "a", 0.1), ("q", "b", 0.9), ("q", "c", 0.5)], SCORED)
-    got = fu.rerank(run, pairs, depth=3, result_depth=4).orderBy("rank").collect()
-    assert [r["document_id"] for r in got] == ["b", "c", "a", "d"]
-    assert [r["score"] for r in got] == [4.0, 3.0, 2.0, 1.0]
+def test_rerank_orders_the_head_and_keeps_the_tail(rows):
+    rng = np.random.default_rng(23)
+    docs = [f"r{i}" for i in range(12)]
+    values = {d: float(v) for d, v in zip(docs[:8], rng.permutation(8))}
+    run = rows([("q", d, i, 0.0, "t") for i, d in enumerate(docs, 1)], "query_id string, document_id string, rank int, score double, tag string")
+    got = fu.rerank(run, rows([("q", d, v) for d, v in values.items()], SCORED), depth=8, result_depth=12).orderBy("rank").collect()
+    assert [r["document_id"] for r in got] == sorted(values, key=values.get, reverse=True) + docs[8:]
+    assert all(a["score"] > b["score"] for a, b in zip(got, got[1:]))
 
 
 @pytest.mark.parametrize("size", [7, 24, 100])
