@@ -38,6 +38,12 @@ def aggregate_labels(judgments: DataFrame) -> DataFrame:
     ).select("query_id", F.col("product_id").alias("document_id"), "relevance")
 
 
+def hash_part(judgments: DataFrame, parts: int, part: int = 0) -> DataFrame:
+    """One of `parts` disjoint judgment sets, dealt by a hash of the (query_id, document_id) pair."""
+    digest = F.substring(F.md5(F.concat_ws("|", "query_id", "document_id")), 1, 7)
+    return judgments.where(F.conv(digest, 16, 10).cast("long") % parts == part)
+
+
 def label_audit(judgments: DataFrame) -> DataFrame:
     """One row: raw and unique judgments, repeated pairs and rows, conflicts, label counts."""
     pairs = _votes(judgments).groupBy(*PAIR).agg(

@@ -91,9 +91,10 @@ cte("pfield", f"SELECT query_id, field, document_id, any_value(nt) AS nt, sum(w
 cte("judgments_raw", "SELECT CAST(l_suppkey AS VARCHAR) AS query_id, CAST(l_partkey AS VARCHAR) AS product_id, "
     "CASE l_returnflag WHEN 'A' THEN 'Exact' WHEN 'N' THEN 'Partial' ELSE 'Irrelevant' END AS label, "
     "CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 1 ELSE 0 END AS gain, l_linestatus, l_orderkey, l_linenumber FROM lineitem")
-cte("qrels", "SELECT query_id, product_id AS document_id, gain AS relevance FROM "
-    "(SELECT query_id, product_id, gain, count(*) AS votes FROM judgments_raw WHERE l_linestatus = 'F' GROUP BY ALL) "
+cte("judgments", "SELECT query_id, product_id AS document_id, gain AS relevance FROM "
+    "(SELECT query_id, product_id, gain, count(*) AS votes FROM judgments_raw GROUP BY ALL) "
     "QUALIFY row_number() OVER (PARTITION BY query_id, product_id ORDER BY votes DESC, gain) = 1", "judgments_raw")
+cte("qrels", "SELECT * FROM judgments WHERE ('0x' || substr(md5(query_id || '|' || document_id), 1, 7))::BIGINT % 2 = 0", "judgments")
 cte("pair_values", "SELECT CAST(l_suppkey AS VARCHAR) AS query_id, CAST(l_partkey AS VARCHAR) AS document_id, "
     "max(l_quantity) AS quantity, max(l_extendedprice) AS price, max(l_discount) AS discount FROM lineitem GROUP BY 1, 2")
 cte("runs", ranked("(" + " UNION ALL ".join(

@@ -12,9 +12,9 @@ from rankmill.plans.oracle import nat, squeeze, with_
 from rankmill.plans.registry import query
 
 
-@query("q01_aggregate_labels", "query_id:s document_id:s relevance:i", with_("qrels", "SELECT * FROM qrels"))
+@query("q01_aggregate_labels", "query_id:s document_id:s relevance:i", with_("judgments", "SELECT * FROM judgments"))
 def _(t):
-    return t.qrels
+    return t.judgments
 
 
 _PAIRS = "SELECT query_id, product_id, count(*) AS n, count(DISTINCT gain) AS g FROM judgments_raw GROUP BY 1, 2"

@@ -17,7 +17,7 @@ def _write_tsv(df, path):
 
 
 def catalog_path(t):
-    """Products as TSV: some ids blank, some titles blank, some ratings not numeric."""
+    """Products as TSV: some ids blank, some titles blank, some ratings not numeric, some rows twice."""
     raw = t.raw("part").select(
         F.when(F.col("p_size") == 11, " ").otherwise(F.col("p_partkey").cast("string")).alias("product_id"),
         F.when(F.col("p_size") == 12, "").otherwise(F.col("p_name")).alias("product_name"),
@@ -26,17 +26,18 @@ def catalog_path(t):
         F.when(F.col("p_size") == 13, "many").when(F.col("p_size") == 14, "NaN").otherwise(F.col("p_size").cast("string")).alias("rating_count"),
         F.col("p_retailprice").cast("string").alias("average_rating"), F.lit("").alias("review_count"),
     )
-    return _write_tsv(raw, t.scratch("products-tsv"))
+    again = raw.join(t.raw("part").where("p_size = 15").select(F.col("p_partkey").cast("string").alias("product_id")), "product_id", "left_semi")
+    return _write_tsv(raw.unionByName(again), t.scratch("products-tsv"))
 
 
 @query("s01_read_catalog_tsv", "product_id:s title:s description:s category:s product_class:s features:s rating_count:f6 average_rating:f6 has_reviews:b",
-       "SELECT p_partkey AS product_id, p_name AS title, p_name || ' ' || p_brand AS description, 'home / ' || p_type AS category, p_type AS product_class, 'size : ' || p_size AS features, p_size AS rating_count, p_retailprice AS average_rating, false AS has_reviews FROM part WHERE p_size NOT IN (11, 12, 13, 14)")
+       "SELECT p_partkey AS product_id, p_name AS title, p_name || ' ' || p_brand AS description, 'home / ' || p_type AS category, p_type AS product_class, 'size : ' || p_size AS features, p_size AS rating_count, p_retailprice AS average_rating, false AS has_reviews FROM part WHERE p_size NOT IN (11, 12, 13, 14, 15)")
 def _(t):
     return fs.read_catalog_tsv(t.spark, catalog_path(t)).withColumn("has_reviews", F.col("review_count").isNotNull())
 
 
 @query("s01_catalog_rejects", "fault:s rows:i",
-       "SELECT CASE p_size WHEN 11 THEN 'product_id' WHEN 12 THEN 'product_name' ELSE 'number' END AS fault, count(*) AS rows FROM part WHERE p_size IN (11, 12, 13, 14) GROUP BY 1 UNION ALL SELECT 'duplicate', 1")
+       "SELECT CASE p_size WHEN 11 THEN 'product_id' WHEN 12 THEN 'product_name' WHEN 15 THEN 'duplicate' ELSE 'number' END AS fault, count(*) * any_value(CASE p_size WHEN 15 THEN 2 ELSE 1 END) AS rows FROM part WHERE p_size IN (11, 12, 13, 14, 15) GROUP BY 1")
 def _(t):
     return fs.catalog_rejects(t.spark, catalog_path(t)).groupBy("fault").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -57,6 +58,22 @@ def _(t):
     return fs.read_label_tsv(t.spark, _write_tsv(rows, t.scratch("labels-tsv")))
 
 
+@query("s02_query_rejects", "query_id:s query_class:s", "SELECT conv_id || '-' || turn AS query_id, role AS query_class FROM conversations WHERE turn % 3 = 0 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = ''")
+def _(t):
+    rows = t.raw("conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("query_id"),
+        F.when(F.col("turn") % 3 != 0, F.trim(F.regexp_replace("text", r"\s+", " "))).otherwise(" ").alias("query"), F.col("role").alias("query_class"),
+    )
+    return fs.query_rejects(t.spark, _write_tsv(rows, t.scratch("queries-tsv")))
+
+
+@query("s02_label_rejects", "id:s query_id:s", with_("judgments_raw", "SELECT l_orderkey || '-' || l_linenumber || '-' || product_id AS id, query_id FROM judgments_raw WHERE label = 'Partial'"))
+def _(t):
+    label = F.when(F.col("label") != "Partial", F.col("label"))
+    rows = t.judgments_raw.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "product_id").alias("id"), "query_id", "product_id", label.alias("label"))
+    return fs.label_rejects(t.spark, _write_tsv(rows, t.scratch("labels-tsv")))
+
+
 _FLAT = "regexp_replace(text, '[\\t\\n\\r]+', ' ', 'g')"
 
 
@@ -81,6 +98,15 @@ def _(t):
     return fs.read_trec_json(t.spark, path)
 
 
+@query("s03_trec_json_rejects", "docid:s description:s", "SELECT doc_id AS docid, text AS description FROM documents WHERE source = 'src3'")
+def _(t):
+    path = t.scratch("collection-json")
+    t.docs.select(
+        F.col("document_id").alias("docid"), F.when(F.col("brand") != "src3", F.col("brand")).alias("title"), "text"
+    ).write.json(path)
+    return fs.trec_json_rejects(t.spark, path).withColumnRenamed("text", "description")
+
+
 @query("s04_read_trec_topics", "query_id:s query:s", "SELECT item_id AS query_id, regexp_replace(text, '\\s+', ' ', 'g') AS query FROM benchmark")
 def _(t):
     rows = t.queries.select(F.col("query_id").alias("id"), F.regexp_replace("query", r"\s+", " ").alias("query"))
@@ -95,13 +121,27 @@ def _(t):
     return fs.read_qrels(t.spark, path)
 
 
-@query("s05_line_rejects", "line:s", "SELECT 'bad line ' || s_suppkey AS line FROM supplier")
+@query("s05_line_rejects", "line:s", "SELECT 'bad line ' || s_suppkey AS line FROM supplier UNION ALL SELECT s_suppkey || ' 0 d high' FROM supplier")
 def _(t):
     path = t.scratch("qrels")
     good = t.qrels.select(F.format_string("%s 0 %s %d", "query_id", "document_id", "relevance").alias("value"))
-    bad = t.raw("supplier").select(F.concat(F.lit("bad  line "), "s_suppkey").alias("value"))
+    bad = t.raw("supplier").select(F.explode(F.array(
+        F.concat(F.lit("bad  line "), "s_suppkey"), F.concat(F.col("s_suppkey").cast("string"), F.lit(" 0 d high"))
+    )).alias("value"))
     good.unionByName(bad).write.text(path)
-    return fs.line_rejects(t.spark, path, 4, "0")
+    return fs.qrels_rejects(t.spark, path)
+
+
+@query("s06_line_rejects", "line:s", "SELECT unnest(['q Q0 d' || s_suppkey || ' first 1.5 t', 'q Q0 d' || s_suppkey || ' 1 much t', 'q Q1 d' || s_suppkey || ' 1 1.5 t']) AS line FROM supplier")
+def _(t):
+    path = t.scratch("run")
+    name = F.concat(F.lit("q Q0 d"), F.col("s_suppkey").cast("string"))
+    bad = t.raw("supplier").select(F.explode(F.array(
+        F.concat(name, F.lit(" first 1.5 t")), F.concat(name, F.lit(" 1 much t")), F.concat(F.lit("q Q1 d"), F.col("s_suppkey").cast("string"), F.lit(" 1 1.5 t")),
+        F.concat(name, F.lit(" 1 1.5 t")),
+    )).alias("value"))
+    bad.write.text(path)
+    return fs.run_rejects(t.spark, path)
 
 
 @query("s06_run_round_trip", "query_id:s document_id:s rank:i score:f9 tag:s",

@@ -12,7 +12,7 @@ from rankmill.functions.vectors import hash_embedding
 from rankmill.operators.joins import product_stores
 from rankmill.operators.lexical import field_texts, query_terms
 from rankmill.operators.ordering import top_k
-from rankmill.operators.preparation import aggregate_labels
+from rankmill.operators.preparation import aggregate_labels, hash_part
 from rankmill.functions.ids import natural_order
 from rankmill.session import broadcast_if_small, cut_lineage, scratch_path, spread
 
@@ -127,12 +127,15 @@ class Tables:
             "l_linestatus", "l_orderkey", "l_linenumber",
         )
 
+    @cached_property
+    def judgments(self) -> DataFrame:
+        """Majority gains of all annotations."""
+        return cut_lineage(aggregate_labels(self.judgments_raw))
+
     @cached_property
     def qrels(self) -> DataFrame:
-        """Majority gains of the closed lines' annotations."""
-        return cut_lineage(
-            aggregate_labels(self.judgments_raw.where(F.col("l_linestatus") == "F"))
-        )
+        """The judgment set of the evaluations: one of two parts, so that runs hold unjudged pairs."""
+        return hash_part(self.judgments, 2)
 
     @cached_property
     def pair_values(self) -> DataFrame:

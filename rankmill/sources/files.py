@@ -45,9 +45,17 @@ def _catalog_fault() -> Column:
     )
 
 
+def _catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Raw rows with their `fault`: the first broken rule, else `duplicate` for an id of several rows."""
+    raw = _tsv(spark, path, schemas.PRODUCT_TSV).withColumn("__id", F.trim("product_id"))
+    several = raw.where(_present("product_id")).groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    marked = raw.join(several.select("__id", F.lit("duplicate").alias("__again")), "__id", "left")
+    return marked.withColumn("fault", F.coalesce(_catalog_fault(), "__again")).drop("__id", "__again")
+
+
 def read_catalog_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Product rows in the prepared shape; rows that break a rule are in `catalog_rejects`."""
-    raw = _tsv(spark, path, schemas.PRODUCT_TSV).where(_catalog_fault().isNull())
+    """Product rows in the prepared shape; all other rows are in `catalog_rejects`."""
+    raw = _catalog(spark, path).where(F.col("fault").isNull())
 
     def text(name: str) -> Column:
         return F.trim(F.coalesce(F.col(name), F.lit("")))
@@ -62,29 +70,44 @@ def read_catalog_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalog_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """(product_id, fault): rule violations and repeated ids."""
-    raw = _tsv(spark, path, schemas.PRODUCT_TSV)
-    broken = raw.select("product_id", _catalog_fault().alias("fault")).where(F.col("fault").isNotNull())
-    repeated = raw.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return broken.unionByName(repeated.select("product_id", F.lit("duplicate").alias("fault")))
+    """(product_id, fault): the rows that `read_catalog_tsv` leaves out, each once."""
+    return _catalog(spark, path).where(F.col("fault").isNotNull()).select("product_id", "fault")
+
+
+def _complete(*names: str) -> Column:
+    test = _present(names[0])
+    for name in names[1:]:
+        test = test & _present(name)
+    return test
+
+
+_QUERY, _LABEL = ("query_id", "query"), ("id", "query_id", "product_id", "label")
 
 
 def read_query_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return _tsv(spark, path, schemas.QUERY_TSV).where(_present("query_id") & _present("query")).select(
+    """Complete query rows; the others are in `query_rejects`."""
+    return _tsv(spark, path, schemas.QUERY_TSV).where(_complete(*_QUERY)).select(
         F.trim("query_id").alias("query_id"), F.trim("query").alias("query"),
         F.trim(F.coalesce("query_class", F.lit(""))).alias("query_class"),
         token_count(F.col("query")).alias("token_count"),
     )
 
 
+def query_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return _tsv(spark, path, schemas.QUERY_TSV).where(~_complete(*_QUERY))
+
+
 def read_label_tsv(spark: SparkSession, path: str) -> DataFrame:
-    rows = _tsv(spark, path, schemas.LABEL_TSV)
-    required = _present("id") & _present("query_id") & _present("product_id") & _present("label")
-    return rows.where(required).select(
+    """Complete label rows; the others are in `label_rejects`."""
+    return _tsv(spark, path, schemas.LABEL_TSV).where(_complete(*_LABEL)).select(
         *[F.trim(c).alias(c) for c in ("id", "query_id", "product_id", "label")]
     )
 
 
+def label_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return _tsv(spark, path, schemas.LABEL_TSV).where(~_complete(*_LABEL))
+
+
 # -- collections and topics ----------------------------------------------------------------------
 
 def read_trec_collection(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -109,15 +132,27 @@ def collection_rejects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where((F.size(parts) != 3) | (F.get(parts, F.lit(0)) == ""))
 
 
-def read_trec_json(spark: SparkSession, path: str) -> DataFrame:
-    """(product_id, title, description) from JSON lines with docid, title and text."""
+def _trec_json(spark: SparkSession, path: str) -> tuple[DataFrame, Column]:
     rows = spark.read.schema(schemas.TREC_JSON).option("mode", "FAILFAST").json(path)
-    complete = _present("docid") & F.col("title").isNotNull() & F.col("text").isNotNull()
+    return rows, _present("docid") & F.col("title").isNotNull() & F.col("text").isNotNull()
+
+
+def read_trec_json(spark: SparkSession, path: str) -> DataFrame:
+    """(product_id, title, description) from JSON lines with docid, title and text.
+
+    Objects that lack one of them are in `trec_json_rejects`.
+    """
+    rows, complete = _trec_json(spark, path)
     return rows.where(complete).select(
         F.col("docid").alias("product_id"), "title", F.col("text").alias("description")
     )
 
 
+def trec_json_rejects(spark: SparkSession, path: str) -> DataFrame:
+    rows, complete = _trec_json(spark, path)
+    return rows.where(~complete)
+
+
 def read_trec_topics(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, query); blank topics are left out, repeated ones are in `topic_rejects`."""
     rows = _tsv(spark, path, schemas.TOPIC_TSV)
@@ -143,15 +178,28 @@ def _field(i: int) -> Column:
     return F.get("f", F.lit(i))
 
 
+def _judgment_line() -> Column:
+    return F.coalesce((F.size("f") == 4) & (_field(1) == "0") & _field(3).try_cast("int").isNotNull(), F.lit(False))
+
+
+def _run_line() -> Column:
+    typed = _field(3).try_cast("int").isNotNull() & _field(4).try_cast("double").isNotNull()
+    return F.coalesce((F.size("f") == 6) & (_field(1) == "Q0") & typed, F.lit(False))
+
+
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, document_id, relevance) from `query 0 document gain` lines."""
-    good = (F.size("f") == 4) & (_field(1) == "0") & _field(3).try_cast("int").isNotNull()
-    return _fields(spark, path).where(good).select(
+    """(query_id, document_id, relevance) from `query 0 document gain` lines; others are in `qrels_rejects`."""
+    return _fields(spark, path).where(_judgment_line()).select(
         _field(0).alias("query_id"), _field(2).alias("document_id"),
         _field(3).try_cast("int").alias("relevance"),
     )
 
 
+def qrels_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are no judgment: other fields or marker, or a gain that is no integer."""
+    return _fields(spark, path).where(~_judgment_line()).select(F.array_join("f", " ").alias("line"))
+
+
 def write_qrels(qrels: DataFrame, path: str) -> None:
     """Lines in natural (query, document) order, range-partitioned so that files follow it."""
     ordered = qrels.orderBy(*natural_order("query_id"), *natural_order("document_id"))
@@ -167,18 +215,22 @@ def _twelve_digits(score: pd.Series) -> pd.Series:
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, document_id, rank, score, tag) from `query Q0 document rank score tag` lines."""
-    good = (
-        (F.size("f") == 6) & (_field(1) == "Q0")
-        & _field(3).try_cast("int").isNotNull() & _field(4).try_cast("double").isNotNull()
-    )
-    return _fields(spark, path).where(good).select(
+    """(query_id, document_id, rank, score, tag) from `query Q0 document rank score tag` lines.
+
+    All other lines are in `run_rejects`.
+    """
+    return _fields(spark, path).where(_run_line()).select(
         _field(0).alias("query_id"), _field(2).alias("document_id"),
         _field(3).try_cast("int").alias("rank"), _field(4).try_cast("double").alias("score"),
         _field(5).alias("tag"),
     )
 
 
+def run_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are no run entry: other fields or marker, or a rank or score that is no number."""
+    return _fields(spark, path).where(~_run_line()).select(F.array_join("f", " ").alias("line"))
+
+
 def write_run(run: DataFrame, path: str) -> None:
     ordered = run.orderBy("query_id", "rank")
     ordered.select(
@@ -189,13 +241,6 @@ def write_run(run: DataFrame, path: str) -> None:
     ).write.mode("overwrite").text(path)
 
 
-def line_rejects(spark: SparkSession, path: str, fields: int, marker: str) -> DataFrame:
-    """Lines of a judgment (4 fields, `0`) or run (6 fields, `Q0`) file with another shape."""
-    return _fields(spark, path).where(
-        (F.size("f") != fields) | ~_field(1).eqNullSafe(F.lit(marker))
-    ).select(F.array_join("f", " ").alias("line"))
-
-
 # -- JSON lines ----------------------------------------------------------------------------------
 
 def read_products_jsonl(spark: SparkSession, path: str) -> DataFrame:
