@@ -39,7 +39,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _mixed(codes: np.ndarray, width: int) -> np.ndarray:
+def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` word codes."""
     size = len(codes) - width + 1
     out = np.zeros(max(0, size), dtype=np.uint64)
@@ -51,7 +51,7 @@ def _mixed(codes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _codes(words: list[bytes]) -> np.ndarray:
+def word_codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
@@ -118,7 +118,7 @@ class ItemIndex:
             if not words:
                 continue
             n, width = len(words), min(SHINGLE, len(words))
-            own = _mixed(_codes(words), width)
+            own = shingle_hashes(word_codes(words), width)
             self.sizes.setdefault(n, SizeIndex()).items.append(k)
             prints.setdefault(n, []).append(int(window_fingerprints(own, len(own))[0]))
             hashes.setdefault(width, []).append(own)
@@ -135,10 +135,10 @@ class ItemIndex:
     def matches(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """(item id, first word, end word, similarity) of the best window for every matching item."""
         words = words_of(text)
-        codes = _codes(words)
+        codes = word_codes(words)
         best: dict[int, tuple[float, int]] = {}
         for width, (known, table) in self.shingles.items():
-            hashes = _mixed(codes, width)
+            hashes = shingle_hashes(codes, width)
             maybe = np.flatnonzero(table[(hashes & np.uint64(_FILTER - 1)).astype(np.int64)])
             if not len(maybe):
                 continue

@@ -35,7 +35,7 @@ CHUNK = 16384
 #: Chunks that are combined to one matrix before the scan along a text.
 BLOCK = 256
 #: Words that a task remembers; the memory is emptied when full.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 Arc = tuple[int, int, int]  # start, end, piece id; an unknown character has the id -1 - code point
 
@@ -113,7 +113,7 @@ class Pieces:
         if known is None:
             a, b = self.pieces[left], self.pieces[right]
             known = (a[-1] + b[0]) not in self.adjacent or self.merge(a + b) == [a, b]
-            if len(self._fits) > 5 * REMEMBERED:
+            if len(self._fits) > 2 * REMEMBERED:
                 self._fits.clear()
             self._fits[key] = known
         return known

@@ -45,7 +45,12 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
         starts = (ends - lengths)[: len(words) - width + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(raw[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())]
-    octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes."""
+    octets = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.bincount((octets + _BYTE_PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
     bits = (counts.ravel() * 2 > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])

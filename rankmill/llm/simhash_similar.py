@@ -14,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.llm.common import connected_components, slices
-from rankmill.llm.simhash import _signed, fingerprint, mask_table
+from rankmill.llm.decontaminate import shingle_hashes, word_codes, words_of
+from rankmill.llm.simhash import majority, mask_table
 from rankmill.session import cut_lineage
 
 RADIUS, WIDE = 10, 20
@@ -30,11 +30,19 @@ CROWD, BLOCK = 4096, 2048
 VERIFIED = 400
 
 
-def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles, A-Z in lower case; shorter texts are one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    parts = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64, count=len(parts)).view(np.int64))
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles, A-Z in lower case; shorter texts are one shingle."""
+    words = words_of(text)
+    return shingle_hashes(word_codes(words), max(1, min(width, len(words))))
+
+
+def prints(text: str | None, width: int = SHINGLE) -> tuple[int, int]:
+    """SimHashes of the word pairs and of the shingles; zero without words."""
+    words = words_of(text)
+    if not words:
+        return 0, 0
+    codes = word_codes(words)
+    return tuple(majority(shingle_hashes(codes, min(n, len(words)))) for n in (2, width))
 
 
 def _spanning(near: np.ndarray) -> np.ndarray:
@@ -52,7 +60,7 @@ def _close(first: np.ndarray, second: np.ndarray, radius: int, wide: int) -> np.
     return (pair <= radius) & (five <= wide)
 
 
-def _prints(part: pd.DataFrame) -> np.ndarray:
+def _matrix(part: pd.DataFrame) -> np.ndarray:
     return part[["two", "five"]].to_numpy(dtype=np.int64).view(np.uint64)
 
 
@@ -60,7 +68,7 @@ def _bucket_rows(radius: int, wide: int):
     """Links of the buckets in batches sorted by bucket; a bucket's rows are held until it ends."""
 
     def compare(held: pd.DataFrame) -> pd.DataFrame:
-        bucket, node, prints = held["bucket"].to_numpy(), held["node"].to_numpy(), _prints(held)
+        bucket, node, prints = held["bucket"].to_numpy(), held["node"].to_numpy(), _matrix(held)
         start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         size = np.diff(np.r_[start, len(bucket)])
         left, right = [], []
@@ -98,7 +106,7 @@ def _bucket_rows(radius: int, wide: int):
 
 def _block_rows(radius: int, wide: int):
     def rows(part: pd.DataFrame) -> pd.DataFrame:
-        prints = _prints(part)
+        prints = _matrix(part)
         label = _spanning(_close(prints, prints, radius, wide))
         moved = label != np.arange(len(part))
         node = part["node"].to_numpy()
@@ -107,8 +115,8 @@ def _block_rows(radius: int, wide: int):
     return rows
 
 
-def candidate_links(prints: DataFrame, radius: int = RADIUS, wide: int = WIDE, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all nodes of ``prints`` (node, two, five) within both radii.
+def candidate_links(nodes: DataFrame, radius: int = RADIUS, wide: int = WIDE, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect all ``nodes`` (node, two, five) within both radii.
 
     One spanning set per bucket or pair of blocks, never all pairs.
     """
@@ -116,7 +124,7 @@ def candidate_links(prints: DataFrame, radius: int = RADIUS, wide: int = WIDE, c
     tables = F.array(*[
         F.lit((2 * k + half) << 32).bitwiseXOR(F.shiftrightunsigned(F.col("two"), 32 * half).bitwiseAND(F.lit(m))) for k, m in enumerate(masks) for half in (0, 1)
     ])
-    keyed = prints.select(F.explode(tables).alias("bucket"), "node", "two", "five")
+    keyed = nodes.select(F.explode(tables).alias("bucket"), "node", "two", "five")
     sizes = cut_lineage(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd))
     plain = keyed.join(sizes.select("bucket"), "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
     links = plain.mapInPandas(_bucket_rows(radius, wide), "a long, b long")
@@ -171,18 +179,18 @@ def similar_documents(documents: DataFrame, text: str = "text", similarity: floa
     @F.pandas_udf("struct<two:long,five:long>")
     def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = np.array([(fingerprint(x, 2), fingerprint(x, width)) for x in batch], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            values = np.array([prints(x, width) for x in batch], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pd.DataFrame({"two": values[:, 0], "five": values[:, 1]})
 
-    prints = texts.select("node", prints_of("body").alias("p")).select("node", "p.two", "p.five")
-    prints = cut_lineage(prints.groupBy("node").agg(F.first("two").alias("two"), F.first("five").alias("five")))
-    groups = connected_components(candidate_links(prints), "a", "b").withColumnRenamed("root", "group")
+    found = texts.select("node", prints_of("body").alias("p")).select("node", "p.two", "p.five")
+    found = cut_lineage(found.groupBy("node").agg(F.first("two").alias("two"), F.first("five").alias("five")))
+    groups = connected_components(candidate_links(found), "a", "b").withColumnRenamed("root", "group")
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("blocks"))
     groups = cut_lineage(groups.join(sizes, "group").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
-            yield batch.assign(shingles=[shingle_set(x, width) for x in batch["body"]]).drop(columns="body")
+            yield batch.assign(shingles=[np.unique(shingles(x, width)).view(np.int64) for x in batch["body"]]).drop(columns="body")
 
     members = texts.join(groups, "node").mapInPandas(sets, "node long, group long, blocks int, mine int, shingles array<long>")
     members = members.groupBy("node").agg(*[F.first(c).alias(c) for c in ("group", "blocks", "mine", "shingles")])
