@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.common import best_rank
+from rankmill.llm.common import hash_share
 
 #: Kind, pattern, group that holds the value, least characters of the value; kinds in this order.
 BASE = (
@@ -24,8 +24,10 @@ MARKOV = "markov"
 #: Characters of a token that the models judge, and its least length.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z][A-Za-z0-9_-]{3,}"
-#: Upper bounds of the training sample: secret values, and documents whose other words are ordinary.
+#: Upper bounds of the training sample (documents in the mean): secret values, the documents they are taken
+#: from, and documents whose other words are ordinary.
 TRAIN_VALUES = 4000
+SECRET_DOCUMENTS = 20_000
 TRAIN_DOCUMENTS = 1000
 #: Log-likelihood ratio, in nats, from which a token counts as random.
 MIN_RATIO = 12.0
@@ -89,14 +91,15 @@ def _bigrams(tokens: DataFrame, random: bool) -> DataFrame:
 def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", values: int = TRAIN_VALUES, sample: int = TRAIN_DOCUMENTS) -> list[float]:
     """The table of log-likelihood ratios by (character, next character), 128 x 128 values.
 
-    Positive samples are the ``values`` base values with the smallest hash, negative ones all words of the
-    ``sample`` documents with the smallest hash of their id, with base matches cut out. Both bounds are
-    fixed. Without any sample the ratios are zero and nothing is added.
+    Positive samples are base values of at most ``SECRET_DOCUMENTS`` documents drawn by the hash of their id,
+    no more than ``values``; negative ones all words of at most ``sample`` of those documents, with base
+    matches cut out. The bounds are fixed and only counts reach the driver. Without any sample the ratios
+    are zero and nothing is added.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    secret = documents.select(F.explode(_values(body)).alias("token"))
-    secret = secret.orderBy(F.xxhash64("token"), "token").limit(values)
-    some = documents.select(best_rank(F.col(doc_id).cast("string")).alias("rank"), body.alias("body")).orderBy("rank").limit(sample)
+    total = max(1, documents.count())
+    body, key = F.coalesce(F.col(text), F.lit("")), hash_share(F.col(doc_id).cast("string"))
+    secret = documents.where(key < min(1.0, SECRET_DOCUMENTS / total)).select(F.explode(_values(body)).alias("token")).limit(values)
+    some = documents.where(key < min(1.0, sample / total)).select(body.alias("body"))
     clean = F.col("body")
     for _, pattern, _, _ in BASE[:2]:
         clean = F.regexp_replace(clean, pattern, " ")
