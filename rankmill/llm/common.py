@@ -27,11 +27,6 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = BATCH_TEXTS) -> Iterator
             yield batch.iloc[start : start + rows]
 
 
-def best_rank(hash_of: Column) -> Column:
-    """A stable pseudo-random sort key for bounded samples."""
-    return F.xxhash64(hash_of)
-
-
 def hash_share(key: Column) -> Column:
     """A stable value in [0, 1) by the hash of ``key``; below p for about a share p of the keys."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 31)).cast("double") / float(1 << 31)

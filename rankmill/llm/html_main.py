@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.llm.boosting import Trees
-from rankmill.llm.common import best_rank, slices
+from rankmill.llm.common import hash_share, slices
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -315,11 +315,13 @@ def template_pages(count: int = TRAIN_TEMPLATES, seed: int = 3) -> list[str]:
 
 
 def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", rows: int = TRAIN_PAGES) -> Trees:
-    """Trees fitted on the labelled templates and, with ``weak_labels``, the ``rows`` pages of smallest hash.
+    """Trees fitted on the labelled templates and, with ``weak_labels``, at most ``rows`` pages drawn by
+    the hash of their id.
 
     Sampled pages without an article or main element carry no signs and are left out of the fit.
     """
-    some = pages.where(F.col(source).isNotNull()).select(source, best_rank(F.col(page_id).cast("string")).alias("rank")).orderBy("rank").limit(rows)
+    drawn = hash_share(F.col(page_id).cast("string")) < min(1.0, 1.2 * rows / max(1, pages.count()))
+    some = pages.where(F.col(source).isNotNull() & drawn).select(source).limit(rows)
     parsed = [Page.parse(x) for x in [*template_pages(), *(r[0] for r in some.collect())]]
     labels = [weak_labels(p) for p in parsed]
     used = [(p.features()[1:], y[1:]) for p, y in zip(parsed, labels) if len(y) > 1 and y.any()]
