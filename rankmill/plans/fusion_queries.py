@@ -256,7 +256,21 @@ def _(t):
     return retag(t.run("price"), "final")
 
 
-@query("e17_known_item_regression", "queries:i baseline_mrr:f6 candidate_mrr:f6 wins:i ties:i losses:i passes:b")
+_GUARDED = (
+    "SELECT k.query_id, document_id, rank FROM knownrun k JOIN routes USING (query_id) WHERE route <> 'hybrid' UNION ALL "
+    f"SELECT f.query_id, document_id, rank FROM ({fused(['knownrun', 'mrun'], [0.3, 0.7], 10)}) f JOIN routes USING (query_id) WHERE route = 'hybrid'"
+)
+_HIT = "ON {0}.query_id = q.query_id AND {0}.document_id = replace(q.query, 'RW-', '') AND {0}.rank <= 10"
+_TAIL = "list_sum(list_transform(range(losses, wins + losses + 1), lambda k: exp(lgamma(wins + losses + 1) - lgamma(k + 1) - lgamma(wins + losses - k + 1) - (wins + losses) * ln(2))))"
+
+
+@query(
+    "e17_known_item_regression", "queries:i baseline_mrr:f6 candidate_mrr:f6 wins:i ties:i losses:i passes:b",
+    with_more("products ptok pdf ptf plen pstat", _GUARD_CTES + ", " + _MIXED + f", guarded AS ({_GUARDED})",
+              f"SELECT *, d >= -0.01 AND NOT (d < 0 AND {_TAIL} <= 0.05) AS passes FROM (SELECT count(*) AS queries, avg(b) AS baseline_mrr, avg(c) AS candidate_mrr, avg(c - b) AS d, "
+              "count(*) FILTER (c > b) AS wins, count(*) FILTER (c = b) AS ties, count(*) FILTER (c < b) AS losses FROM (SELECT q.query_id, coalesce(1.0 / min(k.rank), 0) AS b, coalesce(1.0 / min(g.rank), 0) AS c "
+              f"FROM phrases q LEFT JOIN knownrun k {_HIT.format('k')} LEFT JOIN guarded g {_HIT.format('g')} WHERE q.query_id LIKE 's-%' GROUP BY 1))"),
+)
 def _(t):
     """Does guarded fusion lose known items that the lexical search finds?"""
     queries = guard_queries(t)
