@@ -240,7 +240,18 @@ def _(t):
     )
 
 
-@query("t21_canonical_float32", "document_id:s digest:s")
+@query("t19_base64_characters", "document_id:s characters:i same:b",
+       "SELECT vec_id AS document_id, 4 * ((len(embedding) * 4 + 2) // 3) AS characters, true AS same FROM embeddings")
+def _(t):
+    coded = t.vectors.select("document_id", "embedding", vx.to_base64(F.col("embedding")).alias("b"))
+    return coded.select("document_id", F.length("b").alias("characters"), (vx.from_base64(F.col("b")) == F.col("embedding")).alias("same"))
+
+
+@query(
+    "t21_canonical_float32", "document_id:s digest:s",
+    "SELECT vec_id AS document_id, sha256(array_to_string(list_transform(list_transform(embedding, lambda x: {'x': CAST(x AS DOUBLE), 'e': CASE WHEN x = 0 THEN 0 ELSE CAST(floor(log2(abs(CAST(x AS DOUBLE)))) AS BIGINT) END}), "
+    "lambda s: printf('%08x', CASE WHEN s.x = 0 THEN 0 ELSE CASE WHEN s.x < 0 THEN 2147483648 ELSE 0 END + (s.e + 127) * 8388608 + CAST((abs(s.x) / pow(2, s.e) - 1) * 8388608 AS BIGINT) END)), '')) AS digest FROM embeddings",
+)
 def _(t):
     return t.vectors.select(
         "document_id", F.sha2(F.array_join(vx.canonical_float32(F.col("embedding")), ""), 256).alias("digest")

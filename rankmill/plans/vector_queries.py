@@ -50,6 +50,13 @@ def _(t):
     return recall_summary(ann_recall(exact, tried, 10, ["effort"]), 0.98, ["effort"])
 
 
+@query("d04_ann_full_effort", SCORED, with_("sims", ranked("sims", "query_id", BEST, 10)))
+def _(t):
+    """With every cell probed the approximate search is the exact one."""
+    centers, assigned = dn.build_cells(t.vectors, 16)
+    return dn.ann_knn(t.vector_queries, assigned, centers, 10, 16)
+
+
 @query(
     "d05_radial_search", SCORED,
     with_("sims", ranked("(SELECT * FROM sims WHERE score >= 0.6 AND query_id <> document_id)", "query_id", BEST, 15)),
