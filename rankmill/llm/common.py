@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the Arrow batches of a session whose rows are whole texts, and so the memory of Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def slices(batches: Iterator[pd.DataFrame], rows: int = BATCH_TEXTS) -> Iterator[pd.DataFrame]:
     """Arrow batches cut to at most ``rows`` rows, so that a batch of long texts stays small."""
     for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rankmill.llm.common import connected_components, slices
 from rankmill.llm.decontaminate import shingle_hashes, word_codes, words_of
 from rankmill.llm.simhash import majority, mask_table
-from rankmill.session import cut_lineage
+from rankmill.session import broadcast_if_small, cut_lineage
 
 RADIUS, WIDE = 10, 20
 SHINGLE, SIMILARITY = 5, 0.8
@@ -124,12 +124,14 @@ def candidate_links(nodes: DataFrame, radius: int = RADIUS, wide: int = WIDE, cr
     tables = F.array(*[
         F.lit((2 * k + half) << 32).bitwiseXOR(F.shiftrightunsigned(F.col("two"), 32 * half).bitwiseAND(F.lit(m))) for k, m in enumerate(masks) for half in (0, 1)
     ])
-    keyed = nodes.select(F.explode(tables).alias("bucket"), "node", "two", "five")
+    # many small tasks: each row becomes over a hundred, which one task must not hold
+    parts = max(32, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = nodes.repartition(parts, "node").select(F.explode(tables).alias("bucket"), "node", "two", "five")
     sizes = cut_lineage(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd))
-    plain = keyed.join(sizes.select("bucket"), "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
+    plain = keyed.join(broadcast_if_small(sizes.select("bucket")), "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
     links = plain.mapInPandas(_bucket_rows(radius, wide), "a long, b long")
     count = F.ceil(F.col("n") / block).cast("int")
-    crowded = keyed.join(sizes, "bucket").withColumn("blocks", count).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    crowded = keyed.join(broadcast_if_small(sizes), "bucket").withColumn("blocks", count).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = crowded.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "two", "five"
     )
