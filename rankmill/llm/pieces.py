@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmill.llm.common import slices
+from rankmill.llm.common import slices, small_batches
 from rankmill.session import scratch_path
 
 SPACE = "▁"
@@ -34,6 +34,8 @@ _LITERAL = "\udc81"
 CHUNK = 16384
 #: Chunks that are combined to one matrix before the scan along a text.
 BLOCK = 256
+#: Rows of an Arrow batch; texts and their ids are long.
+ARROW_ROWS = 500
 #: Words that a task remembers; the memory is emptied when full.
 REMEMBERED = 200_000
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -377,7 +379,9 @@ def _encode_giants(texts: DataFrame, held: Broadcast, size: int) -> DataFrame:
 
     local_path = scratch_path(spark, "matrices")
     chunks.mapInPandas(matrices, f"{_KEYED}, block int, matrix array<binary>").write.parquet(local_path)
-    local = spark.read.parquet(local_path)
+    # groups are small and many: a fixed number of tasks, as merging them by their bytes would leave one
+    parts = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    local = spark.read.parquet(local_path).repartition(parts, "key")
 
     def combine(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("no")
@@ -417,9 +421,10 @@ def encode(documents: DataFrame, held: Broadcast, text: str = "text", chunk: int
     piece become byte pieces. A literal U+2581, which the model's own library turns into a space, is
     written in bytes too, so decoding gives back every text. Null texts have null ids, empty ones an empty
     array. Texts of more than ``chunk`` characters are encoded by chunks in parallel. A column
-    ``piece_ids`` of the input is replaced.
+    ``piece_ids`` of the input is replaced. The session's Arrow batches are set to ``ARROW_ROWS`` rows.
     """
     keep = [c for c in documents.columns if c != "piece_ids"]
+    small_batches(documents.sparkSession, ARROW_ROWS)
 
     @F.pandas_udf("array<int>")
     def direct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
