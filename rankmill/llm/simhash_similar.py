@@ -4,12 +4,18 @@ At a similarity of 0.8 on five-word shingles the five-word SimHashes differ in a
 for covering tables. A changed word touches five shingles but two word pairs, so SimHashes of word pairs
 differ in about 6 bits only. Two texts within ``RADIUS`` bits differ in at most half of that in one half of
 the fingerprint (pigeonhole), and the covering masks of that half make them meet. Met pairs must also be
-within ``WIDE`` bits on five-word shingles, which random pairs are not. Candidate groups are then verified by
-exact similarity, in blocks, and only verified links make classes.
+within ``WIDE`` bits on five-word shingles, which random pairs are not.
+
+Appended, cut or replaced blocks and repeated words move the SimHashes further than that, so a prefix filter
+finds what the tables miss: in any fixed order of all shingles, two sets at the similarity share one among
+the first of each (``marks``). Bounds on sizes, places and differing shingles, which no such pair breaks, thin
+out what meets there. Candidate groups of both searches are then verified by exact similarity, in blocks,
+and only verified links make classes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.common import connected_components, slices
+from rankmill.llm.common import connected_components, hash_share, slices
 from rankmill.llm.decontaminate import shingle_hashes, word_codes, words_of
 from rankmill.llm.simhash import majority, mask_table
 from rankmill.session import broadcast_if_small, cut_lineage
@@ -28,6 +34,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 CROWD, BLOCK = 4096, 2048
 #: Texts of a block in exact verification.
 VERIFIED = 400
+#: Texts sampled for common shingles, and the share of them from which a shingle is common.
+SAMPLE, COMMON = 4000, 0.005
+#: Words of the bit map of shingle parities.
+PARITY = 4
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -45,6 +55,21 @@ def prints(text: str | None, width: int = SHINGLE) -> tuple[int, int]:
     return tuple(majority(shingle_hashes(codes, min(n, len(words)))) for n in (2, width))
 
 
+def marks(found: np.ndarray, similarity: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the order of the prefix filter, and the parities of all of them by hash.
+
+    Shingles that are ``common`` come last and the others by hash, so passages that many texts share make
+    few meetings. Sets at the similarity share at least that part of each of them, so the rest and one more
+    of each hold a shared one. A set without shingles has the mark 0.
+    """
+    if not len(found):
+        return np.zeros(1, dtype=np.uint64), np.zeros(PARITY, dtype=np.uint64)
+    late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), dtype=bool)
+    needed = max(1, math.ceil(similarity * len(found) - 1e-6))
+    odd = np.bincount((found % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
+    return np.r_[found[~late], found[late]][: len(found) - needed + 1], np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def _spanning(near: np.ndarray) -> np.ndarray:
     """The smallest index that each member reaches in a symmetric link matrix with a true diagonal."""
     label, last = np.arange(len(near)), None
@@ -55,16 +80,35 @@ def _spanning(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def _close(first: np.ndarray, second: np.ndarray, radius: int, wide: int) -> np.ndarray:
-    pair, five = (np.bitwise_count(first[:, None, k] ^ second[None, :, k]) for k in (0, 1))
-    return (pair <= radius) & (five <= wide)
+def _close(radius: int, wide: int):
+    def close(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        pair, five = (np.bitwise_count(first[..., k] ^ second[..., k]) for k in (0, 1))
+        return (pair <= radius) & (five <= wide)
+
+    return close
+
+
+def _may_reach(similarity: float):
+    """Whether sets that share a shingle as their first one can reach the similarity.
+
+    By (size, shingles from the shared one on, parities); shingles in one set only change one parity each.
+    """
+
+    def close(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        n, m = (x[..., 0].astype(np.float64) for x in (first, second))
+        shared = similarity / (1 + similarity) * (n + m) - 1e-6
+        ok = np.minimum(first[..., 1], second[..., 1]) >= shared
+        apart = sum(np.bitwise_count(first[..., k] ^ second[..., k]).astype(np.int16) for k in range(2, 2 + PARITY))
+        return ok & (apart <= n + m - 2 * shared)
+
+    return close
 
 
 def _matrix(part: pd.DataFrame) -> np.ndarray:
-    return part[["two", "five"]].to_numpy(dtype=np.int64).view(np.uint64)
+    return part.drop(columns=[c for c in ("bucket", "node", "i", "j") if c in part]).to_numpy(dtype=np.int64).view(np.uint64)
 
 
-def _bucket_rows(radius: int, wide: int):
+def _bucket_rows(close):
     """Links of the buckets in batches sorted by bucket; a bucket's rows are held until it ends."""
 
     def compare(held: pd.DataFrame) -> pd.DataFrame:
@@ -79,11 +123,13 @@ def _bucket_rows(radius: int, wide: int):
         for step in range(1, int(size[small].max(initial=1))):
             a = index[in_small & (index + step < last)]
             b = a + step
-            ok = (np.bitwise_count(prints[a, 0] ^ prints[b, 0]) <= radius) & (np.bitwise_count(prints[a, 1] ^ prints[b, 1]) <= wide)
+            ok = close(prints[a], prints[b])
             left.append(a[ok])
             right.append(b[ok])
         for s, n in zip(start[~small], size[~small]):
-            label = _spanning(_close(prints[s : s + n], prints[s : s + n], radius, wide))
+            near = close(prints[s : s + n, None], prints[None, s : s + n])
+            np.fill_diagonal(near, True)
+            label = _spanning(near)
             moved = np.flatnonzero(label != np.arange(n))
             left.append(s + moved)
             right.append(s + label[moved])
@@ -104,10 +150,12 @@ def _bucket_rows(radius: int, wide: int):
     return rows
 
 
-def _block_rows(radius: int, wide: int):
+def _block_rows(close):
     def rows(part: pd.DataFrame) -> pd.DataFrame:
         prints = _matrix(part)
-        label = _spanning(_close(prints, prints, radius, wide))
+        near = close(prints[:, None], prints[None, :])
+        np.fill_diagonal(near, True)
+        label = _spanning(near)
         moved = label != np.arange(len(part))
         node = part["node"].to_numpy()
         return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
@@ -128,14 +176,42 @@ def candidate_links(nodes: DataFrame, radius: int = RADIUS, wide: int = WIDE, cr
     parts = max(32, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = nodes.repartition(parts, "node").select(F.explode(tables).alias("bucket"), "node", "two", "five")
     sizes = cut_lineage(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd))
-    plain = keyed.join(broadcast_if_small(sizes.select("bucket")), "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
-    links = plain.mapInPandas(_bucket_rows(radius, wide), "a long, b long")
+    plain = keyed.join(broadcast_if_small(sizes.select("bucket")), "bucket", "left_anti")
+    return _met(plain, keyed.join(broadcast_if_small(sizes), "bucket"), ["two", "five"], _close(radius, wide), block)
+
+
+def _met(plain: DataFrame, crowded: DataFrame, values: list[str], close, block: int) -> DataFrame:
+    """Links (a, b) of the members of ``plain`` buckets and, in pairs of blocks, of ``crowded`` ones of ``n`` rows."""
+    links = plain.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_bucket_rows(close), "a long, b long")
     count = F.ceil(F.col("n") / block).cast("int")
-    crowded = keyed.join(broadcast_if_small(sizes), "bucket").withColumn("blocks", count).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    crowded = crowded.withColumn("blocks", count).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = crowded.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "two", "five"
+        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", *values
     )
-    return links.union(paired.groupBy("bucket", "i", "j").applyInPandas(_block_rows(radius, wide), "a long, b long"))
+    return links.union(paired.groupBy("bucket", "i", "j").applyInPandas(_block_rows(close), "a long, b long"))
+
+
+def prefix_links(nodes: DataFrame, similarity: float = SIMILARITY, crowd: int = BLOCK, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect all ``nodes`` (node, size, marks, parity) at the similarity or above."""
+    keyed = nodes.select("node", "size", F.posexplode("marks").alias("at", "bucket")).select("bucket", "node", (F.col("size") - F.col("at")).alias("rest"))
+    sizes = cut_lineage(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    values = ["size", "rest", *[f"p{k}" for k in range(PARITY)]]
+    facts = nodes.select("node", "size", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)])
+    rows = cut_lineage(keyed.join(sizes, "bucket")).join(facts, "node").select("bucket", "node", "n", *values)
+    return _met(rows.where(F.col("n") <= crowd).drop("n"), rows.where(F.col("n") > crowd), values, _may_reach(similarity), block)
+
+
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many of a bounded sample of ``texts`` (node, body) have."""
+    share = SAMPLE / max(1, texts.count())
+    sample = texts.where(hash_share(F.col("node")) < share) if share < 1 else texts
+
+    @F.pandas_udf("array<long>")
+    def sets(bodies: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(x, width)).view(np.int64) for x in bodies], dtype=object)
+
+    counts = sample.select(F.explode(sets("body")).alias("shingle")).groupBy("shingle").count().where(F.col("count") > max(10, COMMON * SAMPLE))
+    return np.sort(counts.toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
 def _verify_rows(similarity: float):
@@ -171,22 +247,31 @@ def similar_documents(documents: DataFrame, text: str = "text", similarity: floa
     """(node, root): the class of every text that is similar to another one.
 
     ``node`` is xxhash64 of the text (null texts as empty ones). Texts are linked when the Jaccard
-    similarity of their sets of ``width``-word shingles is at least ``similarity`` and their SimHashes are
-    within the radii of the module; ``root`` is the same for all that links connect. Texts without words
-    are similar to each other only. Equal texts are one node. An empty table gives no rows.
+    similarity of their sets of ``width``-word shingles is at least ``similarity``, every such pair
+    being found; ``root`` is the same for all that links connect. Texts without words are similar to each
+    other only. Equal texts are one node. An empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     texts = documents.select(F.xxhash64(body).alias("node"), body.alias("body"))
 
-    @F.pandas_udf("struct<two:long,five:long>")
+    common = documents.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+
+    @F.pandas_udf("struct<two:long,five:long,size:int,marks:array<long>,parity:array<long>>")
     def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = np.array([prints(x, width) for x in batch], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"two": values[:, 0], "five": values[:, 1]})
-
-    found = texts.select("node", prints_of("body").alias("p")).select("node", "p.two", "p.five")
-    found = cut_lineage(found.groupBy("node").agg(F.first("two").alias("two"), F.first("five").alias("five")))
-    groups = connected_components(candidate_links(found), "a", "b").withColumnRenamed("root", "group")
+            sets = [np.unique(shingles(x, width)) for x in batch]
+            first = [[v.view(np.int64) for v in marks(x, similarity, common.value)] for x in sets]
+            yield pd.DataFrame({
+                "two": values[:, 0], "five": values[:, 1], "size": np.array([len(x) for x in sets], dtype=np.int32),
+                "marks": pd.Series([x for x, _ in first], dtype=object), "parity": pd.Series([x for _, x in first], dtype=object),
+            })
+
+    columns = ["two", "five", "size", "marks", "parity"]
+    found = texts.select("node", prints_of("body").alias("p")).select("node", "p.*")
+    found = cut_lineage(found.groupBy("node").agg(*[F.first(c).alias(c) for c in columns]))
+    links = candidate_links(found.select("node", "two", "five")).union(prefix_links(found.select("node", "size", "marks", "parity"), similarity))
+    groups = connected_components(links, "a", "b").withColumnRenamed("root", "group")
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("blocks"))
     groups = cut_lineage(groups.join(sizes, "group").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
 

@@ -56,3 +56,37 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "x"), (None, "x"), (7, "y")], "doc_id long, text string")
     assert sorted(map(tuple, keep_one(docs).collect()), key=str) == [(4, "a b c d e f"), (7, "y"), (None, "x")]
     assert keep_one(docs.limit(0)).count() == 0 and similar_documents(docs.limit(0)).count() == 0
+
+
+def edited(seed=4, n=60):
+    """Pairs whose similarity is 0.8 to 0.85 by one cut, appended or replaced block, half of them with repeats."""
+    rng = random.Random(seed)
+    words, out = [f"w{i}" for i in range(5000)], []
+    while len(out) < 2 * n:
+        base = rng.choices(words, k=rng.randint(150, 500))
+        if len(out) % 4:
+            base[50:50] = ["again"] * 60 + base[:20] * 3
+        size = rng.randint(len(base) // 12, len(base) // 4)
+        at, new = rng.randrange(len(base) - size), rng.choices(words, k=size)
+        copy = rng.choice([base[:-size], base + new, base[:at] + new + base[at + size :]])
+        a, b = sets(" ".join(base)), sets(" ".join(copy))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            out += [" ".join(base), " ".join(copy)]
+    return out
+
+
+@pytest.mark.parametrize("limits", [None, (1, 1)])
+def test_no_edited_block_is_missed(spark, monkeypatch, limits):
+    if limits:
+        monkeypatch.setattr(simhash_similar.prefix_links, "__defaults__", (0.8, *limits))
+    texts = edited(n=6 if limits else 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in keep_one(docs).collect()} == set(range(0, len(texts), 2))
+
+
+def test_common_passages_do_not_hide_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash_similar, "COMMON", 0.001)
+    passage = " ".join(f"p{i}" for i in range(120))
+    texts = [f"{passage} {t}" for t in edited(5, 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in keep_one(docs).collect()} == set(classes(texts))
