@@ -1,12 +1,14 @@
 """Embedding near-duplicates on a robust-pruned flat graph.
 
-Distinct vectors are dealt to overlapping cluster shards (every vector joins the shards of all centres
-nearly as close as its nearest). Each shard builds a graph: candidate neighbours are pruned so that a
+Distinct vectors are dealt to overlapping cluster shards (every vector joins the shards of the few centres
+nearly as close as its nearest). Groups too tight to be dealt apart are compared exactly, in pairs of
+blocks. Each shard builds a graph: candidate neighbours are pruned so that a
 neighbour covers others that lie closer to it than to the node. The adjacency lists of all shards are
 united. Every vector then searches its shards on the united graph: a greedy search from the medoid (and
 the vector's own node) with a beam, whose result widens for as long as it meets vectors in range. Verified
 links give components; links are counted exactly within a component, in blocks. An audit of a bounded
-query sample against all rows measures recall, and a run below the target is repeated with wider beams.
+query sample against all rows measures recall, and a run below the target is repeated with wider beams and
+shards around other centres, whose links are added.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.llm.common import connected_components
+from rankmill.llm.simhash_similar import _spanning
 from rankmill.session import cut_lineage
 
 #: Vectors a shard should have and may have; larger shards are dealt again around centres of their own.
@@ -28,6 +31,9 @@ SHARD, SHARD_LIMIT = 800, 3000
 CENTRES, SAMPLE = 2048, 12
 #: A vector also joins the shards of centres whose cosine is at most this much below its best.
 MARGIN = 0.06
+#: Most centres that a vector joins in a round, most rounds that divide a shard, and the share of a shard from
+#: which a part counts as undivided.
+NEAREST, DEPTH, TIGHT = 3, 3, 0.6
 DEGREE, CANDIDATES, RANDOM, ALPHA = 24, 48, 16, 1.2
 BLOCK = 1500
 #: Vectors of the recall audit, and the recall below which the search is widened.
@@ -158,19 +164,24 @@ def _centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centres
 
 
-def deal(vectors: DataFrame) -> DataFrame:
-    """(shard, cid, unit) with shards of bounded size; ``vectors`` has (label, cid, unit).
+def deal(vectors: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Two tables (shard, cid, unit): shards of bounded size, and those that dealing does not divide.
 
-    In each round the oversized shards get centres from a sample; the driver holds at most CENTRES
-    centres and SAMPLE vectors for each. Shards that the bound leaves large are split in the next round.
+    ``vectors`` has (label, cid, unit). In each round the oversized shards get centres from a sample; the
+    driver holds at most CENTRES centres and SAMPLE vectors for each. Shards that the bound leaves large
+    are split in the next round. A shard is undivided if one of its parts holds nearly all of it, or if it
+    is oversized after DEPTH divisions; a vector has at most NEAREST ** DEPTH rows.
     """
     spark = vectors.sparkSession
-    ready, open_ = [], vectors.select(F.concat(F.lit("L"), F.col("label").cast("string")).alias("shard"), "cid", "unit")
+    ready, tight, open_ = [], [], vectors.select(F.concat(F.lit("L"), F.col("label").cast("string")).alias("shard"), "cid", "unit").withColumn("depth", F.lit(0))
+    columns = ["shard", "cid", "unit"]
     for level in range(12):
-        sizes = cut_lineage(open_.groupBy("shard").agg(F.count("*").alias("n")))
+        sizes = cut_lineage(open_.groupBy("shard", "depth").agg(F.count("*").alias("n")))
         small = sizes.where(F.col("n") <= SHARD_LIMIT).select("shard")
-        large = sizes.where(F.col("n") > SHARD_LIMIT)
-        ready.append(open_.join(small, "shard", "left_semi"))
+        stuck = sizes.where((F.col("n") > SHARD_LIMIT) & (F.col("depth") >= DEPTH)).select("shard")
+        large = sizes.where((F.col("n") > SHARD_LIMIT) & (F.col("depth") < DEPTH))
+        ready.append(open_.join(small, "shard", "left_semi").select(*columns))
+        tight.append(open_.join(stuck, "shard", "left_semi").select(*columns))
         top = large.orderBy(F.desc("n"), "shard").limit(CENTRES // 2).collect()
         if not top:
             break
@@ -178,9 +189,9 @@ def deal(vectors: DataFrame) -> DataFrame:
         share = min(1.0, CENTRES / max(1, math.ceil(total / SHARD)))
         wanted = {r["shard"]: max(2, int(share * r["n"] / SHARD)) for r in top}
         keep = spark.createDataFrame([(s, SAMPLE * k / r["n"]) for (s, k), r in zip(wanted.items(), top)], "shard string, share double")
-        odds = (F.xxhash64("cid", F.lit(level)).cast("double") / F.lit(2.0**64)) + 0.5
+        odds = (F.xxhash64("cid", F.lit(level + 100 * seed)).cast("double") / F.lit(2.0**64)) + 0.5
         sample = open_.join(F.broadcast(keep), "shard").where(odds < F.col("share")).select("shard", "unit").toPandas()
-        centres = {s: _centres(_matrix(part["unit"]), wanted[s], level) for s, part in sample.groupby("shard")}
+        centres = {s: _centres(_matrix(part["unit"]), wanted[s], level + 100 * seed) for s, part in sample.groupby("shard")}
         held = spark.sparkContext.broadcast(centres)
 
         def assign(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -188,22 +199,55 @@ def deal(vectors: DataFrame) -> DataFrame:
                 for shard, part in batch.groupby("shard"):
                     table = held.value.get(shard)
                     if table is None:
-                        yield part
+                        yield part.assign(parent=shard)[["parent", *part.columns]]
                         continue
                     cos = _matrix(part["unit"]) @ table.T
-                    row, centre = np.nonzero(cos >= cos.max(axis=1, keepdims=True) - MARGIN)
+                    best = np.argsort(-cos, axis=1, kind="stable")[:, :NEAREST]
+                    value = np.take_along_axis(cos, best, axis=1)
+                    row, place = np.nonzero(value >= value[:, :1] - MARGIN)
                     out = part.iloc[row].reset_index(drop=True)
-                    out["shard"] = [f"{shard}.{c}" for c in centre]
+                    out["parent"], out["shard"], out["depth"] = shard, [f"{shard}.{c}" for c in best[row, place]], out["depth"] + 1
                     yield out
 
         # a vector reaches a shard of the next level once, whichever way it came
-        open_ = cut_lineage(open_.join(large.select("shard"), "shard", "left_semi").mapInPandas(assign, "shard string, cid long, unit array<double>"))
+        before = open_.join(large.select("shard"), "shard", "left_semi")
+        dealt = cut_lineage(before.select(*columns, "depth").mapInPandas(assign, "parent string, shard string, cid long, unit array<double>, depth int"))
+        parts = dealt.where("parent <> shard").groupBy("parent", "shard").agg(F.count("*").alias("part")).groupBy("parent").agg(F.max("part").alias("part"))
+        whole = large.join(parts, large["shard"] == parts["parent"]).where(F.col("part") > F.greatest(TIGHT * F.col("n"), F.lit(SHARD_LIMIT))).select("parent")
+        whole = cut_lineage(whole)
+        tight.append(before.join(whole.withColumnRenamed("parent", "shard"), "shard", "left_semi").select(*columns))
+        open_ = dealt.join(whole, "parent", "left_anti").select(*columns, "depth")
     else:
-        ready.append(open_)
-    out = ready[0]
-    for part in ready[1:]:
-        out = out.union(part)
-    return out
+        tight.append(open_.select(*columns))
+    out = []
+    for tables in (ready, tight):
+        union = tables[0]
+        for part in tables[1:]:
+            union = union.union(part)
+        out.append(union)
+    return tuple(out)
+
+
+def _block_rows(cosine: float):
+    def rows(part: pd.DataFrame) -> pd.DataFrame:
+        units, ids = _matrix(part["unit"]), part["cid"].to_numpy()
+        near = units @ units.T >= cosine
+        np.fill_diagonal(near, True)
+        label = _spanning(near)
+        moved = label != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
+
+    return rows
+
+
+def block_edges(shards: DataFrame, cosine: float) -> DataFrame:
+    """Edges (a, b) that connect all linked vectors of a shard, compared exactly in pairs of hash blocks."""
+    sizes = shards.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = shards.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), "blocks").cast("int"))
+    pairs = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "unit"
+    )
+    return pairs.groupBy("shard", "i", "j").applyInPandas(_block_rows(cosine), "a long, b long")
 
 
 def _graph_rows(part: pd.DataFrame) -> pd.DataFrame:
@@ -314,17 +358,20 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         "vec_id", F.concat_ws("/", F.size("v").cast("string"), F.col("label").cast("string")).alias("label"), F.transform("v", lambda x: x / F.col("norm")).alias("unit")
     ).withColumn("cid", F.xxhash64("label", "unit"))
     classes = cut_lineage(good.groupBy("cid").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id")))
-    shards = cut_lineage(deal(classes.select("label", "cid", "unit")))
-    lists = shards.groupBy("shard").applyInPandas(_graph_rows, "cid long, near array<long>")
-    united = cut_lineage(lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    links, seed = None, 0
     while True:
-        edges = shards.join(united, "cid").groupBy("shard").applyInPandas(_search_rows(cosine, beam), "a long, b long")
-        roots = connected_components(edges, "a", "b")
+        shards, tight = deal(classes.select("label", "cid", "unit"), seed)
+        shards = cut_lineage(shards)
+        lists = shards.groupBy("shard").applyInPandas(_graph_rows, "cid long, near array<long>")
+        united = cut_lineage(lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+        edges = shards.join(united, "cid").groupBy("shard").applyInPandas(_search_rows(cosine, beam), "a long, b long").union(block_edges(tight, cosine))
+        roots = connected_components(edges if links is None else edges.union(links), "a", "b")
         counted = cut_lineage(_links(classes, roots, cosine))
         recall, _ = _audit(classes, counted, cosine, audit)
         if recall >= TARGET or beam >= 256:
             break
-        beam *= 2
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        beam, seed = 2 * beam, seed + 1
     whole = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(counted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     whole = cut_lineage(whole.select("cid", "root", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     names = whole.groupBy("root").agg(F.min("first_id").alias("component_id"))

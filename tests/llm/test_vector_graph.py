@@ -67,3 +67,34 @@ def test_pruning_and_search():
     assert len(set(zip(a, b))) == len(a)
     found, true = set(zip(a.tolist(), b.tolist())), {(int(i), int(j)) for i, j in np.argwhere(x @ x.T >= 0.93) if i != j}
     assert found <= true and len(found) >= 0.95 * len(true)
+
+
+def test_tight_group_is_divided_or_compared_in_blocks(spark):
+    """Over SHARD_LIMIT distinct near copies of one vector, and others of the same label, at the production bounds."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=16) + 0.05 * rng.normal(size=(3300, 16)), rng.normal(size=(300, 16))]).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(unit)], "label string, cid long, unit array<double>").repartition(4)
+    shards, tight = (t.cache() for t in vector_graph.deal(vectors))
+    assert all(r["count"] <= vector_graph.SHARD_LIMIT for r in shards.groupBy("shard").count().collect())
+    assert {r.cid for r in shards.union(tight).select("cid").collect()} == set(range(len(x)))
+    assert shards.count() + tight.count() <= vector_graph.NEAREST * len(x)
+    rows = [(i, [float(v) for v in x[i]], 1, 0) for i in range(len(x))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, DDL).repartition(4)).collect()}
+    want = slow(list(range(len(x))), x, np.ones(len(x)), 0.93)
+    total, same = sum(n for n, _ in want.values()), sum(min(got[i][0], want[i][0]) for i in want)
+    assert all(got[i][0] <= want[i][0] for i in want) and same >= 0.999 * total
+
+
+def test_blocks_connect_all_links(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "BLOCK", 50)
+    x, _ = sample(3, 300)
+    x = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    shard = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "shard string, cid long, unit array<double>")
+    edges = {(r.a, r.b) for r in vector_graph.block_edges(shard, 0.93).collect()}
+    root = np.arange(len(x))
+    for _ in range(50):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(x[a] @ x[b] >= 0.93 or root[a] == root[b] for a, b in edges)
+    assert all(root[i] == root[j] for i, j in np.argwhere(x @ x.T >= 0.93))
