@@ -5,7 +5,8 @@ their 64-bit SimHashes are cut into blocks, and two fingerprints within ``RADIUS
 within ``RADIUS // BLOCKS`` bits of each other, so a table per block value finds every item within the
 radius. Those candidates are verified by the exact weighted Jaccard similarity of their word shingles.
 Windows that hold no shingle of any item have similarity zero with all of them, so only windows around
-shared shingles are fingerprinted.
+shared shingles are fingerprinted. A document shorter than an item is one whole window for it, compared
+exactly with the items whose length lets them reach the similarity.
 """
 
 from __future__ import annotations
@@ -110,6 +111,8 @@ class ItemIndex:
     shingles: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     #: Item sizes that own a shingle hash.
     owners: dict[int, set[int]] = field(default_factory=dict)
+    #: Items that hold a shingle hash.
+    holders: dict[int, list[int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         prints: dict[int, list[int]] = {}
@@ -122,8 +125,9 @@ class ItemIndex:
             self.sizes.setdefault(n, SizeIndex()).items.append(k)
             prints.setdefault(n, []).append(int(window_fingerprints(own, len(own))[0]))
             hashes.setdefault(width, []).append(own)
-            for h in own.tolist():
+            for h in set(own.tolist()):
                 self.owners.setdefault(h, set()).add(n)
+                self.holders.setdefault(h, []).append(k)
         for n, values in prints.items():
             self.sizes[n].build(values, self.radius)
         for width, parts in hashes.items():
@@ -149,8 +153,20 @@ class ItemIndex:
                 for n in self.owners[int(hashes[q])]:
                     spots.setdefault(n, []).append(q)
             for n, places in spots.items():
-                self._search(n, n - width + 1, np.array(places), hashes, words, best)
-        return sorted((self.ids[k], s, s + len(self.words[k]), round(v, 6)) for k, (v, s) in best.items())
+                if n <= len(words):
+                    self._search(n, n - width + 1, np.array(places), hashes, words, best)
+            if len(words) < max(spots, default=0):
+                self._whole(hashes[hits], words, best)
+        return sorted((self.ids[k], s, min(s + len(self.words[k]), len(words)), round(v, 6)) for k, (v, s) in best.items())
+
+    def _whole(self, hits: np.ndarray, words: list[bytes], best: dict) -> None:
+        """All ``words``, whose shingles ``hits`` are known, as one window for the longer items they can reach."""
+        shared = Counter(k for h in hits.tolist() for k in self.holders[h] if len(self.words[k]) > len(words))
+        for k, count in shared.items():
+            if count >= self.similarity * (len(self.words[k]) - SHINGLE + 1) - 1e-9:
+                value = weighted_similarity(words, self.words[k])
+                if value >= self.similarity:
+                    best[k] = value, 0
 
     def _search(self, n: int, count: int, places: np.ndarray, hashes: np.ndarray, words: list[bytes], best: dict) -> None:
         """Windows of ``count`` shingles that hold a shingle at one of ``places``."""
@@ -185,8 +201,8 @@ def _finder(held: Broadcast):
 def matches(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Column:
     """A column of ``documents``: array of (item_id, start, end, similarity) of the items found in ``text``.
 
-    An item is found where some window of as many words has a weighted similarity of at least 0.8; of
-    several windows the best, then the first, is given. Null and empty texts find nothing, null and empty
+    An item is found where some window of as many words has a weighted similarity of at least 0.8, or all of
+    a text of fewer words has; of several windows the best, then the first, is given. Null and empty texts find nothing, null and empty
     items are never found, and a repeated item is found once per row. The benchmark is a stated query set:
     it is held in memory in indexes of at most ``ITEMS`` items each.
     """

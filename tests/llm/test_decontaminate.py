@@ -81,3 +81,32 @@ def test_sliding_fingerprints():
 
 def test_index_of_no_items():
     assert ItemIndex([], []).matches("a b") == []
+
+
+def whole_or_windows(text, items):
+    """``slow`` with a text shorter than an item as one whole window."""
+    words, out = words_of(text), slow(text, items)
+    for key, item in items:
+        goal = words_of(item)
+        if 0 < len(words) < len(goal) and (value := weighted_similarity(words, goal)) >= 0.8:
+            out[key] = round(value, 6)
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choices([f"w{j}" for j in range(300)] + ["a"] * 40, k=n))) for i, n in enumerate([5, 6, 9, 20, 30, 30, 50, 60] * 3)]
+    texts = []
+    for _, item in items:
+        words = item.split()
+        for cut in range(1, min(12, len(words))):
+            at = rng.randrange(len(words))
+            texts += [" ".join(words[:-cut]), " ".join(words[cut:]).upper(), " ".join(words[:at] + words[at + 1 :])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = contaminated(docs, bench).collect()
+    got = sorted((r.doc_id, r.item_id, r.similarity) for r in found)
+    want = sorted((d, k, v) for d, t in enumerate(texts) for k, v in whole_or_windows(t, items).items())
+    assert got == want and len(want) > sum(len(slow(t, items)) for t in texts) + 50
+    assert all(0 <= r.start < r.end <= len(texts[r.doc_id].split()) for r in found)
+    assert {r.doc_id for r in clean(docs, bench).collect()} == set(range(len(texts))) - {d for d, _, _ in want}
