@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from rankmill.llm.common import table
+from rankmill.llm.filter_audit import SQL as AUDIT_SQL
 from rankmill.llm.line_runs import SQL as LINE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankmill.llm.quality import classify
 
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.filter_audit import audit, failure_sets
+
+    return audit(failure_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+ORACLES["op11_filter_audit"] = AUDIT_SQL.format(documents="documents", labels="labels")
