@@ -140,14 +140,14 @@ orders AS (
 steps AS (SELECT o, i AS step FROM orders, l),
 counted AS (
   SELECT part, o, step,
-    sum(n) FILTER (NOT list_contains(list_transform(o[1:step], x -> f[x]), true)) AS kept,
-    sum(n) FILTER (f[o[step]] AND NOT list_contains(list_transform(o[1:step - 1], x -> f[x]), true)) AS removed,
-    sum(n) FILTER (f[o[step]] AND list_contains(list_transform(o[1:step - 1], x -> f[x]), true)) AS redundant,
-    sum(n) FILTER (f[o[step]] AND len(list_filter(f, x -> x)) = 1) AS unique_fails,
-    sum(good) FILTER (f[o[step]] AND NOT list_contains(list_transform(o[1:step - 1], x -> f[x]), true)) AS good_lost,
-    sum(toxic) FILTER (f[o[step]] AND NOT list_contains(list_transform(o[1:step - 1], x -> f[x]), true)) AS toxic_lost
+    sum(n) FILTER (NOT list_contains(list_transform(o[1:step], lambda x: f[x]), true)) AS kept,
+    sum(n) FILTER (f[o[step]] AND NOT list_contains(list_transform(o[1:step - 1], lambda x: f[x]), true)) AS removed,
+    sum(n) FILTER (f[o[step]] AND list_contains(list_transform(o[1:step - 1], lambda x: f[x]), true)) AS redundant,
+    sum(n) FILTER (f[o[step]] AND len(list_filter(f, lambda x: x)) = 1) AS unique_fails,
+    sum(good) FILTER (f[o[step]] AND NOT list_contains(list_transform(o[1:step - 1], lambda x: f[x]), true)) AS good_lost,
+    sum(toxic) FILTER (f[o[step]] AND NOT list_contains(list_transform(o[1:step - 1], lambda x: f[x]), true)) AS toxic_lost
   FROM sets, steps GROUP BY ALL)
-SELECT part, array_to_string(list_transform(o, x -> substr('ABCDE', x::bigint, 1)), '') AS filter_order, step::int AS step,
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x::bigint, 1)), '') AS filter_order, step::int AS step,
   coalesce(kept, 0)::bigint AS kept, coalesce(removed, 0)::bigint AS removed, coalesce(redundant, 0)::bigint AS redundant,
   coalesce(unique_fails, 0)::bigint AS unique_fails, coalesce(good_lost, 0)::bigint AS good_lost,
   coalesce(toxic_lost, 0)::bigint AS toxic_lost,

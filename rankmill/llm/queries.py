@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from rankmill.llm.common import table
+from rankmill.llm.centroids import SQL as CENTROID_SQL
+from rankmill.llm.common import small_batches, table
 from rankmill.llm.filter_audit import SQL as AUDIT_SQL
 from rankmill.llm.line_runs import SQL as LINE_SQL
 
@@ -114,3 +115,22 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_filter_audit"] = AUDIT_SQL.format(documents="documents", labels="labels")
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings")).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+ORACLES["op12_centroid_clustering"] = CENTROID_SQL.format(embeddings="embeddings")
+
+
+@query
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankmill.llm.pii import digest, scan, train
+
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(scan(docs, train(docs)))
