@@ -27,8 +27,8 @@ def natural_rows(ids: np.ndarray) -> pd.DataFrame:
 class LocalTopK:
     """Keeps the k best documents per query, ties by natural id order.
 
-    Only rows that can still enter some query's k best are kept, so memory stays near
-    `queries * k` however many batches a task reads.
+    Only rows that can still enter some query's k best are kept, as 16 bytes of numbers each; an id is held once
+    however many queries keep it. Memory stays near `3 * queries * k` rows however many batches a task reads.
     """
 
     def __init__(self, query_ids: list[str], k: int, decimals: int) -> None:
@@ -36,7 +36,8 @@ class LocalTopK:
         self.k = k
         self.decimals = decimals
         self.floor = np.full(len(query_ids), -np.inf)
-        self.parts: list[pd.DataFrame] = []
+        self.names = np.zeros(0, dtype=object)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows = 0
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -56,38 +57,40 @@ class LocalTopK:
             room = self.k - above.sum(axis=0)
             keep &= above | (level & (np.cumsum(level, axis=0) <= room))
         query, row = np.nonzero(keep.T)
-        self.parts.append(
-            pd.DataFrame({"q": query, "id": ids[row], "score": scores[row, query]})
-        )
+        if not len(query):
+            return
+        used, code = np.unique(row, return_inverse=True)
+        self.parts.append((query.astype(np.int32), (code + len(self.names)).astype(np.int32), scores[row, query]))
+        self.names = np.concatenate([self.names, ids[used]])
         self.rows += len(query)
-        if self.rows > 4 * self.k * len(self.query_ids) + 100_000:
+        if self.rows > 3 * self.k * len(self.query_ids) + 100_000:
             self._compact()
 
     def _compact(self) -> None:
         if not self.parts:
             return
-        rows = pd.concat(self.parts, ignore_index=True)
-        names = natural_rows(rows["id"].drop_duplicates().to_numpy())
-        place = pd.Series(np.arange(len(names)), index=names["text"].to_numpy())
-        order = pd.DataFrame(
-            {"q": rows["q"], "s": -rows["score"], "n": place[rows["id"].astype(str)].to_numpy()}
-        ).sort_values(["q", "s", "n"]).index
-        rows = rows.loc[order]
-        place = rows.groupby("q", sort=False).cumcount()
-        rows = rows[place < self.k]
-        last = rows[place[rows.index] == self.k - 1]
-        self.floor[last["q"].to_numpy()] = last["score"].to_numpy()
-        self.parts, self.rows = [rows.reset_index(drop=True)], len(rows)
+        query, code, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        place = np.empty(len(self.names), dtype=np.int64)
+        place[natural_rows(self.names).index.to_numpy()] = np.arange(len(self.names))
+        order = np.lexsort((place[code], -score, query))
+        query, code, score = query[order], code[order], score[order]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        last = rank == self.k - 1
+        self.floor[query[last]] = score[last]
+        keep = rank < self.k
+        used, code = np.unique(code[keep], return_inverse=True)
+        self.names = self.names[used]
+        self.parts, self.rows = [(query[keep], code.astype(np.int32), score[keep])], int(keep.sum())
 
     def frame(self) -> pd.DataFrame:
         """The kept rows. Ids stay plain objects, which convert to Arrow also when there are none."""
         self._compact()
-        rows = self.parts[0] if self.parts else pd.DataFrame({"q": [], "id": [], "score": []})
-        ids = [str(x) for x in rows["id"]]
+        query, code, score = self.parts[0] if self.parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         return pd.DataFrame(
             {
-                "query_id": pd.Series(self.query_ids[rows["q"].to_numpy(dtype=int)], dtype=object),
-                "document_id": pd.Series(ids, dtype=object),
-                "score": pd.Series(rows["score"].to_numpy(dtype=float), dtype=float),
+                "query_id": pd.Series(self.query_ids[query], dtype=object),
+                "document_id": pd.Series([str(x) for x in self.names[code]], dtype=object),
+                "score": pd.Series(score, dtype=float),
             }
         )

@@ -12,12 +12,20 @@ from pyspark.sql import functions as F
 from rankmill.functions.topk import SCHEMA, LocalTopK, round_half_up
 from rankmill.functions.vectors import dot, norm
 from rankmill.operators.ordering import score_order, top_k
+from rankmill.session import broadcast_if_small, cut_lineage
 
 #: Query values every task may hold (16 MiB of doubles); more queries take the grid plan.
 QUERY_VALUES = 2_000_000
 STRIPE_VALUES = 16_000_000
 #: Scores of one block of documents and queries (32 MiB of doubles), whatever the number of queries.
 BLOCK_SCORES = 4_000_000
+#: Most cells of a query set, queries they are chosen from, and rows of both sides that meet in one task.
+QUERY_CELLS = 256
+CELL_SAMPLE = 20_000
+PART_QUERIES = 2_048
+PART_VECTORS = 4_096
+#: Radians by which cells count as wider, far above what rounding can move an angle.
+ANGLE_SLACK = 1e-6
 
 
 def _matrix(vectors: Iterable) -> np.ndarray:
@@ -49,6 +57,63 @@ def _hide(scores, ids, query_ids, min_score, exclude_self):
     return scores
 
 
+def _widest(min_score: float, decimals: int) -> float:
+    """Largest angle at which a rounded score can reach `min_score`."""
+    cosine = 2.0 * (min_score - 0.5 * 10.0**-decimals - 1e-9) - 1.0
+    return float(np.arccos(np.clip(cosine, -1.0, 1.0))) + ANGLE_SLACK
+
+
+def sphere_centres(matrix: np.ndarray, cells: int, rounds: int = 4) -> np.ndarray:
+    """Unit centres of at most `cells` cells of unit vectors, by a few rounds of spherical means."""
+    matrix = matrix[np.isfinite(matrix).all(axis=1)]
+    centres = matrix[:: max(1, len(matrix) // max(1, cells))][:cells]
+    for _ in range(rounds):
+        near = (matrix @ centres.T).argmax(axis=1) if len(centres) else np.zeros(0, int)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, matrix)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.where(size > 0, size, 1.0), centres)
+    return centres
+
+
+def _angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ centres.T, -1.0, 1.0))
+
+
+class QueryCells:
+    """Queries by cell, with the angle to the farthest member.
+
+    By the triangle inequality on the sphere a vector whose angle to a centre exceeds the radius of the cell by
+    more than `widest` is within reach of none of its queries, and the whole cell is skipped.
+    """
+
+    def __init__(self, names: Sequence[str], matrix: np.ndarray, centres: np.ndarray | None = None) -> None:
+        fine = np.isfinite(matrix).all(axis=1)  # zero vectors match nothing
+        names, matrix = np.asarray(names, dtype=object)[fine], matrix[fine]
+        self.centres = sphere_centres(matrix, max(1, min(QUERY_CELLS, int(len(matrix) ** 0.5)))) if centres is None else centres
+        cell = _angles(matrix, self.centres).argmin(axis=1) if len(matrix) else np.zeros(0, int)
+        order = np.argsort(cell, kind="stable")
+        self.names, self.matrix = names[order], matrix[order]
+        self.index = pd.Index(self.names)
+        self.edges = np.searchsorted(cell[order], np.arange(len(self.centres) + 1))
+        angle = _angles(self.matrix, self.centres)[np.arange(len(order)), cell[order]] if len(order) else np.zeros(0)
+        self.radius = np.array([angle[a:b].max(initial=0.0) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)])
+
+    def reached(self, unit: np.ndarray, widest: float) -> np.ndarray:
+        """Which cells each vector must be compared with."""
+        return (_angles(unit, self.centres) - self.radius <= widest) & (np.diff(self.edges) > 0)
+
+    def scores(self, unit: np.ndarray, widest: float, decimals: int) -> np.ndarray:
+        """Rounded scores, -inf where a cell is skipped."""
+        out = np.full((len(unit), len(self.names)), -np.inf)
+        reached = self.reached(unit, widest)
+        for cell in np.flatnonzero(reached.any(axis=0)):
+            low, high = self.edges[cell], self.edges[cell + 1]
+            rows = np.flatnonzero(reached[:, cell])
+            out[rows, low:high] = round_half_up(_scores(unit[rows], self.matrix[low:high]), decimals)
+        return out
+
+
 def exact_knn(
     queries: DataFrame,
     vectors: DataFrame,
@@ -76,6 +141,21 @@ def exact_knn(
     if len(rows) > limit:
         found = _grid_knn(queries, vectors, k, dims, decimals, min_score, exclude_self)
         return top_k(found, ["query_id"], score_order(), k)
+    if min_score is not None:
+        held = spark.sparkContext.broadcast(QueryCells([r["query_id"] for r in rows], _matrix(r["embedding"] for r in rows)))
+        widest = _widest(min_score, decimals)
+
+        def within(batches):
+            cells = held.value
+            best = LocalTopK(list(cells.names), k, decimals)
+            for batch in batches:
+                for part in _blocks(batch, len(cells.names)):
+                    ids = part["document_id"].to_numpy()
+                    scores = cells.scores(_matrix(part["embedding"]), widest, decimals)
+                    best.add(ids, _hide(scores, ids, cells.index, min_score, exclude_self))
+            yield best.frame()
+
+        return top_k(vectors.mapInPandas(within, SCHEMA), ["query_id"], score_order(), k)
     shared = spark.sparkContext.broadcast(
         ([r["query_id"] for r in rows], _matrix(r["embedding"] for r in rows))
     )
@@ -131,42 +211,104 @@ def _grid_knn(queries, vectors, k, dims, decimals, min_score, exclude_self) -> D
     )
 
 
+_PAIRS = "query_id string, document_id string, score double"
+
+
 def threshold_pairs(
     queries: DataFrame, vectors: DataFrame, min_score: float, decimals: int = 6, exclude_self: bool = True
 ) -> DataFrame:
     """(query_id, document_id, score) of every pair at or above `min_score`, however many there are.
 
-    Bounded stripes of both sides meet in the cells of a grid; a cell emits its matches block by block.
+    Queries are grouped into cells around centres; a vector is compared with the cells that its angle to their
+    centres does not rule out (`QueryCells`). While the queries are within QUERY_VALUES every task holds them and
+    matches leave it block by block, without an exchange. A larger set is dealt out by cell: a vector goes only
+    to the cells it can reach, and tasks see parts of at most about PART_QUERIES by PART_VECTORS rows.
     """
-    dims = vectors.select(F.size("embedding").alias("dims")).head()
-    per_stripe = max(1, STRIPE_VALUES // (8 * max(1, dims["dims"] if dims else 1)))
-    rows, cols = (max(1, -(-x.count() // per_stripe)) for x in (queries, vectors))
-    left = queries.select(
-        F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(rows)).cast("int").alias("r"),
-        F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"),
-        F.col("query_id").cast("string").alias("qid"), F.col("embedding").alias("qv"),
-    )
-    right = vectors.select(
-        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r"),
-        F.pmod(F.xxhash64(F.col("document_id").cast("string")), F.lit(cols)).cast("int").alias("c"),
-        F.col("document_id").cast("string").alias("did"), F.col("embedding").alias("dv"),
+    queries = queries.select(F.col("query_id").cast("string"), "embedding")
+    vectors = vectors.select(F.col("document_id").cast("string"), "embedding")
+    first = queries.select(F.size("embedding").alias("dims")).head()
+    limit = max(1, QUERY_VALUES // max(1, first["dims"] if first else 1))
+    rows = queries.limit(limit + 1).collect()  # bounded by QUERY_VALUES
+    spark, widest = vectors.sparkSession, _widest(min_score, decimals)
+    if not rows:
+        return spark.createDataFrame([], _PAIRS)
+    if len(rows) > limit:
+        return _threshold_grid(queries, vectors, min_score, decimals, exclude_self)
+    held = spark.sparkContext.broadcast(QueryCells([r["query_id"] for r in rows], _matrix(r["embedding"] for r in rows)))
+
+    def run(batches):
+        for batch in batches:
+            for part in _blocks(batch, len(held.value.names)):
+                yield _matches(held.value, part["document_id"].to_numpy(), _matrix(part["embedding"]), widest, min_score, decimals, exclude_self)
+
+    return vectors.mapInPandas(run, _PAIRS)
+
+
+def _matches(cells: QueryCells, ids, unit, widest, min_score, decimals, exclude_self) -> pd.DataFrame:
+    scores = _hide(cells.scores(unit, widest, decimals), ids, cells.index, min_score, exclude_self)
+    row, column = np.nonzero(scores >= min_score)
+    return pd.DataFrame({
+        "query_id": pd.Series(cells.names[column], dtype=object), "document_id": pd.Series(ids[row], dtype=object), "score": scores[row, column].astype(float),
+    })
+
+
+def _threshold_grid(queries, vectors, min_score, decimals, exclude_self) -> DataFrame:
+    spark, widest = vectors.sparkSession, _widest(min_score, decimals)
+    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CELL_SAMPLE).collect()
+    centres = sphere_centres(_matrix(r["embedding"] for r in sample), QUERY_CELLS)
+    shared = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("cell int, angle double")
+    def nearest(embedding: pd.Series) -> pd.DataFrame:
+        angle = _angles(_matrix(embedding), shared.value) if len(embedding) else np.zeros((0, len(shared.value)))
+        cell = np.where(np.isfinite(angle).all(axis=1), angle.argmin(axis=1), -1) if len(angle) else np.zeros(0, int)
+        return pd.DataFrame({"cell": cell, "angle": angle.min(axis=1) if len(angle) else np.zeros(0)})
+
+    placed = queries.withColumn("at", nearest("embedding")).select("query_id", "embedding", "at.cell", "at.angle").where(F.col("cell") >= 0)
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()  # one row per cell
+    radius = np.full(len(centres), -np.inf)
+    for r in sizes:
+        radius[r.cell] = r.radius
+
+    @F.pandas_udf("array<int>")
+    def reached(embedding: pd.Series) -> pd.Series:
+        near = _angles(_matrix(embedding), shared.value) - radius <= widest if len(embedding) else []
+        return pd.Series([np.flatnonzero(x).astype(np.int32) for x in near], dtype=object)
+
+    sent = vectors.withColumn("cell", F.explode(reached("embedding")))
+    there = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
+    parts = spark.createDataFrame(
+        [(r.cell, -(-r.n // PART_QUERIES), -(-there[r.cell] // PART_VECTORS)) for r in sizes if r.cell in there], "cell int, qparts int, vparts int"
     )
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    left = placed.join(F.broadcast(parts), "cell").select("cell", part("query_id", "qparts").alias("q"), spread("vparts").alias("v"), F.col("query_id").alias("qid"), F.col("embedding").alias("qv"))
+    right = sent.join(F.broadcast(parts), "cell").select("cell", spread("qparts").alias("q"), part("document_id", "vparts").alias("v"), F.col("document_id").alias("did"), F.col("embedding").alias("dv"))
 
-    def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": [], "document_id": [], "score": []})]
-        if len(q) and len(v):
-            names, matrix = q["qid"].to_numpy(), _matrix(q["qv"])
-            index = pd.Index(names)
-            for part in _blocks(v, len(names)):
-                ids = part["did"].to_numpy()
-                scores = round_half_up(_scores(_matrix(part["dv"]), matrix), decimals)
-                row, column = np.nonzero(_hide(scores, ids, index, min_score, exclude_self) >= min_score)
-                found.append(pd.DataFrame({"query_id": names[column], "document_id": ids[row], "score": scores[row, column]}))
-        return pd.concat(found[1:] or found)
+    def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": pd.Series(dtype=object), "document_id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
+        held = QueryCells(q["qid"], _matrix(q["qv"]), shared.value[[q["cell"].iloc[0]]])
+        found = [_matches(held, b["did"].to_numpy(), _matrix(b["dv"]), widest, min_score, decimals, exclude_self) for b in _blocks(v, len(q))]
+        return pd.concat(found)
 
-    return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(
-        cell, "query_id string, document_id string, score double"
-    )
+    return left.groupBy("cell", "q", "v").cogroup(right.groupBy("cell", "q", "v")).applyInPandas(compare, _PAIRS)
+
+
+def skipped_cells(queries: DataFrame, vectors: DataFrame, min_score: float, decimals: int = 6) -> DataFrame:
+    """One row (compared, skipped): pairs of a vector and a cell of queries, for query sets within QUERY_VALUES."""
+    rows = queries.select(F.col("query_id").cast("string"), "embedding").collect()
+    held = vectors.sparkSession.sparkContext.broadcast(QueryCells([r["query_id"] for r in rows], _matrix(r["embedding"] for r in rows)))
+    widest = _widest(min_score, decimals)
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                reached = held.value.reached(_matrix(batch["embedding"]), widest)
+                yield pd.DataFrame({"compared": [int(reached.sum())], "skipped": [int(reached.size - reached.sum())]})
+
+    counted = vectors.select("embedding").mapInPandas(run, "compared bigint, skipped bigint")
+    return counted.agg(F.sum("compared").alias("compared"), F.sum("skipped").alias("skipped"))
 
 
 def knn_run(
@@ -215,59 +357,96 @@ def build_cells(vectors: DataFrame, cells: int, seed: int = 17, max_iter: int =
     return [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()], assigned
 
 
+def encode_cells(assigned: DataFrame, centers: Sequence[np.ndarray]) -> DataFrame:
+    """(document_id, cell, code, scale): unit vectors as one byte per value of their distance to the cell's centre.
+
+    A value differs from its code by half of `scale` at most, which bounds the error of every score. Zero vectors
+    have no row.
+    """
+    shared = assigned.sparkSession.sparkContext.broadcast(np.stack(centers))
+
+    @F.pandas_udf("code binary, scale double")
+    def encode(embedding: pd.Series, cell: pd.Series) -> pd.DataFrame:
+        if not len(embedding):
+            return pd.DataFrame({"code": pd.Series(dtype=object), "scale": pd.Series(dtype=float)})
+        rest = _matrix(embedding) - shared.value[cell.to_numpy()]
+        scale = np.abs(rest).max(axis=1) / 127.0
+        with np.errstate(invalid="ignore", divide="ignore"):
+            code = np.rint(np.where(scale[:, None] > 0, rest / scale[:, None], 0.0))
+        fine = np.isfinite(code).all(axis=1)
+        return pd.DataFrame({"code": [c.astype(np.int8).tobytes() if ok else None for c, ok in zip(code, fine, strict=True)], "scale": scale})
+
+    coded = assigned.select(F.col("document_id").cast("string"), "cell", encode(F.col("embedding").cast("array<double>"), "cell").alias("at"))
+    return coded.select("document_id", "cell", "at.code", "at.scale").where(F.col("code").isNotNull())
+
+
 def ann_knn(
     queries: DataFrame, assigned: DataFrame, centers: Sequence[np.ndarray], k: int, effort: int,
-    decimals: int = 6, group_rows: int = 20_000,
+    decimals: int = 6, group_rows: int = 20_000, group_queries: int = 1_000,
 ) -> DataFrame:
-    """Probe the `effort` nearest cells per query and re-score their vectors exactly.
+    """The k nearest among the vectors of the `effort` nearest cells per query, exactly.
 
-    Cells are split by document into groups of about `group_rows`, as many as each cell's size
-    asks for, so a crowded cell never becomes one large group; each group keeps its k best.
+    A first scan sees byte codes (`encode_cells`) only: cells are split by document and their queries by query, into
+    groups of about `group_rows` by `group_queries`, so neither a crowded cell nor one that all queries probe makes a
+    large group. A code bounds each score from below and above; what is above the k-th lower bound of its group, and
+    then of its query, is scored again from the full vectors.
     """
     unit = np.stack(centers)
-    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-    shared = queries.sparkSession.sparkContext.broadcast(unit)  # one row per cell
+    directions = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast((unit, directions))  # one row per cell
     probes = min(effort, len(centers))
 
-    def probe(batches):
-        for batch in batches:
-            if len(batch):
-                nearest = np.argsort(-(_matrix(batch["embedding"]) @ shared.value.T), axis=1)
-                yield batch.assign(cell=list(nearest[:, :probes].astype(np.int32)))
-
-    parts = F.broadcast(  # one row per cell
-        assigned.groupBy("cell").agg(
-            F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts")
-        )
+    @F.pandas_udf("array<int>")
+    def probe(embedding: pd.Series) -> pd.Series:
+        if not len(embedding):
+            return pd.Series([], dtype=object)
+        nearest = np.argsort(-(_matrix(embedding) @ shared.value[1].T), axis=1)
+        return pd.Series(list(nearest[:, :probes].astype(np.int32)), dtype=object)
+
+    asked = queries.select(F.col("query_id").cast("string"), F.col("embedding").cast("array<double>"))
+    wanted = asked.withColumn("cell", F.explode(probe("embedding")))
+    codes = encode_cells(assigned, centers)
+    sizes = F.broadcast(  # one row per cell
+        assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
+        .join(wanted.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / group_queries).cast("int").alias("stripes")), "cell")
     )
-    wanted = (
-        queries.select(F.col("query_id").cast("string"), F.col("embedding").cast("array<double>"))
-        .mapInPandas(probe, "query_id string, embedding array<double>, cell array<int>")
-        .withColumn("cell", F.explode("cell"))
-        .join(parts, "cell")
-        .select(
-            "query_id", "embedding", "cell",
-            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        )
-    )
-    document = F.col("document_id").cast("string")
-    stored = assigned.join(parts, "cell").select(
-        document.alias("document_id"), F.col("embedding").cast("array<double>"), "cell",
-        F.pmod(F.xxhash64(document), F.col("parts")).cast("int").alias("part"),
-    )
-
-    def rescore(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        best = LocalTopK(list(q["query_id"]), k, decimals)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    left = wanted.join(sizes, "cell").select("cell", spread("parts").alias("part"), place("query_id", "stripes").alias("stripe"), "query_id", "embedding")
+    right = codes.join(sizes, "cell").select("cell", place("document_id", "parts").alias("part"), spread("stripes").alias("stripe"), "document_id", "code", "scale")
+    half = 10.0**-decimals + 1e-12  # scores that round alike may differ by that much in the cosine
+
+    def bounds(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        found = []
         if len(q) and len(v):
-            docs, ids = _matrix(v["embedding"]), v["document_id"].to_numpy()
-            best.add(ids, _scores(docs, _matrix(q["embedding"])))
-        return best.frame()
-
-    found = (
-        wanted.groupBy("cell", "part").cogroup(stored.groupBy("cell", "part"))
-        .applyInPandas(rescore, SCHEMA)
+            matrix = _matrix(q["embedding"])
+            sums, base = np.abs(matrix).sum(axis=1), matrix @ shared.value[0][int(q["cell"].iloc[0])]
+            code = np.frombuffer(b"".join(v["code"]), np.int8).reshape(len(v), -1)
+            scale, ids = v["scale"].to_numpy(), v["document_id"].to_numpy()
+            names = q["query_id"].to_numpy()
+            for start in range(0, len(q), max(1, BLOCK_SCORES // len(v))):
+                rows = slice(start, start + max(1, BLOCK_SCORES // len(v)))
+                middle = base[rows, None] + (matrix[rows] @ code.T) * scale
+                error = sums[rows, None] * scale * 0.5 + half
+                lower = middle - error
+                least = np.partition(lower, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(middle), -np.inf)
+                row, column = np.nonzero(middle + error >= least[:, None])
+                found.append(pd.DataFrame({"query_id": names[rows][row], "document_id": ids[column], "lower": lower[row, column], "upper": (middle + error)[row, column]}))
+        empty = {"query_id": pd.Series(dtype=object), "document_id": pd.Series(dtype=object), "lower": pd.Series(dtype=float), "upper": pd.Series(dtype=float)}
+        return pd.concat(found) if found else pd.DataFrame(empty)
+
+    keys = ("cell", "part", "stripe")
+    scanned = cut_lineage(
+        left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(bounds, "query_id string, document_id string, lower double, upper double")
     )
-    return top_k(found, ["query_id"], score_order(), k)
+    kth = top_k(scanned, ["query_id"], [F.col("lower").desc(), F.col("document_id")], k).where(F.col("rank") == k).select("query_id", F.col("lower").alias("least"))
+    kept = scanned.join(kth, "query_id", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("query_id", "document_id")
+    stored = assigned.select(F.col("document_id").cast("string"), F.col("embedding").cast("array<double>").alias("dv"))
+    pairs = stored.join(broadcast_if_small(kept), "document_id").join(broadcast_if_small(asked), "query_id")
+    cosine = dot(F.col("embedding"), F.col("dv")) / (norm(F.col("embedding")) * norm(F.col("dv")))
+    scored = pairs.select("query_id", "document_id", F.round((1 + cosine) / 2, decimals).alias("score")).where(~F.isnan("score") & F.col("score").isNotNull())
+    return top_k(scored, ["query_id"], score_order(), k)
 
 
 # -- comparisons ---------------------------------------------------------------------------------

@@ -1,8 +1,9 @@
 """Term-based retrieval for whole query sets at once.
 
-Raw text is hash-partitioned by document before its words are exploded. Counting words, scoring and
-summing per (query, document) then all happen inside those partitions: hot words and hot queries
-never gather anywhere, and the only later shuffle carries at most k rows per query and task.
+Text is read where it lies. Document frequencies are sums that every task forms of its own texts; words are
+then counted and scored inside the row they stand in, against the query words that every task holds
+(`functions.row_scores`). Neither texts nor words nor counts are exchanged: what moves are sums per
+query word and at most k rows per query and task. Query sets too large for a task take joins instead.
 """
 
 from __future__ import annotations
@@ -11,20 +12,26 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankmill.functions.row_scores import B, K1, QueryWords, WordGroups, saturation
 from rankmill.functions.text import occurrences, tokenize
 from rankmill.functions.topk import LocalTopK
 from rankmill.operators.joins import skew_safe_join
 from rankmill.operators.ordering import RESULT_DEPTH, score_order, top_k
 from rankmill.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
-K1 = 1.2
-B = 0.75
-#: Bound on query words x queries held by every task, and on the cells of one document block.
+#: Bound on query words x queries held by every task.
 MATRIX_CELLS = 8_000_000
+#: Cells of one block of documents x query words, and of documents x queries.
+BLOCK_CELLS = 1_000_000
+#: Most rows of query words (query, field, word) that every task holds.
+ROW_ENTRIES = 500_000
 
 
 @dataclass(frozen=True)
@@ -69,33 +76,43 @@ INTEGRATOR = Profile(
 
 # -- analysed text -----------------------------------------------------------------------------
 
-def field_texts(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
-    """(field, document_id, occurrences, length): one row per document and non-empty field.
+def document_texts(docs: DataFrame, key: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """(document_id, fields, keep...): one row per document.
 
-    `fields` maps field names to text columns. The raw text is placed by document before it is
-    cut into words, so the larger word arrays are never shuffled.
+    `fields` maps field names to text columns and becomes an array of (field, occurrences, length), empty
+    fields left out. A row stays in the task that read it.
     """
-    placed = docs.select(
-        F.col(key).cast("string").alias("document_id"),
-        *[F.col(column).alias(f"__{name}") for name, column in fields.items()],
-    ).repartition("document_id")
     entries = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("field"),
-                occurrences(tokenize(F.col(f"__{name}"))).alias("occurrences"),
-            )
-            for name in fields
+            F.struct(F.lit(name).alias("field"), occurrences(tokenize(F.col(column))).alias("occurrences"))
+            for name, column in fields.items()
         ]
     )
-    return analysed(placed.select("document_id", F.inline(entries)))
+    full = F.filter(entries, lambda x: F.size(x["occurrences"]) > 0)
+    sized = F.transform(
+        full, lambda x: F.struct(x["field"].alias("field"), x["occurrences"].alias("occurrences"), _length(x["occurrences"]).alias("length"))
+    )
+    return docs.select(F.col(key).cast("string").alias("document_id"), sized.alias("fields"), *keep)
+
+
+def field_texts(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
+    """(document_id, field, occurrences, length): one row per document and non-empty field."""
+    return _rows(document_texts(docs, key, fields))
+
+
+def _rows(texts: DataFrame) -> DataFrame:
+    """`document_texts` or `field_texts` as one row per document and field."""
+    return texts.select("document_id", F.inline("fields")) if "fields" in texts.columns else texts
+
+
+def _length(words: Column) -> Column:
+    """Positions are gap-free, so terms stacked on one of them count once."""
+    return F.coalesce(F.try_element_at(words, F.lit(-1))["position"] + 1, F.lit(0))
 
 
 def analysed(texts: DataFrame) -> DataFrame:
-    """Add the field length; positions are gap-free, so terms stacked on one of them count once."""
-    last = F.try_element_at("occurrences", F.lit(-1))["position"]
-    length = F.coalesce(last + 1, F.lit(0))
-    return texts.withColumn("length", length).where(F.col("length") > 0)
+    """Add the field length and leave empty fields out."""
+    return texts.withColumn("length", _length(F.col("occurrences"))).where(F.col("length") > 0)
 
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
@@ -111,7 +128,7 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query")
 def postings(texts: DataFrame) -> DataFrame:
     """(field, term, document_id, frequency, positions, length)."""
     return (
-        texts.select("field", "document_id", "length", F.inline("occurrences"))
+        _rows(texts).select("field", "document_id", "length", F.inline("occurrences"))
         .groupBy("field", "document_id", "length", "term")
         .agg(
             F.count(F.lit(1)).alias("frequency"),
@@ -120,19 +137,14 @@ def postings(texts: DataFrame) -> DataFrame:
     )
 
 
-def field_stats(texts: DataFrame) -> DataFrame:
-    return texts.groupBy("field").agg(
-        F.count(F.lit(1)).alias("documents"), F.avg("length").alias("average_length")
-    )
-
-
 def term_stats(texts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(field, term, document_frequency, documents, average_length), optionally for some terms.
 
     The empty term stands for "any document" of a field, so field totals and term frequencies
-    come out of one pass over the text and one aggregate.
+    come out of one pass over the text and one aggregate. Tasks add up their own texts first: only
+    one row per field, term and task is exchanged.
     """
-    words = texts.select(
+    words = _rows(texts).select(
         "field", "length",
         F.explode(
             F.concat(F.array_distinct(F.col("occurrences.term")), F.array(F.lit("")))
@@ -169,16 +181,133 @@ def _saturation(frequency: Column) -> Column:
     return frequency * (K1 + 1) / (frequency + shape)
 
 
+def _bounded(rows: DataFrame) -> pd.DataFrame | None:
+    """The rows on the driver if there are at most ROW_ENTRIES."""
+    found = rows.limit(ROW_ENTRIES + 1).toPandas()
+    return found if len(found) <= ROW_ENTRIES else None
+
+
+def _words_of(texts: DataFrame, positions: bool = False) -> DataFrame:
+    """(document_id, field, length, words[, positions]) for the scoring inside rows."""
+    columns = ["document_id", "field", "length", F.col("occurrences.term").alias("words")]
+    return _rows(texts).select(*columns, *([F.col("occurrences.position").alias("positions")] if positions else []))
+
+
+def _lengths(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("length").to_numpy(zero_copy_only=False)
+
+
 def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(field, document_id, length, term, frequency) for the given terms only."""
-    return (
-        texts.select("field", "document_id", "length", F.inline("occurrences"))
-        .join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
-        .groupBy("field", "document_id", "length", "term")
-        .agg(F.count(F.lit(1)).alias("frequency"))
+    """(field, document_id, length, term, frequency) for the given terms only, counted inside each row."""
+    wanted = terms.select("term").distinct()
+    words = _bounded(wanted)
+    if words is None:
+        return (
+            _rows(texts).select("field", "document_id", "length", F.inline("occurrences"))
+            .join(wanted, "term", "left_semi")
+            .groupBy("field", "document_id", "length", "term")
+            .agg(F.count(F.lit(1)).alias("frequency"))
+        )
+    known = np.unique(words["term"].to_numpy(dtype=str))
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches):
+        held = QueryWords(pd.DataFrame({"query_id": "", "field": "", "term": shared.value}))
+        for batch in batches:
+            row, cell, frequency = held.counts(pa.array([""] * len(batch), batch.column("field").type), batch.column("words"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("field").take(pa.array(row)), batch.column("document_id").take(pa.array(row)), batch.column("length").take(pa.array(row)),
+                 pa.array(held.words.tolist(), pa.string()).take(pa.array(cell)), pa.array(frequency, pa.int64())],
+                names=["field", "document_id", "length", "term", "frequency"],
+            )
+
+    return _words_of(texts).mapInArrow(count, "field string, document_id string, length int, term string, frequency bigint")
+
+
+_PAIR = "query_id string, field string, document_id string, terms int, score double, matched bigint, occurrences bigint"
+
+
+def _pair_rows(texts: DataFrame, entries: pd.DataFrame, score: bool = True) -> DataFrame:
+    """One row per (query, field, document) that share a word, scored inside the document's row."""
+    shared = texts.sparkSession.sparkContext.broadcast(entries)
+
+    def run(batches):
+        held = QueryWords(shared.value)
+        names = pa.array(held.query_ids.tolist(), pa.string())
+        terms = np.zeros(len(names), np.int32)
+        terms[held.query] = held.column("terms")
+        for batch in batches:
+            for row, query, value, matched, seen in held.pairs(batch.column("field"), batch.column("words"), _lengths(batch), score):
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(query)), batch.column("field").take(pa.array(row)), batch.column("document_id").take(pa.array(row)),
+                     pa.array(terms[query]), pa.array(value), pa.array(matched, pa.int64()), pa.array(seen, pa.int64())],
+                    names=["query_id", "field", "document_id", "terms", "score", "matched", "occurrences"],
+                )
+
+    return _words_of(texts).mapInArrow(run, _PAIR)
+
+
+def matching_pairs(texts: DataFrame, terms: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(query_id, field, document_id, matched, occurrences): distinct query words a field holds, and how often."""
+    entries = _bounded(terms.withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields]))))
+    if entries is not None:
+        return _pair_rows(texts, entries, False).drop("terms", "score")
+    hits = term_hits(texts, terms).where(F.col("field").isin(*fields))
+    return skew_safe_join(hits, terms, ["term"], F.col("document_id")).groupBy("query_id", "field", "document_id").agg(
+        F.count(F.lit(1)).alias("matched"), F.sum("frequency").alias("occurrences")
     )
 
 
+def containing(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, document_id) where the whole query text stands in the document's text, case and all.
+
+    `texts` is (document_id, text) and `queries` (query_id, query). The first and last word of a query may be parts of
+    words, those between are whole: candidates are the rows that hold (up to six of) them as a phrase, found from the
+    longest of them. Queries of one or two words are looked for in every text. Queries are taken in slices that
+    a task can hold, one pass over the texts each; pairs leave the row they are found in.
+    """
+    inner = 6
+    words = F.slice(tokenize(F.col("query")), 2, F.greatest(F.lit(0), F.least(F.lit(inner), F.size(tokenize(F.col("query"))) - 2)))
+    cut = cut_lineage(queries.where(F.length("query") > 0).select(F.col("query_id").cast("string"), "query", words.alias("w")))
+    parts = max(1, -(-cut.count() * inner // ROW_ENTRIES))
+    found = [_containing(texts, cut.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toPandas()) for i in range(parts)]
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.union(more)
+    return whole
+
+
+def _containing(texts: DataFrame, queries: pd.DataFrame) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches):
+        rows, short = [], []
+        for name, query, words in shared.value.itertuples(index=False):
+            longest = max(range(len(words)), key=lambda i: len(words[i])) if len(words) else -1
+            rows += [(name, "", w, i, len(words), i == longest) for i, w in enumerate(words)]
+            if not len(words):
+                short.append((name, query))
+        held = WordGroups(pd.DataFrame(rows, columns=["query_id", "field", "term", "slot", "slots", "anchor"]))
+        by_name = dict(zip(shared.value["query_id"], shared.value["query"], strict=True))
+        for batch in batches:
+            text, words = batch.column("text"), batch.column("words")
+            pairs = []
+            if len(held.query_ids):
+                place = np.arange(len(words.flatten()))
+                for row, query, _ in held.phrases(pa.array([""] * len(batch), pa.string()), words, place, 0):
+                    names = held.query_ids[query].tolist()
+                    pairs += [(r, n) for r, n in zip(row.tolist(), names, strict=True) if by_name[n] in text[r].as_py()]
+            for name, query in short:
+                pairs += [(r, name) for r in np.flatnonzero(pc.match_substring(text, query).fill_null(False).to_numpy(zero_copy_only=False)).tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for _, n in pairs], pa.string()), batch.column("document_id").take(pa.array([r for r, _ in pairs], pa.int64()))],
+                names=["query_id", "document_id"],
+            )
+
+    rows = texts.where(F.col("text").isNotNull()).select(F.col("document_id").cast("string"), "text", tokenize(F.col("text")).alias("words"))
+    return rows.mapInArrow(run, "query_id string, document_id string")
+
+
 def term_weights(
     texts: DataFrame, terms: DataFrame, stats: DataFrame | None = None
 ) -> DataFrame:
@@ -204,15 +333,20 @@ def bm25(
     the best k per query use `ranked_search`, which never builds all pairs.
     """
     terms = cut_lineage(terms)
-    hits = term_hits(texts, terms)
+    weights = term_weights(texts, terms, stats)
+    entries = _bounded(weights)
+    if entries is not None:
+        found = _pair_rows(texts, entries).drop("occurrences")
+    else:
+        found = (
+            _with_queries(term_hits(texts, terms), weights)
+            .withColumn("__part", F.col("idf") * _saturation(F.col("frequency")))
+            .groupBy("query_id", "field", "document_id", "terms")
+            .agg(F.sum("__part").alias("score"), F.count(F.lit(1)).alias("matched"))
+        )
     if documents is not None:
-        hits = hits.join(documents.select("document_id").distinct(), "document_id", "left_semi")
-    return (
-        _with_queries(hits, term_weights(texts, terms, stats))
-        .withColumn("__part", F.col("idf") * _saturation(F.col("frequency")))
-        .groupBy("query_id", "field", "document_id", "terms")
-        .agg(F.sum("__part").alias("score"), F.count(F.lit(1)).alias("matched"))
-    )
+        found = found.join(documents.select("document_id").distinct(), "document_id", "left_semi")
+    return found
 
 
 def _rarest_slots(slots: DataFrame, wanted: str) -> DataFrame:
@@ -241,6 +375,10 @@ def bm25_all_words(texts: DataFrame, terms: DataFrame, stats: DataFrame) -> Data
         F.col("document_frequency").alias("rows"),
     )
     anchors = cut_lineage(_rarest_slots(parts, "terms").withColumnRenamed("part", "term"))
+    known = term_weights(texts, terms, stats).join(anchors.select("query_id", "field").distinct(), ["query_id", "field"], "left_semi")
+    entries = _bounded(known.join(anchors.withColumn("anchor", F.lit(True)), ["query_id", "field", "term"], "left").fillna(False, ["anchor"]))
+    if entries is not None:
+        return _all_word_rows(texts, entries)
     hits = term_hits(texts, terms)
     candidates = skew_safe_join(hits, anchors, ["field", "term"], F.col("document_id")).select(
         "query_id", "field", "document_id"
@@ -256,6 +394,23 @@ def bm25_all_words(texts: DataFrame, terms: DataFrame, stats: DataFrame) -> Data
     )
 
 
+def _all_word_rows(texts: DataFrame, entries: pd.DataFrame) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(entries)
+
+    def run(batches):
+        held = WordGroups(shared.value)
+        names = pa.array(held.query_ids.tolist(), pa.string())
+        for batch in batches if len(names) else ():
+            for row, query, value, matched in held.all_words(batch.column("field"), batch.column("words"), _lengths(batch)):
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(query)), batch.column("field").take(pa.array(row)), batch.column("document_id").take(pa.array(row)),
+                     pa.array(matched, pa.int32()), pa.array(value), pa.array(matched, pa.int64())],
+                    names=["query_id", "field", "document_id", "terms", "score", "matched"],
+                )
+
+    return _words_of(texts).mapInArrow(run, "query_id string, field string, document_id string, terms int, score double, matched bigint")
+
+
 def _with_queries(hits: DataFrame, weights: DataFrame) -> DataFrame:
     """Attach the queries of each word; too many query words fall back to a salted join."""
     return skew_safe_join(hits, weights, ["field", "term"], F.col("document_id"))
@@ -267,87 +422,96 @@ def ranked_search(
     profiles: Sequence[Profile],
     k: int = RESULT_DEPTH,
     decimals: int = 6,
+    added: str | None = None,
 ) -> DataFrame:
     """(profile, query_id, document_id, rank, score): best k per query and profile.
 
-    The score of a document is linear in its saturated word counts, so each task multiplies a block
-    of documents with the (small, broadcast) matrix of query words, combines fields per profile and
-    keeps its own k best; only those are shuffled. A query matrix beyond MATRIX_CELLS takes
-    the join-based path, with the same result.
+    `texts` is best given as `document_texts`; rows per field suffice where the profiles use one field, else they
+    are brought together first. With `added` the profiles are optional clauses of one search of that name, whose
+    scores add up where at least one matches.
+
+    The score of a document is linear in its saturated word counts, so each task counts the query words of a
+    row, multiplies blocks of documents with the (small, broadcast) matrix of query words, combines fields per
+    profile and keeps its own k best; only those are shuffled. A query matrix beyond MATRIX_CELLS takes
+    the path over matching pairs, with the same result.
     """
     terms = cut_lineage(terms)
-    rows = term_weights(texts, terms).limit(BROADCAST_ROWS + 1).toPandas()
-    if len(rows) > BROADCAST_ROWS:
-        return _ranked_by_join(texts, terms, profiles, k, decimals)
-    query_ids = sorted(rows["query_id"].unique())
-    cells = rows[["field", "term", "average_length"]].drop_duplicates(["field", "term"])
-    cells = cells.sort_values(["field", "term"]).reset_index(drop=True)
-    if len(cells) * max(1, len(query_ids)) > MATRIX_CELLS:
-        return _ranked_by_join(texts, terms, profiles, k, decimals)
-    cells["cell"] = range(len(cells))
+    weights = term_weights(texts, terms)
+    rows = _bounded(weights)
+    cells = 0 if rows is None else len(rows.drop_duplicates(["field", "term"])) * max(1, rows["query_id"].nunique())
+    if rows is None or cells > MATRIX_CELLS:
+        return _ranked_by_join(texts, terms, profiles, k, decimals, added)
     spark = texts.sparkSession
     schema = "query_id string, document_id string, score double, profile string"
     window = ["profile", "query_id"]
-    if cells.empty:
+    if rows.empty:
         return top_k(spark.createDataFrame([], schema), window, score_order(), k)
-
-    placed = rows.merge(cells, on=["field", "term"])
-    column = placed["query_id"].map({q: i for i, q in enumerate(query_ids)}).to_numpy()
-    matrix = np.zeros((len(cells), len(query_ids)))
-    matrix[placed["cell"].to_numpy(), column] = placed["idf"].to_numpy()
-    needed_terms = np.zeros(len(query_ids))
-    needed_terms[column] = placed["terms"].to_numpy()
-    spans = {
-        name: (int(part["cell"].min()), int(part["cell"].max()) + 1)
-        for name, part in cells.groupby("field")
-    }
-    shared = spark.sparkContext.broadcast((matrix, needed_terms, query_ids, spans))
-    lookup = F.broadcast(
-        spark.createDataFrame(cells[["field", "term", "average_length", "cell"]])
-    )
-    blocks = (
-        term_hits(texts, terms)
-        .join(lookup, ["field", "term"])
-        .groupBy("document_id")
-        .agg(
-            F.collect_list(
-                F.struct("cell", _saturation(F.col("frequency")).alias("value"))
-            ).alias("__entries")
-        )
-        .select(
-            "document_id",
-            F.col("__entries.cell").alias("cells"),
-            F.col("__entries.value").alias("values"),
-        )
-    )
+    shared = spark.sparkContext.broadcast(rows)
     grid = list(profiles)
+    names = [added] if added else [profile.name for profile in grid]
+    used = {name for profile in grid for name in profile.boosts}
 
     def score(batches):
-        weights, needed, ids, ranges = shared.value
-        best = [LocalTopK(ids, k, decimals) for _ in grid]
-        step = max(1, MATRIX_CELLS // weights.shape[0])
+        held = QueryWords(shared.value)
+        ids, width = held.query_ids.tolist(), len(held.cells)
+        matrix, needed = np.zeros((width, len(ids))), np.zeros(len(ids))
+        at = lookup_all(held)
+        matrix[at, held.query] = held.column("idf")
+        needed[held.query] = held.column("terms")
+        average = np.zeros(width)
+        average[at] = held.column("average_length")
+        field = held.cells // len(held.words)
+        spans = {name: (int(np.searchsorted(field, f)), int(np.searchsorted(field, f, "right"))) for f, name in enumerate(held.fields.tolist())}
+        best = [LocalTopK(ids, k, decimals) for _ in names]
+        step = max(1, BLOCK_CELLS // max(width, len(ids)))
         for batch in batches:
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start : start + step]
-                dense = np.zeros((len(part), weights.shape[0]))
-                row = np.repeat(np.arange(len(part)), part["cells"].map(len).to_numpy())
-                dense[row, np.concatenate(part["cells"].to_numpy())] = np.concatenate(
-                    part["values"].to_numpy()
-                )
-                _combine(dense, weights, needed, ranges, grid, best, part["document_id"].to_numpy())
-        for profile, found in zip(grid, best):
-            yield found.frame().assign(profile=profile.name)
-
-    return top_k(blocks.mapInPandas(score, schema), window, score_order(), k)
-
-
-def _combine(dense, weights, needed, ranges, grid, best, ids) -> None:
-    """Field scores of one block, then each profile's best-field combination."""
+            inner = batch.column("words").flatten()
+            document = np.repeat(np.arange(len(batch)), batch.column("words").value_lengths().to_numpy(zero_copy_only=False))
+            lengths = batch.column("lengths").flatten().to_numpy(zero_copy_only=False)
+            row, cell, frequency = held.counts(batch.column("names").flatten(), inner)
+            cell = np.searchsorted(held.cells, cell)
+            value = saturation(frequency, lengths[row], average[cell])
+            found, row = np.unique(document[row], return_inverse=True)
+            keys = batch.column("document_id").take(pa.array(found)).to_pandas().to_numpy()
+            for start in range(0, len(found), step):
+                low, high = np.searchsorted(row, (start, start + step))
+                dense = np.zeros((min(step, len(found) - start), width))
+                dense[row[low:high] - start, cell[low:high]] = value[low:high]
+                _combine(dense, matrix, needed, spans, grid, best, keys[start : start + step], bool(added))
+        for name, kept in zip(names, best, strict=True):
+            yield pa.RecordBatch.from_pandas(kept.frame().assign(profile=name)[["query_id", "document_id", "score", "profile"]], pa.schema([("query_id", pa.string()), ("document_id", pa.string()), ("score", pa.float64()), ("profile", pa.string())]), preserve_index=False)
+
+    wide = _documents(texts, used).select(
+        "document_id", F.col("fields.field").alias("names"), F.col("fields.length").alias("lengths"),
+        F.transform("fields", lambda x: x["occurrences"]["term"]).alias("words"),
+    )
+    return top_k(wide.mapInArrow(score, schema), window, score_order(), k)
+
+
+def lookup_all(held: QueryWords) -> np.ndarray:
+    """Place of each entry's (field, word) among the distinct ones."""
+    return np.repeat(np.arange(len(held.cells)), held.count)
+
+
+def _documents(texts: DataFrame, used: set[str]) -> DataFrame:
+    """One row per document with the fields that are used."""
+    if "fields" in texts.columns:
+        return texts.withColumn("fields", F.filter("fields", lambda x: x["field"].isin(*sorted(used))))
+    rows = texts.where(F.col("field").isin(*sorted(used)))
+    entry = F.struct("field", "occurrences", "length")
+    if len(used) == 1:
+        return rows.select("document_id", F.array(entry).alias("fields"))
+    return rows.groupBy("document_id").agg(F.collect_list(entry).alias("fields"))
+
+
+def _combine(dense, weights, needed, ranges, grid, best, ids, added=False) -> None:
+    """Field scores of one block, then each profile's best-field combination, or the sum over profiles."""
     scores, matched = {}, {}
     for name, (low, high) in ranges.items():
         scores[name] = dense[:, low:high] @ weights[low:high]
         matched[name] = (dense[:, low:high] > 0).astype(float) @ (weights[low:high] > 0)
-    for profile, found in zip(grid, best):
+    whole, any_clause = np.zeros((len(ids), len(needed))), np.zeros((len(ids), len(needed)), bool)
+    for place, profile in enumerate(grid):
         top = np.full((len(ids), len(needed)), -np.inf)
         total = np.zeros_like(top)
         for name, boost in profile.boosts.items():
@@ -357,8 +521,15 @@ def _combine(dense, weights, needed, ranges, grid, best, ids) -> None:
             boosted = np.where(enough, scores[name] * float(boost), -np.inf)
             top = np.maximum(top, boosted)
             total += np.where(enough, boosted, 0.0)
-        rest = np.where(top > -np.inf, total - np.where(top > -np.inf, top, 0.0), 0.0)
-        found.add(ids, top + profile.tie_breaker * rest)
+        hit = top > -np.inf
+        rest = np.where(hit, total - np.where(hit, top, 0.0), 0.0)
+        if added:
+            any_clause |= hit
+            whole += np.where(hit, top + profile.tie_breaker * rest, 0.0)
+        else:
+            best[place].add(ids, top + profile.tie_breaker * rest)
+    if added:
+        best[0].add(ids, np.where(any_clause, whole, -np.inf))
 
 
 def _needed(terms: np.ndarray, profile: Profile) -> np.ndarray:
@@ -370,11 +541,11 @@ def _needed(terms: np.ndarray, profile: Profile) -> np.ndarray:
     return np.where(terms <= limit, terms, np.maximum(1, np.floor(terms * share)))
 
 
-def _ranked_by_join(texts, terms, profiles, k, decimals) -> DataFrame:
-    combined = best_fields_grid(bm25(texts, terms), profiles).withColumn(
-        "score", F.round("score", decimals)
-    )
-    return top_k(combined, ["profile", "query_id"], score_order(), k)
+def _ranked_by_join(texts, terms, profiles, k, decimals, added=None) -> DataFrame:
+    combined = best_fields_grid(bm25(texts, terms), profiles)
+    if added:
+        combined = clause_sum([combined]).withColumn("profile", F.lit(added))
+    return top_k(combined.withColumn("score", F.round("score", decimals)), ["profile", "query_id"], score_order(), k)
 
 
 def required_matches(terms: Column, profile: Profile) -> Column:
@@ -470,8 +641,12 @@ def fuzzy_bm25(
     """BM25 where a query word also matches its near spellings; the best spelling counts."""
     stats = term_stats(texts) if stats is None else stats
     expanded = cut_lineage(fuzzy_terms(cut_lineage(terms), stats, prefix))
+    weights = term_weights(texts, expanded, stats)
+    entries = _bounded(weights.withColumnRenamed("source_term", "source"))
+    if entries is not None:
+        return _pair_rows(texts, entries).drop("occurrences")
     return (
-        _with_queries(term_hits(texts, expanded), term_weights(texts, expanded, stats))
+        _with_queries(term_hits(texts, expanded), weights)
         .withColumn("__part", F.col("idf") * _saturation(F.col("frequency")))
         .groupBy("field", "document_id", "query_id", "terms", "source_term")
         .agg(F.max("__part").alias("__part"))
@@ -520,7 +695,8 @@ def phrase_match(
 
     Candidates are the documents with the phrase's rarest word. In those, a word at position p
     for slot s votes for start p - s, and a phrase occurs where every slot has a vote in a window
-    of `slop` after an occupied start. Votes stay in their document's partition.
+    of `slop` after an occupied start. All of this happens inside the row of the text; phrases beyond
+    ROW_ENTRIES words take joins.
     """
     stats = term_stats(texts, phrases) if stats is None else stats
     parts = phrases.join(stats, "term").groupBy(
@@ -530,6 +706,14 @@ def phrase_match(
     anchors = cut_lineage(
         rarest.join(phrases, ["query_id", "slot"]).select("query_id", "field", "term")
     )
+    known = rarest.select("query_id", "field").join(phrases, "query_id").join(
+        stats.select("field", "term"), ["field", "term"], "left_semi"
+    )
+    marked = known.join(anchors.distinct().withColumn("anchor", F.lit(True)), ["query_id", "field", "term"], "left")
+    entries = _bounded(marked.fillna(False, ["anchor"]))
+    if entries is not None:
+        return _phrase_rows(texts, entries, slop)
+    texts = _rows(texts)
     words = texts.select("field", "document_id", "length", F.inline("occurrences"))
     candidates = (
         skew_safe_join(words, anchors, ["field", "term"], F.col("document_id"))
@@ -571,6 +755,24 @@ def phrase_match(
     )
 
 
+def _phrase_rows(texts: DataFrame, entries: pd.DataFrame, slop: int) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(entries)
+
+    def run(batches):
+        held = WordGroups(shared.value)
+        names = pa.array(held.query_ids.tolist(), pa.string())
+        for batch in batches if len(names) else ():
+            positions = batch.column("positions").flatten().to_numpy(zero_copy_only=False)
+            for row, query, found in held.phrases(batch.column("field"), batch.column("words"), positions, slop):
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(query)), batch.column("field").take(pa.array(row)), batch.column("document_id").take(pa.array(row)),
+                     batch.column("length").take(pa.array(row)), pa.array(found, pa.int64())],
+                    names=["query_id", "field", "document_id", "length", "frequency"],
+                )
+
+    return _words_of(texts, True).mapInArrow(run, "query_id string, field string, document_id string, length int, frequency bigint")
+
+
 def phrase_score(
     texts: DataFrame, phrases: DataFrame, slop: int = 0, stats: DataFrame | None = None
 ) -> DataFrame:
@@ -634,7 +836,7 @@ def known_item_search(
         .select("query_id", "document_id", (100.0 * _idf()).alias("score"))
     )
     stats = term_stats(texts)
-    title = texts.where(F.col("field") == "title")
+    title = _rows(texts).where(F.col("field") == "title")
     phrase = best_fields(
         phrase_score(title, phrase_terms(queries), stats=stats.where(F.col("field") == "title")),
         Profile("phrase", {"title": 20.0}),

@@ -184,9 +184,7 @@ SUM_A, SUM_B = lx.Profile("a", {"title": 2.0}), lx.Profile("b", {"brand": 1.0, "
         "query_id", BEST, 20)),
 )
 def _(t):
-    fields = lx.bm25(t.product_texts, lx.query_terms(t.product_queries))
-    clauses = [lx.best_fields(fields, p) for p in (EMULATION, SUM_A, SUM_B)]
-    return top_k(rounded(lx.clause_sum(clauses)), ["query_id"], score_order(), 20)
+    return lx.ranked_search(t.product_texts, lx.query_terms(t.product_queries), [EMULATION, SUM_A, SUM_B], 20, added="clauses")
 
 
 def known_item_queries(t):

@@ -112,12 +112,10 @@ def _(t):
 @query("j04_terms_with_postings", "query_id:s document_id:s words:i occurrences:i",
        with_("qterm dtf", "SELECT query_id, document_id, count(*) AS words, sum(tf) AS occurrences FROM qterm JOIN dtf USING (term) GROUP BY 1, 2"))
 def _(t):
-    from rankmill.operators.lexical import term_hits
+    from rankmill.operators.lexical import matching_pairs
 
-    hits = term_hits(t.doc_texts, t.terms)
-    return jn.skew_safe_join(hits, t.terms, ["term"], F.col("document_id")).groupBy("query_id", "document_id").agg(
-        F.count(F.lit(1)).alias("words"), F.sum("frequency").alias("occurrences")
-    )
+    found = matching_pairs(t.doc_texts, t.terms, ["text"])
+    return found.select("query_id", "document_id", F.col("matched").alias("words"), "occurrences")
 
 
 @query("j05_all_pairs_threshold", "query_id:s neighbours:i best:f6",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankmill.functions.text import tokenize
 from rankmill.functions.vectors import hash_embedding
 from rankmill.operators.joins import product_stores
-from rankmill.operators.lexical import field_texts, query_terms
+from rankmill.operators.lexical import containing, document_texts, query_terms
 from rankmill.operators.ordering import top_k
 from rankmill.operators.preparation import aggregate_labels, hash_part
 from rankmill.functions.ids import natural_order
@@ -51,7 +51,7 @@ class Tables:
 
     @cached_property
     def doc_texts(self) -> DataFrame:
-        return field_texts(self.raw("documents"), "doc_id", {"text": "text"})
+        return document_texts(spread(self.raw("documents")), "doc_id", {"text": "text"})
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -59,38 +59,9 @@ class Tables:
 
     @cached_property
     def passage_qrels(self) -> DataFrame:
-        """Documents that contain a whole query text, gain 2.
-
-        A text of five words or more can only occur where its second to fourth words follow each
-        other, so candidates come from an equi join on the hash of that word triple. Shorter texts may
-        begin and end inside a word; they are few and short and are looked for in every document. The
-        text itself decides.
-        """
-        def triple(words, i):
-            return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-
-        cut = self.queries.select("query_id", "query", tokenize(F.col("query")).alias("w"))
-        anchors = cut.where(F.size("w") >= 5).select("query_id", "query", triple(F.col("w"), F.lit(1)).alias("anchor"))
-        short = cut.where(F.size("w") < 5).select("query_id", "query")
-        starts = F.sequence(F.lit(0), F.size("w") - 3)
-        hits = (
-            self.docs.select("document_id", tokenize(F.col("text")).alias("w"))
-            .where(F.size("w") >= 3)
-            .select(
-                "document_id", F.explode(F.transform(starts, lambda i: triple(F.col("w"), i))).alias("anchor")
-            )
-            .join(broadcast_if_small(anchors), "anchor")
-            .select("document_id", "query_id", "query")
-            .distinct()
-        )
-        if not short.isEmpty():
-            texts = self.docs.select("document_id", "text")
-            hits = hits.union(texts.join(F.broadcast(short), F.contains("text", "query")).select("document_id", "query_id", "query"))
-        return cut_lineage(
-            hits.join(self.docs.select("document_id", "text"), "document_id")
-            .where(F.contains("text", "query"))
-            .select("query_id", "document_id", F.lit(2).alias("relevance"))
-        )
+        """Documents that contain a whole query text, gain 2."""
+        found = containing(self.docs.select("document_id", "text"), self.queries)
+        return cut_lineage(found.select("query_id", "document_id", F.lit(2).alias("relevance")))
 
     # -- products --
 
@@ -115,7 +86,7 @@ class Tables:
 
     @cached_property
     def product_texts(self) -> DataFrame:
-        return field_texts(self.products, "product_id", PRODUCT_FIELDS)
+        return document_texts(spread(self.products), "product_id", PRODUCT_FIELDS, keep=("brand", "category", "product_class"))
 
     # -- judgments and runs --
 
