@@ -158,15 +158,15 @@ class WordGroups(QueryWords):
             full = np.bincount(of, there, len(r)) == self.column("terms")[self.member[self.group_first[group]]]
             yield r[full], self.groups[group[full]] // len(self.fields), np.bincount(of, value, len(r))[full], n[full]
 
-    def phrases(self, field: pa.Array, words: pa.ListArray, positions: np.ndarray, slop: int):
+    def phrases(self, field: pa.Array, words: pa.ListArray, positions: np.ndarray | None, slop: int):
         """Blocks of (row, query, frequency) of the rows in which a group's slots follow each other.
 
-        ``positions`` are those of all tokens of the batch. A word at position p for slot s votes for start p - s; a
+        ``positions`` are those of all tokens of the batch, or None where words follow each other. A word at position p for slot s votes for start p - s; a
         phrase occurs where every slot has a vote in a window of ``slop`` after an occupied start.
         """
         row, cell, place = self.places(field, words)
         sizes = _numbers(pc.list_value_length(words))
-        where = positions[(np.cumsum(sizes) - sizes)[row] + place]
+        where = place if positions is None else positions[(np.cumsum(sizes) - sizes)[row] + place]
         order = np.lexsort((where, row * self.span + cell))
         keys, first, count = _ranges((row * self.span + cell)[order])
         where = where[order]

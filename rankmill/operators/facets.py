@@ -61,7 +61,7 @@ def lexical_facet_counts(
     schema = "query_id string, state string, field string, key string, documents bigint"
     keys = F.array(F.lit(""), *[F.col(f).cast("string") for f in fields])
     rows = texts.select(
-        "document_id", F.col("fields.field").alias("names"), F.transform("fields", lambda x: x["occurrences"]["term"]).alias("words"),
+        "document_id", F.col("fields.field").alias("names"), F.col("fields.words").alias("words"),
         keys.alias("keys"), (F.col(filter_field).eqNullSafe(F.lit(filter_value))).alias("inside"),
     )
     if len(found) > ROW_ENTRIES:  # too many query words for a task: pairs by a join, then the same counts

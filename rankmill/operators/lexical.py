@@ -79,30 +79,37 @@ INTEGRATOR = Profile(
 def document_texts(docs: DataFrame, key: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """(document_id, fields, keep...): one row per document.
 
-    `fields` maps field names to text columns and becomes an array of (field, occurrences, length), empty
-    fields left out. A row stays in the task that read it.
+    `fields` maps field names to text columns and becomes an array of (field, words, length), empty fields left
+    out. A row stays in the task that read it.
     """
-    entries = F.array(
-        *[
-            F.struct(F.lit(name).alias("field"), occurrences(tokenize(F.col(column))).alias("occurrences"))
-            for name, column in fields.items()
-        ]
-    )
-    full = F.filter(entries, lambda x: F.size(x["occurrences"]) > 0)
-    sized = F.transform(
-        full, lambda x: F.struct(x["field"].alias("field"), x["occurrences"].alias("occurrences"), _length(x["occurrences"]).alias("length"))
-    )
-    return docs.select(F.col(key).cast("string").alias("document_id"), sized.alias("fields"), *keep)
+    entries = F.array(*[F.struct(F.lit(name).alias("field"), tokenize(F.col(column)).alias("words")) for name, column in fields.items()])
+    full = F.transform(entries, lambda x: F.struct(x["field"].alias("field"), x["words"].alias("words"), F.size(x["words"]).alias("length")))
+    return docs.select(F.col(key).cast("string").alias("document_id"), F.filter(full, lambda x: x["length"] > 0).alias("fields"), *keep)
 
 
 def field_texts(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
-    """(document_id, field, occurrences, length): one row per document and non-empty field."""
-    return _rows(document_texts(docs, key, fields))
+    """(document_id, field, length, occurrences): one row per document and non-empty field."""
+    return _placed(document_texts(docs, key, fields))
 
 
 def _rows(texts: DataFrame) -> DataFrame:
-    """`document_texts` or `field_texts` as one row per document and field."""
-    return texts.select("document_id", F.inline("fields")) if "fields" in texts.columns else texts
+    """(document_id, field, words, length) of `document_texts`; rows per field are returned as they are.
+
+    The outer form keeps Spark from testing the array for emptiness first, which would cut the text twice.
+    """
+    if "fields" not in texts.columns:
+        return texts
+    return texts.select("document_id", F.inline_outer("fields")).where(F.col("field").isNotNull())
+
+
+def _placed(texts: DataFrame) -> DataFrame:
+    """Rows per field with the positions of their words."""
+    rows = _rows(texts)
+    return rows if "occurrences" in rows.columns else rows.select("document_id", "field", "length", occurrences(F.col("words")).alias("occurrences"))
+
+
+def _words(texts: DataFrame) -> Column:
+    return F.col("occurrences.term") if "occurrences" in texts.columns else F.col("words")
 
 
 def _length(words: Column) -> Column:
@@ -128,7 +135,7 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query")
 def postings(texts: DataFrame) -> DataFrame:
     """(field, term, document_id, frequency, positions, length)."""
     return (
-        _rows(texts).select("field", "document_id", "length", F.inline("occurrences"))
+        _placed(texts).select("field", "document_id", "length", F.inline("occurrences"))
         .groupBy("field", "document_id", "length", "term")
         .agg(
             F.count(F.lit(1)).alias("frequency"),
@@ -144,10 +151,11 @@ def term_stats(texts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     come out of one pass over the text and one aggregate. Tasks add up their own texts first: only
     one row per field, term and task is exchanged.
     """
-    words = _rows(texts).select(
+    rows = _rows(texts)
+    words = rows.select(
         "field", "length",
-        F.explode(
-            F.concat(F.array_distinct(F.col("occurrences.term")), F.array(F.lit("")))
+        F.explode_outer(  # never empty; see `_rows`
+            F.concat(F.array_distinct(_words(rows)), F.array(F.lit("")))
         ).alias("term"),
     )
     if terms is not None:
@@ -188,9 +196,10 @@ def _bounded(rows: DataFrame) -> pd.DataFrame | None:
 
 
 def _words_of(texts: DataFrame, positions: bool = False) -> DataFrame:
-    """(document_id, field, length, words[, positions]) for the scoring inside rows."""
-    columns = ["document_id", "field", "length", F.col("occurrences.term").alias("words")]
-    return _rows(texts).select(*columns, *([F.col("occurrences.position").alias("positions")] if positions else []))
+    """(document_id, field, length, words[, positions]) for the scoring inside rows; no positions where words follow each other."""
+    rows = _rows(texts)
+    stacked = positions and "occurrences" in rows.columns
+    return rows.select("document_id", "field", "length", _words(rows).alias("words"), *([F.col("occurrences.position").alias("positions")] if stacked else []))
 
 
 def _lengths(batch: pa.RecordBatch) -> np.ndarray:
@@ -203,7 +212,7 @@ def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     words = _bounded(wanted)
     if words is None:
         return (
-            _rows(texts).select("field", "document_id", "length", F.inline("occurrences"))
+            _placed(texts).select("field", "document_id", "length", F.inline("occurrences"))
             .join(wanted, "term", "left_semi")
             .groupBy("field", "document_id", "length", "term")
             .agg(F.count(F.lit(1)).alias("frequency"))
@@ -293,8 +302,7 @@ def _containing(texts: DataFrame, queries: pd.DataFrame) -> DataFrame:
             text, words = batch.column("text"), batch.column("words")
             pairs = []
             if len(held.query_ids):
-                place = np.arange(len(words.flatten()))
-                for row, query, _ in held.phrases(pa.array([""] * len(batch), pa.string()), words, place, 0):
+                for row, query, _ in held.phrases(pa.array([""] * len(batch), pa.string()), words, None, 0):
                     names = held.query_ids[query].tolist()
                     pairs += [(r, n) for r, n in zip(row.tolist(), names, strict=True) if by_name[n] in text[r].as_py()]
             for name, query in short:
@@ -482,8 +490,7 @@ def ranked_search(
             yield pa.RecordBatch.from_pandas(kept.frame().assign(profile=name)[["query_id", "document_id", "score", "profile"]], pa.schema([("query_id", pa.string()), ("document_id", pa.string()), ("score", pa.float64()), ("profile", pa.string())]), preserve_index=False)
 
     wide = _documents(texts, used).select(
-        "document_id", F.col("fields.field").alias("names"), F.col("fields.length").alias("lengths"),
-        F.transform("fields", lambda x: x["occurrences"]["term"]).alias("words"),
+        "document_id", F.col("fields.field").alias("names"), F.col("fields.length").alias("lengths"), F.col("fields.words").alias("words")
     )
     return top_k(wide.mapInArrow(score, schema), window, score_order(), k)
 
@@ -498,7 +505,7 @@ def _documents(texts: DataFrame, used: set[str]) -> DataFrame:
     if "fields" in texts.columns:
         return texts.withColumn("fields", F.filter("fields", lambda x: x["field"].isin(*sorted(used))))
     rows = texts.where(F.col("field").isin(*sorted(used)))
-    entry = F.struct("field", "occurrences", "length")
+    entry = F.struct("field", _words(texts).alias("words"), "length")
     if len(used) == 1:
         return rows.select("document_id", F.array(entry).alias("fields"))
     return rows.groupBy("document_id").agg(F.collect_list(entry).alias("fields"))
@@ -713,7 +720,7 @@ def phrase_match(
     entries = _bounded(marked.fillna(False, ["anchor"]))
     if entries is not None:
         return _phrase_rows(texts, entries, slop)
-    texts = _rows(texts)
+    texts = _placed(texts)
     words = texts.select("field", "document_id", "length", F.inline("occurrences"))
     candidates = (
         skew_safe_join(words, anchors, ["field", "term"], F.col("document_id"))
@@ -762,7 +769,7 @@ def _phrase_rows(texts: DataFrame, entries: pd.DataFrame, slop: int) -> DataFram
         held = WordGroups(shared.value)
         names = pa.array(held.query_ids.tolist(), pa.string())
         for batch in batches if len(names) else ():
-            positions = batch.column("positions").flatten().to_numpy(zero_copy_only=False)
+            positions = batch.column("positions").flatten().to_numpy(zero_copy_only=False) if "positions" in batch.schema.names else None
             for row, query, found in held.phrases(batch.column("field"), batch.column("words"), positions, slop):
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(query)), batch.column("field").take(pa.array(row)), batch.column("document_id").take(pa.array(row)),
