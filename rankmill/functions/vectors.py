@@ -127,7 +127,8 @@ def hash_embedding(docs: DataFrame, key: str, text: str, dims: int = 32) -> Data
     digest = F.sha2(F.col("__feature"), 256)
     buckets = (
         docs.select(key, tokens.alias("__tokens"))
-        .select(key, F.explode(F.concat("__tokens", pairs)).alias("__feature"))
+        .select(key, F.explode_outer(F.concat("__tokens", pairs)).alias("__feature"))  # outer: no second cut of the text to test for words
+        .where(F.col("__feature").isNotNull())
         .select(key, digest.alias("__digest"))
         .select(
             key,

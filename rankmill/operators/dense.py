@@ -478,7 +478,10 @@ def embedding_parity(
 
 
 def candidate_scores(candidates: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Vector score of given (query_id, document_id) pairs only; one join per side, no all-pairs."""
+    """Vector score of given (query_id, document_id) pairs only; one join per side, no all-pairs.
+
+    Embed with `wanted_documents` first, so that only candidates get a vector.
+    """
     from rankmill.functions.vectors import cosine_score
 
     return (
@@ -489,6 +492,11 @@ def candidate_scores(candidates: DataFrame, queries: DataFrame, vectors: DataFra
     )
 
 
+def wanted_documents(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The documents that are a candidate of some query. Their ids reach the scan by broadcast while few."""
+    return documents.join(broadcast_if_small(candidates.select("document_id").distinct()), "document_id", "left_semi")
+
+
 # -- user-supplied models ------------------------------------------------------------------------
 
 def encode(

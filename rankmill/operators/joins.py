@@ -123,23 +123,27 @@ def ancestors_closure(
 ) -> DataFrame:
     """All nodes reachable upward from `start` (column `node`), the start nodes included.
 
-    One frontier join per level; each level is checkpointed, so lineage stays flat and a lost
-    executor re-reads the level instead of replaying the chain.
+    Where every node has one parent (trees, chains) paths double: in each round the steps are joined with themselves,
+    so that round r takes steps of length 2^r from all that is reached, and rounds grow with the logarithm of the
+    depth. Where nodes have several parents such steps could outgrow the edges; then the newly reached nodes take
+    one edge a round. A round without a new node ends both, as every shortest path passes all lengths. Each round
+    checkpoints its new nodes (and its steps) only.
     """
-    links = edges.select(F.col(child).alias("node"), F.col(parent).alias("__next")).distinct()
-    reached = cut_lineage(start.select("node").distinct())
-    frontier = reached
+    steps = cut_lineage(edges.select(F.col(child).alias("node"), F.col(parent).alias("__next")).where("node <> __next").distinct())
+    doubling = steps.groupBy("node").count().where("count > 1").isEmpty()
+    parts = [cut_lineage(start.select("node").distinct())]
     while True:
-        found = (
-            links.join(frontier, "node")
-            .select(F.col("__next").alias("node"))
-            .distinct()
-            .join(reached, "node", "left_anti")
-        )
-        frontier = cut_lineage(found)
-        if frontier.isEmpty():
+        reached = parts[0]
+        for part in parts[1:]:
+            reached = reached.union(part)
+        source = reached if doubling else parts[-1]
+        found = cut_lineage(source.join(steps, "node").select(F.col("__next").alias("node")).distinct().join(reached, "node", "left_anti"))
+        if found.isEmpty():
             return reached
-        reached = cut_lineage(reached.union(frontier))
+        parts.append(found)
+        if doubling:
+            onward = steps.select(F.col("node").alias("__next"), F.col("__next").alias("__far"))
+            steps = cut_lineage(steps.join(onward, "__next").select("node", F.col("__far").alias("__next")).where("node <> __next"))
 
 
 def changed_keys(

@@ -610,35 +610,67 @@ def clause_sum(clauses: Sequence[DataFrame]) -> DataFrame:
 
 # -- term expansion ----------------------------------------------------------------------------
 
+#: Longest word whose deletions are listed; longer ones meet by unchanged pieces.
+LONG_WORD = 30
+
+
+def _shorter(word: Column, most: Column, limit: int = 2) -> Column:
+    """The word and what is left of it after up to `most` (at most `limit`) deletions of a letter."""
+    def one(w: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+        return F.when(F.length(w) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    whole, level = F.array(word), F.array(word)
+    for depth in range(1, limit + 1):
+        level = F.when(most >= depth, F.array_distinct(F.flatten(F.transform(level, one)))).otherwise(F.array().cast("array<string>"))
+        whole = F.concat(whole, level)
+    return whole
+
+
+def near_words(asked: DataFrame, words: DataFrame, prefix: int = 1) -> DataFrame:
+    """(term, word, edits): the words within `bound` (0 to 2) edits of each term that share its first letters.
+
+    `asked` is (term, bound), `words` (word). Two spellings within n edits become equal when at most n letters are
+    left out of each, so pairs come from an equi join on what is left (behind the shared letters); of words longer
+    than LONG_WORD, three pieces of the term are looked for near their place, as two edits leave one of them
+    unchanged. Edit distance is computed for those candidates only.
+    """
+    size = F.length("word")
+    rest = lambda w: F.substr(w, F.lit(prefix + 1))
+    head = lambda w: F.substr(w, F.lit(1), F.lit(prefix))
+    key = lambda w, v: F.xxhash64(head(w), v)
+    # a word is asked for with two edits by terms of six letters or more, with one by three or more
+    most = F.when(size < 2, 0).when(size < 4, 1).otherwise(2)
+    short = words.where(size <= LONG_WORD + 2).select("word", F.explode_outer(_shorter(rest(F.col("word")), most)).alias("v"))
+    want = asked.where(F.length("term") <= LONG_WORD).select("term", "bound", F.explode(_shorter(rest(F.col("term")), F.col("bound"))).alias("v"))
+    met = short.select("word", key(F.col("word"), F.col("v")).alias("k")).join(
+        broadcast_if_small(want.select("term", "bound", key(F.col("term"), F.col("v")).alias("k"))), "k"
+    )
+    third = F.floor(F.length("term") / 3)
+    pieces = F.array(*[F.struct(F.lit(i).alias("piece"), F.length("term").alias("n"), F.substr(F.col("term"), third * i + 1, third).alias("v")) for i in range(3)])
+    long = asked.where(F.length("term") > LONG_WORD).select("term", "bound", F.inline(pieces))
+    lengths = F.sequence(size - 2, size + 2)
+    spots = F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(F.array(*[F.lit(i) for i in range(3)]), lambda i: F.transform(
+        F.sequence(F.lit(-2), F.lit(2)), lambda o: F.struct(i.alias("piece"), n.alias("n"), F.substr(F.col("word"), F.floor(n / 3) * i + 1 + o, F.floor(n / 3)).alias("v")))))))
+    far = words.where(size > LONG_WORD - 2).select("word", F.inline(spots)).join(broadcast_if_small(long), ["piece", "n", "v"])
+    pairs = met.select("term", "bound", "word").union(far.select("term", "bound", "word")).distinct()
+    edits = F.levenshtein(F.col("term"), F.col("word"), 2)
+    fine = (head(F.col("term")) == head(F.col("word"))) & (F.col("edits") >= 0) & (F.col("edits") <= F.col("bound"))
+    return pairs.withColumn("edits", edits).where(fine).select("term", "word", "edits")
+
+
 def fuzzy_terms(terms: DataFrame, dictionary: DataFrame, prefix: int = 1) -> DataFrame:
-    """Query terms with every dictionary term within the length-based edit distance.
+    """Query terms with every dictionary term within the length-based edit distance (`near_words`).
 
-    The first `prefix` letters must agree, so the pairs come from an equi join on them and on the
-    possible lengths; `levenshtein` stops early at the bound. A neighbour's weight shrinks with its
-    distance relative to the shorter word.
+    A neighbour's weight shrinks with its distance relative to the shorter word.
     """
     bound = F.when(F.length("term") < 3, 0).when(F.length("term") < 6, 1).otherwise(2)
-    wanted = (
-        terms.withColumn("__bound", bound)
-        .withColumn("__head", F.substring("term", 1, prefix))
-        .withColumn(
-            "__size",
-            F.explode(F.sequence(F.length("term") - F.col("__bound"), F.length("term") + F.col("__bound"))),
-        )
-    )
-    words = dictionary.select(
-        F.col("term").alias("__word"),
-        F.substring("term", 1, prefix).alias("__head"),
-        F.length("term").alias("__size"),
-    ).distinct()
-    near = words.join(broadcast_if_small(wanted), ["__head", "__size"]).withColumn(
-        "__edits", F.levenshtein(F.col("term"), F.col("__word"), 2)
-    ).where((F.col("__edits") >= 0) & (F.col("__edits") <= F.col("__bound")))
-    shorter = F.least(F.length("term"), F.length("__word"))
-    return near.select(
-        "query_id", "terms", F.col("term").alias("source_term"), F.col("__word").alias("term"),
-        F.col("__edits").alias("edits"),
-        (F.col("weight") * (1.0 - F.col("__edits") / shorter)).alias("weight"),
+    asked = cut_lineage(terms.select("term").distinct().withColumn("bound", bound))
+    near = near_words(asked, dictionary.select(F.col("term").alias("word")).distinct(), prefix)
+    shorter = F.least(F.length("term"), F.length("word"))
+    return terms.join(near, "term").select(
+        "query_id", "terms", F.col("term").alias("source_term"), F.col("word").alias("term"), "edits",
+        (F.col("weight") * (1.0 - F.col("edits") / shorter)).alias("weight"),
     )
 
 

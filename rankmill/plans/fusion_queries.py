@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankmill.functions.vectors import hash_embedding
 from rankmill.operators import dense as dn
 from rankmill.operators import facets as fc
 from rankmill.operators import filters as ft
@@ -80,7 +81,8 @@ _CANDIDATE_CTES = (
 )
 def _(t):
     candidates = cut_lineage(lexical_run(t))
-    dense = dn.candidate_scores(candidates, t.query_vectors, t.doc_vectors)
+    vectors = hash_embedding(dn.wanted_documents(t.docs, candidates), "document_id", "text")
+    dense = dn.candidate_scores(candidates, t.query_vectors, vectors)
     return fu.candidate_rerank(candidates, dense)
 
 
@@ -194,17 +196,20 @@ def _(t):
     return routed(t, queries, known_item_run(t, queries)).groupBy("route").agg(F.count(F.lit(1)).alias("queries"))
 
 
+def known_items(t, queries):
+    """The documents a SKU or title query asks for: those with that SKU, or with exactly that title."""
+    named = t.products.select(F.explode(F.array_distinct(F.array("sku", "title"))).alias("query"), "document_id")
+    return queries.select("query_id", "query").join(named, "query").select("query_id", "document_id", F.lit(2).alias("relevance")).distinct()
+
+
 @query(
     "e18_known_item_rr", "query_id:s value:f6",
     with_more("products ptok pdf ptf plen pstat", KNOWN_SQL,
-              "SELECT q.query_id, coalesce(1.0 / min(k.rank), 0) AS value FROM phrases q LEFT JOIN knownrun k ON k.query_id = q.query_id AND k.document_id = replace(q.query, 'RW-', '') WHERE q.query_id LIKE 's-%' GROUP BY 1"),
+              "SELECT q.query_id, coalesce(1.0 / min(k.rank), 0) AS value FROM phrases q JOIN products p ON p.sku = q.query OR p.title = q.query LEFT JOIN knownrun k ON k.query_id = q.query_id AND k.document_id = p.document_id GROUP BY 1"),
 )
 def _(t):
-    queries = known_item_queries(t).where(F.col("query_id").startswith("s-"))
-    expected = queries.select(
-        "query_id", F.regexp_replace("query", "RW-", "").alias("document_id"), F.lit(2).alias("relevance")
-    )
-    return mrr_exact(known_item_run(t, queries), expected, 10)
+    queries = known_item_queries(t)
+    return mrr_exact(known_item_run(t, queries), known_items(t, queries), 10)
 
 
 _RERANKED = (
@@ -260,7 +265,7 @@ _GUARDED = (
     "SELECT k.query_id, document_id, rank FROM knownrun k JOIN routes USING (query_id) WHERE route <> 'hybrid' UNION ALL "
     f"SELECT f.query_id, document_id, rank FROM ({fused(['knownrun', 'mrun'], [0.3, 0.7], 10)}) f JOIN routes USING (query_id) WHERE route = 'hybrid'"
 )
-_HIT = "ON {0}.query_id = q.query_id AND {0}.document_id = replace(q.query, 'RW-', '') AND {0}.rank <= 10"
+_HIT = "ON {0}.query_id = q.query_id AND {0}.document_id = p.document_id AND {0}.rank <= 10"
 _TAIL = "list_sum(list_transform(range(losses, wins + losses + 1), lambda k: exp(lgamma(wins + losses + 1) - lgamma(k + 1) - lgamma(wins + losses - k + 1) - (wins + losses) * ln(2))))"
 
 
@@ -269,14 +274,12 @@ _TAIL = "list_sum(list_transform(range(losses, wins + losses + 1), lambda k: exp
     with_more("products ptok pdf ptf plen pstat", _GUARD_CTES + ", " + _MIXED + f", guarded AS ({_GUARDED})",
               f"SELECT *, d >= -0.01 AND NOT (d < 0 AND {_TAIL} <= 0.05) AS passes FROM (SELECT count(*) AS queries, avg(b) AS baseline_mrr, avg(c) AS candidate_mrr, avg(c - b) AS d, "
               "count(*) FILTER (c > b) AS wins, count(*) FILTER (c = b) AS ties, count(*) FILTER (c < b) AS losses FROM (SELECT q.query_id, coalesce(1.0 / min(k.rank), 0) AS b, coalesce(1.0 / min(g.rank), 0) AS c "
-              f"FROM phrases q LEFT JOIN knownrun k {_HIT.format('k')} LEFT JOIN guarded g {_HIT.format('g')} WHERE q.query_id LIKE 's-%' GROUP BY 1))"),
+              f"FROM phrases q JOIN products p ON p.sku = q.query OR p.title = q.query LEFT JOIN knownrun k {_HIT.format('k')} LEFT JOIN guarded g {_HIT.format('g')} GROUP BY 1))"),
 )
 def _(t):
     """Does guarded fusion lose known items that the lexical search finds?"""
     queries = guard_queries(t)
-    expected = queries.where(F.col("query_id").startswith("s-")).select(
-        "query_id", F.regexp_replace("query", "RW-", "").alias("document_id"), F.lit(2).alias("relevance")
-    )
+    expected = known_items(t, queries)
     before = mrr_exact(known_item_run(t, queries), expected, 10).withColumnRenamed("value", "baseline")
     after = mrr_exact(guarded(t), expected, 10).withColumnRenamed("value", "candidate")
     return sign_test(before.join(after, "query_id"))

@@ -116,9 +116,9 @@ def _(t):
 
 
 @query("q10_clip_gains", "query_id:s document_id:s relevance:i clipped:b",
-       with_("qrels", "SELECT query_id, document_id, greatest(relevance - 1, 0) AS relevance, relevance = 0 AS clipped FROM qrels"))
+       with_("judgments", "SELECT query_id, document_id, greatest(relevance - 1, 0) AS relevance, relevance = 0 AS clipped FROM judgments"))
 def _(t):
-    return pp.clip_gains(t.qrels.withColumn("relevance", F.col("relevance") - 1))
+    return pp.clip_gains(t.judgments.withColumn("relevance", F.col("relevance") - 1))
 
 
 @query("q11_alignment_counts", "products:i queries:i judgments:i judged_queries:i judged_products:i",

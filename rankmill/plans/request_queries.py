@@ -181,12 +181,16 @@ def _(t):
     return jn.ancestors_closure(start, edges)
 
 
-@query("j12_changed_keys", "o_custkey:i change:s old_n:i new_n:i",
-       "SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(a.n, -1) AS old_n, coalesce(b.n, -1) AS new_n FROM "
-       "(SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.o_custkey = b.o_custkey WHERE a.n IS DISTINCT FROM b.n")
+_STATES = "(SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 2 = {0} GROUP BY 1, 2)"
+
+
+@query("j12_changed_keys", "o_custkey:i o_orderstatus:s change:s old_n:i new_n:i",
+       "SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.o_orderstatus, b.o_orderstatus) AS o_orderstatus, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(a.n, -1) AS old_n, coalesce(b.n, -1) AS new_n FROM "
+       f"{_STATES.format(0)} a FULL JOIN {_STATES.format(1)} b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus WHERE a.n IS DISTINCT FROM b.n")
 def _(t):
-    def counts(status):
-        return t.raw("orders").where(F.col("o_orderstatus") == status).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    """Orders per customer and state, even against odd order numbers: every order is on one side."""
+    def counts(side):
+        return t.raw("orders").where(F.col("o_orderkey") % 2 == side).groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
-    changed = jn.changed_keys(counts("F"), counts("O"), ["o_custkey"], ["n"])
+    changed = jn.changed_keys(counts(0), counts(1), ["o_custkey", "o_orderstatus"], ["n"])
     return changed.withColumn("old_n", F.coalesce("old_n", F.lit(-1))).withColumn("new_n", F.coalesce("new_n", F.lit(-1)))

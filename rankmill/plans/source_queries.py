@@ -114,17 +114,17 @@ def _(t):
     return fs.read_trec_topics(t.spark, _write_tsv(rows.unionByName(blank), t.scratch("topics")))
 
 
-@query("s05_qrels_round_trip", "query_id:s document_id:s relevance:i", with_("qrels", "SELECT * FROM qrels"))
+@query("s05_qrels_round_trip", "query_id:s document_id:s relevance:i", with_("judgments", "SELECT * FROM judgments"))
 def _(t):
     path = t.scratch("qrels")
-    fs.write_qrels(t.qrels, path)
+    fs.write_qrels(t.judgments, path)
     return fs.read_qrels(t.spark, path)
 
 
 @query("s05_line_rejects", "line:s", "SELECT 'bad line ' || s_suppkey AS line FROM supplier UNION ALL SELECT s_suppkey || ' 0 d high' FROM supplier")
 def _(t):
     path = t.scratch("qrels")
-    good = t.qrels.select(F.format_string("%s 0 %s %d", "query_id", "document_id", "relevance").alias("value"))
+    good = t.judgments.select(F.format_string("%s 0 %s %d", "query_id", "document_id", "relevance").alias("value"))
     bad = t.raw("supplier").select(F.explode(F.array(
         F.concat(F.lit("bad  line "), "s_suppkey"), F.concat(F.col("s_suppkey").cast("string"), F.lit(" 0 d high"))
     )).alias("value"))
@@ -261,8 +261,8 @@ def _(t):
     )
 
 
-@query("q13_file_facts", "records:i some_bytes:b", with_("qrels", "SELECT count(*) AS records, true AS some_bytes FROM qrels"))
+@query("q13_file_facts", "records:i some_bytes:b", with_("judgments", "SELECT count(*) AS records, true AS some_bytes FROM judgments"))
 def _(t):
     path = t.scratch("qrels")
-    fs.write_qrels(t.qrels, path)
+    fs.write_qrels(t.judgments, path)
     return fs.file_facts(t.spark, path).withColumn("some_bytes", F.col("bytes") > 0)

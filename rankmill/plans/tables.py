@@ -176,7 +176,8 @@ class Tables:
     def sparse_vectors(self) -> DataFrame:
         """Word counts of the documents as token weights."""
         counts = (
-            self.docs.select("document_id", F.explode(tokenize(F.col("text"))).alias("token"))
+            self.docs.select("document_id", F.explode_outer(tokenize(F.col("text"))).alias("token"))
+            .where(F.col("token").isNotNull())
             .groupBy("document_id", "token")
             .agg(F.count(F.lit(1)).cast("double").alias("w"))
         )

@@ -125,6 +125,17 @@ def test_salted_join_equals_plain_join(rows, monkeypatch):
     assert table(jn.skew_safe_join(large, small, ["k"], F.col("n"), 8), "k", "n", "v") == plain
 
 
+def test_closure_of_long_chains_and_rings(rows):
+    chain = rows([(i, i + 1) for i in range(90)] + [(i, (i - 200) % 7 + 200) for i in range(201, 207)] + [(200, 206), (300, 300)], "child long, parent long")
+    up = lambda *nodes: [r[0] for r in table(jn.ancestors_closure(rows([(n,) for n in nodes], "node long"), chain), "node")]
+    assert up(3, 40) == list(range(3, 91))
+    assert up(300, 88) == [88, 89, 90, 300]
+    ring = rows([(i, (i + 1) % 7) for i in range(7)], "child long, parent long")
+    assert [r[0] for r in table(jn.ancestors_closure(rows([(4,)], "node long"), ring), "node")] == list(range(7))
+    many = rows([(i, j) for i in range(12) for j in (i + 1, i + 2)], "child long, parent long")
+    assert [r[0] for r in table(jn.ancestors_closure(rows([(5,)], "node long"), many), "node")] == list(range(5, 14))
+
+
 def test_closure_handles_cycles(rows):
     edges = rows([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "child string, parent string")
     assert table(jn.ancestors_closure(rows([("a",)], "node string"), edges), "node") == [("a",), ("b",), ("c",)]

@@ -214,3 +214,30 @@ def test_local_best_lists_stay_small():
     for q in range(50):
         want = sorted(range(len(ids)), key=lambda i: (-scores[i, q], int(ids[i])))[:10]
         assert got[got.query_id == str(q)].document_id.tolist() == [ids[i] for i in want]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_words_equal_all_distances(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abé", k=n))
+
+    def edited(w):
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(w) + 1)
+            w = rng.choice((w[:i] + w[i + 1 :], w[:i] + rng.choice("abc") + w[i:], w[:i] + rng.choice("abc") + w[i + 1 :]))
+        return w or "a"
+
+    terms = sorted({word(n) for n in (1, 2, 3, 4, 5, 6, 7, 9, 12, 29, 30, 31, 32, 45, 60) for _ in range(4)})
+    words = sorted({edited(t) for t in terms for _ in range(6)} | {word(rng.randint(1, 8)) for _ in range(200)} | {"a" * 3000})
+    bound = {t: 0 if len(t) < 3 else 1 if len(t) < 6 else 2 for t in terms}
+    asked = spark.createDataFrame([(t, bound[t]) for t in terms], "term string, bound int")
+    want = sorted((t, w, d) for t in terms for w in words if t[0] == w[0] and abs(len(t) - len(w)) <= 2 and (d := distance(t, w)) <= bound[t])
+    assert table(lx.near_words(asked, spark.createDataFrame([(w,) for w in words], "word string")), "term", "word", "edits") == want
