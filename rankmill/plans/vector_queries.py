@@ -16,6 +16,7 @@ from rankmill.operators.selection import ann_recall, payload_sizes, recall_summa
 from rankmill.operators.ordering import spanning_sample
 from rankmill.plans.oracle import BEST, ranked, with_
 from rankmill.plans.registry import query
+from rankmill.session import cut_lineage
 
 SCORED = "query_id:s document_id:s rank:i score:f6"
 
@@ -228,32 +229,26 @@ _CASE_CTE = (
 
 
 def captures(t):
-    """Per threshold and seed: all exact ids, and radial ids as if one product in eleven was missed."""
-    near = dn.threshold_pairs(t.vector_queries, t.vectors, 0.55)
-    seeds = t.vector_queries.select(F.col("query_id").alias("case_id"))
-    document = F.col("document_id").cast("long")
-    order = F.struct((-F.col("score")).alias("s"), document.alias("id"))
-    thresholds = F.explode(F.array(F.lit(0.55), F.lit(0.6), F.lit(0.65))).alias("min_score")
-    rows = seeds.join(near.withColumnRenamed("query_id", "case_id"), "case_id", "left").select(
-        thresholds, "case_id", document.alias("id"), order.alias("o"), "score"
-    )
-    kept = F.col("score") >= F.col("min_score")
-    grouped = rows.groupBy("min_score", "case_id").agg(
-        F.array_sort(F.collect_list(F.when(kept, F.col("o")))).alias("e"),
-        F.array_sort(F.collect_list(F.when(kept & (F.col("id") % 11 != 0), F.col("o")))).alias("r"),
+    """(cases, hits) per threshold and seed: exact products, and radial ones as if one in eleven was missed."""
+    near = dn.threshold_pairs(t.vector_queries, t.vectors, 0.55).select(
+        F.col("query_id").alias("case_id"), F.col("document_id").cast("long").alias("product_id"), "score"
     )
-    labels = t.vectors.select(F.col("document_id").alias("case_id"), "label")
-    return grouped.join(labels, "case_id").select(
-        "min_score", "case_id", F.col("case_id").cast("long").alias("seed_product_id"),
-        F.col("e.id").alias("exact_ids"), F.col("r.id").alias("radial_ids"),
+    thresholds = F.explode(F.array(F.lit(0.55), F.lit(0.6), F.lit(0.65))).alias("min_score")
+    hits = cut_lineage(near.select(thresholds, "*").where(F.col("score") >= F.col("min_score")).select(
+        "min_score", "case_id", "product_id", "score", F.lit(True).alias("exact"), (F.col("product_id") % 11 != 0).alias("radial")
+    ))
+    number = F.col("document_id").cast("long")
+    cases = t.vectors.select(
+        thresholds, F.col("document_id").alias("case_id"), number.alias("seed_product_id"),
         F.array(F.concat(F.lit("label"), F.col("label")), F.when(F.col("label") % 2 == 0, "even").otherwise("odd")).alias("slices"),
-        F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("case_id").cast("long") * (i + 3) % 97).cast("double")).alias("radial_latency_ms"),
-        F.array().cast("array<bigint>").alias("unsafe_ids"),
+        F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (number * (i + 3) % 97).cast("double")).alias("radial_latency_ms"),
     )
+    totals = hits.groupBy("min_score", "case_id").agg(F.count(F.lit(1)).alias("exact_total"))
+    return cases.join(totals, ["min_score", "case_id"], "left").fillna(0, ["exact_total"]), hits
 
 
-def merchant_labels(t):
-    pool = captures(t).select("case_id", F.explode(F.concat("exact_ids", "radial_ids")).alias("product_id")).distinct()
+def merchant_labels(hits):
+    pool = hits.select("case_id", "product_id").distinct()
     mix = F.col("case_id").cast("long") + F.col("product_id")
     return pool.withColumn(
         "label",
@@ -273,7 +268,7 @@ def with_cases(body: str) -> str:
 
 @query(
     "e27_radial_calibration",
-    "min_score:f6 cases:i exact_total:i mean_recall:f6 false_positives:i returned:i unsafe_hits:i empty_rate:f6 maximum_results:i minimum_slice_recall:f6 results_p50:f6 results_p95:f6 latency_p95:f6 recall_ok:b slices_ok:b technical_eligible:b",
+    "min_score:f6 cases:i exact_total:i mean_recall:f6 false_positives:i returned:i unsafe_hits:i empty_rate:f6 maximum_results:i minimum_slice_recall:f6 results_p50:f6 results_p95:f6 latency_p95:f6 recall_ok:b slices_ok:b safe_ok:b scope_ok:b technical_eligible:b eligible:b",
     with_cases(
         f", pc AS (SELECT *, {_RECALL} AS recall, len(radial_ids) AS n FROM cases), "
         "ub AS (SELECT case_id, list(product_id) AS u FROM labels WHERE label = 'unsafe' GROUP BY 1), "
@@ -282,11 +277,34 @@ def with_cases(body: str) -> str:
         "b AS (SELECT min_score, count(*) AS cases, sum(len(exact_ids)) AS exact_total, avg(recall) AS mean_recall, sum(len(list_filter(radial_ids, lambda x: NOT list_contains(exact_ids, x)))) AS false_positives, sum(n) AS returned, "
         "sum(len(list_intersect(radial_ids, coalesce(u, [])))) AS unsafe_hits, avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END) AS empty_rate, max(n) AS maximum_results, quantile_cont(n, 0.5) AS results_p50, quantile_cont(n, 0.95) AS results_p95 "
         "FROM pc LEFT JOIN ub USING (case_id) GROUP BY 1) "
-        "SELECT *, mean_recall >= 0.97 AS recall_ok, minimum_slice_recall >= 0.9 AS slices_ok, mean_recall >= 0.97 AND minimum_slice_recall >= 0.9 AND latency_p95 <= 100 AND maximum_results <= 100 AS technical_eligible FROM b JOIN sl USING (min_score) JOIN lt USING (min_score)"
+        "SELECT *, mean_recall >= 0.97 AS recall_ok, minimum_slice_recall >= 0.9 AS slices_ok, mean_recall >= 0.97 AND minimum_slice_recall >= 0.9 AND latency_p95 <= 100 AND maximum_results <= 100 AS technical_eligible, unsafe_hits = 0 AS safe_ok, true AS scope_ok, false AS eligible FROM b JOIN sl USING (min_score) JOIN lt USING (min_score)"
     ).replace(" , pc AS", ", pc AS"),
 )
 def _(t):
-    return rd.calibrate(rd.bind_unsafe(captures(t), merchant_labels(t)), 20, 100, 4)
+    """The catalogue is not a merchant's own, so no threshold becomes eligible."""
+    cases, hits = captures(t)
+    unsafe = merchant_labels(hits).where("label = 'unsafe'")
+    return rd.calibrate(cases, hits, unsafe, 20, 100, 4, representative=False)
+
+
+@query(
+    "e27_capture_faults", "min_score:f6 case_id:s fault:s",
+    with_cases(
+        ", h AS (SELECT min_score, case_id, unnest(exact_ids) AS p FROM cases), n AS (SELECT min_score, case_id, len(exact_ids) AS total, len(radial_ids) AS shown FROM cases) "
+        "SELECT DISTINCT min_score, case_id, 'truncated' AS fault FROM h WHERE CAST(case_id AS BIGINT) % 2 = 0 AND p % 37 = 0 "
+        "UNION ALL SELECT min_score, case_id, 'too_many_results' FROM (SELECT c.min_score, c.case_id, count(*) AS k FROM cases c, unnest(radial_ids) AS u(p) WHERE NOT (CAST(case_id AS BIGINT) % 2 = 0 AND p % 37 = 0) GROUP BY 1, 2) WHERE k > 100 "
+        "UNION ALL SELECT min_score, case_id, 'latency_samples' FROM cases WHERE CAST(case_id AS BIGINT) % 5 = 0 UNION ALL SELECT min_score, case_id, 'slices' FROM cases WHERE CAST(case_id AS BIGINT) % 7 = 0"
+    ),
+)
+def _(t):
+    """Captures that lost products, samples or slices are named, and so are those with too many results."""
+    cases, hits = captures(t)
+    number = F.col("case_id").cast("long")
+    lossy = hits.where(~((number % 2 == 0) & (F.col("product_id") % 37 == 0)))
+    spoiled = cases.withColumn("radial_latency_ms", F.when(number % 5 == 0, F.slice("radial_latency_ms", 1, 3)).otherwise(F.col("radial_latency_ms"))).withColumn(
+        "slices", F.when(number % 7 == 0, F.array(F.lit(""))).otherwise(F.col("slices"))
+    )
+    return rd.capture_faults(spoiled, lossy.withColumn("product_id", F.col("product_id") + 1), 100, 4)
 
 
 @query(
@@ -294,7 +312,7 @@ def _(t):
     with_cases(f"SELECT min_score, slice, avg(recall) AS recall, count(*) AS cases FROM (SELECT min_score, unnest(['label' || label, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END]) AS slice, {_RECALL} AS recall FROM cases) GROUP BY 1, 2"),
 )
 def _(t):
-    return rd.slice_recall(captures(t), 20)
+    return rd.slice_recall(*captures(t), 20)
 
 
 @query(
@@ -310,7 +328,8 @@ def _(t):
     ).replace(" , g AS", ", g AS"),
 )
 def _(t):
-    return rd.merchant_quality(captures(t), merchant_labels(t), 20)
+    cases, hits = captures(t)
+    return rd.merchant_quality(cases, hits, merchant_labels(hits), 20)
 
 
 @query(
@@ -319,7 +338,7 @@ def _(t):
 )
 def _(t):
     catalogue = t.products.select(F.col("entity_id").alias("product_id"), "title")
-    return rd.judgment_pool(captures(t), catalogue, ["title"]).withColumn("title", F.coalesce("title", F.lit("")))
+    return rd.judgment_pool(*captures(t), catalogue, ["title"]).withColumn("title", F.coalesce("title", F.lit("")))
 
 
 @query(
@@ -329,7 +348,7 @@ def _(t):
 )
 def _(t):
     p = F.col("product_id")
-    pool = merchant_labels(t).withColumn("title", F.concat(F.lit("t"), p))
+    pool = merchant_labels(captures(t)[1]).withColumn("title", F.concat(F.lit("t"), p))
     labels = (
         pool.where(p % 17 != 0)
         .withColumn("label", F.when(p % 23 == 0, "great").otherwise(F.col("label")))
@@ -340,12 +359,12 @@ def _(t):
 
 
 @query(
-    "e30_bound_unsafe_ids", "min_score:f6 case_id:s unsafe:s",
-    with_cases("SELECT min_score, case_id, coalesce(u, '') AS unsafe FROM cases LEFT JOIN (SELECT case_id, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY product_id) AS u FROM labels WHERE label = 'unsafe' GROUP BY 1) USING (case_id)"),
+    "e30_bound_unsafe_ids", "min_score:f6 case_id:s product_id:i",
+    with_cases("SELECT min_score, case_id, product_id FROM cases JOIN (SELECT case_id, product_id FROM labels WHERE label = 'unsafe') USING (case_id)"),
 )
 def _(t):
-    bound = rd.bind_unsafe(captures(t), merchant_labels(t))
-    return bound.withColumn("unsafe", F.array_join(F.col("unsafe_ids").cast("array<string>"), ","))
+    cases, hits = captures(t)
+    return rd.bind_unsafe(cases, merchant_labels(hits))
 
 
 @query("e34_payload_sizes", "document_id:s numeric_bytes:i base64_bytes:i smaller:b")

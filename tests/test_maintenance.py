@@ -176,11 +176,36 @@ def test_counter_reset(rows):
     assert got == {0: (0, 0), 60: (50, 1), 120: (80, 1), 86_500: (10, 1)}
 
 
+CASES = "min_score double, case_id string, slices array<string>, radial_latency_ms array<double>, exact_total long"
+HITS = "min_score double, case_id string, product_id long, score double, exact boolean, radial boolean"
+
+
 def test_radial_gates(rows):
-    ddl = "min_score double, case_id string, slices array<string>, exact_ids array<bigint>, radial_ids array<bigint>, unsafe_ids array<bigint>, radial_latency_ms array<double>"
-    good = rows([(0.8, "a", ["head"], [1, 2], [1, 2], [], [5.0] * 4), (0.8, "b", ["tail"], [], [], [], [6.0] * 4)], ddl)
-    got = rd.calibrate(good).first()
-    assert got["technical_eligible"] and got["mean_recall"] == 1.0 and got["empty_rate"] == 0.5
-    bad = rows([(0.8, "a", ["head"], [1, 2], [1, 3], [3], [5.0] * 4)], ddl)
-    got = rd.calibrate(bad).first()
-    assert (got["mean_recall"], got["unsafe_hits"], got["technical_eligible"]) == (0.5, 1, False)
+    cases = rows([(0.8, "a", ["head"], [5.0] * 4, 2), (0.8, "b", ["tail"], [6.0] * 4, 0)], CASES)
+    hits = rows([(0.8, "a", 1, 0.9, True, True), (0.8, "a", 2, 0.85, True, True)], HITS)
+    none = rows([], "case_id string, product_id long")
+    got = rd.calibrate(cases, hits, none).first()
+    assert got["eligible"] and got["technical_eligible"] and got["mean_recall"] == 1.0 and got["empty_rate"] == 0.5
+    got = rd.calibrate(cases, hits, none, complete=False, representative=False).first()
+    assert got["technical_eligible"] and not got["eligible"] and not got["judgments_ok"]
+    assert not rd.calibrate(cases, hits, none, registered_scope=False).first()["technical_eligible"]
+    wrong = rows([(0.8, "a", 1, 0.9, True, True), (0.8, "a", 2, 0.85, True, False), (0.8, "a", 3, 0.81, False, True)], HITS)
+    got = rd.calibrate(cases.where("case_id = 'a'"), wrong, rows([("a", 3), ("a", 2), ("b", 1)], "case_id string, product_id long")).first()
+    assert (got["mean_recall"], got["unsafe_hits"], got["false_positives"], got["technical_eligible"]) == (0.5, 1, 1, False)
+
+
+def test_recall_looks_at_the_first_places_only(rows):
+    cases = rows([(0.5, "a", ["x", "x"], [1.0] * 4, 30), (0.5, "b", ["x"], [1.0] * 4, 0)], CASES)
+    hits = rows([(0.5, "a", i, 1.0 - i / 100, True, i != 3) for i in range(1, 31)] + [(0.5, "b", 1, 0.6, False, True)], HITS)
+    assert table(rd.slice_recall(cases, hits, 5), "slice", "recall", "cases") == [("x", 0.4, 2)]
+
+
+def test_captures_that_must_not_be_used(rows):
+    cases = rows(
+        [(0.8, "ok", ["s"], [1.0] * 4, 1), (0.8, "cut", ["s"], [1.0] * 4, 3), (0.8, "few", ["s"], [1.0] * 3, 0), (0.8, "neg", ["s"], [1.0, -1.0, 0.0, 1.0], 0),
+         (0.8, "slice", [], [1.0] * 4, 0), (0.8, "twice", ["s"], [1.0] * 4, 0), (0.8, "twice", ["s"], [1.0] * 4, 0), (0.8, "ids", ["s"], [1.0] * 4, 2), (0.8, "null", None, None, None)], CASES)
+    hits = rows([(0.8, "ok", 1, 0.9, True, True), (0.8, "ok", 2, 0.9, False, True), (0.8, "cut", 4, 0.9, True, False), (0.8, "ids", 5, 0.9, True, False), (0.8, "ids", 5, 0.9, True, False)], HITS)
+    assert table(rd.capture_faults(cases, hits, maximum_results=1), "case_id", "fault") == [
+        ("cut", "truncated"), ("few", "latency_samples"), ("ids", "product_ids"), ("neg", "latency_samples"), ("null", "latency_samples"), ("null", "slices"), ("null", "truncated"),
+        ("ok", "too_many_results"), ("slice", "slices"), ("twice", "repeated_case"),
+    ]
