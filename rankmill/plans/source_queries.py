@@ -218,9 +218,9 @@ def _(t):
     return fs.read_vector_table(t.spark, path, fingerprint)
 
 
-def log_lines(t):
+def log_lines(t, events=None):
     """Events as telemetry log lines; cheap ones are broken in several ways, others unmarked."""
-    e = t.telemetry.select("*", (F.col("duration_ms") * 100).cast("int").alias("v"))
+    e = (t.telemetry if events is None else events).select("*", (F.col("duration_ms") * 100).cast("int").alias("v"))
     record = F.to_json(
         F.struct(
             F.when(F.col("v") % 50 == 1, 2).otherwise(1).alias("schema_version"), F.lit("query_route").alias("event"),

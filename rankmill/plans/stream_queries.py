@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from rankmill.plans.change_queries import LATEST_SQL, _OFFERS
 from rankmill.plans.monitoring_queries import FAILURES
+from rankmill.plans.lexical_queries import with_more
 from rankmill.plans.registry import query
+from rankmill.plans.source_queries import _CAST_V, log_lines
+from rankmill.sources import telemetry_log as tl
 from rankmill.streaming import apply as ap
 from rankmill.streaming import failures as fl
 from rankmill.streaming import latest as lt
@@ -134,6 +137,46 @@ def _(t):
     return st.window_latency(closed_windows(t))
 
 
+_CHUNKS = 5
+_HOUR, _SLIDE = 3_600, 1_800
+# A chunk is a fifth of the time; some rows of the first come with the last.
+_CHUNK = f"CASE WHEN (epoch_us(ts) - lo) * {_CHUNKS} // (hi - lo + 1) = 0 AND {_CAST_V} % 10 = 7 THEN {_CHUNKS - 1} ELSE (epoch_us(ts) - lo) * {_CHUNKS} // (hi - lo + 1) END"
+# Rows are late if their window had ended before the batch before theirs began to close windows.
+_LOGGED = (
+    f"numbered AS (SELECT * FROM telemetry, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)), placed AS (SELECT *, {_CHUNK} AS chunk FROM numbered WHERE {_CAST_V} NOT IN (1, 2, 3, 4, 5)), "
+    f"marks AS (SELECT c.chunk, (SELECT max(epoch_ms(ts)) FROM placed p WHERE p.chunk <= c.chunk - 2) - {_HOUR * 1000} AS mark FROM (SELECT DISTINCT chunk FROM placed) c), "
+    f"spread AS (SELECT p.*, (epoch_us(ts) // {_SLIDE * 1_000_000} - s) * {_SLIDE} AS window_start FROM placed p, (SELECT unnest(range({_HOUR // _SLIDE})) AS s)), "
+    f"shut AS (SELECT s.*, m.mark IS NULL OR (window_start + {_HOUR}) * 1000 > m.mark AS in_time FROM spread s JOIN marks m USING (chunk) WHERE (window_start + {_HOUR}) * 1000 <= (SELECT max(epoch_ms(ts)) - {_HOUR * 1000} FROM placed))"
+)
+
+
+def logged_windows(t):
+    """(log folder, closed sliding windows) of a log that arrives in five files, some rows long after their time."""
+    path = t.scratch("log")
+    e, at = t.telemetry, F.unix_micros("ts")
+    low, high = e.agg(F.min(at), F.max(at)).head()
+    chunk = F.expr(f"(unix_micros(ts) - {low}) * {_CHUNKS} div {high - low + 1}")
+    chunk = F.when((chunk == 0) & ((F.col("duration_ms") * 100).cast("int") % 10 == 7), _CHUNKS - 1).otherwise(chunk)
+    for i in range(_CHUNKS):
+        log_lines(t, e.where(chunk == i)).coalesce(1).write.mode("append").text(path)
+        time.sleep(0.05)  # files are taken in the order of their times
+    records = st.stream_log(t.spark, path)
+    return path, _sink(t, st.stream_telemetry(records, _HOUR, _SLIDE), "sliding", "append")
+
+
+@query("st3_stream_log_windows", "window_start:i store_id:i request_name:s route:s observations:i p95_duration_ms:f6",
+       with_more("telemetry", _LOGGED, "SELECT window_start, store_id, request_name, route, count(*) AS observations, quantile_disc(duration_ms, 0.95) AS p95_duration_ms FROM shut WHERE in_time GROUP BY 1, 2, 3, 4"))
+def _(t):
+    return st.window_latency(logged_windows(t)[1])
+
+
+@query("st3_stream_log_late_rows", "window_start:i store_id:i recorded:i streamed:i late:i",
+       with_more("telemetry", _LOGGED, "SELECT * FROM (SELECT window_start, store_id, count(*) AS recorded, count(*) FILTER (in_time) AS streamed, count(*) FILTER (NOT in_time) AS late FROM shut GROUP BY 1, 2) WHERE late > 0"))
+def _(t):
+    path, closed = logged_windows(t)
+    return st.late_rows(tl.telemetry_records(t.spark.read.text(path)), closed, _HOUR, _SLIDE)
+
+
 @query("st4_stream_failure_runs", "store_id:i sequence:i failures:i", FAILURES.format(memory=1_800_000_000))
 def _(t):
     outcomes = event_stream(t).selectExpr(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmill.operators.ordering import exact_percentiles
+from rankmill.sources.telemetry_log import telemetry_records
 
 BY = ("window_start", "store_id", "request_name", "route", "reason")
 
@@ -35,6 +36,33 @@ def stream_telemetry(
     )
 
 
+def stream_log(spark: SparkSession, path: str, files_per_batch: int = 1, **options: str) -> DataFrame:
+    """Telemetry records as a stream of the log files that arrive under `path`; rejected lines are left out.
+
+    `options` go to the reader; the marker of a record is `sources.telemetry_log.MARKER`.
+    """
+    lines = spark.readStream.options(**options).option("maxFilesPerTrigger", files_per_batch).text(path)
+    return telemetry_records(lines)
+
+
+def late_rows(records: DataFrame, closed: DataFrame, window_seconds: int = 300, slide_seconds: int | None = None) -> DataFrame:
+    """(window_start, store_id, recorded, streamed, late) of the closed windows that lost rows to the watermark.
+
+    `records` are the records of the log read as a table, `closed` what `stream_telemetry` has written. Both are counted
+    per window and store before they meet.
+    """
+    window = F.window("ts", f"{window_seconds} seconds", f"{slide_seconds or window_seconds} seconds")
+    by = ["window_start", "store_id"]
+    recorded = records.select(F.unix_seconds(window.start).alias("window_start"), "store_id").groupBy(*by).agg(F.count(F.lit(1)).alias("recorded"))
+    streamed = closed.groupBy(*by).agg(F.sum("requests").alias("streamed"))
+    last = closed.agg(F.max("window_start").alias("last"))  # windows close in order
+    return (
+        recorded.join(F.broadcast(last), F.col("window_start") <= F.col("last")).drop("last")
+        .join(streamed, by, "left").fillna(0, ["streamed"])
+        .withColumn("late", F.col("recorded") - F.col("streamed")).where("late > 0")
+    )
+
+
 def window_routes(closed: DataFrame) -> DataFrame:
     """Route counts per window from the closed-window counts."""
     return closed.groupBy(*BY).agg(F.sum("requests").alias("requests"))
