@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,22 +27,24 @@ from rankmill.llm.common import hash_share, slices
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr".split()
+#: Elements whose start tag ends an open paragraph, and parts of tables and forms: these are blocks. Every other
+#: element, known or not, is inline and only adds to the text of its block.
+ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
+    "hr li listing main menu nav ol p plaintext pre search section summary table ul xmp".split()
 )
+BLOCK = ENDS_P | frozenset("caption legend tbody td tfoot th thead tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements without text of a page: their content is skipped.
-SILENT = frozenset(
-    "script style noscript template head title svg math iframe object canvas audio video map button select option textarea label datalist".split()
-)
+#: Elements without text of a page: all up to their own end tag is skipped.
+SILENT = frozenset("head svg object canvas audio video map button select label datalist".split())
 #: Elements that may stand in a head; any other start tag ends it.
 HEAD = frozenset("title style script meta link base noscript template html".split())
+#: Elements without text of a page whose content is not markup.
 RAW = frozenset("script style textarea title iframe noscript template".split())
 #: A start tag of the key ends an open element of the values.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "tbody": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"},
+    "tbody": {"thead", "tbody", "tr", "td", "th"},
 }
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}}
 TAG_GROUPS = (
@@ -89,44 +92,76 @@ class Page:
 
     @staticmethod
     def parse(source: str) -> Page:
-        page, at, silent = Page(), 0, 0
+        """Blocks and text runs, in time proportional to the source.
+
+        The number of open elements is kept by tag, so the stack is only searched for what is on it, and what a
+        search passes is closed. In a skipped element nothing counts but its own end tag or that of an element
+        around it (some pages leave buttons and labels open).
+        """
+        page, at = Page(), 0
         stack: list[tuple[str, int]] = [("html", 0)]
-        links = 0
+        opened: Counter[str] = Counter()
+        skipped, inside, endless = "", Counter(), set()
 
         def close(place: int) -> None:
-            nonlocal silent, links
             for tag, _ in stack[place:]:
-                silent -= tag in SILENT
-                links -= tag == "a"
-            if any(tag not in INLINE and tag not in SILENT for tag, _ in stack[place:]):
+                opened[tag] -= 1
+            if any(tag in BLOCK for tag, _ in stack[place:]):
                 page.runs.append((stack[place - 1][1], None, False))
             del stack[place:]
 
+        def close_nearest(tag: str) -> None:
+            close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
+
         def text(piece: str) -> None:
-            if piece and not silent:
-                page.runs.append((stack[-1][1], html.unescape(piece), links > 0))
+            if piece and not skipped:
+                page.runs.append((stack[-1][1], html.unescape(piece), opened["a"] > 0))
 
         position = 0
         while (match := TAG.search(source, position)) is not None:
             text(source[at : match.start()])
             at = position = match.end()
-            tag = (match[2] or "").lower()
+            tag, ends = (match[2] or "").lower(), bool(match[1])
             if not tag:
                 continue
-            if match[1]:
-                place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if place:
-                    close(place)
+            if tag in RAW and not ends:
+                if not skipped:
+                    page.inner[stack[-1][1]] += 1
+                if match[3].endswith("/") and skipped == "svg":
+                    continue
+                end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                if end is not None:
+                    at = position = end.end()
+                elif tag in ("noscript", "template"):
+                    endless.add(tag)
+                else:
+                    at = position = len(source)
+                continue
+            if skipped == "head" and not ends and tag not in HEAD:
+                skipped = ""
+            if skipped:
+                if not ends:
+                    if tag not in VOID and not match[3].endswith("/"):
+                        inside[tag] += 1
+                    continue
+                if inside[tag] > 0:
+                    inside[tag] -= 1
+                    continue
+                if tag == skipped:
+                    skipped = ""
+                elif skipped != "object" and opened[tag] > 0:
+                    skipped = ""
+                    close_nearest(tag)
+                continue
+            if ends:
+                if opened[tag] > 0:
+                    close_nearest(tag)
                 elif tag == "p":
                     page.runs.append((stack[-1][1], None, False))
                 continue
-            if len(stack) > 1 and stack[1][0] == "head" and tag not in HEAD:
-                close(1)
-            if tag not in INLINE and tag not in VOID and tag not in SILENT:
-                place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if place:
-                    close(place)
-            if tag in ENDS:
+            if tag in ENDS_P and opened["p"] > 0:
+                close_nearest("p")
+            if any(opened[x] > 0 for x in ENDS.get(tag, ())):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in SCOPES.get(tag, ()):
                         break
@@ -137,14 +172,15 @@ class Page:
             page.inner[owner] += 1
             if tag in VOID:
                 page.inputs[owner] += tag == "input"
-                if not silent:
-                    page.runs.append((owner, None, False) if tag == "hr" else (owner, " ", False))
+                page.runs.append((owner, None, False) if tag == "hr" else (owner, " ", False))
                 continue
             if tag in ("html", "body"):
                 continue
-            if match[3].endswith("/") and tag in SILENT:
+            if tag in SILENT:
+                if not match[3].endswith("/"):
+                    skipped, inside = tag, Counter()
                 continue
-            if tag not in INLINE and tag not in SILENT:
+            if tag in BLOCK:
                 page.runs.append((owner, None, False))
                 page.tags.append(tag)
                 page.parents.append(owner)
@@ -154,17 +190,7 @@ class Page:
                 page.inputs.append(0)
                 owner = len(page.tags) - 1
             stack.append((tag, owner))
-            silent += tag in SILENT
-            links += tag == "a"
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                if end is None and tag in ("script", "style"):
-                    at = position = len(source)
-                elif end is not None:
-                    if not silent:
-                        text(source[at : end.start()])
-                    at = position = end.end()
-                    close(len(stack) - 1)
+            opened[tag] += 1
         text(source[at:])
         return page
 
@@ -321,7 +347,7 @@ def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", rows
     Sampled pages without an article or main element carry no signs and are left out of the fit.
     """
     drawn = hash_share(F.col(page_id).cast("string")) < min(1.0, 1.2 * rows / max(1, pages.count()))
-    some = pages.where(F.col(source).isNotNull() & drawn).select(source).limit(rows)
+    some = pages.where(F.col(source).isNotNull() & drawn).select(source).orderBy(F.xxhash64(source), source).limit(rows)
     parsed = [Page.parse(x) for x in [*template_pages(), *(r[0] for r in some.collect())]]
     labels = [weak_labels(p) for p in parsed]
     used = [(p.features()[1:], y[1:]) for p, y in zip(parsed, labels) if len(y) > 1 and y.any()]

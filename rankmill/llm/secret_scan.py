@@ -98,7 +98,7 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", valu
     """
     total = max(1, documents.count())
     body, key = F.coalesce(F.col(text), F.lit("")), hash_share(F.col(doc_id).cast("string"))
-    secret = documents.where(key < min(1.0, SECRET_DOCUMENTS / total)).select(F.explode(_values(body)).alias("token")).limit(values)
+    secret = documents.where(key < min(1.0, SECRET_DOCUMENTS / total)).select(F.explode(_values(body)).alias("token"), key.alias("place")).orderBy("place", "token").limit(values).select("token")
     some = documents.where(key < min(1.0, sample / total)).select(body.alias("body"))
     clean = F.col("body")
     for _, pattern, _, _ in BASE[:2]:
@@ -127,13 +127,16 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", valu
 
 
 def ratio(token: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio of random against ordinary for an ASCII token."""
+    """Log-likelihood ratio of random against ordinary for an ASCII token, in time proportional to its length."""
     weights = F.split(F.lit(",".join(f"{x:.5f}" for x in table)), ",").cast("array<double>")
-    code = lambda i: F.ascii(F.substr(token, i, F.lit(1)))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
-        lambda total, i: total + F.get(weights, code(i) * _SYMBOLS + code(i + F.lit(1))),
-    )
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("total"))
+
+    def add(state: Column, letter: Column) -> Column:
+        code = F.ascii(letter)
+        weight = F.when(state["last"] >= 0, F.get(weights, state["last"] * _SYMBOLS + code)).otherwise(F.lit(0.0))
+        return F.struct(code.alias("last"), (state["total"] + weight).alias("total"))
+
+    return F.aggregate(F.filter(F.split(token, ""), lambda x: x != ""), start, add, lambda state: state["total"])
 
 
 def scan(documents: DataFrame, table: list[float], doc_id: str = "doc_id", text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:

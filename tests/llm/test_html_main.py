@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -23,6 +25,39 @@ CASES = [
 ]
 
 
+BLOCKS = [
+    ("<p>Buy <button><div>CLICK</div></button> now</p>", "Buy now"),
+    ("<p>See <svg><g><text>LBL</text></g></svg> chart of it</p>", "See chart of it"),
+    ("<p>a <nobr>b</nobr> c <x-term>d</x-term> e</p>", "a b c d e"),
+    ("<p>film <video controls><p>no video here</p><a href=x>load</a></video> end</p>", "film end"),
+    ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p>", "if x=2 then"),
+    ("<p>one<label>Name <b>x</b></label><div>two</div>three", "one\n\ntwo\n\nthree"),
+    ("<div><button>open <p>hidden</div><p>after</p>", "after"),
+    ("<select><option>a<option>b</select>rest", "rest"),
+    ("<svg/>x<svg><script/>y</svg>z", "xz"),
+    ("<head><title>T</title><meta charset=x><link rel=y>said<div>body</div>", "body"),
+    ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a\n\nb\n\nc\n\nd"),
+    ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n\n2\n\n3"),
+    ("<textarea>not closed <p>x", ""), ("<template>open <p>x", "open\n\nx"), ("a</p>b", "a\n\nb"), ("<p>a<table><tr><td>b</table>c", "a\n\nb\n\nc"),
+]
+
+
+@pytest.mark.parametrize("source, want", BLOCKS)
+def test_blocks(source, want):
+    page = Page.parse(source)
+    assert page.text(np.ones(len(page.tags), bool)) == want
+
+
+@pytest.mark.parametrize("source", [
+    "<div>" * 100_000 + "x" + "</div>" * 100_000, "<p>" + "<b>" * 100_000 + "x<div>y", "<ul>" + "<li><div>" * 50_000, "</p>" * 100_000, "<template>" * 50_000 + "x",
+    "<p><div>" * 50_000 + "</p>" * 50_000, "<button>" + "<p>" * 100_000,
+])
+def test_deep_pages_take_proportional_time(trees, source):
+    start = time.perf_counter()
+    main_text(source, trees)
+    assert time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize("source, want", CASES)
 def test_pages(trees, source, want):
     assert main_text(source, trees) == want

@@ -3,7 +3,9 @@ import random
 import re
 import string
 
-from rankmill.llm.secret_scan import digest, scan, train
+from pyspark.sql import functions as F
+
+from rankmill.llm.secret_scan import digest, ratio, scan, train
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -67,3 +69,24 @@ def test_plan_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "secret=abcdef")], "doc_id long, text string")
     plan = digest(scan(docs, [0.0] * 128**2))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_tokens_take_proportional_time(spark):
+    import time
+
+    rng = random.Random(3)
+    token = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1_000_000))
+    docs = spark.createDataFrame([(1, f"blob {token} end"), (2, "z" * 1_000_000)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in digest(scan(docs, train(docs.limit(0)))).collect()}
+    assert got[1].base_sha256 == got[2].base_sha256 and time.perf_counter() - start < 60
+
+
+def test_ratio_adds_neighbouring_letters(spark):
+    rng = random.Random(4)
+    weights = [rng.uniform(-2, 2) for _ in range(128 * 128)]
+    tokens = ["ab", "a", "x9f3kq07zb1d5j8w", "Aa" * 40]
+    frame = spark.createDataFrame([(t,) for t in tokens], "token string")
+    got = [r.v for r in frame.select(ratio(F.col("token"), weights).alias("v")).collect()]
+    for t, v in zip(tokens, got):
+        assert abs(v - sum(round(weights[ord(a) * 128 + ord(b)], 5) for a, b in zip(t, t[1:]))) < 1e-6
