@@ -6,7 +6,8 @@ holds only what still repeats, and the rounds end when no class splits any more:
 ends of their texts. The classes at depth w are the intervals of the suffix array with a longest common
 prefix of w lines or more, which is all that dedup needs, so suffixes are named by hash and not numbered by a
 global sort. Two overlapping powers of two give the intervals of any depth. Later copies of runs that
-repeat over at least ``min_lines`` lines are deleted.
+repeat over at least ``min_lines`` lines are deleted, and so are later copies of single lines that are passages
+by their own length (``LONG_WORDS``).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from rankmill.session import cut_lineage
 
 #: Most doublings; a run of over 2^MAX_ROUNDS lines is reported with that length.
 MAX_ROUNDS = 40
+#: Words from which a single line is a run.
+LONG_WORDS = 50
 _NAME = ["rank", "check"]
 
 
@@ -72,19 +75,19 @@ def repeated_suffixes(sequence: DataFrame, min_length: int) -> DataFrame:
     return base.join(deepest, ["seq", "at"]).select("seq", "at", *_NAME, F.greatest("depth", F.lit(min_length)).alias("depth"))
 
 
-def _cut(min_lines: int):
-    """Text without the lines that the runs starting at ``starts`` (places of solid lines) cover."""
+def _cut():
+    """Text without the lines that the runs cover; ``starts`` are places of solid lines, ``sizes`` lines of the runs."""
 
     @F.pandas_udf("struct<text:string,removed:long>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, starts in batches:
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, starts, sizes in batches:
             out = []
-            for part in slices(iter([pd.DataFrame({"text": texts, "starts": starts})])):
-                for text, places in zip(part["text"], part["starts"]):
+            for part in slices(iter([pd.DataFrame({"text": texts, "starts": starts, "sizes": sizes})])):
+                for text, places, lengths in zip(part["text"], part["starts"], part["sizes"]):
                     if text is None:
                         out.append((None, 0))
                         continue
-                    gone = {int(p) + i for p in places for i in range(min_lines)}
+                    gone = {int(p) + i for p, n in zip(places, lengths) for i in range(int(n))}
                     kept, at, removed = [], 0, 0
                     for line in text.split("\n"):
                         solid = bool(line.strip(" "))
@@ -99,11 +102,12 @@ def _cut(min_lines: int):
     return cut
 
 
-def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = 2) -> DataFrame:
+def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = 2, long_words: int = LONG_WORDS) -> DataFrame:
     """All columns of ``documents``, with the later copies of repeated line runs deleted from ``text``.
 
     A line goes if it lies in a run of ``min_lines`` consecutive lines that also starts earlier: in a smaller
-    document id (nulls last), or earlier in the same document. Lines are compared as they are; lines
+    document id (nulls last), or earlier in the same document, or if it has ``long_words`` words or more and occurs
+    earlier itself. Lines are compared as they are; lines
     of spaces only are no part of runs and stay. Added columns: ``n_lines`` (solid lines), ``n_removed`` and
     ``longest_run``, a length to which a run of the document repeats, 0 if none. Null texts stay null and
     have no lines. Rows equal in id and text are one document and get the same result. Documents with
@@ -114,20 +118,27 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     keep = [c for c in documents.columns if c not in ("n_lines", "n_removed", "longest_run")]
     docs = documents.select(*keep, F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("__seq"))
     solid = F.filter(F.split(F.col(text), "\n", -1), lambda x: F.length(F.trim(x)) > 0)
-    placed = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc"), F.col("__seq").alias("seq"), F.posexplode(F.transform(solid, F.md5)).alias("at", "value"))
+    words = F.size(F.filter(F.split("x", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
+    # the outer form keeps Spark from cutting the text twice, once to test for lines
+    lines = docs.where(F.length(text) > 0).select(F.col("__seq").alias("seq"), F.posexplode_outer(solid).alias("at", "x")).where(F.col("x").isNotNull())
+    alone = F.when(F.length("x") >= 2 * long_words - 1, words >= long_words).otherwise(F.lit(False))
+    placed = lines.select("seq", "at", F.md5("x").alias("value"), alone.alias("alone")).distinct()
     sequence = placed.select("seq", "at", "value")
     if documents.select(doc_id).isEmpty():
-        runs = sequence.limit(0).select("seq", "at", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("check"), F.lit(0).cast("long").alias("depth"))
+        runs = sequence.limit(0).select("seq", "at", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("check"), F.lit(0).cast("long").alias("depth"), F.lit(0).alias("lines"))
     else:
-        runs = repeated_suffixes(sequence.distinct(), min_lines)
+        runs = repeated_suffixes(sequence, min_lines).withColumn("lines", F.lit(min_lines))
+        if min_lines > 1:
+            single, _ = _repeated(placed.where("alone").select("seq", "at", F.xxhash64("value").alias("rank"), F.xxhash64(F.lit(1), "value").alias("check")))
+            runs = runs.union(single.select("seq", "at", *_NAME, F.lit(1).cast("long"), F.lit(1)))
     owners = docs.select(F.col("__seq").alias("seq"), F.col(doc_id).alias("doc")).distinct()
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "seq", "at")
     runs = runs.join(owners, "seq")
     first = runs.groupBy(*_NAME).agg(F.min(place).alias("first"))
-    found = runs.join(first, _NAME).groupBy("seq").agg(F.max("depth").alias("__longest"), F.collect_list(F.when(place != F.col("first"), F.col("at"))).alias("__starts"))
+    found = runs.join(first, _NAME).groupBy("seq").agg(F.max("depth").alias("__longest"), F.collect_list(F.when(place != F.col("first"), F.struct("at", "lines"))).alias("__starts"))
     joined = docs.join(found.withColumnRenamed("seq", "__seq"), "__seq", "left")
     marked = F.coalesce(F.size("__starts") > 0, F.lit(False))
-    joined = joined.withColumn("__cut", _cut(min_lines)(F.when(marked, F.col(text)), F.col("__starts")))
+    joined = joined.withColumn("__cut", _cut()(F.when(marked, F.col(text)), F.col("__starts.at"), F.col("__starts.lines")))
     return joined.select(
         *[F.when(marked, F.col("__cut.text")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in keep],
         F.coalesce(F.when(F.length(text) > 0, F.size(solid)), F.lit(0)).cast("long").alias("n_lines"),
@@ -136,7 +147,7 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 #: The rows of ``dedup_lines`` with min_lines = 2 without ``longest_run``, for a table with unique ids.
-SQL = """
+SQL = r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line
     FROM {documents} WHERE text <> ''
@@ -144,9 +155,10 @@ WITH lines AS (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS place, lead(x) OVER (PARTITION BY doc_id ORDER BY line) AS following
     FROM lines WHERE trim(x) <> ''
 ), runs AS (
-    SELECT *, following IS NOT NULL AND row_number() OVER (PARTITION BY x, following ORDER BY doc_id, place) > 1 AS later FROM solid
+    SELECT *, following IS NOT NULL AND row_number() OVER (PARTITION BY x, following ORDER BY doc_id, place) > 1 AS later,
+        len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 50 AND row_number() OVER (PARTITION BY x ORDER BY doc_id, place) > 1 AS passage FROM solid
 ), gone AS (
-    SELECT doc_id, line, later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY place), false) AS gone FROM runs
+    SELECT doc_id, line, passage OR later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY place), false) AS gone FROM runs
 ), kept AS (
     SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY line) FILTER (WHERE NOT coalesce(gone, false)), '') AS text,
         count(gone) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed

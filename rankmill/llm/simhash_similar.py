@@ -1,16 +1,11 @@
-"""Near-duplicates by shingle similarity, found through covering hashing of SimHashes.
-
-At a similarity of 0.8 on five-word shingles the five-word SimHashes differ in about 10 of 64 bits, too many
-for covering tables. A changed word touches five shingles but two word pairs, so SimHashes of word pairs
-differ in about 6 bits only. Two texts within ``RADIUS`` bits differ in at most half of that in one half of
-the fingerprint (pigeonhole), and the covering masks of that half make them meet. Met pairs must also be
-within ``WIDE`` bits on five-word shingles, which random pairs are not.
-
-Appended, cut or replaced blocks and repeated words move the SimHashes further than that, so a prefix filter
-finds what the tables miss: in any fixed order of all shingles, two sets at the similarity share one among
-the first of each (``marks``). Bounds on sizes, places and differing shingles, which no such pair breaks, thin
-out what meets there. Candidate groups of both searches are then verified by exact similarity, in blocks,
-and only verified links make classes.
+"""Near-duplicates by shingle similarity: one document of each group stays.
+
+At a similarity of 0.8 on five-word shingles the 64-bit SimHashes of two texts differ in about 10 bits, and in
+more where blocks were appended, cut or replaced. No radius that covering tables can hold meets all such
+pairs, so this stage searches by a prefix filter, which does: in any fixed order of all shingles, two sets
+at the similarity share one among the first of each (``marks``). What meets there is thinned out by bounds that
+no such pair breaks: sizes, places, and the bits of a parity sketch of the shingles. Candidate groups are then
+verified by exact similarity, in blocks, and only verified links make classes.
 """
 
 from __future__ import annotations
@@ -25,13 +20,11 @@ from pyspark.sql import functions as F
 
 from rankmill.llm.common import connected_components, hash_share, slices
 from rankmill.llm.decontaminate import shingle_hashes, word_codes, words_of
-from rankmill.llm.simhash import majority, mask_table
-from rankmill.session import broadcast_if_small, cut_lineage
+from rankmill.session import cut_lineage
 
-RADIUS, WIDE = 10, 20
 SHINGLE, SIMILARITY = 5, 0.8
 #: Members of a bucket that one task compares at once; larger buckets are split into block pairs.
-CROWD, BLOCK = 4096, 2048
+BLOCK = 2048
 #: Texts of a block in exact verification.
 VERIFIED = 400
 #: Texts sampled for common shingles, and the share of them from which a shingle is common.
@@ -46,15 +39,6 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return shingle_hashes(word_codes(words), max(1, min(width, len(words))))
 
 
-def prints(text: str | None, width: int = SHINGLE) -> tuple[int, int]:
-    """SimHashes of the word pairs and of the shingles; zero without words."""
-    words = words_of(text)
-    if not words:
-        return 0, 0
-    codes = word_codes(words)
-    return tuple(majority(shingle_hashes(codes, min(n, len(words)))) for n in (2, width))
-
-
 def marks(found: np.ndarray, similarity: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles of a set in the order of the prefix filter, and the parities of all of them by hash.
 
@@ -80,14 +64,6 @@ def _spanning(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def _close(radius: int, wide: int):
-    def close(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        pair, five = (np.bitwise_count(first[..., k] ^ second[..., k]) for k in (0, 1))
-        return (pair <= radius) & (five <= wide)
-
-    return close
-
-
 def _may_reach(similarity: float):
     """Whether sets that share a shingle as their first one can reach the similarity.
 
@@ -163,23 +139,6 @@ def _block_rows(close):
     return rows
 
 
-def candidate_links(nodes: DataFrame, radius: int = RADIUS, wide: int = WIDE, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all ``nodes`` (node, two, five) within both radii.
-
-    One spanning set per bucket or pair of blocks, never all pairs.
-    """
-    masks = mask_table(radius // 2, 32)
-    tables = F.array(*[
-        F.lit((2 * k + half) << 32).bitwiseXOR(F.shiftrightunsigned(F.col("two"), 32 * half).bitwiseAND(F.lit(m))) for k, m in enumerate(masks) for half in (0, 1)
-    ])
-    # many small tasks: each row becomes over a hundred, which one task must not hold
-    parts = max(32, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = nodes.repartition(parts, "node").select(F.explode(tables).alias("bucket"), "node", "two", "five")
-    sizes = cut_lineage(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd))
-    plain = keyed.join(broadcast_if_small(sizes.select("bucket")), "bucket", "left_anti")
-    return _met(plain, keyed.join(broadcast_if_small(sizes), "bucket"), ["two", "five"], _close(radius, wide), block)
-
-
 def _met(plain: DataFrame, crowded: DataFrame, values: list[str], close, block: int) -> DataFrame:
     """Links (a, b) of the members of ``plain`` buckets and, in pairs of blocks, of ``crowded`` ones of ``n`` rows."""
     links = plain.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_bucket_rows(close), "a long, b long")
@@ -191,8 +150,12 @@ def _met(plain: DataFrame, crowded: DataFrame, values: list[str], close, block:
     return links.union(paired.groupBy("bucket", "i", "j").applyInPandas(_block_rows(close), "a long, b long"))
 
 
-def prefix_links(nodes: DataFrame, similarity: float = SIMILARITY, crowd: int = BLOCK, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all ``nodes`` (node, size, marks, parity) at the similarity or above."""
+def prefix_links(nodes: DataFrame, similarity: float = SIMILARITY, crowd: int | None = None, block: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect all ``nodes`` (node, size, marks, parity) at the similarity or above.
+
+    Only shingles that two texts or more have at their beginning go on; sizes and sketches are joined to those.
+    """
+    crowd, block = crowd or BLOCK, block or BLOCK
     keyed = nodes.select("node", "size", F.posexplode("marks").alias("at", "bucket")).select("bucket", "node", (F.col("size") - F.col("at")).alias("rest"))
     sizes = cut_lineage(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     values = ["size", "rest", *[f"p{k}" for k in range(PARITY)]]
@@ -256,21 +219,20 @@ def similar_documents(documents: DataFrame, text: str = "text", similarity: floa
 
     common = documents.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
 
-    @F.pandas_udf("struct<two:long,five:long,size:int,marks:array<long>,parity:array<long>>")
-    def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<size:int,marks:array<long>,parity:array<long>>")
+    def first_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = np.array([prints(x, width) for x in batch], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             sets = [np.unique(shingles(x, width)) for x in batch]
             first = [[v.view(np.int64) for v in marks(x, similarity, common.value)] for x in sets]
             yield pd.DataFrame({
-                "two": values[:, 0], "five": values[:, 1], "size": np.array([len(x) for x in sets], dtype=np.int32),
+                "size": np.array([len(x) for x in sets], dtype=np.int32),
                 "marks": pd.Series([x for x, _ in first], dtype=object), "parity": pd.Series([x for _, x in first], dtype=object),
             })
 
-    columns = ["two", "five", "size", "marks", "parity"]
-    found = texts.select("node", prints_of("body").alias("p")).select("node", "p.*")
+    columns = ["size", "marks", "parity"]
+    found = texts.select("node", first_of("body").alias("p")).select("node", "p.*")
     found = cut_lineage(found.groupBy("node").agg(*[F.first(c).alias(c) for c in columns]))
-    links = candidate_links(found.select("node", "two", "five")).union(prefix_links(found.select("node", "size", "marks", "parity"), similarity))
+    links = prefix_links(found, similarity)
     groups = connected_components(links, "a", "b").withColumnRenamed("root", "group")
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("blocks"))
     groups = cut_lineage(groups.join(sizes, "group").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
@@ -292,16 +254,18 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """The rows of ``documents``, all columns, with one row of each class of similar texts.
 
     The row with the smallest id stays (nulls last), then the one of the smallest text hash; of rows equal
-    in id and text one stays.
+    in id and text one stays. Null texts count as empty, and texts without words are similar to each other only, so
+    one of them stays. An empty table gives no rows. Columns may have any names but ``__node``, ``__best``,
+    ``__root`` and ``__copies``.
     """
     roots = similar_documents(documents, text, similarity, width).withColumnsRenamed({"node": "__node", "root": "__root"})
     rows = documents.withColumn("__node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__node").alias("node"))
-    per_text = rows.groupBy("__node").agg(F.min(place).alias("best"), F.count("*").alias("copies"))
+    per_text = rows.groupBy("__node").agg(F.min(place).alias("__best"), F.count("*").alias("__copies"))
     per_text = per_text.join(roots, "__node", "left").withColumn("__root", F.coalesce("__root", "__node"))
-    chosen = cut_lineage(per_text.groupBy("__root").agg(F.min("best").alias("best")).join(per_text.select("best", "copies"), "best").select(
-        F.col("best.node").alias("__node"), F.col("best.id").alias("__id"), F.col("copies")
+    chosen = cut_lineage(per_text.groupBy("__root").agg(F.min("__best").alias("__best")).join(per_text.select("__best", "__copies"), "__best").select(
+        F.col("__best.node").alias("__node"), F.col("__best.id").alias("__best"), "__copies"
     ))
-    joined = rows.join(chosen, (rows["__node"] == chosen["__node"]) & rows[doc_id].eqNullSafe(chosen["__id"])).drop(chosen["__node"]).drop("__id")
-    single = joined.where("copies = 1").select(*documents.columns)
-    return single.union(joined.where("copies > 1").dropDuplicates(["__node"]).select(*documents.columns))
+    joined = rows.join(chosen, (rows["__node"] == chosen["__node"]) & rows[doc_id].eqNullSafe(chosen["__best"])).drop(chosen["__node"]).drop("__best")
+    single = joined.where("__copies = 1").select(*documents.columns)
+    return single.union(joined.where("__copies > 1").dropDuplicates(["__node"]).select(*documents.columns))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import duckdb
 import pytest
@@ -20,6 +21,11 @@ def slow(rows, min_lines):
             if run in seen:
                 gone.update(solid[s : s + min_lines])
             seen.add(run)
+        for i in solid if min_lines > 1 else ():
+            if len([w for w in re.split("[\\x20\\x09-\\x0D]+", lines[i]) if w]) >= 50:
+                if (lines[i],) in seen:
+                    gone.add(i)
+                seen.add((lines[i],))
         kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         out[doc] = (text if not text else kept, len(solid), len(gone))
     return out
@@ -29,12 +35,15 @@ def corpus(seed=3):
     rng = random.Random(seed)
     lines = [f"line {i}" for i in range(60)] + ["", "  ", "\t", "common"]
     runs = [[rng.choice(lines) for _ in range(n)] for n in (2, 3, 5, 9, 17)]
+    passages = [" ".join(f"w{i}{k}" for k in range(n)) for i, n in enumerate((48, 49, 50, 51, 80))] + ["\t" + "x " * 50]
     rows = []
     for i in range(120):
         parts = [rng.choice(lines) + ("" if rng.random() < 0.3 else f" {rng.randint(0, 500)}") for _ in range(rng.randint(0, 15))]
         for _ in range(rng.randint(0, 2)):
             at = rng.randint(0, len(parts))
             parts[at:at] = rng.choice(runs)
+        if rng.random() < 0.3:
+            parts.insert(rng.randint(0, len(parts)), rng.choice(passages))
         rows.append((i, "\n".join(parts)))
     rows += [(200 + i, rows[i][1]) for i in range(8)] + [(300, None), (301, ""), (302, "\n\n"), (303, "same\n" * 500), (304, "x" * 50000 + "\ny"), (None, rows[3][1])]
     return rows
@@ -69,3 +78,10 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (2, "c\na\nb"), (3, "q")], "doc_id long, text string")
     assert sorted(map(tuple, dedup_lines(docs).collect())) == [(1, "a\nb", 2, 0, 2), (1, "a\nb", 2, 0, 2), (2, "c", 3, 2, 2), (3, "q", 1, 0, 0)]
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_a_long_line_is_a_passage(spark):
+    line = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, f"a\n{line}\nb"), (2, f"c\n{line}\nd"), (3, line), (4, line), (5, "short line"), (6, "short line")], "doc_id long, text string")
+    assert [(r.doc_id, r.text, r.n_removed) for r in dedup_lines(docs).orderBy("doc_id").collect()] == [
+        (1, f"a\n{line}\nb", 0), (2, "c\nd", 1), (3, "", 1), (4, "", 1), (5, "short line", 0), (6, "short line", 0)]
