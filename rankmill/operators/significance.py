@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankmill.functions.special import sign_p_value, t_p_value
 from rankmill.operators.evaluation import MAPPINGS, all_mappings, evaluate, judged_only
 from rankmill.operators.evaluation import macro as macro_mean
+from rankmill.session import broadcast_if_small
 
 ALPHA = 0.05
 MINIMUM_DELTA = 0.02
@@ -113,6 +114,19 @@ def family_eligible(sources: DataFrame, by: Sequence[str] = ("family",)) -> Data
     )
 
 
+def compare_families(
+    metrics: DataFrame, baseline: str, by: Sequence[str], sources: DataFrame, metric: str = "value",
+    alpha: float = ALPHA, minimum_delta: float = MINIMUM_DELTA,
+) -> DataFrame:
+    """Gated comparisons of all families in one job: corrected within each family, decided only on eligible evidence.
+
+    `sources` is (by..., source, eligible); a family without sources is not eligible.
+    """
+    tested = holm(paired_t(paired_deltas(metrics, baseline, by, metric), by), by)
+    flags = broadcast_if_small(family_eligible(sources, by))
+    return gate(tested.join(flags, list(by), "left"), alpha, minimum_delta, F.coalesce("eligible_for_decision", F.lit(False)))
+
+
 def sign_test(
     scores: DataFrame, maximum_regression: float = 0.01, alpha: float = ALPHA
 ) -> DataFrame:

