@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.llm.common import hash_share, slices
@@ -22,14 +22,12 @@ from rankmill.llm.common import hash_share, slices
 SPAN = 64
 #: Training rows per language, an upper bound whatever the size of the table.
 TRAIN_ROWS = 400
-#: Most languages that are learned.
-LANGUAGES = 1000
 #: Most windows of one training row, drawn over its whole length.
 TRAIN_WINDOWS = 6
 HIDDEN = 12
 UNKNOWN = "und"
 #: Windows that go through the network at once.
-BLOCK = 4096
+BLOCK = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -73,15 +71,46 @@ class Network:
             out[t] = h
         return out
 
+    def _read(self, data: np.ndarray, way: str, logits: np.ndarray) -> None:
+        """Add one direction's read-out of byte columns ``data`` to ``logits`` (span, languages, rows).
+
+        The same steps as ``states``, with rows side by side and in buffers that are used again; states are not
+        kept, and the halves of the sigmoids are in the weights.
+        """
+        hidden, rows = self.weights["f_new"].shape[0], data.shape[1]
+        out = np.ascontiguousarray((self.weights["out"][:hidden] if way == "f" else self.weights["out"][hidden:]).T)
+        half = np.r_[np.full(2 * hidden, 0.5, np.float32), np.ones(hidden, np.float32)]
+        table = np.ascontiguousarray((self.weights[f"{way}_in"] * half).T)
+        gates, new = np.ascontiguousarray(self.weights[f"{way}_gates"].T) * np.float32(0.5), np.ascontiguousarray(self.weights[f"{way}_new"].T)
+        h, x = np.zeros((hidden, rows), np.float32), np.empty((3 * hidden, rows), np.float32)
+        rz, n, rh, read = np.empty((2 * hidden, rows), np.float32), np.empty_like(h), np.empty_like(h), np.empty(logits.shape[1:], np.float32)
+        for t in range(len(data)) if way == "f" else range(len(data) - 1, -1, -1):
+            np.take(table, data[t], axis=1, out=x, mode="clip")
+            np.matmul(gates, h, out=rz)
+            rz += x[: 2 * hidden]
+            np.tanh(rz, out=rz)
+            rz *= np.float32(0.5)
+            rz += np.float32(0.5)
+            np.multiply(rz[:hidden], h, out=rh)
+            np.matmul(new, rh, out=n)
+            n += x[2 * hidden :]
+            np.tanh(n, out=n)
+            h -= n
+            h *= rz[hidden:]
+            h += n
+            np.matmul(out, h, out=read)
+            logits[t] += read
+
     def positions(self, data: np.ndarray) -> np.ndarray:
         """Language probabilities (span, rows, languages) of every position."""
-        hidden = self.weights["f_new"].shape[0]
-        out = self.weights["out"]
-        logits = self.states(data, "f") @ out[:hidden] + self.states(data, "b") @ out[hidden:] + self.weights["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
+        logits = np.empty((len(data), len(self.languages), data.shape[1]), dtype=np.float32)
+        logits[:] = self.weights["bias"][:, None]
+        for way in "fb":
+            self._read(data, way, logits)
+        logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
-        return logits
+        logits /= logits.sum(axis=1, keepdims=True)
+        return logits.transpose(0, 2, 1)
 
     def gradients(self, data: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over the valid positions and its gradients through time."""
@@ -173,14 +202,15 @@ def train(documents: DataFrame, doc_id: str, text: str, lang: str, usable: Colum
     spread over the whole text are used.
     """
     labelled = documents.where(usable & F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().limit(LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}  # one row per language
     languages = sorted(counts)
     if not languages:
         return None
     rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, 1.3 * rows / counts[k])))])
     drawn = labelled.select(text, lang, hash_share(F.col(doc_id).cast("string")).alias("__rank")).where(F.col("__rank") < rates[F.col(lang)])
-    held = drawn.limit(2 * rows * len(languages)).toPandas().sort_values([lang, "__rank"])
-    sample = held.groupby(lang).head(rows)[[text, lang]].to_numpy().tolist()
+    # the rows of the smallest hashes of each language, whatever the partitions
+    ranked = drawn.withColumn("__place", F.row_number().over(Window.partitionBy(lang).orderBy("__rank", text))).where(F.col("__place") <= rows)
+    sample = ranked.toPandas().sort_values([lang, "__place"])[[text, lang]].to_numpy().tolist()
     owner, windows, lengths = split_windows([_encode(r[0]) for r in sample])
     rng = np.random.default_rng(17)
     rank = pd.Series(rng.random(len(owner))).groupby(owner).rank().to_numpy()
