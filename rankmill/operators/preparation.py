@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankmill.functions.ids import natural_order
 from rankmill.functions.text import canonical_json, squeeze
-from rankmill.operators.ordering import dense_index
+from rankmill.operators.ordering import dense_index, spanning_sample
 from rankmill.session import broadcast_if_small
 
 # Judgment labels and their gains.
@@ -282,10 +282,65 @@ def compare_content(expected: DataFrame, live: DataFrame, key: str) -> DataFrame
     )
 
 
+def key_ranges(df: DataFrame, key: str, ranges: int = 256) -> list:
+    """At most `ranges` - 1 keys that cut the table into ranges of about equal size, drawn from its sorted keys."""
+    found = spanning_sample(df.select(key), [F.col(key)], ranges + 1).orderBy(key).select(key).distinct().collect()  # bounded by `ranges`
+    return sorted(r[0] for r in found)[1:-1]
+
+
+def range_digests(df: DataFrame, key: str, bounds: Sequence, columns: Sequence[str] | None = None) -> DataFrame:
+    """(range, rows, digest) by the ranges of the key between `bounds`; a null key lies in range -1.
+
+    Keys are part of the row digests, so equal sums mean equal sorted rows. Tasks add up their own rows first.
+    """
+    rows = df.select(_range_of(F.col(key), bounds).alias("range"), row_digest(columns or df.columns).alias("__d"))
+    return rows.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), F.sum(_digest_number(F.col("__d"))).cast("string").alias("digest"))
+
+
+def _range_of(key: Column, bounds: Sequence) -> Column:
+    kept = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
+    below = F.size(F.filter(kept, lambda b: b <= key)) if bounds else F.lit(0)
+    return F.when(key.isNull(), -1).otherwise(below)
+
+
+def differing_rows(expected: DataFrame, live: DataFrame, key: str, ranges: int = 256) -> DataFrame:
+    """(key, fault): rows that are missing, unexpected or changed, found from the top down.
+
+    Both tables are added up per range of the key first; only rows of ranges whose sums differ are brought together.
+    Keys are unique on each side.
+    """
+    columns = sorted(set(expected.columns) & set(live.columns))
+    bounds = key_ranges(expected, key, ranges)
+    a, b = (range_digests(x.select(*columns), key, bounds) for x in (expected, live))
+    unequal = a.join(b.withColumnsRenamed({"rows": "__r", "digest": "__d"}), "range", "full_outer").where(
+        ~(F.col("rows").eqNullSafe(F.col("__r")) & F.col("digest").eqNullSafe(F.col("__d")))
+    )
+    wanted = [r[0] for r in unequal.select("range").collect()]  # at most `ranges` + 1
+    some = [x.select(*columns).where(_range_of(F.col(key), bounds).isin(*wanted)) for x in (expected, live)] if wanted else [x.select(*columns).limit(0) for x in (expected, live)]
+    left = content_digest(some[0], key).withColumnRenamed("digest", "__a")
+    right = content_digest(some[1], key).withColumnRenamed("digest", "__b")
+    fault = F.when(F.col("__b").isNull(), "missing").when(F.col("__a").isNull(), "unexpected").when(F.col("__a") != F.col("__b"), "changed")
+    return left.join(right, key, "full_outer").select(key, fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def order_faults(vectors: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(product_id, position, expected_position) of the vectors that do not stand where the corpus has their product.
+
+    Both sides have (product_id, position), positions counted from 0.
+    """
+    a = corpus.select("product_id", F.col("position").alias("expected_position"))
+    return vectors.select("product_id", "position").join(a, "product_id", "left").where(~F.col("position").eqNullSafe(F.col("expected_position")))
+
+
+def sparse_entries(embedding: str = "embedding") -> Column:
+    """A token map as JSON, tokens in order."""
+    return F.to_json(F.array_sort(F.map_entries(embedding)))
+
+
 def sparse_corpus_check(vectors: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row: record counts, missing and extra ids, stored values and an order-free digest."""
     a = corpus.select("product_id", F.lit(True).alias("__c"))
-    entry = F.to_json(F.array_sort(F.map_entries("embedding")))
+    entry = sparse_entries()
     b = vectors.select(
         "product_id", F.size("embedding").alias("__n"),
         F.sha2(F.concat_ws("\t", "product_id", entry), 256).alias("__d"),

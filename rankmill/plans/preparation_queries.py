@@ -9,6 +9,7 @@ from rankmill.operators import documents as dx
 from rankmill.operators import preparation as pp
 from rankmill.operators.ordering import spanning_sample
 from rankmill.plans.oracle import nat, squeeze, with_
+from rankmill.plans.lexical_queries import with_more
 from rankmill.plans.registry import query
 
 
@@ -186,8 +187,42 @@ def _(t):
     return dn.missing_vectors(t.products, t.vectors)
 
 
-@query("s14_verify_sparse", "corpus_records:i records:i missing:i extra:i embedding_values:i",
-       with_("dtf docs", "SELECT (SELECT count(*) FROM docs) AS corpus_records, count(DISTINCT document_id) AS records, (SELECT count(*) FROM docs) - count(DISTINCT document_id) AS missing, 0 AS extra, count(*) AS embedding_values FROM dtf"))
+_ENTRIES = (
+    "entries AS (SELECT document_id, '[' || string_agg('{\"key\":\"' || term || '\",\"value\":' || tf || '.0}', ',' ORDER BY term) || ']' AS entries, count(*) AS n FROM dtf GROUP BY 1)"
+)
+
+
+@query("s14_verify_sparse", "corpus_records:i records:i missing:i extra:i embedding_values:i digest:s",
+       with_more("dtf docs", _ENTRIES, "SELECT (SELECT count(*) FROM docs) AS corpus_records, count(*) AS records, (SELECT count(*) FROM docs) - count(*) AS missing, 0 AS extra, sum(n) AS embedding_values, "
+                 "CAST(sum(('0x' || substr(sha256(document_id || chr(9) || entries), 1, 12))::HUGEINT) AS VARCHAR) AS digest FROM entries"))
 def _(t):
     corpus = t.docs.select(F.col("document_id").alias("product_id"))
     return pp.sparse_corpus_check(t.sparse_vectors.withColumnRenamed("document_id", "product_id"), corpus)
+
+
+@query("s14_sampled_rows", "position:i document_id:s entries:s",
+       with_more("dtf", _ENTRIES, f"SELECT p AS position, document_id, entries FROM (SELECT *, row_number() OVER (ORDER BY {nat('document_id')}) - 1 AS p, count(*) OVER () AS total FROM entries) WHERE p IN (SELECT i * (total - 1) // 31 FROM range(32) r(i))"))
+def _(t):
+    from rankmill.functions.ids import natural_order
+
+    return spanning_sample(t.sparse_vectors, natural_order("document_id"), 32).select("position", "document_id", pp.sparse_entries().alias("entries"))
+
+
+@query("s14_order_faults", "product_id:i position:i expected_position:i",
+       "SELECT p_partkey AS product_id, CASE WHEN (r - 1) % 10 = 3 THEN r ELSE r - 2 END AS position, r - 1 AS expected_position FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r FROM part) WHERE (r - 1) % 10 IN (3, 4)")
+def _(t):
+    """Neighbours four and five of every ten have changed places."""
+    from rankmill.operators.ordering import dense_index
+
+    corpus = dense_index(t.raw("part").select(F.col("p_partkey").alias("product_id")), [F.col("product_id")])
+    tenth = F.col("position") % 10
+    return pp.order_faults(corpus.withColumn("position", F.col("position") + F.when(tenth == 3, 1).when(tenth == 4, -1).otherwise(0)), corpus)
+
+
+@query("q12_differing_rows", "p_partkey:i fault:s",
+       "SELECT p_partkey, CASE WHEN p_partkey % 211 = 5 THEN 'missing' ELSE 'changed' END AS fault FROM part WHERE p_partkey % 211 = 5 OR p_partkey % 307 = 9 UNION ALL SELECT -p_partkey - 1, 'unexpected' FROM part WHERE p_partkey % 401 = 7")
+def _(t):
+    """A live table against the expected one, top down over ranges of the key."""
+    content, key = _content(t), F.col("p_partkey")
+    live = content.where(key % 211 != 5).withColumn("p_brand", F.when(key % 307 == 9, "other").otherwise(F.col("p_brand")))
+    return pp.differing_rows(content, live.unionByName(content.where(key % 401 == 7).withColumn("p_partkey", -key - 1)), "p_partkey", 64)

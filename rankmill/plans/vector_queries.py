@@ -397,3 +397,31 @@ def _(t):
     return replay_faults(stored, recomputed, ["document_id"])
 
 
+@query(
+    "e36_replay_pair_scores", "query_id:s document_id:s fault:s",
+    with_("pair_scores", "SELECT query_id, document_id, 'value' AS fault FROM (SELECT *, row_number() OVER (ORDER BY query_id, document_id) - 1 AS p, count(*) OVER () AS n FROM pair_scores) "
+          "WHERE p IN (SELECT i * (n - 1) // 255 FROM range(256) r(i)) AND document_id LIKE '%5'"),
+)
+def _(t):
+    """Stored pair scores of a sample over the sorted pairs, scored again; some come out otherwise."""
+    keys = ["query_id", "document_id"]
+    sample = spanning_sample(t.pair_scores, [F.col(k) for k in keys], 256).select(*keys, F.array("score").alias("values"))
+    again = t.pair_scores.join(F.broadcast(sample.select(*keys)), keys)  # 256 rows
+    off = F.when(F.col("document_id").endswith("5"), 0.01).otherwise(1e-7)
+    return replay_faults(sample, again.select(*keys, F.array(F.col("score") + off).alias("values")), keys)
+
+
+@query(
+    "e36_replay_token_maps", "document_id:s fault:s",
+    with_("dtf", "SELECT document_id, CASE WHEN CAST(document_id AS BIGINT) % 7 = 0 THEN 'length' ELSE 'value' END AS fault FROM (SELECT document_id, row_number() OVER (ORDER BY document_id) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT document_id FROM dtf)) "
+          "WHERE p IN (SELECT i * (n - 1) // 127 FROM range(128) r(i)) AND (CAST(document_id AS BIGINT) % 7 = 0 OR CAST(document_id AS BIGINT) % 5 = 0)"),
+)
+def _(t):
+    """Token maps of a sample of documents, encoded again: weights in token order must agree."""
+    number = F.col("document_id").cast("long")
+    weights = F.transform(F.array_sort(F.map_entries("embedding")), lambda e: e["value"])
+    sample = spanning_sample(t.sparse_vectors, [F.col("document_id")], 128).select("document_id", weights.alias("values"))
+    again = sample.withColumn(
+        "values", F.when(number % 7 == 0, F.slice("values", 2, 1_000_000)).when(number % 5 == 0, F.transform("values", lambda x: x * 1.01)).otherwise(F.col("values"))
+    )
+    return replay_faults(sample, again, ["document_id"])
