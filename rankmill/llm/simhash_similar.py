@@ -4,8 +4,9 @@ At a similarity of 0.8 on five-word shingles the 64-bit SimHashes of two texts d
 more where blocks were appended, cut or replaced. No radius that covering tables can hold meets all such
 pairs, so this stage searches by a prefix filter, which does: in any fixed order of all shingles, two sets
 at the similarity share one among the first of each (``marks``). What meets there is thinned out by bounds that
-no such pair breaks: sizes, places, and the bits of a parity sketch of the shingles. Candidate groups are then
-verified by exact similarity, in blocks, and only verified links make classes.
+no such pair breaks: sizes, places, and the bits of a parity sketch of the shingles. Of each text one candidate link
+is verified first; texts of a candidate group that these do not connect are compared exactly, in blocks. Only verified
+links make classes.
 """
 
 from __future__ import annotations
@@ -233,21 +234,65 @@ def similar_documents(documents: DataFrame, text: str = "text", similarity: floa
     found = texts.select("node", first_of("body").alias("p")).select("node", "p.*")
     found = cut_lineage(found.groupBy("node").agg(*[F.first(c).alias(c) for c in columns]))
     links = prefix_links(found, similarity)
+    links = cut_lineage(links)
     groups = connected_components(links, "a", "b").withColumnRenamed("root", "group")
-    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("blocks"))
-    groups = cut_lineage(groups.join(sizes, "group").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches):
-            yield batch.assign(shingles=[np.unique(shingles(x, width)).view(np.int64) for x in batch["body"]]).drop(columns="body")
+        for batch in batches:
+            for part in slices(iter([batch])):
+                yield part.assign(shingles=[np.unique(shingles(x, width)).view(np.int64) for x in part["body"]]).drop(columns="body")
 
-    members = texts.join(groups, "node").mapInPandas(sets, "node long, group long, blocks int, mine int, shingles array<long>")
-    members = members.groupBy("node").agg(*[F.first(c).alias(c) for c in ("group", "blocks", "mine", "shingles")])
-    paired = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "shingles"
-    )
-    links = paired.groupBy("group", "i", "j").applyInPandas(_verify_rows(similarity), "a long, b long")
-    return connected_components(links, "a", "b")
+    members = texts.join(groups.select("node"), "node").dropDuplicates(["node"]).mapInPandas(sets, "node long, shingles array<long>")
+    members = cut_lineage(members)
+    certain = cut_lineage(_hub_links(members, links, similarity))
+    return connected_components(certain.union(_rest_links(members, groups, certain, similarity)), "a", "b")
+
+
+def _hub_links(members: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """One candidate link of each text, if it holds. Texts that share a partner are compared with it in parts."""
+    own = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hub"))
+    sizes = own.groupBy("hub").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("parts"))
+    placed = own.join(sizes, "hub").select("node", "hub", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
+    hubs = sizes.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
+    rows = placed.union(hubs).join(members, "node")
+
+    def check(part: pd.DataFrame) -> pd.DataFrame:
+        top, rest = part[part["is_hub"]], part[~part["is_hub"]]
+        first = np.asarray(top["shingles"].iloc[0], dtype=np.int64)
+        sizes = np.array([len(x) for x in rest["shingles"]], dtype=np.int64)
+        shared = np.isin(np.concatenate([np.zeros(0, np.int64), *rest["shingles"]]), first)
+        both = np.bincount(np.repeat(np.arange(len(sizes)), sizes), shared, len(sizes))
+        fine = both >= similarity * (sizes + len(first) - both) - 1e-9
+        return pd.DataFrame({"a": rest["node"][fine].to_numpy(), "b": top["node"].iloc[0]})
+
+    return rows.groupBy("hub", "part").applyInPandas(check, "a long, b long")
+
+
+def _rest_links(members: DataFrame, groups: DataFrame, certain: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts of one candidate group that ``certain`` does not connect yet.
+
+    Only pairs of different classes can bring news. Large classes lie in blocks of their own and small ones are
+    pooled, so that no two blocks of the same large class meet, and a group that is one class is done.
+    """
+    classes = connected_components(certain, "a", "b").withColumnRenamed("root", "class")
+    named = cut_lineage(groups.join(classes, "node", "left").select("node", "group", F.coalesce("class", "node").alias("class")))
+    sizes = named.groupBy("group", "class").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("big", F.col("n") > VERIFIED // 2)
+    open_groups = sizes.groupBy("group").agg(
+        F.count("*").alias("classes"), F.ceil(F.sum(F.when(~F.col("big"), F.col("n")).otherwise(0)) / VERIFIED).cast("int").alias("pools")
+    ).where("classes > 1")
+    split = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(F.lit(1), n)).cast("string")
+    block = F.when(F.col("big"), F.concat(F.col("class").cast("string"), F.lit("/"), split("node", F.ceil(F.col("n") / VERIFIED).cast("int")))).otherwise(split("class", F.col("pools")))
+    blocks = cut_lineage(named.join(open_groups, "group").join(sizes, ["group", "class"]).select("node", "group", "class", "big", block.alias("block")))
+    each = blocks.select("group", "block", F.when(F.col("big"), F.col("class")).alias("class")).distinct()
+    other = each.select("group", F.col("block").alias("j"), F.col("class").alias("other"))
+    pools = each.where("class is null").select("group", F.col("block").alias("i")).join(other, "group").where("other is not null or i <= j").select("group", "i", "j")
+    several = each.where("class is not null").groupBy("group").agg(F.count_distinct("class").alias("k")).where("k > 1").select("group")
+    large = each.where("class is not null").join(several, "group").withColumnRenamed("block", "i").join(other, "group").where("class < other").select("group", "i", "j")
+    pairs = pools.union(large)
+    sent = pairs.select("group", F.col("i").alias("block"), "i", "j").union(pairs.where("i <> j").select("group", F.col("j").alias("block"), "i", "j"))
+    rows = sent.join(blocks.select("node", "group", "block"), ["group", "block"]).join(members, "node").select("group", "i", "j", "node", "shingles")
+    return rows.groupBy("group", "i", "j").applyInPandas(_verify_rows(similarity), "a long, b long")
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
