@@ -209,3 +209,20 @@ def test_captures_that_must_not_be_used(rows):
         ("cut", "truncated"), ("few", "latency_samples"), ("ids", "product_ids"), ("neg", "latency_samples"), ("null", "latency_samples"), ("null", "slices"), ("null", "truncated"),
         ("ok", "too_many_results"), ("slice", "slices"), ("twice", "repeated_case"),
     ]
+
+
+def test_differing_rows_are_found_by_ranges(rows):
+    expected = rows([(i, f"v{i}") for i in range(200)], "k long, v string")
+    live = rows([(i, "other" if i in (7, 150) else f"v{i}") for i in range(200) if i not in (0, 99, 199)] + [(-5, "x"), (500, "y")], "k long, v string")
+    for ranges in (1, 2, 16, 500):
+        assert table(pp.differing_rows(expected, live, "k", ranges), "k", "fault") == [
+            (-5, "unexpected"), (0, "missing"), (7, "changed"), (99, "missing"), (150, "changed"), (199, "missing"), (500, "unexpected")]
+    assert table(pp.differing_rows(expected, expected, "k", 8), "k", "fault") == []
+    assert table(pp.differing_rows(expected.limit(0), live.limit(0), "k"), "k", "fault") == []
+    assert len(table(pp.differing_rows(expected.limit(0), live, "k"), "k", "fault")) == 199
+
+
+def test_order_faults(rows):
+    corpus = rows([("a", 0), ("b", 1), ("c", 2)], "product_id string, position long")
+    moved = rows([("a", 0), ("c", 1), ("b", 2), ("x", 3)], "product_id string, position long")
+    assert table(pp.order_faults(moved, corpus), "product_id", "position") == [("b", 2), ("c", 1), ("x", 3)]

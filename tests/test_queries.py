@@ -16,6 +16,7 @@ DEFAULT = (
     "h01_minmax_fuse", "h09_rerank", "e05_evaluate", "e10_robustness_grid", "e27_radial_calibration", "q03_label_conflicts", "q12_compare_content",
     "f05_sort_plan", "j06_changes_in_jobs", "i05_supersede_jobs", "i07_apply_embeddings", "i17_validate_generation", "i18_scope_fingerprint",
     "m03_route_latency", "m10_alerts", "m12_error_rate", "s01_read_catalog_tsv", "s06_run_round_trip", "s10_read_telemetry_log",
+    "e15_compare_families", "e27_capture_faults", "e32_facet_compare", "q12_differing_rows", "s14_verify_sparse", "j12_changed_keys", "t08_plain_text",
     "st1_stream_latest", "st2_stream_apply", "st3_stream_latency", "st4_stream_failure_runs",
 )
 NAMES = list(entry.queries()) if os.environ.get("RANKMILL_QUERIES") == "all" else DEFAULT
