@@ -208,7 +208,7 @@ def _verify_rows(similarity: float):
 
 
 def similar_documents(documents: DataFrame, text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
-    """(node, root): the class of every text that is similar to another one.
+    """(node, root): the class of every text that may be similar to another one.
 
     ``node`` is xxhash64 of the text (null texts as empty ones). Texts are linked when the Jaccard
     similarity of their sets of ``width``-word shingles is at least ``similarity``, every such pair
@@ -244,8 +244,15 @@ def similar_documents(documents: DataFrame, text: str = "text", similarity: floa
 
     members = texts.join(groups.select("node"), "node").dropDuplicates(["node"]).mapInPandas(sets, "node long, shingles array<long>")
     members = cut_lineage(members)
-    certain = cut_lineage(_hub_links(members, links, similarity))
-    return connected_components(certain.union(_rest_links(members, groups, certain, similarity)), "a", "b")
+    classes = connected_components(_hub_links(members, links, similarity), "a", "b").withColumnRenamed("root", "class")
+    named = cut_lineage(groups.join(classes, "node", "left").select("node", "group", F.coalesce("class", "node").alias("class")))
+    rest = cut_lineage(_rest_links(members, named, similarity))
+    if not rest.isEmpty():  # few as a rule: links between classes
+        of = lambda side: named.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class"))
+        between = rest.join(of("a"), "a").join(of("b"), "b")
+        upper = connected_components(between, "a_class", "b_class").withColumnsRenamed({"node": "class", "root": "upper"})
+        named = named.join(upper, "class", "left").select("node", F.coalesce("upper", "class").alias("class"))
+    return named.select("node", F.col("class").alias("root"))
 
 
 def _hub_links(members: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
@@ -268,14 +275,12 @@ def _hub_links(members: DataFrame, links: DataFrame, similarity: float) -> DataF
     return rows.groupBy("hub", "part").applyInPandas(check, "a long, b long")
 
 
-def _rest_links(members: DataFrame, groups: DataFrame, certain: DataFrame, similarity: float) -> DataFrame:
-    """Links between texts of one candidate group that ``certain`` does not connect yet.
+def _rest_links(members: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts of one candidate group that are in different classes; ``named`` is (node, group, class).
 
     Only pairs of different classes can bring news. Large classes lie in blocks of their own and small ones are
     pooled, so that no two blocks of the same large class meet, and a group that is one class is done.
     """
-    classes = connected_components(certain, "a", "b").withColumnRenamed("root", "class")
-    named = cut_lineage(groups.join(classes, "node", "left").select("node", "group", F.coalesce("class", "node").alias("class")))
     sizes = named.groupBy("group", "class").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("big", F.col("n") > VERIFIED // 2)
     open_groups = sizes.groupBy("group").agg(
