@@ -8,6 +8,7 @@ backpropagation through time, Adam.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -199,7 +200,8 @@ def train(documents: DataFrame, doc_id: str, text: str, lang: str, usable: Colum
 
     The sample takes documents by the hash of their id, at the rate that gives a little more than
     ``rows`` of a language, and no more than ``rows`` of those. From each, at most ``TRAIN_WINDOWS`` windows
-    spread over the whole text are used.
+    spread over the whole text are used. Tasks cut them and one task fits the network, so texts never reach
+    the driver.
     """
     labelled = documents.where(usable & F.col(lang).isNotNull() & (F.length(text) > 0))
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}  # one row per language
@@ -207,18 +209,34 @@ def train(documents: DataFrame, doc_id: str, text: str, lang: str, usable: Colum
     if not languages:
         return None
     rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, 1.3 * rows / counts[k])))])
-    drawn = labelled.select(text, lang, hash_share(F.col(doc_id).cast("string")).alias("__rank")).where(F.col("__rank") < rates[F.col(lang)])
+    windows_of = F.pandas_udf(_drawn_windows, "array<binary>")
+    named = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("body"), hash_share(F.col(doc_id).cast("string")).alias("rank"))
+    cut = named.where(F.col("rank") < rates[F.col("lang")]).select("lang", "rank", F.xxhash64("body").alias("tie"), windows_of("body").alias("windows"))
     # the rows of the smallest hashes of each language, whatever the partitions
-    ranked = drawn.withColumn("__place", F.row_number().over(Window.partitionBy(lang).orderBy("__rank", text))).where(F.col("__place") <= rows)
-    sample = ranked.toPandas().sort_values([lang, "__place"])[[text, lang]].to_numpy().tolist()
-    owner, windows, lengths = split_windows([_encode(r[0]) for r in sample])
-    rng = np.random.default_rng(17)
-    rank = pd.Series(rng.random(len(owner))).groupby(owner).rank().to_numpy()
-    pick = rank <= TRAIN_WINDOWS
-    target = np.array([languages.index(r[1]) for r in sample])[owner[pick]]
-    network = Network.fresh(languages, hidden)
-    network.fit(np.ascontiguousarray(windows[pick].T), target, lengths[pick])
-    return network
+    ranked = cut.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "tie"))).where(F.col("place") <= rows)
+    sample = ranked.select(F.lit(0).alias("task"), "lang", "place", F.posexplode("windows").alias("at", "window"))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["lang", "place", "at"])
+        _, windows, lengths = split_windows(part["window"].tolist())
+        network = Network.fresh(languages, hidden)
+        network.fit(np.ascontiguousarray(windows.T), np.searchsorted(languages, part["lang"].to_numpy(str)), lengths)
+        return pd.DataFrame([(k, list(w.shape), w.astype(np.float32).tobytes()) for k, w in network.weights.items()], columns=["name", "shape", "weights"])
+
+    fitted = sample.groupBy("task").applyInPandas(fit, "name string, shape array<int>, weights binary").collect()  # one row per matrix
+    return Network(languages, {r["name"]: np.frombuffer(r["weights"], dtype=np.float32).reshape(r["shape"]) for r in fitted})
+
+
+def _drawn_windows(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """At most ``TRAIN_WINDOWS`` windows of each text, drawn over its whole length."""
+
+    def drawn(data: bytes) -> list[bytes]:
+        count = -(-len(data) // SPAN)
+        rng = np.random.default_rng(zlib.crc32(data))
+        return [data[i * SPAN : (i + 1) * SPAN] for i in sorted(rng.choice(count, min(count, TRAIN_WINDOWS), replace=False))]
+
+    for batch in texts:
+        yield pd.Series([drawn(_encode(x)) for x in batch], dtype=object)
 
 
 def predict(documents: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
