@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node id reachable.
 
     Each round hooks every node to its smallest neighbour, follows the parents to their roots by
-    pointer jumping, and contracts the edges to the roots, so the edge table shrinks from round to
+    pointer jumping (two jumps a job), and contracts the edges to the roots, so the edge table shrinks from round to
     round. All state is a table under the checkpoint folder: nothing is collected and no group is
     gathered in a task. Null ends and self links are ignored; no edges give no rows.
     """
@@ -54,7 +54,8 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         parents = cut_lineage(parents)
         while True:
             up = parents.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            parents = cut_lineage(parents.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
+            twice = parents.join(up, "root").select("node", F.col("up").alias("root")).join(up, "root")
+            parents = cut_lineage(twice.select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
             if parents.where("moved").isEmpty():
                 break
             parents = parents.select("node", "root")
