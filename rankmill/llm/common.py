@@ -51,8 +51,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
-        parents = cut_lineage(parents)
-        while True:
+        while True:  # the first jump reads the parents by node as the aggregate partitions them
             up = parents.select(F.col("node").alias("root"), F.col("root").alias("up"))
             twice = parents.join(up, "root").select("node", F.col("up").alias("root")).join(up, "root")
             parents = cut_lineage(twice.select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
