@@ -99,7 +99,9 @@ def exact_percentiles(
     """Exact percentiles per key for keys of any size.
 
     Equal values are counted before any shuffle by key; a histogram per key locates the bins that
-    hold the wanted ranks, and only the values in those bins are ordered. Bins are even around the
+    hold the wanted ranks, and only the values in those bins are ordered. A bin is met again by its
+    lowest and highest value, not by its number: the quartiles behind the numbers are approximate and
+    depend on the order in which shuffled parts arrive. Bins are even around the
     median, in units of the quartile distance, and grow with the distance from it, so outliers on
     either side cannot push the other values into one bin. `bins` is their number per unit of the scale.
     `rule` is `linear` (interpolate between neighbours) or `nearest` (value at ceil(n*p)).
@@ -142,13 +144,16 @@ def exact_percentiles(
             test = test | ((r >= start) & (r < start + count))
         return test
 
-    histogram = binned.groupBy(*anchor, "__bin", "__total").agg(F.sum("__n").alias("__count"))
+    histogram = binned.groupBy(*anchor, "__bin", "__total").agg(
+        F.sum("__n").alias("__count"), F.min("__v").alias("__first"), F.max("__v").alias("__last")
+    )
     by_bin = W.partitionBy(*anchor).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
     wanted = histogram.withColumn(
         "__before", F.coalesce(F.sum("__count").over(by_bin), F.lit(0))
     ).where(holds(F.col("__before"), F.col("__count")))
     in_bin = W.partitionBy(*anchor, "__bin").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
-    placed = binned.join(wanted.select(*anchor, "__bin", "__before"), [*anchor, "__bin"])
+    spans = wanted.select(*anchor, "__bin", "__total", "__before", "__first", "__last")
+    placed = counts.join(spans, anchor).where(v.between(F.col("__first"), F.col("__last")))
     placed = placed.withColumn(
         "__start", F.col("__before") + F.coalesce(F.sum("__n").over(in_bin), F.lit(0))
     ).where(holds(F.col("__start"), n))

@@ -117,6 +117,25 @@ def test_percentiles_match_both_rules(rows, bins):
     assert nearest["hot"] == np.sort(values)[int(np.ceil(301 * 0.95)) - 1]
 
 
+def test_percentiles_do_not_depend_on_quartile_estimates(spark, rows, monkeypatch):
+    """Estimates change from one evaluation to the next, as the parts of a shuffle arrive in any order."""
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def estimate(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda v: np.sort(np.random.default_rng().choice(v, 3)))
+
+    monkeypatch.setattr(F, "percentile_approx", lambda column, *_: estimate(F.collect_list(column)))
+    values = np.random.default_rng(6).normal(size=400)
+    df = rows([(f"k{i}", float(v) + i) for i in range(8) for v in values], "k string, v double")
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # every mention of the estimates is evaluated
+    try:
+        got = {r["k"]: r["b"] for r in exact_percentiles(df, ["k"], "v", {"b": 0.95}, "nearest").collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == {f"k{i}": float(np.sort(values)[379]) + i for i in range(8)}
+
+
 def test_salted_join_equals_plain_join(rows, monkeypatch):
     large = rows([("hot", i) for i in range(500)] + [(f"k{i}", i) for i in range(50)], "k string, n long")
     small = rows([("hot", "x"), ("hot", "y"), ("k3", "z")], "k string, v string")
