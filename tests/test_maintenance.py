@@ -245,3 +245,26 @@ def test_order_faults(rows):
     corpus = rows([("a", 0), ("b", 1), ("c", 2)], "product_id string, position long")
     moved = rows([("a", 0), ("c", 1), ("b", 2), ("x", 3)], "product_id string, position long")
     assert table(pp.order_faults(moved, corpus), "product_id", "position") == [("b", 2), ("c", 1), ("x", 3)]
+
+
+def test_capture_pairs_are_not_stored(spark):
+    import os
+
+    import __spark_entry__ as entry
+    from rankmill.plans.tables import Tables
+    from rankmill.plans.vector_queries import captures
+
+    if not os.path.isdir(entry.SMOKE_DIR):
+        pytest.skip("no test tables")
+    _, hits = captures(Tables(spark, entry.SMOKE_DIR))
+    assert "ExistingRDD" not in hits._jdf.queryExecution().toString()  # what a checkpoint leaves
+
+
+def test_judgment_faults_of_every_kind(rows):
+    pool = rows([("a", i, f"t{i}") for i in range(1, 6)], "case_id string, product_id long, title string")
+    labels = rows(
+        [("a", 1, "acceptable", "t1"), ("a", 2, "great", "t2"), ("a", 3, "unsafe", "other"), ("a", 4, "unsafe", "t4"), ("a", 4, "unsafe", "t4"), ("b", 1, "unsafe", "t1")],
+        "case_id string, product_id long, label string, title string",
+    )
+    got = table(rd.judgment_faults(pool, labels, ["title"]), "case_id", "product_id", "fault")
+    assert got == [("a", 2, "label"), ("a", 3, "context"), ("a", 4, "repeated"), ("a", 5, "missing"), ("b", 1, "not_pooled")]
