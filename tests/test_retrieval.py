@@ -237,3 +237,20 @@ def test_pages_show_every_product_once(rows, size):
     assert len(seen) == len(set(seen))
     assert seen[:100] == [str(100 - i) for i in range(100)]
     assert seen[100:] == [str(i) for i in range(101, 101 + len(seen) - 100)]
+
+
+def test_sparse_search_scores_vectors_where_they_lie(rows, monkeypatch):
+    from rankmill.operators import sparse as sp
+
+    vectors = rows(
+        [(str(i), {"all": 1.0, f"t{i % 3}": float(i % 5) - 1.0, "odd": 0.5} if i % 2 else {"all": 1.0, f"t{i % 3}": 2.0}) for i in range(40)] + [("none", {}), ("null", None)],
+        "document_id string, embedding map<string,double>",
+    )
+    tokens = rows([("a", "all"), ("a", "t1"), ("a", "t1"), ("b", "odd"), ("b", "t2"), ("c", "unknown")], "query_id string, token string")
+    found = sp.sparse_search(tokens, vectors, 7)
+    assert "MapInPandas" in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(sp, "HELD_CELLS", 0)
+    joined = sp.sparse_search(tokens, vectors, 7)
+    columns = ("query_id", "document_id", "rank", "score")
+    assert table(found, *columns) == table(joined, *columns) and {r.query_id for r in found.collect()} == {"a", "b"}
+    assert sp.sparse_search(tokens.where("query_id = 'c'"), vectors, 7).count() == 0
