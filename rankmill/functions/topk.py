@@ -57,10 +57,14 @@ class LocalTopK:
             room = self.k - above.sum(axis=0)
             keep &= above | (level & (np.cumsum(level, axis=0) <= room))
         query, row = np.nonzero(keep.T)
+        self.add_pairs(ids, query, row, scores[row, query])
+
+    def add_pairs(self, ids: np.ndarray, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        """Rounded scores of single pairs, by places of query and id."""
         if not len(query):
             return
         used, code = np.unique(row, return_inverse=True)
-        self.parts.append((query.astype(np.int32), (code + len(self.names)).astype(np.int32), scores[row, query]))
+        self.parts.append((query.astype(np.int32), (code + len(self.names)).astype(np.int32), score))
         self.names = np.concatenate([self.names, ids[used]])
         self.rows += len(query)
         if self.rows > 3 * self.k * len(self.query_ids) + 100_000:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.functions.topk import SCHEMA, LocalTopK, round_half_up
+from rankmill.functions.pairs import best_pairs, counted_pairs, same_ids
+from rankmill.functions.topk import SCHEMA, LocalTopK, natural_rows, round_half_up
 from rankmill.functions.vectors import dot, norm
 from rankmill.operators.ordering import score_order, top_k
 from rankmill.session import broadcast_if_small, cut_lineage
 
 #: Query values every task may hold (16 MiB of doubles); more queries take the grid plan.
 QUERY_VALUES = 2_000_000
-STRIPE_VALUES = 16_000_000
+#: Values of a stripe of vectors; a stripe of queries has a sixth of its rows, and STRIPE_LEAST at least if it is to occupy a core.
+STRIPE_VALUES = 10_000_000
+STRIPE_LEAST = 2_000
 #: Scores of one block of documents and queries (32 MiB of doubles), whatever the number of queries.
 BLOCK_SCORES = 4_000_000
 #: Most cells of a query set, queries they are chosen from, and rows of both sides that meet in one task.
@@ -126,7 +129,8 @@ def exact_knn(
 
     `queries` is (query_id, embedding) and `vectors` (document_id, embedding). Each task multiplies
     blocks of its vectors with the query matrix and keeps its k best per query; only those
-    are shuffled. The query matrix is broadcast while it is within QUERY_VALUES; otherwise
+    are shuffled. Products are in single precision, what can be among the best is scored again in double (`functions/pairs.py`).
+    The query matrix is broadcast while it is within QUERY_VALUES; otherwise
     `_grid_knn` pairs bounded stripes of both sides, with the same result.
     """
     queries = queries.select(F.col("query_id").cast("string"), "embedding")
@@ -157,60 +161,104 @@ def exact_knn(
 
         return top_k(vectors.mapInPandas(within, SCHEMA), ["query_id"], score_order(), k)
     shared = spark.sparkContext.broadcast(
-        ([r["query_id"] for r in rows], _matrix(r["embedding"] for r in rows))
+        (np.asarray([r["query_id"] for r in rows], dtype=object), _matrix(r["embedding"] for r in rows))
     )
 
     def nearest(batches):
         query_ids, matrix = shared.value
-        index = pd.Index(query_ids)
         best = LocalTopK(query_ids, k, decimals)
         for batch in batches:
-            for part in _blocks(batch, len(query_ids)):
-                ids = part["document_id"].to_numpy()
-                scores = round_half_up(_scores(_matrix(part["embedding"]), matrix), decimals)
-                best.add(ids, _hide(scores, ids, index, min_score, exclude_self))
+            if len(batch):
+                ids, unit = _in_order(batch["document_id"], batch["embedding"])
+                own = same_ids(query_ids, ids) if exclude_self else None
+                best.add_pairs(ids, *best_pairs(matrix, unit, k, decimals, best.floor, own))
         yield best.frame()
 
     return top_k(vectors.mapInPandas(nearest, SCHEMA), ["query_id"], score_order(), k)
 
 
-def _grid_knn(queries, vectors, k, dims, decimals, min_score, exclude_self) -> DataFrame:
-    """Every query stripe meets every vector stripe once; one cell of the grid is one group.
+def _in_order(ids: pd.Series, embedding: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in natural order and their unit vectors."""
+    ids = ids.to_numpy()
+    order = natural_rows(ids).index.to_numpy()
+    return ids[order], _matrix(embedding)[order]
+
+
+def _stripes(queries: DataFrame, vectors: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt out to the cells (r, c) of a grid in which every query meets every vector once.
 
     Stripe numbers follow from the row counts, so a cell holds a bounded number of values
-    whatever the sizes; ids are hashed, so no stripe can be hot.
+    whatever the sizes; ids are hashed, so no stripe can be hot. There are cells for every core while stripes of queries
+    are not too small for that.
     """
+    asked, stored = queries.count(), vectors.count()
     per_stripe = max(1, STRIPE_VALUES // dims)
-    rows = -(-queries.count() // max(1, per_stripe // 4)) or 1
-    cols = -(-vectors.count() // per_stripe) or 1
-    # Fresh aliases keep the two sides apart when both come from one table.
+    cols = -(-stored // per_stripe) or 1
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    rows = max(-(-asked // max(1, per_stripe // 6)), min(-(-cores // cols), -(-asked // STRIPE_LEAST))) or 1
+    # Fresh names keep the two sides apart when both come from one table.
     left = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(rows)).alias("r"),
-        F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"),
-        F.col("query_id").alias("qid"), F.col("embedding").alias("qv"),
+        F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"),
+        *[F.col(c).alias({"query_id": "qid", "embedding": "qv", "kind": "qk"}[c]) for c in queries.columns],
     )
     right = vectors.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("r"),
-        F.pmod(F.xxhash64("document_id"), F.lit(cols)).cast("int").alias("c"),
-        F.col("document_id").alias("did"), F.col("embedding").alias("dv"),
+        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r"), F.pmod(F.xxhash64("document_id"), F.lit(cols)).cast("int").alias("c"),
+        *[F.col(c).alias({"document_id": "did", "embedding": "dv", "kind": "dk"}[c]) for c in vectors.columns],
     )
+    return left, right
+
+
+def _grid_knn(queries, vectors, k, dims, decimals, min_score, exclude_self) -> DataFrame:
+    """The k best of each query per stripe of vectors."""
+    left, right = _stripes(queries, vectors, dims)
 
     def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        query_ids = list(q["qid"])
-        best = LocalTopK(query_ids, k, decimals)
+        query_ids, found = q["qid"].to_numpy(), (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        ids = np.zeros(0, dtype=object)
         if len(q) and len(v):
-            matrix, index = _matrix(q["qv"]), pd.Index(query_ids)
-            for part in _blocks(v, len(query_ids)):
-                ids = part["did"].to_numpy()
-                scores = round_half_up(_scores(_matrix(part["dv"]), matrix), decimals)
-                best.add(ids, _hide(scores, ids, index, min_score, exclude_self))
-        return best.frame()
+            ids, unit = _in_order(v["did"], v["dv"])
+            floor = np.full(len(q), -np.inf if min_score is None else min_score)
+            found = best_pairs(_matrix(q["qv"]), unit, k, decimals, floor, same_ids(query_ids, ids) if exclude_self else None)
+        return pd.DataFrame({
+            "query_id": pd.Series(query_ids[found[0]], dtype=object), "document_id": pd.Series(ids[found[1]], dtype=object), "score": found[2].astype(float),
+        })
 
     return (
         left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(cell, SCHEMA)
     )
 
 
+def pair_counts(
+    queries: DataFrame, vectors: DataFrame, thresholds: Sequence[float], marks: Mapping[str, np.ndarray],
+    decimals: int = 6, exclude_self: bool = True,
+) -> DataFrame:
+    """(query_id, min_score, one count per mark) of the pairs at or above each threshold; no pair leaves its task.
+
+    `queries` is (query_id, embedding, kind) and `vectors` (document_id, embedding, kind). `marks` are tables of truth
+    values by kind of query and kind of vector: the pairs that a column counts. Queries without a pair have zeros.
+    """
+    queries = queries.select(F.col("query_id").cast("string"), "embedding", F.col("kind").cast("int"))
+    vectors = vectors.select(F.col("document_id").cast("string"), "embedding", F.col("kind").cast("int"))
+    first = queries.select(F.size("embedding").alias("dims")).head()
+    left, right = _stripes(queries, vectors, max(1, first["dims"]) if first else 1)
+    names, tables = list(marks), [np.asarray(m, dtype=bool) for m in marks.values()]
+    schema = ", ".join(["query_id string", "min_score double", *[f"`{n}` bigint" for n in names]])
+
+    def count(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros((len(q), len(thresholds), len(names)), dtype=np.int64)
+        if len(q) and len(v):
+            own = same_ids(q["qid"].to_numpy(), v["did"].to_numpy()) if exclude_self else None
+            found = counted_pairs(
+                _matrix(q["qv"]), q["qk"].to_numpy(), _matrix(v["dv"]), v["dk"].to_numpy(), list(thresholds), tables, decimals, own
+            )
+        ids = pd.Series(np.repeat(q["qid"].to_numpy(), len(thresholds)), dtype=object)
+        levels = np.tile(np.asarray(thresholds, dtype=float), len(q))
+        return pd.DataFrame({"query_id": ids, "min_score": levels} | {n: found[:, :, i].ravel() for i, n in enumerate(names)})
+
+    counted = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(count, schema)
+    return counted.groupBy("query_id", "min_score").agg(*[F.sum(n).alias(n) for n in names])
+
+
 _PAIRS = "query_id string, document_id string, score double"
 
 
