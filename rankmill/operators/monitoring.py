@@ -204,6 +204,27 @@ def _trailing(rows: DataFrame, keys: Sequence[str], seconds: int, values: Sequen
     ).where(F.col("__own")).drop("__own", "__chunk")
 
 
+def _trailing_sums(rows: DataFrame, keys: Sequence[str], seconds: int, values: Sequence[str], chunk: int = 86_400) -> DataFrame:
+    """Sums over each row's trailing `seconds`, as `__w0` and so on, in chunks like `_trailing`.
+
+    A row enters at its time and leaves, with its value taken off, right after `seconds`: a running sum over both is the
+    sum of the window, so the work per row does not grow with the rows in a window.
+    """
+    chunk = max(chunk, seconds)
+    own, last = F.floor(F.col("t") / chunk), F.floor((F.col("t") + seconds) / chunk)
+    away = F.col("__end") == 1
+    moves = (
+        rows.withColumn("__chunk", F.explode(F.sequence(own, last)))
+        .withColumn("__own", own == F.col("__chunk"))
+        .withColumn("__end", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("__at", F.when(away, F.col("t") + seconds).otherwise(F.col("t")))
+        .where(F.floor(F.col("__at") / chunk) <= F.col("__chunk"))  # later ones leave no row of the chunk
+    )
+    window = W.partitionBy(*keys, "__chunk").orderBy("__at", "__end").rangeBetween(W.unboundedPreceding, W.currentRow)
+    sums = [F.sum(F.when(away, -F.col(v)).otherwise(F.col(v))).over(window).alias(f"__w{i}") for i, v in enumerate(values)]
+    return moves.select("*", *sums).where(F.col("__own") & ~away).drop("__own", "__chunk", "__end", "__at")
+
+
 def held_alerts(
     samples: DataFrame, keys: Sequence[str], hold_seconds: int = 300
 ) -> DataFrame:
@@ -283,7 +304,7 @@ def error_rate(
     deltas = stepped.select(
         *keys, "t", increase("total").alias("__dt"), increase("errors").alias("__de")
     )
-    out = _trailing(deltas, keys, seconds, [F.sum("__dt"), F.sum("__de")])
+    out = _trailing_sums(deltas, keys, seconds, ["__dt", "__de"])
     rate = F.col("error_increase") / F.greatest(F.col("request_increase"), F.lit(1))
     return out.select(
         *keys, "t", F.col("__w0").alias("request_increase"), F.col("__w1").alias("error_increase")
