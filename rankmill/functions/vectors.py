@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, FloatType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StringType
 
 from rankmill.functions.binding import let
 
@@ -99,14 +100,30 @@ def base64_length(dims: Column) -> Column:
 
 
 def deterministic_embedding(text: Column, dims: int = 256) -> Column:
-    """Two-byte digest prefixes of `text:i`, scaled to [-1, 1] and normalised."""
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.conv(
-            F.substring(F.sha2(F.concat(text, F.lit(":"), i.cast("string")), 256), 1, 4), 16, 10
-        ).cast("double") / 65535.0 * 2.0 - 1.0,
-    )
-    return l2_normalize(raw)
+    """Two-byte digest prefixes of `text:i`, scaled to [-1, 1] and normalised; null for null texts.
+
+    The digest state of the text is taken once per row and continued for each number.
+    """
+    numbers = [str(i).encode() for i in range(dims)]
+
+    def prefixes(value: str) -> bytes:
+        state, parts = hashlib.sha256(f"{value}:".encode()), []
+        for number in numbers:
+            own = state.copy()
+            own.update(number)
+            parts.append(own.digest()[:2])
+        return b"".join(parts)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for value in texts:
+            raw = None if value is None else np.frombuffer(prefixes(value), ">u2") / 65535.0 * 2.0 - 1.0
+            length = 0.0 if raw is None else np.sqrt(raw @ raw)
+            out.append(raw / length if length > 0 else None)
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return embed(text)
 
 
 def hash_embedding(docs: DataFrame, key: str, text: str, dims: int = 32) -> DataFrame:

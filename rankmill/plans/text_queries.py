@@ -10,6 +10,7 @@ from rankmill.functions.sparse import prune_sparse
 from rankmill.operators import documents as dx
 from rankmill.plans.oracle import tok, with_
 from rankmill.plans.registry import query
+from rankmill.session import spread
 
 MODEL = {"dims": 64, "hf_id": "sample/encoder", "normalize": True, "revision": "r1"}
 
@@ -200,7 +201,8 @@ def _(t):
     f"list_transform(range(256), lambda i: CAST(('0x' || substr(sha256({_RENDERED} || ':' || i), 1, 4))::BIGINT AS DOUBLE) / 65535 * 2 - 1) AS e FROM part))",
 )
 def _(t):
-    made = rendered(t).select("product_id", vx.deterministic_embedding(F.col("rendered")).alias("e"))
+    texts = spread(rendered(t).select("product_id", "rendered"))  # a small file would be one task
+    made = texts.select("product_id", vx.deterministic_embedding(F.col("rendered")).alias("e"))
     weighted = F.aggregate(F.transform("e", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return made.select(
         "product_id", F.element_at("e", 1).alias("first"), F.element_at("e", -1).alias("last"), weighted.alias("weighted")
