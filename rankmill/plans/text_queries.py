@@ -164,9 +164,10 @@ def _(t):
        f"SELECT document_id, unnest(range(len(w))) AS position, unnest(w) AS term FROM (SELECT CAST(doc_id AS VARCHAR) AS document_id, {tok(_PLAIN.format('text'))} AS w FROM documents)")
 def _(t):
     """Every word stays at its place; its stem, if another, is stacked on the same position."""
-    found = t.docs.select("document_id", F.inline(tx.stemmed_occurrences(F.col("text"))))
-    words = t.docs.select("document_id", F.posexplode(tx.tokenize(tx.plain_text(F.col("text")))).alias("position", "term"))
-    return found.join(words, ["document_id", "position", "term"], "left_semi")
+    words = t.docs.select("document_id", tx.tokenize(tx.plain_text(F.col("text"))).alias("words"))
+    found = words.select("document_id", "words", tx.stacked_stems(F.col("words")).alias("o"))
+    kept = F.filter("o", lambda o: o["term"] == F.get("words", o["position"]))
+    return found.select("document_id", F.inline(kept))
 
 
 @query("t13_tokenize_stemmed", "document_id:s positions:i terms:i")
