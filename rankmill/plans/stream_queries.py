@@ -150,17 +150,31 @@ _LOGGED = (
 )
 
 
-def logged_windows(t):
-    """(log folder, closed sliding windows) of a log that arrives in five files, some rows long after their time."""
-    path = t.scratch("log")
+_FILE_ROWS = 10_000
+
+
+def write_log(t, path):
+    """Write the log in chunks of as many files each, which is returned; a chunk is written by as many tasks.
+
+    Each file has _FILE_ROWS rows or more, unless a chunk has one file only.
+    """
     e, at = t.telemetry, F.unix_micros("ts")
     low, high = e.agg(F.min(at), F.max(at)).head()
     chunk = F.expr(f"(unix_micros(ts) - {low}) * {_CHUNKS} div {high - low + 1}")
     chunk = F.when((chunk == 0) & ((F.col("duration_ms") * 100).cast("int") % 10 == 7), _CHUNKS - 1).otherwise(chunk)
+    sizes = {r.chunk: r["count"] for r in e.groupBy(chunk.alias("chunk")).count().collect()}  # one row per chunk
+    least = min(sizes.get(i, 0) for i in range(_CHUNKS))
+    files = max(1, min(t.spark.sparkContext.defaultParallelism, least // _FILE_ROWS))
     for i in range(_CHUNKS):
-        log_lines(t, e.where(chunk == i)).coalesce(1).write.mode("append").text(path)
+        log_lines(t, e.where(chunk == i).repartition(files)).write.mode("append").text(path)
         time.sleep(0.05)  # files are taken in the order of their times
-    records = st.stream_log(t.spark, path)
+    return files
+
+
+def logged_windows(t):
+    """(log folder, closed sliding windows) of a log that arrives in five chunks, some rows long after their time."""
+    path = t.scratch("log")
+    records = st.stream_log(t.spark, path, files_per_batch=write_log(t, path))
     return path, _sink(t, st.stream_telemetry(records, _HOUR, _SLIDE), "sliding", "append")
 
 
