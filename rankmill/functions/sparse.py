@@ -20,3 +20,16 @@ def prune_sparse(weights: Column, ratio: float) -> Column:
             lambda least: F.map_filter(kept, lambda _, w: w >= least),
         ),
     )
+
+
+def counts_in_row(words: Column) -> Column:
+    """Map of each word to how often it is in the array: the words are sorted, and each run of equal ones is measured."""
+    def runs(sorted_words: Column) -> Column:
+        last = F.size(sorted_words) - 1
+        begins = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(sorted_words, i) != F.get(sorted_words, i - 1)))
+        return let(begins, lambda b: F.map_from_arrays(
+            F.transform(b, lambda i: F.get(sorted_words, i)),
+            F.transform(b, lambda i, n: (F.coalesce(F.get(b, n + 1), last + 1) - i).cast("double")),
+        ))
+
+    return F.when(F.size(words) > 0, let(F.sort_array(words), runs))

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankmill.functions.sparse import counts_in_row
 from rankmill.functions.text import tokenize
 from rankmill.functions.vectors import hash_embedding
 from rankmill.operators.joins import product_stores
@@ -174,13 +175,13 @@ class Tables:
 
     @cached_property
     def sparse_vectors(self) -> DataFrame:
-        """Word counts of the documents as token weights."""
-        counts = (
-            self.docs.select("document_id", F.explode_outer(tokenize(F.col("text"))).alias("token"))
-            .where(F.col("token").isNotNull())
-            .groupBy("document_id", "token")
-            .agg(F.count(F.lit(1)).cast("double").alias("w"))
-        )
+        """Word counts of the documents as token weights, counted in the row unless documents share an id."""
+        words = self.docs.select("document_id", tokenize(F.col("text")).alias("words"))
+        counted = words.where(F.size("words") > 0).select("document_id", counts_in_row(F.col("words")).alias("embedding"))
+        ids = self.raw("documents").groupBy("doc_id").count()
+        if ids.where("count > 1").isEmpty():
+            return counted
+        counts = counted.select("document_id", F.explode("embedding").alias("token", "n")).groupBy("document_id", "token").agg(F.sum("n").alias("w"))
         return counts.groupBy("document_id").agg(
             F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("embedding")
         )

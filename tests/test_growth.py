@@ -55,3 +55,35 @@ def test_stems_are_made_in_slices_and_positions_meet_in_the_row(spark, rows, mon
     assert [r.s for r in sorted(made.collect())] == want
     plan = QUERIES["t13_stemmed_positions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "Join" not in plan
+
+
+def test_words_are_counted_in_the_row(spark, rows, tmp_path):
+    from collections import Counter
+
+    from rankmill.functions.sparse import counts_in_row
+    from rankmill.plans.tables import Tables
+
+    texts = [["b", "a", "b"], None, [], ["a"], ["c", "b", "a", "a", "a", "c"]]
+    made = rows([(i, w) for i, w in enumerate(texts)], "i int, w array<string>").select("i", counts_in_row(F.col("w")).alias("m"))
+    assert [r.m for r in sorted(made.collect())] == [dict(Counter(w)) if w else None for w in texts]
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, ids in (("once", (1, 2, 3)), ("shared", (1, 1, 3))):
+        data = [(i, t, "en", "s", 1) for i, t in zip(ids, ("x y x", "y z", "--"))]
+        spark.createDataFrame(data, docs).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        vectors = Tables(spark, f"{tmp_path}/{name}").sparse_vectors
+        want = {"1": {"x": 2.0, "y": 1.0}, "2": {"y": 1.0, "z": 1.0}} if name == "once" else {"1": {"x": 2.0, "y": 2.0, "z": 1.0}}
+        assert {r.document_id: r.embedding for r in vectors.collect()} == want
+        assert ("Aggregate" in vectors._jdf.queryExecution().analyzed().toString()) == (name == "shared")
+
+
+def test_log_chunks_have_the_same_number_of_files(spark, monkeypatch):
+    import os
+
+    from rankmill.plans import stream_queries as sq
+    from rankmill.plans.tables import Tables
+
+    monkeypatch.setattr(sq, "_FILE_ROWS", 30)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    path = t.scratch("log")
+    files = sq.write_log(t, path)
+    assert files > 1 and sum(n.endswith(".txt") for n in os.listdir(path)) == sq._CHUNKS * files
