@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -268,3 +269,17 @@ def test_judgment_faults_of_every_kind(rows):
     )
     got = table(rd.judgment_faults(pool, labels, ["title"]), "case_id", "product_id", "fault")
     assert got == [("a", 2, "label"), ("a", 3, "context"), ("a", 4, "repeated"), ("a", 5, "missing"), ("b", 1, "not_pooled")]
+
+
+def test_judgment_pairs_are_not_exchanged(spark, monkeypatch):
+    """Vectors go to the squares of a grid; after that no pair of a case and a product moves."""
+    import __spark_entry__ as entry
+    from rankmill.operators import dense as dn
+
+    if not os.path.isdir(entry.SMOKE_DIR):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(dn, "QUERY_VALUES", 64)
+    for name in ("e29_judgment_pool",):
+        plan = entry.queries()[name](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("MapInArrow")]
+        assert not any(x in above for x in ("Join", "Aggregate", "Repartition", "Sort", "Distinct"))

@@ -176,6 +176,20 @@ def test_threshold_joins_equal_brute_force(spark, monkeypatch, least):
     assert table(dn.threshold_pairs(queries, frame, least), "query_id", "document_id") == want
 
 
+def test_pairs_carry_columns_of_both_sides(spark, monkeypatch):
+    rows = vectors(spark, 60, 3, 0.25)
+    frame = spark.createDataFrame(rows, "document_id string, embedding array<double>").withColumn("title", F.concat(F.lit("t"), "document_id")).repartition(4)
+    queries = frame.select(F.col("document_id").alias("query_id"), "embedding", F.length("document_id").alias("size"))
+    want = [(q, len(q), d, f"t{d}") for q, d in brute(rows, rows, 0.6)]
+    for limit in (2_000_000, 16):
+        monkeypatch.setattr(dn, "QUERY_VALUES", limit)
+        got = dn.threshold_pairs(queries, frame, 0.6, carry=["size", "title"])
+        assert table(got, "query_id", "size", "document_id", "title") == sorted(want)
+    # a vector has as many copies as the grid has rows, not one for each cell it can reach
+    sides = dn._threshold_grid(queries, frame).groupBy("document_id").count().where("document_id is not null")
+    assert sides.where("count > 5").isEmpty()
+
+
 def test_radial_search_skips_without_loss(spark):
     rows = vectors(spark, 150, 8, 0.4)
     frame = spark.createDataFrame(rows, "document_id string, embedding array<double>").repartition(3)
