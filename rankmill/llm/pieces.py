@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmill.llm.common import slices, small_batches
+from rankmill.llm.common import small_batches
 from rankmill.session import scratch_path
 
 SPACE = "▁"
@@ -36,22 +36,29 @@ CHUNK = 16384
 BLOCK = 256
 #: Rows of an Arrow batch; texts and their ids are long.
 ARROW_ROWS = 500
-#: Words that a task remembers; the memory is emptied when full.
+#: Words of a generation that a task remembers.
 REMEMBERED = 200_000
+#: Chunks that leave a task at once.
+CUT_ROWS = 64
+_CUT = ["key", "no", "part", "begin", "end", "last", "literal"]
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 Arc = tuple[int, int, int]  # start, end, piece id; an unknown character has the id -1 - code point
 
 
 class Remembered(dict):
-    """Results of ``solve`` by word; emptied when ``limit`` words are held."""
+    """Results of ``solve`` by word. Of two generations of ``limit`` words the older one is dropped when the
+    younger is full, so words that come again and again stay."""
 
     def __init__(self, solve, limit: int = REMEMBERED):
         super().__init__()
-        self.solve, self.limit = solve, limit
+        self.solve, self.limit, self.older = solve, limit, {}
 
     def __missing__(self, word: str) -> bytes:
-        value = self.solve(word)
+        value = self.older.get(word)
+        if value is None:
+            value = self.solve(word)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         self[word] = value
         return value
@@ -75,6 +82,7 @@ class Pieces:
         # arcs: the pieces that encode to themselves; no other piece is ever part of an encoding
         self.arcs = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]}
         self.prefixes = {p[:n] for p in self.arcs for n in range(1, len(p) + 1)}
+        self.options = self._options()
         self._fits: dict[int, bool] = {}
         self._words = None
 
@@ -132,44 +140,53 @@ class Pieces:
                 out.append((start, end, found))
         return out if out and out[0][1] == start + 1 else [(start, start + 1, -1 - ord(text[start])), *out]
 
+    def _options(self) -> dict[str, tuple[tuple[int, int], ...]]:
+        """By prefix: (length, id) of the arcs along it, longest first; its first character is one in any case."""
+        out: dict[str, tuple[tuple[int, int], ...]] = {}
+        for part in sorted(self.prefixes, key=len):
+            found = self.arcs.get(part)
+            if len(part) == 1:
+                out[part] = ((1, -1 - ord(part) if found is None else found),)
+            else:
+                out[part] = out[part[:-1]] if found is None else ((len(part), found), *out[part[:-1]])
+        return out
+
     def path(self, text: str) -> list[int]:
         """The path of weight zero through a whole text, longest arcs tried first; dead ends are remembered."""
-        arcs, prefixes, known, vocabulary, size = self.arcs, self.prefixes, self._fits, len(self.pieces), len(text)
+        options, known, vocabulary, size = self.options.get, self._fits, len(self.pieces), len(text)
         ids: list[int] = []
-        left: list[tuple[int, list[tuple[int, int]]]] = []
+        left: list[tuple[int, Iterator[tuple[int, int]]]] = []
         dead: set[tuple[int, int]] = set()
-        at = 0
+        at, before = 0, -1
         while True:
-            here, open_ = at, []
-            for end in range(at + 1, size + 1):
-                part = text[at:end]
-                if part not in prefixes:
+            end, here, longer = at + 1, None, options(text[at : at + 1])
+            while longer is not None:
+                here = longer
+                end += 1
+                if end > size:
                     break
-                found = arcs.get(part)
-                if found is not None:
-                    open_.append((end, found))
-            if not open_ or open_[0][0] != at + 1:
-                open_.insert(0, (at + 1, -1 - ord(text[at])))
+                longer = options(text[at:end])
+            open_ = iter(here or ((1, -1 - ord(text[at])),))
             while True:
-                if not open_:
-                    dead.add((here, ids.pop()))
-                    here, open_ = left.pop()
-                    continue
-                at, i = step = open_.pop()
-                if dead and step in dead:
+                for length, i in open_:
+                    if dead and (at + length, i) in dead:
+                        continue
+                    if before < 0 or i < 0:
+                        break
+                    fits = known.get(before * vocabulary + i)
+                    if self.fits(before, i) if fits is None else fits:
+                        break
+                else:
+                    dead.add((at, ids.pop()))
+                    at, open_ = left.pop()
+                    before = ids[-1] if ids else -1
                     continue
-                if not ids:
-                    break
-                before = ids[-1]
-                if before < 0 or i < 0:
-                    break
-                fits = known.get(before * vocabulary + i)
-                if self.fits(before, i) if fits is None else fits:
-                    break
+                break
             ids.append(i)
-            if at == size:
+            if at + length == size:
                 return ids
-            left.append((here, open_))
+            left.append((at, open_))
+            at, before = at + length, i
 
     def crossing(self, text: str, cut: int) -> list[Arc]:
         """The arcs with start < cut <= end, relative to the cut, in a fixed order."""
@@ -224,9 +241,9 @@ class Pieces:
     def word(self, unit: str) -> bytes:
         """Ids of a unit, cut where no piece can reach across, so that its parts are remembered too."""
         adjacent = self.adjacent
-        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in adjacent]
-        if not cuts:
+        if adjacent.issuperset(map(str.__add__, unit, unit[1:])):
             return self.expand(self.path(unit))
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in adjacent]
         return b"".join([self._words[unit[a:b]] for a, b in zip([0, *cuts], [*cuts, len(unit)])])
 
     def encode(self, text: str) -> np.ndarray:
@@ -335,19 +352,22 @@ def model(spark: SparkSession, path: str) -> Broadcast:
 
 def _chunks(longest: int, size: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches, 16):
+        for batch in batches:
             for text in batch["text"]:
                 key, whole = hashlib.md5(text.encode("utf-8")).digest(), prepared(text).replace(_LITERAL, "\x00")
                 marks = [m.start() for m in re.finditer(SPACE, text)]
+                rows = []
                 for no, begin in enumerate(range(0, len(whole), size)):
                     end = min(len(whole), begin + size)
                     low = max(0, begin - longest)
                     high = min(len(whole), end + longest)
                     literal = [m + 1 - low for m in marks if low <= m + 1 < high]
-                    yield pd.DataFrame({
-                        "key": [key], "no": [no], "part": [whole[low:high]], "begin": [begin - low], "end": [end - low],
-                        "last": [end == len(whole)], "literal": [literal],
-                    })
+                    rows.append((key, no, whole[low:high], begin - low, end - low, end == len(whole), literal))
+                    if len(rows) == CUT_ROWS:
+                        yield pd.DataFrame(rows, columns=_CUT)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=_CUT)
 
     return cut
 

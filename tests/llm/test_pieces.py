@@ -71,3 +71,14 @@ def test_table(spark, library):
             assert list(r.piece_ids) == library.encode(r.text)
     assert [r.piece_ids for r in got if r.text is None] == [None]
     assert encode(docs.limit(0), held).count() == 0
+
+
+def test_words_that_come_again_are_not_solved_again():
+    from rankmill.llm.pieces import Remembered
+
+    solved = []
+    held = Remembered(lambda word: solved.append(word) or word.encode(), limit=3)
+    for i in range(20):
+        assert held["often"] == b"often" and held[f"once{i}"] == f"once{i}".encode()
+        assert len(held) <= 3 and len(held.older) <= 3
+    assert solved.count("often") == 1 and len(solved) == 21
