@@ -18,6 +18,8 @@ from rankmill.functions.ids import natural_order
 from rankmill.session import broadcast_if_small, cut_lineage, scratch_path, spread
 
 RUN_VALUES = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"}
+#: Rows of the lines that a task aggregates and sorts.
+TASK_ROWS = 1_000_000
 PRODUCT_FIELDS = {
     c: c for c in ("title", "product_class", "category", "brand", "description", "features")
 }
@@ -107,16 +109,26 @@ class Tables:
     @cached_property
     def qrels(self) -> DataFrame:
         """The judgment set of the evaluations: one of two parts, so that runs hold unjudged pairs."""
-        return hash_part(self.judgments, 2)
+        votes = hash_part(self.judgments_raw.withColumnRenamed("product_id", "document_id"), 2)
+        return cut_lineage(aggregate_labels(votes.withColumnRenamed("document_id", "product_id")))
+
+    @cached_property
+    def pair_numbers(self) -> DataFrame:
+        """The values of a pair by its numbers, in as many parts as keep the rows of a task bounded.
+
+        The lines of a query meet in one part, where its pairs can be ranked without another exchange, unless one
+        query has more than TASK_ROWS of them.
+        """
+        lines = self.raw("lineitem").select("l_suppkey", "l_partkey", *RUN_VALUES.values())
+        default = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        sizes = lines.groupBy("l_suppkey").count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+        keys = ["l_suppkey"] if (sizes["most"] or 0) <= TASK_ROWS else ["l_suppkey", "l_partkey"]
+        return lines.repartition(max(default, -(-(sizes["rows"] or 0) // TASK_ROWS)), *keys).groupBy("l_suppkey", "l_partkey").agg(*[F.max(c).alias(s) for s, c in RUN_VALUES.items()])
 
     @cached_property
     def pair_values(self) -> DataFrame:
-        return self.raw("lineitem").groupBy(
-            F.col("l_suppkey").cast("string").alias("query_id"),
-            F.col("l_partkey").cast("string").alias("document_id"),
-        ).agg(
-            F.max("l_quantity").alias("quantity"), F.max("l_extendedprice").alias("price"),
-            F.max("l_discount").alias("discount"),
+        return self.pair_numbers.select(
+            F.col("l_suppkey").cast("string").alias("query_id"), F.col("l_partkey").cast("string").alias("document_id"), *RUN_VALUES
         )
 
     @cached_property
@@ -131,10 +143,15 @@ class Tables:
                 for s in RUN_VALUES
             ]
         )
-        scored = self.pair_values.select("query_id", "document_id", F.inline(values))
-        order = [F.col("score").desc(), *natural_order("document_id")]
-        ranked = top_k(scored, ["system", "query_id"], order, 100)
-        return cut_lineage(ranked.withColumn("tag", F.col("system")))
+        # the natural order of ids that are numbers, without a decimal and a text for each row to sort
+        number = F.col("l_partkey")
+        order = [F.col("score").desc(), F.when(number >= 0, 0).otherwise(1), number]
+        numbers = self.pair_numbers.select("l_suppkey", "l_partkey", F.inline(values))
+        ranked = top_k(numbers, ["system", "l_suppkey"], order, 100)
+        return cut_lineage(ranked.select(
+            F.col("l_suppkey").cast("string").alias("query_id"), F.col("l_partkey").cast("string").alias("document_id"),
+            "system", "score", "rank", F.col("system").alias("tag"),
+        ))
 
     def run(self, system: str) -> DataFrame:
         order = [F.col("score").desc(), *natural_order("document_id")]

@@ -87,3 +87,19 @@ def test_log_chunks_have_the_same_number_of_files(spark, monkeypatch):
     path = t.scratch("log")
     files = sq.write_log(t, path)
     assert files > 1 and sum(n.endswith(".txt") for n in os.listdir(path)) == sq._CHUNKS * files
+
+
+def test_runs_are_ranked_in_bounded_parts(spark, monkeypatch):
+    from rankmill.plans import tables
+
+    got = {}
+    for most in (1_000_000, 1_000, 5):  # all in the default parts, more parts by query, queries that are too large for one
+        monkeypatch.setattr(tables, "TASK_ROWS", most)
+        t = tables.Tables(spark, "/root/testdata/sf0.001")
+        plan = t.pair_numbers._jdf.queryExecution().analyzed().toString()
+        assert ("RepartitionByExpression [l_suppkey" in plan) and (("l_partkey#" in plan.split("RepartitionByExpression [")[1].split("]")[0]) == (most == 5))
+        parts = int(plan.split("RepartitionByExpression [")[1].split("], ")[1].split()[0].rstrip(","))
+        assert parts == max(4, -(-t.raw("lineitem").count() // most))
+        if most != 5:
+            got[most] = table(t.runs, "system", "query_id", "document_id", "rank", "score")
+    assert got[1_000_000] == got[1_000] and len(got[1_000]) > 100
