@@ -7,6 +7,8 @@ carry further key columns (system, setting, mapping, view); pass them as `by`.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,12 +43,20 @@ def _discount(rank: Column) -> Column:
 
 
 def ideal_gain(qrels: DataFrame, cutoffs: Sequence[int] = (10, 50)) -> DataFrame:
-    """Best possible discounted gain per query from all its judgments."""
+    """Best possible discounted gain per query from all its judgments, and the number of those with a gain.
+
+    Judgments of a query are counted by gain first; equal gains fill a span of places whose discounts are summed beforehand.
+    """
     keys = [c for c in qrels.columns if c not in ("document_id", "relevance")]
-    best = top_k(qrels, keys, [F.col("relevance").desc()], max(cutoffs), rank="__place")
-    value = F.col("relevance") / _discount(F.col("__place"))
-    return best.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("__place") <= k, value)).alias(f"__ideal_{k}") for k in cutoffs]
+    gain, count = F.col("relevance"), F.col("__n")
+    counts = qrels.groupBy(*keys, "relevance").agg(F.count(F.lit(1)).alias("__n"))
+    end = F.sum(count).over(W.partitionBy(*keys).orderBy(gain.desc()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    sums = [0.0, *accumulate(1.0 / log2(place + 1) for place in range(1, max(cutoffs) + 1))]
+    upto = lambda k, place: F.get(F.lit(sums), F.least(F.lit(k), place).cast("int"))
+    spans = counts.withColumn("__end", end).withColumn("__start", F.col("__end") - count)
+    return spans.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("__start") < k, gain * (upto(k, F.col("__end")) - upto(k, F.col("__start"))))).alias(f"__ideal_{k}") for k in cutoffs],
+        F.coalesce(F.sum(F.when(gain > 0, count)), F.lit(0)).alias("__relevant"),
     )
 
 
@@ -60,28 +70,31 @@ def evaluate(
     they are not on the judgments; by default it is taken from the run.
     """
     by = list(by)
-    on_qrels = [c for c in by if c in qrels.columns]
-    labels = [c for c in qrels.columns if c not in ("document_id", "relevance")]
     exact = exact_gain if isinstance(exact_gain, Column) else F.lit(exact_gain)
-    relevant = qrels.groupBy(*labels).agg(
-        F.count_if(F.col("relevance") > 0).alias("__relevant")
-    )
-    queries = relevant.join(
-        ideal_gain(qrels.select(*labels, "document_id", "relevance")), labels
-    )
-    rest = [c for c in by if c not in on_qrels]
-    if rest:
-        queries = queries.join(broadcast_if_small((systems or run).select(*rest).distinct()))
     rows = judged_run(run, qrels, by)
-    gain, rank = F.col("gain"), F.col("rank")
+    measured = rows.groupBy(*by, "query_id").agg(*gained(F.col("gain"), F.col("rank"), F.col("judged"), exact))
+    return scored(measured, qrels, by, run if systems is None else systems)
+
+
+def gained(gain: Column, rank: Column, judged: Column, exact: Column) -> list[Column]:
+    """Aggregates over the rows of a query that the metrics are made of."""
     value = gain / _discount(rank)
-    measured = rows.groupBy(*by, "query_id").agg(
+    return [
         F.sum(F.when(rank <= 10, value)).alias("__dcg_10"),
         F.sum(F.when(rank <= 50, value)).alias("__dcg_50"),
         F.count_if((rank <= 100) & (gain > 0)).alias("__found"),
-        F.min(F.when((rank <= 10) & F.col("judged") & (gain == exact), rank)).alias("__first"),
-        F.count_if((rank <= 10) & F.col("judged")).alias("__judged"),
-    )
+        F.min(F.when((rank <= 10) & judged & (gain == exact), rank)).alias("__first"),
+        F.count_if((rank <= 10) & judged).alias("__judged"),
+    ]
+
+
+def scored(measured: DataFrame, qrels: DataFrame, by: Sequence[str], systems: DataFrame) -> DataFrame:
+    """Metrics of every (by, query) of the judgments from `gained` of those with results."""
+    labels = [c for c in qrels.columns if c not in ("document_id", "relevance")]
+    queries = ideal_gain(qrels.select(*labels, "document_id", "relevance")).dropna(subset=labels)
+    rest = [c for c in by if c not in labels]
+    if rest:
+        queries = queries.join(broadcast_if_small(systems.select(*rest).distinct()))
     zero = F.lit(0.0)
 
     def ratio(top, bottom):
@@ -213,16 +226,19 @@ def map_qrels(qrels: DataFrame, mapping: str, maximum_gain: int) -> DataFrame:
     return qrels.withColumn("relevance", mapped)
 
 
+def mapped_gains(maximum_gain: int) -> dict:
+    """The gain in each mapping as a function of the judged gain."""
+    return {
+        "primary": lambda gain: gain.cast("int"),
+        "strict_binary": lambda gain: (gain == maximum_gain).cast("int"),
+        "broad_binary": lambda gain: (gain > 0).cast("int"),
+    }
+
+
 def all_mappings(qrels: DataFrame, maximum_gain: int) -> DataFrame:
     """Every mapping at once: (mapping, query_id, document_id, relevance)."""
-    gain = F.col("relevance")
-    values = {
-        "primary": gain,
-        "strict_binary": (gain == maximum_gain).cast("int"),
-        "broad_binary": (gain > 0).cast("int"),
-    }
     entries = [
-        F.struct(F.lit(name).alias("mapping"), value.cast("int").alias("relevance"))
-        for name, value in values.items()
+        F.struct(F.lit(name).alias("mapping"), value(F.col("relevance")).alias("relevance"))
+        for name, value in mapped_gains(maximum_gain).items()
     ]
     return qrels.select("query_id", "document_id", F.inline(F.array(*entries)))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankmill.functions.special import sign_p_value, t_p_value
-from rankmill.operators.evaluation import MAPPINGS, all_mappings, evaluate, judged_only
+from rankmill.operators.evaluation import all_mappings, gained, mapped_gains, scored
 from rankmill.operators.evaluation import macro as macro_mean
 from rankmill.session import broadcast_if_small
 
@@ -153,23 +153,29 @@ def sign_test(
 def robustness_metrics(runs: DataFrame, qrels: DataFrame, maximum_gain: int) -> DataFrame:
     """Per-query metrics for every relevance mapping and both views (all rows, judged rows only).
 
-    `runs` carries a `system` column. Mappings and views are columns, so the whole grid is one
-    evaluation.
+    `runs` carries a `system` column. Every row meets its judgment once; gains of all mappings and ranks of both views
+    are expressions over it, summed up in one pass.
     """
-    full = runs.withColumn("view", F.lit("full_corpus"))
-    within = judged_only(runs, qrels, ["system"]).withColumn("view", F.lit("rerank_within_judged"))
-    columns = ["view", "system", "query_id", "document_id", "rank"]
-    mapping = F.explode(F.array(*[F.lit(m) for m in MAPPINGS])).alias("mapping")
-    grid = full.select(*columns).unionByName(within.select(*columns)).select(mapping, *columns)
-    names = runs.select("system").distinct().select(
-        F.explode(F.array(F.lit("full_corpus"), F.lit("rerank_within_judged"))).alias("view"),
-        "system",
-    )
-    exact = F.when(F.col("mapping") == "primary", maximum_gain).otherwise(1)
-    return evaluate(
-        grid, all_mappings(qrels, maximum_gain), ["mapping", "view", "system"],
-        exact_gain=exact, systems=names,
-    )
+    labels = qrels.select("query_id", "document_id", F.col("relevance").alias("__relevance"), F.lit(True).alias("__there"))
+    rows = runs.select("system", "query_id", "document_id", "rank").join(labels, ["query_id", "document_id"], "left").repartition("system", "query_id")
+    there, gain = F.col("__there").isNotNull(), F.col("__relevance")
+    # equal ranks of different documents count one by one, a document that is judged twice once
+    place = F.dense_rank().over(W.partitionBy("system", "query_id", "__there").orderBy("rank", "document_id"))
+    rows = rows.withColumn("__place", F.when(there, place))
+    cells = []
+    for name, value in mapped_gains(maximum_gain).items():
+        for view, rank in (("full_corpus", "rank"), ("rerank_within_judged", "__place")):
+            exact = F.lit(maximum_gain if name == "primary" else 1)
+            sums = gained(F.coalesce(value(gain), F.lit(0)), F.col(rank), gain.isNotNull(), exact)
+            cells.append((name, view, F.struct(*sums).alias(f"__{name}_{view}"), F.count(rank).alias(f"__rows_{name}_{view}")))
+    summed = rows.groupBy("system", "query_id").agg(*[x for _, _, *aggregates in cells for x in aggregates])
+    listed = F.array(*[
+        F.when(F.col(f"__rows_{m}_{v}") > 0, F.struct(F.lit(m).alias("mapping"), F.lit(v).alias("view"), F.col(f"__{m}_{v}").alias("sums"))) for m, v, *_ in cells
+    ])
+    measured = summed.select("system", "query_id", F.explode(F.array_compact(listed)).alias("c")).select("c.mapping", "c.view", "system", "query_id", "c.sums.*")
+    views = F.explode(F.array(F.lit("full_corpus"), F.lit("rerank_within_judged"))).alias("view")
+    names = runs.select("system").distinct().select(views, "system")
+    return scored(measured, all_mappings(qrels, maximum_gain), ["mapping", "view", "system"], names)
 
 
 def robustness_grid(

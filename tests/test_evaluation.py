@@ -164,3 +164,36 @@ def test_guard_and_drift(rows):
     stability = rows([(3, 0.9, 0.7, 0.8)], "queries int, mean_overlap double, p05_overlap double, top1_agreement double")
     assert sl.quality_guard(stability, F.lit(0.5), F.lit(0.495)).first()["status"] == "passed"
     assert sl.quality_guard(stability, F.lit(0.5), F.lit(0.48)).first()["status"] == "failed"
+
+
+def test_robustness_meets_each_judgment_once(rows):
+    """Every mapping and view equals an evaluation of its own, and runs are joined to judgments by document once."""
+    from pyspark.sql import functions as F
+
+    from rankmill.operators import evaluation as ev
+    from rankmill.operators import significance as sg
+
+    run = rows([(s, f"q{q}", f"d{(q * 7 + r * k) % 40}", r) for k, s in ((3, "a"), (7, "b")) for q in range(4) for r in range(1, 30)], "system string, query_id string, document_id string, rank int")
+    qrels = rows([(f"q{q}", f"d{d}", (d * 3 + q) % 3) for q in range(1, 6) for d in range(0, 40, 2)], "query_id string, document_id string, relevance int")
+    got = sg.robustness_metrics(run, qrels, 2)
+    shown = ["system", "query_id", *(f"`{m}`" for m in ev.METRICS)]
+    for mapping in ev.MAPPINGS:
+        for view, seen in (("full_corpus", run), ("rerank_within_judged", ev.judged_only(run, qrels, ["system"]))):
+            want = ev.evaluate(seen, ev.map_qrels(qrels, mapping, 2), ["system"], 2 if mapping == "primary" else 1, run)
+            mine = got.where((F.col("mapping") == mapping) & (F.col("view") == view))
+            rounded = lambda df: sorted((r[0], r[1], *(round(x, 9) for x in r[2:])) for r in df.select(*shown).collect())
+            assert rounded(mine) == rounded(want) and mine.count() == 10
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line and "document_id" in line for line in plan.splitlines()) == 1
+
+
+def test_ideal_gain_counts_gains(rows):
+    from math import log2
+
+    from rankmill.operators import evaluation as ev
+
+    gains = [2] * 4 + [1] * 7 + [0] * 3 + [None]
+    (r,) = ev.ideal_gain(rows([("q", f"d{i}", g) for i, g in enumerate(gains)], "query_id string, document_id string, relevance int")).collect()
+    for k in (10, 50):
+        assert abs(r[f"__ideal_{k}"] - sum(g / log2(i + 2) for i, g in enumerate(gains[:k]) if g)) < 1e-12
+    assert r["__relevant"] == 11
