@@ -1,12 +1,12 @@
 """Near-duplicates by shingle similarity: one document of each group stays.
 
-At a similarity of 0.8 on five-word shingles the 64-bit SimHashes of two texts differ in about 10 bits, and in
-more where blocks were appended, cut or replaced. No radius that covering tables can hold meets all such
-pairs, so this stage searches by a prefix filter, which does: in any fixed order of all shingles, two sets
-at the similarity share one among the first of each (``marks``). What meets there is thinned out by bounds that
-no such pair breaks: sizes, places, and the bits of a parity sketch of the shingles. Of each text one candidate link
-is verified first; texts of a candidate group that these do not connect are compared exactly, in blocks. Only verified
-links make classes.
+SimHashes of the five-word shingles go first: texts that agree in the bits of one of ``TABLES`` tables and differ in at most
+``RADIUS`` bits are candidates, which are verified exactly and make classes. At a similarity of 0.8 the SimHashes of two
+texts differ in about 10 bits, and in more where blocks were appended, cut or replaced, so no radius that tables can hold
+meets all such pairs. The rest is found by a prefix filter, which is exact: in any fixed order of all shingles, two sets
+at the similarity share one among the first of each (``marks``). Pairs of different classes that meet there are thinned out by
+bounds that no such pair breaks: sizes, places, and the parities of the shingles, first in few bits and then in as many as the
+size needs (``sketch``). What is left is verified pair by pair. Only verified links join classes.
 """
 
 from __future__ import annotations
@@ -19,19 +19,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.common import connected_components, hash_share, slices
+from rankmill.llm.common import connected_components, hash_share
 from rankmill.llm.decontaminate import shingle_hashes, word_codes, words_of
+from rankmill.llm.simhash import BITS, majority
 from rankmill.session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: SimHash tables, the fewest bits that each compares, and the distance up to which texts that meet are verified.
+TABLES, TABLE_BITS, RADIUS = 24, 16, 12
 #: Members of a bucket that one task compares at once; larger buckets are split into block pairs.
 BLOCK = 2048
-#: Texts of a block in exact verification.
+#: Texts that one task verifies against another one.
 VERIFIED = 400
 #: Texts sampled for common shingles, and the share of them from which a shingle is common.
 SAMPLE, COMMON = 4000, 0.005
-#: Words of the bit map of shingle parities.
-PARITY = 4
+#: Words of the bit map of shingle parities that goes into the buckets.
+PARITY = 8
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -40,19 +43,30 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return shingle_hashes(word_codes(words), max(1, min(width, len(words))))
 
 
-def marks(found: np.ndarray, similarity: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set in the order of the prefix filter, and the parities of all of them by hash.
+def marks(found: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of the prefix filter.
 
     Shingles that are ``common`` come last and the others by hash, so passages that many texts share make
     few meetings. Sets at the similarity share at least that part of each of them, so the rest and one more
     of each hold a shared one. A set without shingles has the mark 0.
     """
     if not len(found):
-        return np.zeros(1, dtype=np.uint64), np.zeros(PARITY, dtype=np.uint64)
+        return np.zeros(1, dtype=np.uint64)
     late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), dtype=bool)
     needed = max(1, math.ceil(similarity * len(found) - 1e-6))
-    odd = np.bincount((found % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
-    return np.r_[found[~late], found[late]][: len(found) - needed + 1], np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+    return np.r_[found[~late], found[late]][: len(found) - needed + 1]
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by their last bits, in a power of two of at least two bits a shingle."""
+    bits = max(64 * PARITY, 1 << max(0, 2 * len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(parities: np.ndarray, words: int) -> np.ndarray:
+    """A sketch in fewer words."""
+    return np.bitwise_xor.reduce(parities.reshape(-1, words), axis=0)
 
 
 def _spanning(near: np.ndarray) -> np.ndarray:
@@ -66,27 +80,31 @@ def _spanning(near: np.ndarray) -> np.ndarray:
 
 
 def _may_reach(similarity: float):
-    """Whether sets that share a shingle as their first one can reach the similarity.
+    """Whether sets of different classes that share a shingle as their first one can reach the similarity.
 
-    By (size, shingles from the shared one on, parities); shingles in one set only change one parity each.
+    By (class, size, shingles from the shared one on, parities); shingles in one set only change one parity each.
     """
 
     def close(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        n, m = (x[..., 0].astype(np.float64) for x in (first, second))
+        n, m = (x[..., 1].astype(np.float64) for x in (first, second))
         shared = similarity / (1 + similarity) * (n + m) - 1e-6
-        ok = np.minimum(first[..., 1], second[..., 1]) >= shared
-        apart = sum(np.bitwise_count(first[..., k] ^ second[..., k]).astype(np.int16) for k in range(2, 2 + PARITY))
+        ok = (first[..., 0] != second[..., 0]) & (np.minimum(first[..., 2], second[..., 2]) >= shared)
+        apart = sum(np.bitwise_count(first[..., k] ^ second[..., k]).astype(np.int16) for k in range(3, 3 + PARITY))
         return ok & (apart <= n + m - 2 * shared)
 
     return close
 
 
+def _near_prints(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(first[..., 0] ^ second[..., 0]) <= RADIUS
+
+
 def _matrix(part: pd.DataFrame) -> np.ndarray:
-    return part.drop(columns=[c for c in ("bucket", "node", "i", "j") if c in part]).to_numpy(dtype=np.int64).view(np.uint64)
+    return part.drop(columns=[c for c in ("bucket", "node", "i", "j", "mine") if c in part]).to_numpy(dtype=np.int64).view(np.uint64)
 
 
-def _bucket_rows(close):
-    """Links of the buckets in batches sorted by bucket; a bucket's rows are held until it ends."""
+def _bucket_rows(close, spanning: bool = False):
+    """Close pairs, or links that connect them, of the buckets in batches sorted by bucket; a bucket's rows are held until it ends."""
 
     def compare(held: pd.DataFrame) -> pd.DataFrame:
         bucket, node, prints = held["bucket"].to_numpy(), held["node"].to_numpy(), _matrix(held)
@@ -105,11 +123,15 @@ def _bucket_rows(close):
             right.append(b[ok])
         for s, n in zip(start[~small], size[~small]):
             near = close(prints[s : s + n, None], prints[None, s : s + n])
-            np.fill_diagonal(near, True)
-            label = _spanning(near)
-            moved = np.flatnonzero(label != np.arange(n))
-            left.append(s + moved)
-            right.append(s + label[moved])
+            if spanning:
+                np.fill_diagonal(near, True)
+                label = _spanning(near)
+                first = np.flatnonzero(label != np.arange(n))
+                second = label[first]
+            else:
+                first, second = np.nonzero(np.triu(near, 1))
+            left.append(s + first)
+            right.append(s + second)
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=int) for x in (left, right))
         return pd.DataFrame({"a": node[a], "b": node[b]}).drop_duplicates()
 
@@ -130,39 +152,64 @@ def _bucket_rows(close):
 def _block_rows(close):
     def rows(part: pd.DataFrame) -> pd.DataFrame:
         prints = _matrix(part)
-        near = close(prints[:, None], prints[None, :])
-        np.fill_diagonal(near, True)
-        label = _spanning(near)
-        moved = label != np.arange(len(part))
+        near = np.triu(close(prints[:, None], prints[None, :]), 1)
+        if part["i"].iloc[0] != part["j"].iloc[0]:  # a block meets itself elsewhere
+            mine = part["mine"].to_numpy()
+            near &= mine[:, None] != mine[None, :]
+        a, b = np.nonzero(near)
         node = part["node"].to_numpy()
-        return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
+        return pd.DataFrame({"a": node[a], "b": node[b]})
 
     return rows
 
 
-def _met(plain: DataFrame, crowded: DataFrame, values: list[str], close, block: int) -> DataFrame:
-    """Links (a, b) of the members of ``plain`` buckets and, in pairs of blocks, of ``crowded`` ones of ``n`` rows."""
-    links = plain.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_bucket_rows(close), "a long, b long")
-    count = F.ceil(F.col("n") / block).cast("int")
-    crowded = crowded.withColumn("blocks", count).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    paired = crowded.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", *values
+def _pairs(links: DataFrame) -> DataFrame:
+    return cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+
+
+def simhash_links(nodes: DataFrame, crowd: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b) of ``nodes`` (node, fp) by SimHash tables.
+
+    A table compares as many sampled bits as the number of texts asks for. In a bucket, members that are within ``RADIUS`` are
+    linked by a spanning set. Crowded buckets are dealt into parts: no pair is lost by that, as the prefix filter finds the rest.
+    """
+    crowd = crowd or BLOCK
+    width = min(32, max(TABLE_BITS, math.ceil(math.log2(max(2, nodes.count())))))
+    rng = np.random.default_rng(11)
+    masks = [sum(1 << int(i) for i in rng.choice(BITS, width, replace=False)) for _ in range(TABLES)]
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])
+    keyed = nodes.select("node", "fp", F.explode(keys).alias("bucket"))
+    sizes = cut_lineage(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    parts = F.ceil(F.col("n") / crowd)
+    dealt = keyed.join(sizes, "bucket").select(
+        F.when(parts > 1, F.xxhash64("bucket", F.pmod(F.xxhash64("node"), parts))).otherwise(F.col("bucket")).alias("bucket"), "node", "fp"
     )
-    return links.union(paired.groupBy("bucket", "i", "j").applyInPandas(_block_rows(close), "a long, b long"))
+    met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_bucket_rows(_near_prints, spanning=True), "a long, b long")
+    return _pairs(met)
 
 
 def prefix_links(nodes: DataFrame, similarity: float = SIMILARITY, crowd: int | None = None, block: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect all ``nodes`` (node, size, marks, parity) at the similarity or above.
+    """All pairs (a, b) of ``nodes`` (node, class, size, marks, parity) of different classes that may be at the similarity or above.
 
-    Only shingles that two texts or more have at their beginning go on; sizes and sketches are joined to those.
+    Only shingles that two texts or more have at their beginning go on; sizes and parities are joined to those. Buckets of over
+    ``crowd`` members are compared in pairs of blocks.
     """
     crowd, block = crowd or BLOCK, block or BLOCK
     keyed = nodes.select("node", "size", F.posexplode("marks").alias("at", "bucket")).select("bucket", "node", (F.col("size") - F.col("at")).alias("rest"))
     sizes = cut_lineage(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    values = ["size", "rest", *[f"p{k}" for k in range(PARITY)]]
-    facts = nodes.select("node", "size", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)])
+    values = ["class", "size", "rest", *[f"p{k}" for k in range(PARITY)]]
+    facts = nodes.select("node", "class", "size", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)])
     rows = cut_lineage(keyed.join(sizes, "bucket")).join(facts, "node").select("bucket", "node", "n", *values)
-    return _met(rows.where(F.col("n") <= crowd).drop("n"), rows.where(F.col("n") > crowd), values, _may_reach(similarity), block)
+    close = _may_reach(similarity)
+    plain = rows.where(F.col("n") <= crowd).drop("n").repartition("bucket").sortWithinPartitions("bucket")
+    links = plain.mapInPandas(_bucket_rows(close), "a long, b long")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    crowded = rows.where(F.col("n") > crowd).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = crowded.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", *values
+    )
+    return _pairs(links.union(paired.groupBy("bucket", "i", "j").applyInPandas(_block_rows(close), "a long, b long")))
 
 
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
@@ -178,35 +225,6 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return np.sort(counts.toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def _verify_rows(similarity: float):
-    def rows(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("node")
-        sets = [np.asarray(x, dtype=np.int64) for x in part["shingles"]]
-        size = np.array([len(s) for s in sets], dtype=np.float64)
-        owner = np.repeat(np.arange(len(sets)), size.astype(int))
-        _, code, count = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *sets]), return_inverse=True, return_counts=True)
-        shared = count > 1
-        column = (np.cumsum(shared) - 1)[code]
-        owner, column = owner[shared[code]], column[shared[code]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        for low in range(0, int(shared.sum()), 2048):
-            a, b = np.searchsorted(column, [low, low + 2048])
-            chunk = np.zeros((len(sets), 2048), dtype=np.float32)
-            chunk[owner[a:b], column[a:b] - low] = 1
-            both += chunk @ chunk.T
-        union = size[:, None] + size[None, :] - both
-        near = both >= similarity * union - 1e-9
-        np.fill_diagonal(near, True)
-        label = _spanning(near)
-        moved = label != np.arange(len(sets))
-        node = part["node"].to_numpy()
-        return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
-
-    return rows
-
-
 def similar_documents(documents: DataFrame, text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """(node, root): the class of every text that may be similar to another one.
 
@@ -220,84 +238,77 @@ def similar_documents(documents: DataFrame, text: str = "text", similarity: floa
 
     common = documents.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
 
-    @F.pandas_udf("struct<size:int,marks:array<long>,parity:array<long>>")
+    @F.pandas_udf("struct<size:int,fp:long,marks:array<long>,parity:array<long>,sketch:binary>")
     def first_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [np.unique(shingles(x, width)) for x in batch]
-            first = [[v.view(np.int64) for v in marks(x, similarity, common.value)] for x in sets]
+            bits = [sketch(x) for x in sets]
             yield pd.DataFrame({
                 "size": np.array([len(x) for x in sets], dtype=np.int32),
-                "marks": pd.Series([x for x, _ in first], dtype=object), "parity": pd.Series([x for _, x in first], dtype=object),
+                "fp": np.array([majority(x) if len(x) else 0 for x in sets], dtype=np.uint64).view(np.int64),
+                "marks": pd.Series([marks(x, similarity, common.value).view(np.int64) for x in sets], dtype=object),
+                "parity": pd.Series([folded(x, PARITY).view(np.int64) for x in bits], dtype=object),
+                "sketch": [x.tobytes() for x in bits],
             })
 
-    columns = ["size", "marks", "parity"]
+    columns = ["size", "fp", "marks", "parity", "sketch"]
     found = texts.select("node", first_of("body").alias("p")).select("node", "p.*")
     found = cut_lineage(found.groupBy("node").agg(*[F.first(c).alias(c) for c in columns]))
-    links = prefix_links(found, similarity)
-    links = cut_lineage(links)
-    groups = connected_components(links, "a", "b").withColumnRenamed("root", "group")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in slices(iter([batch])):
-                yield part.assign(shingles=[np.unique(shingles(x, width)).view(np.int64) for x in part["body"]]).drop(columns="body")
-
-    members = texts.join(groups.select("node"), "node").dropDuplicates(["node"]).mapInPandas(sets, "node long, shingles array<long>")
-    members = cut_lineage(members)
-    classes = connected_components(_hub_links(members, links, similarity), "a", "b").withColumnRenamed("root", "class")
-    named = cut_lineage(groups.join(classes, "node", "left").select("node", "group", F.coalesce("class", "node").alias("class")))
-    rest = cut_lineage(_rest_links(members, named, similarity))
-    if not rest.isEmpty():  # few as a rule: links between classes
-        of = lambda side: named.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class"))
-        between = rest.join(of("a"), "a").join(of("b"), "b")
-        upper = connected_components(between, "a_class", "b_class").withColumnsRenamed({"node": "class", "root": "upper"})
-        named = named.join(upper, "class", "left").select("node", F.coalesce("upper", "class").alias("class"))
-    return named.select("node", F.col("class").alias("root"))
-
-
-def _hub_links(members: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """One candidate link of each text, if it holds. Texts that share a partner are compared with it in parts."""
-    own = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hub"))
-    sizes = own.groupBy("hub").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("parts"))
-    placed = own.join(sizes, "hub").select("node", "hub", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
+    def checked(pairs: DataFrame) -> DataFrame:
+        return cut_lineage(_verified(_sketched(pairs, found, similarity), texts, similarity, width))
+
+    near = connected_components(checked(simhash_links(found.select("node", "fp"))), "a", "b")
+    classed = found.join(near, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    rest = checked(prefix_links(classed, similarity))
+    if rest.isEmpty():
+        return near
+    of = lambda side: near.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    between = rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    upper = connected_components(between.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), "a", "b")
+    upper = upper.select(F.col("node").alias("root"), F.col("root").alias("upper"))
+    joined = near.join(upper, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+    alone = upper.join(near.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("upper").alias("root"))
+    return cut_lineage(joined.union(alone))
+
+
+def _sketched(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` whose sketches do not rule the similarity out."""
+
+    @F.pandas_udf("boolean")
+    def may_reach(n: pd.Series, m: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
+        out = np.zeros(len(n), dtype=bool)
+        for at, (x, y) in enumerate(zip(first, second, strict=True)):
+            x, y = (np.frombuffer(v, dtype="<u8") for v in (x, y))
+            words = min(len(x), len(y))
+            out[at] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum() <= (n[at] + m[at]) * (1 - similarity) / (1 + similarity) + 1e-5
+        return pd.Series(out)
+
+    of = lambda side: found.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("sketch").alias(f"{side}_sketch"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return cut_lineage(both.where(may_reach("a_size", "b_size", "a_sketch", "b_sketch")).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The ``pairs`` (a, b) at the similarity. A text meets its partners in parts of at most ``VERIFIED``."""
+    sizes = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("parts"))
+    placed = pairs.select(F.col("a").alias("node"), F.col("b").alias("hub")).join(sizes, "hub")
+    placed = placed.select("node", "hub", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
     hubs = sizes.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
-    rows = placed.union(hubs).join(members, "node")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
 
     def check(part: pd.DataFrame) -> pd.DataFrame:
         top, rest = part[part["is_hub"]], part[~part["is_hub"]]
-        first = np.asarray(top["shingles"].iloc[0], dtype=np.int64)
-        sizes = np.array([len(x) for x in rest["shingles"]], dtype=np.int64)
-        shared = np.isin(np.concatenate([np.zeros(0, np.int64), *rest["shingles"]]), first)
-        both = np.bincount(np.repeat(np.arange(len(sizes)), sizes), shared, len(sizes))
-        fine = both >= similarity * (sizes + len(first) - both) - 1e-9
+        first = np.unique(shingles(top["body"].iloc[0], width))
+        fine = np.zeros(len(rest), dtype=bool)
+        for at, body in enumerate(rest["body"]):
+            other = np.unique(shingles(body, width))
+            both = len(np.intersect1d(first, other, assume_unique=True))
+            fine[at] = both >= similarity * (len(first) + len(other) - both) - 1e-9
         return pd.DataFrame({"a": rest["node"][fine].to_numpy(), "b": top["node"].iloc[0]})
 
-    return rows.groupBy("hub", "part").applyInPandas(check, "a long, b long")
-
-
-def _rest_links(members: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
-    """Links between texts of one candidate group that are in different classes; ``named`` is (node, group, class).
-
-    Only pairs of different classes can bring news. Large classes lie in blocks of their own and small ones are
-    pooled, so that no two blocks of the same large class meet, and a group that is one class is done.
-    """
-    sizes = named.groupBy("group", "class").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("big", F.col("n") > VERIFIED // 2)
-    open_groups = sizes.groupBy("group").agg(
-        F.count("*").alias("classes"), F.ceil(F.sum(F.when(~F.col("big"), F.col("n")).otherwise(0)) / VERIFIED).cast("int").alias("pools")
-    ).where("classes > 1")
-    split = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(F.lit(1), n)).cast("string")
-    block = F.when(F.col("big"), F.concat(F.col("class").cast("string"), F.lit("/"), split("node", F.ceil(F.col("n") / VERIFIED).cast("int")))).otherwise(split("class", F.col("pools")))
-    blocks = cut_lineage(named.join(open_groups, "group").join(sizes, ["group", "class"]).select("node", "group", "class", "big", block.alias("block")))
-    each = blocks.select("group", "block", F.when(F.col("big"), F.col("class")).alias("class")).distinct()
-    other = each.select("group", F.col("block").alias("j"), F.col("class").alias("other"))
-    pools = each.where("class is null").select("group", F.col("block").alias("i")).join(other, "group").where("other is not null or i <= j").select("group", "i", "j")
-    several = each.where("class is not null").groupBy("group").agg(F.count_distinct("class").alias("k")).where("k > 1").select("group")
-    large = each.where("class is not null").join(several, "group").withColumnRenamed("block", "i").join(other, "group").where("class < other").select("group", "i", "j")
-    pairs = pools.union(large)
-    sent = pairs.select("group", F.col("i").alias("block"), "i", "j").union(pairs.where("i <> j").select("group", F.col("j").alias("block"), "i", "j"))
-    rows = sent.join(blocks.select("node", "group", "block"), ["group", "block"]).join(members, "node").select("group", "i", "j", "node", "shingles")
-    return rows.groupBy("group", "i", "j").applyInPandas(_verify_rows(similarity), "a long, b long")
+    return placed.union(hubs).join(members, "node").groupBy("hub", "part").applyInPandas(check, "a long, b long")
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:

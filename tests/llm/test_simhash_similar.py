@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 from rankmill.llm import simhash_similar
-from rankmill.llm.simhash_similar import keep_one, similar_documents
+from rankmill.llm.simhash import majority
+from rankmill.llm.simhash_similar import keep_one, simhash_links, similar_documents
 
 
 def sets(text, width=5):
@@ -87,3 +89,29 @@ def test_common_passages_do_not_hide_links(spark, monkeypatch):
     texts = [f"{passage} {t}" for t in edited(5, 20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in keep_one(docs).collect()} == set(classes(texts))
+
+
+def test_simhash_tables_meet_light_edits(spark):
+    rng = random.Random(6)
+    prints = {}
+    for i in range(0, 200, 2):
+        words = rng.choices([f"w{i}" for i in range(3000)], k=400)
+        prints[i] = majority(np.unique(simhash_similar.shingles(" ".join(words))))
+        words[rng.randrange(400)] = "other"
+        prints[i + 1] = majority(np.unique(simhash_similar.shingles(" ".join(words))))
+    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()]
+    for crowd in (None, 10**6):
+        found = {(r.a, r.b) for r in simhash_links(spark.createDataFrame(rows, "node long, fp long"), crowd).collect()}
+        assert len(found & {(i, i + 1) for i in range(0, 200, 2)}) >= 95
+    assert all((prints[a] ^ prints[b]).bit_count() <= simhash_similar.RADIUS for a, b in found)
+
+
+def test_pairs_that_share_a_passage_are_not_all_verified(spark, monkeypatch):
+    rng, verified, checked = random.Random(7), [], simhash_similar._verified
+    passage = [f"p{i}" for i in range(500)]
+    texts = [" ".join(passage + rng.choices([f"w{i}" for i in range(5000)], k=200)) for _ in range(30)]
+    texts += [texts[0] + " more", texts[0] + " or less"]
+    monkeypatch.setattr(simhash_similar, "_verified", lambda pairs, *rest: verified.append(pairs.count()) or checked(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in keep_one(docs).collect()} == set(range(30))
+    assert 2 <= sum(verified) <= 3
