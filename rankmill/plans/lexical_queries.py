@@ -114,8 +114,7 @@ def with_more(names: str, more: str, body: str) -> str:
     with_more("pqterm pdf ptf plen pstat", _PAIRED, ranked(f"({profile_sql(EMULATION, 'fzfield')})", "query_id", BEST, 20)),
 )
 def _(t):
-    scored = lx.best_fields(lx.fuzzy_bm25(t.product_texts, lx.query_terms(t.product_queries)), EMULATION)
-    return top_k(rounded(scored), ["query_id"], score_order(), 20)
+    return lx.fuzzy_search(t.product_texts, lx.query_terms(t.product_queries), EMULATION, 20)
 
 
 # Phrases over the documents: whole query texts, slop 0 and 1.

@@ -57,6 +57,15 @@ def test_pairs_all_words_and_fuzzy_agree_with_joins(spark, corpus, queries, monk
     assert small[0][0] == 0 and small[-1][1] == 27 and all(a[1] == b[0] for a, b in zip(small, small[1:]))
 
 
+def test_fuzzy_search_keeps_its_best_inside_the_task(corpus, monkeypatch, spark):
+    texts = lx.document_texts(corpus, "id", FIELDS)
+    asked = spark.createDataFrame([("a", "widgte lamp lamp"), ("b", "chairs foxy"), ("c", "hone oaks blve"), ("d", "nowhere"), ("e", None)], "query_id string, query string")
+    inside, joined = on_both_paths(monkeypatch, lambda: table(lx.fuzzy_search(texts, lx.query_terms(asked), GRID[0], 7), "query_id", "document_id", "rank", "score"))
+    assert inside == joined and len(inside) == 21
+    plan = lx.fuzzy_search(texts, lx.query_terms(asked), GRID[0], 7)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # no pair is exchanged before the best are kept
+
+
 def test_phrases_agree_with_joins(corpus, queries, monkeypatch):
     texts, phrases = lx.document_texts(corpus, "id", FIELDS), lx.phrase_terms(queries)
     for slop in (0, 1, 3):
