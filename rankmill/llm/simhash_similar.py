@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rankmill.llm.common import connected_components, hash_share
 from rankmill.llm.decontaminate import shingle_hashes, word_codes, words_of
 from rankmill.llm.simhash import BITS, majority
-from rankmill.session import cut_lineage
+from rankmill.session import broadcast_if_small, cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: SimHash tables, the fewest bits that each compares, and the distance up to which texts that meet are verified.
@@ -295,7 +295,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     placed = pairs.select(F.col("a").alias("node"), F.col("b").alias("hub")).join(sizes, "hub")
     placed = placed.select("node", "hub", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
     hubs = sizes.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())  # else all texts are exchanged
     members = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
 
     def check(part: pd.DataFrame) -> pd.DataFrame:
