@@ -231,6 +231,22 @@ def test_captures_that_must_not_be_used(rows):
     ]
 
 
+def test_capture_faults_from_counts(rows, spark):
+    """The same faults when the hits were counted where they arose; the query exchanges no hit."""
+    import os
+
+    import __spark_entry__ as entry
+
+    cases = rows([(0.8, "ok", ["s"], [1.0] * 4, 1), (0.8, "cut", ["s"], [1.0] * 4, 3), (0.8, "ids", ["s"], [1.0] * 4, 2), (0.8, "bad", ["s"], [1.0] * 4, 1), (0.8, "none", ["s"], [1.0] * 4, 0)], CASES)
+    hits = [(0.8, "ok", 1, 0.9, True, True), (0.8, "ok", 2, 0.9, False, True), (0.8, "cut", 4, 0.9, True, False), (0.8, "ids", 5, 0.9, True, False), (0.8, "ids", 5, 0.9, True, False), (0.8, "bad", 0, 0.9, True, True)]
+    counts = rows([(0.8, "ok", 1, 2, 0, 0), (0.8, "cut", 1, 0, 0, 0), (0.8, "ids", 2, 0, 0, 1), (0.8, "bad", 1, 1, 1, 0)], "min_score double, case_id string, exact long, radial long, bad_ids long, repeated long")
+    want = table(rd.capture_faults(cases, rows(hits, HITS), 1), "case_id", "fault")
+    assert table(rd.capture_faults(cases, None, 1, counts=counts), "case_id", "fault") == want == [
+        ("bad", "product_ids"), ("cut", "truncated"), ("ids", "product_ids"), ("ok", "too_many_results")]
+    if os.path.isdir(entry.SMOKE_DIR):
+        assert "MapInArrow" not in entry.queries()["e27_capture_faults"](spark, entry.SMOKE_DIR)._jdf.queryExecution().toString()
+
+
 def test_differing_rows_are_found_by_ranges(rows):
     expected = rows([(i, f"v{i}") for i in range(200)], "k long, v string")
     live = rows([(i, "other" if i in (7, 150) else f"v{i}") for i in range(200) if i not in (0, 99, 199)] + [(-5, "x"), (500, "y")], "k long, v string")

@@ -79,3 +79,32 @@ def test_recall_from_best_lists_equals_recall_from_hits(rows):
     columns = ("min_score", "slice", "recall", "cases")
     want = table(rd.slice_recall(cases, hits, 5), *columns)
     assert table(rd.slice_recall(cases, None, 5, rd.best_recall(*best, [0.5, 0.8], 5)), *columns) == want
+
+
+def test_repeated_pairs_are_brute_force(rows, monkeypatch):
+    """Ids that are there more than once, on both sides, with other vectors each; two of them without a pair."""
+    monkeypatch.setattr(dn, "STRIPE_VALUES", 300)
+    monkeypatch.setattr(dn, "STRIPE_LEAST", 20)
+    monkeypatch.setattr(pairs, "SIDE", 16)
+    found = data(7, 90, 5)
+    scores, ids = scores_of(found), [str(i if i < 60 else i - 60 if i < 75 else 7) for i in range(90)]
+    frame = rows([(ids[i], i % 2, i % 3, [float(x) for x in v]) for i, v in enumerate(found)], "id string, a int, b int, embedding array<double>")
+    mark = (np.arange(2)[:, None] + np.arange(3)[None, :]) % 2 == 0
+    got = dn.pair_counts(
+        frame.select(F.col("id").alias("query_id"), "embedding", F.col("a").alias("kind")),
+        frame.select(F.col("id").alias("document_id"), "embedding", F.col("b").alias("kind")), [0.5, 0.8], {"every": np.ones((2, 3))},
+        repeated={"marked": mark, "all": np.ones((2, 3))},
+    )
+    met = {}
+    for least in (0.5, 0.8):
+        for q in range(90):
+            for d in range(90):
+                if ids[q] != ids[d] and scores[q, d] >= least:
+                    for name, counts in (("marked", mark[q % 2, d % 3]), ("all", True)):
+                        key = (ids[q], least, name)
+                        met.setdefault(key, {}).setdefault(ids[d], 0)
+                        met[key][ids[d]] += int(counts)
+    many = lambda q, least, name: sum(n > 1 for n in met.get((q, least, name), {}).values())
+    want = [(q, least, many(q, least, "marked"), many(q, least, "all")) for q in set(ids) for least in (0.5, 0.8)]
+    assert table(got, "query_id", "min_score", "marked", "all") == sorted(want)
+    assert any(w[2] != w[3] for w in want) and any(w[3] == 0 for w in want)
