@@ -298,6 +298,24 @@ def test_pairs_that_hold_their_judgments_have_the_same_faults(rows):
     assert got == [("a", 2, "label"), ("a", 3, "context"), ("a", 4, "repeated"), ("a", 5, "missing"), ("a", 6, "missing"), ("b", 1, "not_pooled")]
 
 
+@pytest.mark.parametrize("name", ["e29_judgment_pool"])
+def test_judgment_queries_are_the_same_in_blocks(spark, monkeypatch, tmp_path, name):
+    """Also with vector ids that are there twice."""
+    import __spark_entry__ as entry
+    from rankmill.operators import dense as dn
+
+    if not os.path.isdir(entry.SMOKE_DIR):
+        pytest.skip("no test tables")
+    few = spark.read.parquet(f"{entry.SMOKE_DIR}/embeddings.parquet").limit(60)
+    few.union(few.limit(3)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.read.parquet(f"{entry.SMOKE_DIR}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    whole = entry.queries()[name](spark, str(tmp_path))
+    want = table(whole, *whole.columns)
+    assert want
+    monkeypatch.setattr(dn, "QUERY_VALUES", 64)
+    assert table(entry.queries()[name](spark, str(tmp_path)), *whole.columns) == want
+
+
 def test_judgment_pairs_are_not_exchanged(spark, monkeypatch):
     """Vectors go to the squares of a grid; after that no pair of a case and a product moves."""
     import __spark_entry__ as entry

@@ -199,6 +199,37 @@ def test_pairs_carry_columns_of_both_sides(spark, monkeypatch):
     assert sides.where("count > 5").isEmpty()
 
 
+def test_large_sets_meet_in_blocks_without_copies(spark, monkeypatch):
+    """Both sides are packed once and every block meets every other one: no row is sorted, copied or exchanged for that."""
+    monkeypatch.setattr(dn, "QUERY_VALUES", 16)
+    monkeypatch.setattr(dn, "PART_QUERIES", 7)
+    monkeypatch.setattr(dn, "PART_VECTORS", 5)
+    rows = vectors(spark, 90, 3, 0.25)
+    frame = spark.createDataFrame(rows, "document_id string, embedding array<float>").repartition(9)
+    rows = [(r.document_id, list(r.embedding)) for r in frame.collect()]
+    found = dn.threshold_pairs(frame.withColumnRenamed("document_id", "query_id"), frame, 0.6)
+    assert table(found, "query_id", "document_id") == brute(rows, rows, 0.6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not any(x in plan for x in ("Exchange", "Sort", "Generate"))
+    packed = dn._packed(frame, "d", 5).selectExpr("size(document_id) n", "explode(document_id) id")
+    assert sorted(r.id for r in packed.collect()) == sorted(r[0] for r in rows) and packed.where("n > 5").isEmpty()
+
+
+def test_pairs_of_wanted_kinds(spark, monkeypatch):
+    monkeypatch.setattr(dn, "PART_QUERIES", 7)
+    rows = [r for r in vectors(spark, 80, 3, 0.25)]
+    number = {d: i for i, (d, _) in enumerate(rows)}
+    frame = spark.createDataFrame([(d, number[d], v) for d, v in rows], "document_id string, number int, embedding array<double>").repartition(3)
+    kinds = (np.arange(3)[:, None] + np.arange(4)[None, :]) % 3 == 1
+    found = dn.threshold_pairs(
+        frame.select(F.col("document_id").alias("query_id"), "embedding", (F.col("number") % 3).alias("kind")),
+        frame.withColumn("kind", F.col("number") % 4), 0.6, carry=["number"], columns=["query_id", "number", "document_id"], kinds=kinds,
+    )
+    assert found.columns == ["query_id", "number", "document_id"]
+    want = [(q, number[d], d) for q, d in brute(rows, rows, 0.6) if kinds[number[q] % 3, number[d] % 4]]
+    assert table(found, *found.columns) == sorted(want)
+
+
 def test_radial_search_skips_without_loss(spark):
     rows = vectors(spark, 150, 8, 0.4)
     frame = spark.createDataFrame(rows, "document_id string, embedding array<double>").repartition(3)
