@@ -298,7 +298,14 @@ def test_pairs_that_hold_their_judgments_have_the_same_faults(rows):
     assert got == [("a", 2, "label"), ("a", 3, "context"), ("a", 4, "repeated"), ("a", 5, "missing"), ("a", 6, "missing"), ("b", 1, "not_pooled")]
 
 
-@pytest.mark.parametrize("name", ["e29_judgment_pool"])
+def test_pairs_can_hold_what_their_faults_depend_on(rows):
+    held = [("a", 1, 1, "acceptable", False), ("a", 2, 1, "great", False), ("a", 3, 1, "unsafe", True), ("a", 4, 2, "unsafe", False), ("a", 5, 0, None, None), ("a", 6, None, None, None)]
+    held = [(*h, True) for h in held] + [("b", 1, 1, "unsafe", False, False), ("b", 2, 0, None, None, False)]
+    got = rd.nested_faults(rows(held, "case_id string, product_id long, judged int, label string, altered boolean, pooled boolean"), ["title"])
+    assert table(got, "case_id", "product_id", "fault") == [("a", 2, "label"), ("a", 3, "context"), ("a", 4, "repeated"), ("a", 5, "missing"), ("a", 6, "missing"), ("b", 1, "not_pooled")]
+
+
+@pytest.mark.parametrize("name", ["e29_judgment_pool", "e30_bind_judgments"])
 def test_judgment_queries_are_the_same_in_blocks(spark, monkeypatch, tmp_path, name):
     """Also with vector ids that are there twice."""
     import __spark_entry__ as entry
