@@ -305,7 +305,24 @@ def test_pairs_can_hold_what_their_faults_depend_on(rows):
     assert table(got, "case_id", "product_id", "fault") == [("a", 2, "label"), ("a", 3, "context"), ("a", 4, "repeated"), ("a", 5, "missing"), ("a", 6, "missing"), ("b", 1, "not_pooled")]
 
 
-@pytest.mark.parametrize("name", ["e29_judgment_pool", "e30_bind_judgments"])
+def test_unsafe_labels_with_their_thresholds(rows):
+    cases = rows([(least, c) for least in (0.5, 0.6) for c in "ab"], "min_score double, case_id string")
+    labels = rows([("a", 1, "unsafe"), ("a", 2, "acceptable"), ("b", 1, "unsafe"), ("b", 3, "unsafe")], "case_id string, product_id long, label string")
+    want = table(rd.bind_unsafe(cases, labels), "min_score", "case_id", "product_id")
+    assert len(want) == 6 and table(rd.bind_unsafe(cases, labels, single=True), "min_score", "case_id", "product_id") == want
+    assert table(rd.bind_unsafe(cases, labels.join(cases, "case_id"), single=True), "min_score", "case_id", "product_id") == want
+
+
+def test_unsafe_pairs_are_not_exchanged(spark):
+    import __spark_entry__ as entry
+
+    if not os.path.isdir(entry.SMOKE_DIR):
+        pytest.skip("no test tables")
+    plan = entry.queries()["e30_bound_unsafe_ids"](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan[: plan.index("MapInArrow")] for x in ("Join", "Aggregate", "Repartition", "Sort", "Distinct"))
+
+
+@pytest.mark.parametrize("name", ["e29_judgment_pool", "e30_bind_judgments", "e30_bound_unsafe_ids"])
 def test_judgment_queries_are_the_same_in_blocks(spark, monkeypatch, tmp_path, name):
     """Also with vector ids that are there twice."""
     import __spark_entry__ as entry
