@@ -61,12 +61,14 @@ def _first(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int):
 
 
 def best_pairs(
-    queries: np.ndarray, docs: np.ndarray, k: int, decimals: int, floor: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None = None
+    queries: np.ndarray, docs: np.ndarray, k: int, decimals: int, floor: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None = None,
+    rough: np.ndarray | None = None, error: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the k best rows of each query with a rounded score of at least `floor` of the query.
 
     Among equal scores earlier rows win. Of equal rows only the first k (one more, as a query may leave out its own)
-    are compared.
+    are compared. With `rough` rows, whose product with a query is off by at most the query's `error`, the first products are
+    made from those.
     """
     fine, asked = np.flatnonzero(np.isfinite(docs).all(axis=1)), np.flatnonzero(np.isfinite(queries).all(axis=1))
     if len(fine):
@@ -79,7 +81,8 @@ def best_pairs(
         q, d = to_query[own[0]], to_doc[own[1]]
         own = (q[(q >= 0) & (d >= 0)], d[(q >= 0) & (d >= 0)])
     queries, docs, least = queries[asked], docs[fine], floor[asked].astype(np.float64)
-    slack, half = _slack(docs.shape[1]), 10.0**-decimals
+    seen = docs if rough is None else rough[fine]
+    slack, half = np.full(len(queries), _slack(docs.shape[1])) + (0.0 if error is None else error[asked]), 10.0**-decimals
     done, held, rows = [], [], 0
 
     def settle(low: int):
@@ -88,16 +91,17 @@ def best_pairs(
         return [(query, doc, score)]
 
     before = 0
-    for low, start, single in _products(queries, docs, own):
+    for low, start, single in _products(queries, seen, own):
         if low != before:
             done += settle(before) if held else []
             held, rows, before = [], 0, low
         count = len(single)
-        bar = (2.0 * (least[low : low + count] - half) - 1.0 - slack)[:, None].astype(np.float32)
+        off = slack[low : low + count]
+        bar = (2.0 * (least[low : low + count] - half) - 1.0 - off)[:, None].astype(np.float32)
         near = single >= np.maximum(bar, np.float32(-3.0))
         if single.shape[1] > k and np.count_nonzero(near) > 2 * k * count:
             kth = np.partition(single, single.shape[1] - k, axis=1)[:, single.shape[1] - k]
-            near &= single >= (kth - np.float32(2 * (slack + half)))[:, None]
+            near &= single >= (kth - (2 * (off + half)).astype(np.float32))[:, None]
         query, doc = np.nonzero(near)
         if not len(query):
             continue

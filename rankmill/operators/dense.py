@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from rankmill.functions.pairs import best_pairs, counted_pairs, pairs_within, repeated_pairs, same_ids
 from rankmill.functions.topk import SCHEMA, LocalTopK, natural_rows, round_half_up
@@ -29,6 +29,8 @@ BLOCK_SCORES = 4_000_000
 QUERY_CELLS = 256
 PART_QUERIES = 4_096
 PART_VECTORS = 4_096
+#: Vectors that a task of the approximate search takes its queries past.
+STORED_ROWS = 262_144
 #: Pairs of one Arrow batch that leaves a task.
 OUT_ROWS = 250_000
 #: Radians by which cells count as wider, far above what rounding can move an angle.
@@ -357,20 +359,25 @@ class _Matcher:
             for at in range(batch.num_rows):
                 if batch["q_block"][at].as_py() != last:
                     last, names = batch["q_block"][at].as_py(), batch["query_id"][at].values
-                    queries, asked = self._unit(batch["q_vectors"][at], len(names), 0), [batch[c][at].values for c in self.asked]
+                    queries, asked = _unit(batch["q_vectors"][at], len(names), self.types[0]), [batch[c][at].values for c in self.asked]
                     query_ids = names.to_pandas().to_numpy()
                 ids = batch["document_id"][at].values
-                docs, stored = self._unit(batch["d_vectors"][at], len(ids), 1), [batch[c][at].values for c in self.stored]
+                docs, stored = _unit(batch["d_vectors"][at], len(ids), self.types[1]), [batch[c][at].values for c in self.stored]
                 own = same_ids(query_ids, ids.to_pandas().to_numpy()) if self.exclude_self else None
                 for query, row, score in pairs_within(queries, docs, self.min_score, self.decimals, own, self.scored):
                     yield from self._rows(asked, stored, query, row, score)
 
-    def _unit(self, values: pa.Scalar, rows: int, side: int) -> np.ndarray:
-        return _matrix(np.frombuffer(values.as_buffer(), self.types[side]).reshape(rows, -1))
 
+def _unit(values: pa.Scalar, rows: int, kept: str) -> np.ndarray:
+    """Unit vectors of a block."""
+    return _matrix(np.frombuffer(values.as_buffer(), kept).reshape(rows, -1))
 
-def _packed(rows: DataFrame, side: str, most: int) -> DataFrame:
-    """Blocks of at most `most` rows of one kind: number, kind, vectors, and an array of each other column."""
+
+def _packed(rows: DataFrame, side: str, most: int, ordered: str | None = None) -> DataFrame:
+    """Blocks of at most `most` rows of one kind: number, kind, vectors, and an array of each other column.
+
+    Rows of a block are in the natural order of the ids in the column `ordered`, if one is named.
+    """
     columns, kinds, values = [c for c in rows.columns if c not in ("embedding", "kind")], "kind" in rows.columns, _value_type(rows)
     out = StructType([
         StructField(f"{side}_block", LongType()), StructField(f"{side}_kind", IntegerType()), StructField(f"{side}_vectors", BinaryType()),
@@ -378,6 +385,8 @@ def _packed(rows: DataFrame, side: str, most: int) -> DataFrame:
     ])
 
     def block(number: int, kind: int, part: pa.Table) -> pa.RecordBatch:
+        if ordered:
+            part = part.take(pa.array(natural_rows(part[ordered].to_pandas().to_numpy()).index.to_numpy()))
         vectors = np.stack(part["embedding"].to_pandas()).astype(values).tobytes()
         lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part[c].combine_chunks()) for c in columns]
         one = [pa.array([number], pa.int64()), pa.array([kind], pa.int32()), pa.array([vectors], pa.binary())]
@@ -480,11 +489,11 @@ def build_cells(vectors: DataFrame, cells: int, seed: int = 17, max_iter: int =
     return [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()], assigned
 
 
-def encode_cells(assigned: DataFrame, centers: Sequence[np.ndarray]) -> DataFrame:
+def encode_cells(assigned: DataFrame, centers: Sequence[np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
     """(document_id, cell, code, scale): unit vectors as one byte per value of their distance to the cell's centre.
 
     A value differs from its code by half of `scale` at most, which bounds the error of every score. Zero vectors
-    have no row.
+    have no row. Columns named by `keep` stay.
     """
     shared = assigned.sparkSession.sparkContext.broadcast(np.stack(centers))
 
@@ -499,77 +508,88 @@ def encode_cells(assigned: DataFrame, centers: Sequence[np.ndarray]) -> DataFram
         fine = np.isfinite(code).all(axis=1)
         return pd.DataFrame({"code": [c.astype(np.int8).tobytes() if ok else None for c, ok in zip(code, fine, strict=True)], "scale": scale})
 
-    coded = assigned.select(F.col("document_id").cast("string"), "cell", encode(F.col("embedding").cast("array<double>"), "cell").alias("at"))
-    return coded.select("document_id", "cell", "at.code", "at.scale").where(F.col("code").isNotNull())
+    coded = assigned.select(F.col("document_id").cast("string"), "cell", *keep, encode(F.col("embedding").cast("array<double>"), "cell").alias("at"))
+    return coded.select("document_id", "cell", *keep, "at.code", "at.scale").where(F.col("code").isNotNull())
 
 
 def ann_knn(
     queries: DataFrame, assigned: DataFrame, centers: Sequence[np.ndarray], k: int, effort: int,
-    decimals: int = 6, group_rows: int = 20_000, group_queries: int = 1_000,
+    decimals: int = 6, group_rows: int = 4_096, group_queries: int = 4_096,
+) -> DataFrame:
+    """The k nearest among the vectors of the `effort` nearest cells per query, exactly."""
+    return ann_runs(queries, assigned, centers, k, [effort], decimals, group_rows, group_queries).drop("effort")
+
+
+def ann_runs(
+    queries: DataFrame, assigned: DataFrame, centers: Sequence[np.ndarray], k: int, efforts: Sequence[int],
+    decimals: int = 6, group_rows: int = 4_096, group_queries: int = 4_096,
 ) -> DataFrame:
-    """The k nearest among the vectors of the `effort` nearest cells per query, exactly.
+    """`ann_knn` of several efforts, named by a column `effort`: the cells that one of them probes hold those of a lower one.
 
-    A first scan sees byte codes (`encode_cells`) only: cells are split by document and their queries by query, into
-    groups of about `group_rows` by `group_queries`, so neither a crowded cell nor one that all queries probe makes a
-    large group. A code bounds each score from below and above; what is above the k-th lower bound of its group, and
-    then of its query, is scored again from the full vectors.
+    Vectors are packed in blocks of one cell, at most `group_rows` each, with their byte codes (`encode_cells`), and queries in
+    blocks of at most `group_queries`; both are stored once. A task takes its blocks of queries past blocks of vectors, those of
+    a cell being compared with the queries that probe it. A first scan sees the codes only, which bound each score from
+    below and above; what can be among the k best so far of an effort is scored again from the full vectors. Only the k best of
+    a query, effort and task leave it.
     """
     unit = np.stack(centers)
     directions = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-    spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast((unit, directions))  # one row per cell
-    probes = min(effort, len(centers))
-
-    @F.pandas_udf("array<int>")
-    def probe(embedding: pd.Series) -> pd.Series:
-        if not len(embedding):
-            return pd.Series([], dtype=object)
-        nearest = np.argsort(-(_matrix(embedding) @ shared.value[1].T), axis=1)
-        return pd.Series(list(nearest[:, :probes].astype(np.int32)), dtype=object)
-
-    asked = queries.select(F.col("query_id").cast("string"), F.col("embedding").cast("array<double>"))
-    wanted = asked.withColumn("cell", F.explode(probe("embedding")))
-    codes = encode_cells(assigned, centers)
-    sizes = F.broadcast(  # one row per cell
-        assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
-        .join(wanted.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / group_queries).cast("int").alias("stripes")), "cell")
-    )
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = wanted.join(sizes, "cell").select("cell", spread("parts").alias("part"), place("query_id", "stripes").alias("stripe"), "query_id", "embedding")
-    right = codes.join(sizes, "cell").select("cell", place("document_id", "parts").alias("part"), spread("stripes").alias("stripe"), "document_id", "code", "scale")
-    half = 10.0**-decimals + 1e-12  # scores that round alike may differ by that much in the cosine
-
-    def bounds(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(q) and len(v):
-            matrix = _matrix(q["embedding"])
-            sums, base = np.abs(matrix).sum(axis=1), matrix @ shared.value[0][int(q["cell"].iloc[0])]
-            code = np.frombuffer(b"".join(v["code"]), np.int8).reshape(len(v), -1)
-            scale, ids = v["scale"].to_numpy(), v["document_id"].to_numpy()
-            names = q["query_id"].to_numpy()
-            for start in range(0, len(q), max(1, BLOCK_SCORES // len(v))):
-                rows = slice(start, start + max(1, BLOCK_SCORES // len(v)))
-                middle = base[rows, None] + (matrix[rows] @ code.T) * scale
-                error = sums[rows, None] * scale * 0.5 + half
-                lower = middle - error
-                least = np.partition(lower, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(middle), -np.inf)
-                row, column = np.nonzero(middle + error >= least[:, None])
-                found.append(pd.DataFrame({"query_id": names[rows][row], "document_id": ids[column], "lower": lower[row, column], "upper": (middle + error)[row, column]}))
-        empty = {"query_id": pd.Series(dtype=object), "document_id": pd.Series(dtype=object), "lower": pd.Series(dtype=float), "upper": pd.Series(dtype=float)}
-        return pd.concat(found) if found else pd.DataFrame(empty)
-
-    keys = ("cell", "part", "stripe")
-    scanned = cut_lineage(
-        left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(bounds, "query_id string, document_id string, lower double, upper double")
-    )
-    kth = top_k(scanned, ["query_id"], [F.col("lower").desc(), F.col("document_id")], k).where(F.col("rank") == k).select("query_id", F.col("lower").alias("least"))
-    kept = scanned.join(kth, "query_id", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("query_id", "document_id")
-    stored = assigned.select(F.col("document_id").cast("string"), F.col("embedding").cast("array<double>").alias("dv"))
-    pairs = stored.join(broadcast_if_small(kept), "document_id").join(broadcast_if_small(asked), "query_id")
-    cosine = dot(F.col("embedding"), F.col("dv")) / (norm(F.col("embedding")) * norm(F.col("dv")))
-    scored = pairs.select("query_id", "document_id", F.round((1 + cosine) / 2, decimals).alias("score")).where(~F.isnan("score") & F.col("score").isNotNull())
-    return top_k(scored, ["query_id"], score_order(), k)
+    shared = queries.sparkSession.sparkContext.broadcast((unit, directions))  # one row per cell
+    efforts = sorted(set(efforts))
+    reach = np.minimum(efforts, len(centers))
+    asked = queries.select(F.col("query_id").cast("string"), "embedding")
+    coded = encode_cells(assigned, centers, ["embedding"]).withColumnRenamed("cell", "kind")
+    types, many = (_value_type(asked), _value_type(coded)), len(efforts)
+    out = StructType([StructField("effort", IntegerType()), StructField("query_id", StringType()), StructField("document_id", StringType()), StructField("score", DoubleType())])
+
+    def result(names: np.ndarray, best: LocalTopK) -> pa.RecordBatch:
+        found = best.frame()
+        place = found["query_id"].to_numpy().astype(np.int64)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.asarray(efforts)[place % many], pa.int32()), pa.array(names[place // many], pa.string()),
+            pa.array(found["document_id"], pa.string()), pa.array(found["score"].to_numpy(), pa.float64()),
+        ], out.names)
+
+    def search(batches):
+        last, names, best = None, None, None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                if batch["q_block"][at].as_py() != last:
+                    if best is not None:
+                        yield result(names, best)
+                    last, names = batch["q_block"][at].as_py(), batch["query_id"][at].values.to_pandas().to_numpy()
+                    matrix = _unit(batch["q_vectors"][at], len(names), types[0])
+                    order = np.argsort(-(matrix @ shared.value[1].T), axis=1)
+                    band = np.empty_like(order)  # the least effort that probes a cell
+                    np.put_along_axis(band, order, np.searchsorted(reach, np.arange(order.shape[1]), side="right")[None, :], axis=1)
+                    sums, best = np.abs(matrix).sum(axis=1), LocalTopK(list(range(len(names) * many)), k, decimals)
+                cell = batch["d_kind"][at].as_py()
+                rows = np.flatnonzero(band[:, cell] < many)
+                if not len(rows):
+                    continue
+                ids, level = batch["document_id"][at].values.to_pandas().to_numpy(), band[rows, cell]
+                scale = np.asarray(batch["scale"][at].values)
+                code = np.frombuffer(b"".join(batch["code"][at].values.to_pylist()), np.int8).reshape(len(ids), -1)
+                rough = (shared.value[0][cell] + code * scale[:, None]).astype(np.float32)
+                found = best_pairs(
+                    matrix[rows], _unit(batch["d_vectors"][at], len(ids), types[1]), k, decimals, best.floor[rows * many + level], None,
+                    rough, sums[rows] * scale.max() * 0.5,
+                )
+                for e in range(many):
+                    mine = level[found[0]] <= e
+                    best.add_pairs(ids, rows[found[0][mine]] * many + e, found[1][mine], found[2][mine])
+        if best is not None:
+            yield result(names, best)
+
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    right = _packed(coded.coalesce(8 * cores), "d", group_rows, ordered="document_id")
+    parts = max(1, -(-right.count() * group_rows // STORED_ROWS))
+    right = right.coalesce(parts)
+    stripes = -(-4 * cores // parts)
+    left = _packed(asked.repartition(stripes), "q", group_queries)
+    met = left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(search, out)
+    found = top_k(met, ["effort", "query_id"], score_order(), k)
+    return found.select("effort", "query_id", "document_id", "rank", "score")
 
 
 # -- comparisons ---------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankmill.functions import row_scores
+from rankmill.functions.topk import natural_rows
 from rankmill.operators import dense as dn
 from rankmill.operators import facets as fc
 from rankmill.operators import lexical as lx
@@ -251,6 +252,32 @@ def test_byte_codes_bound_scores_and_keep_the_nearest(spark):
     assert table(dn.ann_knn(queries, assigned, centers, 5, 4, group_rows=13, group_queries=7), "query_id", "document_id", "rank") == exact
 
 
+@pytest.mark.parametrize("size", [None, 11])
+def test_efforts_probe_their_cells_only_and_completely(spark, monkeypatch, size):
+    """Several efforts in one pass, with copies and a zero vector; vectors and queries are stored once and no candidate is joined."""
+    if size:
+        monkeypatch.setattr(dn, "STORED_ROWS", 60)
+    rows = [r for r in vectors(spark, 160, 5, 0.5)]
+    rows += [(f"{i}", rows[3][1]) for i in range(9000, 9014)]
+    frame = spark.createDataFrame(rows, "document_id string, embedding array<double>").repartition(3)
+    centers, assigned = dn.build_cells(frame.where("document_id <> 'zero'"), 5)
+    assigned = spark.createDataFrame(assigned.select("document_id", "embedding", "cell").collect(), "document_id string, embedding array<double>, cell int").repartition(3)
+    cells, direction = {r.document_id: r.cell for r in assigned.collect()}, np.stack(centers) / np.linalg.norm(np.stack(centers), axis=1, keepdims=True)
+    unit = {d: np.asarray(v) / np.linalg.norm(v) for d, v in rows if any(v)}
+    order = {d: i for i, d in enumerate(natural_rows(np.array(list(unit), dtype=object))["text"])}
+    want = []
+    for q, v in unit.items():
+        probed = np.argsort(-(direction @ v))
+        for effort in (1, 2, 4, 9):
+            near = [(-np.floor((1 + unit[d] @ v) / 2 * 1e6 + 0.5) / 1e6, order[d], d) for d in unit if cells[d] in set(probed[:effort].tolist())]
+            want += [(effort, q, d, rank) for rank, (_, _, d) in enumerate(sorted(near)[:6], 1)]
+    queries = frame.withColumnRenamed("document_id", "query_id")
+    found = dn.ann_runs(queries, assigned, centers, 6, (2, 1, 9, 4), **({"group_rows": size, "group_queries": size} if size else {}))
+    assert table(found, "effort", "query_id", "document_id", "rank") == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not any(x in plan for x in ("MergeJoin", "HashJoin", "CoGroup"))
+
+
 def test_local_best_lists_stay_small():
     from rankmill.functions.topk import LocalTopK
 
