@@ -582,7 +582,8 @@ def ann_runs(
             yield result(names, best)
 
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    right = _packed(coded.coalesce(8 * cores), "d", group_rows, ordered="document_id")
+    packers = max(4, -(-assigned.count() // (group_rows * len(centers))))  # so few that blocks of a cell are full
+    right = _packed(coded.coalesce(min(8 * cores, packers)), "d", group_rows, ordered="document_id")
     parts = max(1, -(-right.count() * group_rows // STORED_ROWS))
     right = right.coalesce(parts)
     stripes = -(-4 * cores // parts)
